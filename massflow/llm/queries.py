@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from massflow.llm import near_dup as _near_dup
 from massflow.llm import quality_rules as _quality_rules
+from massflow.llm import toxicity as _toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +19,19 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality_rules.quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality_rules": op3_quality_rules,
+        "op4_near_duplicates": op4_near_duplicates,
+        "op10_toxicity": op10_toxicity,
     }
 
 
