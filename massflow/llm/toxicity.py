@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  Each sentence gets a logistic score of its
-hashed words and word pairs; the document's score is their noisy-or,
+hashed words and word beginnings; the document's score is their noisy-or,
 ``1 - prod(1 - q)``.  Only document labels are known in training, and the
 gradient of the noisy-or shares the blame among a document's sentences, so the
 sentences that carry it are found as well.
@@ -21,10 +21,13 @@ from massflow.llm import text as T
 from massflow.llm.hashed_lr import platt, sigmoid
 
 BITS = 18
+#: Bytes of a word's beginning that are features beside the whole word (0).
+BEGINNINGS = (0, 4, 5, 6)
 #: Labelled rows of each class that the model is fitted on at most.
-TRAIN_PER_CLASS = 1500
-#: Features in fewer documents of the sample than this stay at weight 0.
-LEAST_DOCS = 4
+TRAIN_PER_CLASS = 2500
+#: A feature is used if the documents of the sample that hold it are split
+#: between the classes this many standard deviations from the sample's split.
+LEAST_Z = 4.0
 PREDICT_AT = 0.3
 
 _STOP = np.zeros(256, bool)  # bytes that end a sentence
@@ -44,21 +47,23 @@ class Bags:
 
 def bags(buf: np.ndarray, off: np.ndarray) -> Bags:
     low = T.LOWER[buf]
-    w = T.words(low, off, separators=T.NON_LETTER)
+    ph = T.PrefixHash(low)
+    w = T.words(low, off, separators=T.NON_LETTER, prefix=ph)
     doc = w.doc
     stops = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(_STOP[buf], out=stops[1:])
-    tag = stops[w.start] * (len(off) + 1) + doc  # same sentence: same stop count, same document
-    new = np.ones(len(tag), bool)
-    new[1:] = (tag[1:] != tag[:-1]) | (doc[1:] != doc[:-1])
+    new = np.ones(len(doc), bool)  # a sentence ends with a stop byte or its document
+    new[1:] = (stops[w.start[1:]] != stops[w.start[:-1]]) | (doc[1:] != doc[:-1])
     sent = np.cumsum(new) - 1
     head = np.flatnonzero(new)
-    tail = np.append(head[1:], len(tag)) - 1 if len(head) else head
-    h, at = T.grams(w, 2)
-    pair = sent[at] == sent[at + 1] if len(at) else np.zeros(0, bool)
-    shift = np.uint64(64 - BITS)
-    feat = np.concatenate([(w.hash >> shift).astype(np.int32), (h[pair] >> shift).astype(np.int32) + (1 << BITS)])
-    return Bags(feat, np.concatenate([sent, sent[at[pair]]]), doc[head], w.start[head], w.end[tail])
+    tail = np.append(head[1:], len(doc)) - 1 if len(head) else head
+    found = []
+    for k, n in enumerate(BEGINNINGS):
+        on = np.flatnonzero(w.end - w.start > n) if n else slice(None)
+        h = ph.span(w.start[on], w.start[on] + n) if n else w.hash
+        found.append((sent[on] << 22) | (h >> np.uint64(64 - BITS)).astype(np.int64) | (k << BITS))
+    key = np.unique(np.concatenate(found))  # once a sentence
+    return Bags((key & ((1 << 22) - 1)).astype(np.int32), key >> 22, doc[head], w.start[head], w.end[tail])
 
 
 @dataclass
@@ -117,23 +122,30 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, ep
     if len(set(y.tolist())) < 2:
         return None
     docs_ = [(np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(s.as_buffer(), np.int32)) for f, s in zip(got["feat"], got["sent"])]
-    size = 2 << BITS
-    df = np.zeros(size, np.int32)
-    for f, _ in docs_:
-        df[np.unique(f)] += 1
-    used = df >= min(LEAST_DOCS, max(1, len(docs_) // 20))
+    size = len(BEGINNINGS) << BITS
+    held_by = np.zeros((2, size))
+    for (f, _), k in zip(docs_, y):
+        held_by[k, np.unique(f)] += 1
+    total = held_by.sum(0)
+    share = (y == 1).mean()
+    used = np.abs(held_by[1] - total * share) >= LEAST_Z * np.sqrt(np.maximum(total, 1) * share * (1 - share))
+    kept = np.flatnonzero(used)
+    short = np.zeros(size, np.int32)
+    short[kept] = np.arange(len(kept))
+    sizes = [int(t.max(initial=-1)) + 1 for _, t in docs_]  # sentences, also those without a used feature
+    docs_ = [(short[f[used[f]]], t[used[f]]) for f, t in docs_]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(docs_))
     held, part = (order[: len(order) // 4], order[len(order) // 4 :]) if len(docs_) >= 40 else (order, order)
     # Rows are sampled by class; these weights give back the labelled table's proportions.
     weight = np.array([counts.get(k, 1) / max(1, (y == k).sum()) for k in (0, 1)])
     weight /= weight.mean()
-    model = Model(np.zeros(size, np.float32), -5.0)
-    square, bias_square = np.full(size, 1e-6, np.float32), 1e-6
+    model = Model(np.zeros(len(kept), np.float32), -5.0)
+    square, bias_square = np.full(len(kept), 1e-6, np.float32), 1e-6
 
     def stacked(which):
         f = np.concatenate([docs_[i][0] for i in which])
-        base = np.cumsum([0, *(int(docs_[i][1].max(initial=-1)) + 1 for i in which)])
+        base = np.cumsum([0, *(sizes[i] for i in which)])
         s = np.concatenate([docs_[i][1] + b for i, b in zip(which, base)]) if len(which) else np.zeros(0, int)
         return Bags(f, s, np.repeat(np.arange(len(which)), np.diff(base)), s, s)
 
@@ -147,8 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, ep
             p = -np.expm1(np.minimum(clean, -1e-9))
             up = np.where(y[which] == 1, -np.exp(clean) / p, 1.0) * weight[y[which]]
             g = up[b.doc] * q / len(which)
-            grad = np.bincount(b.feat, g[b.sent], size).astype(np.float32)
-            on = np.flatnonzero((grad != 0) & used)
+            grad = np.bincount(b.feat, g[b.sent], len(kept)).astype(np.float32)
+            on = np.flatnonzero(grad)
             step = grad[on] + decay / len(part) * model.weights[on]
             square[on] += step * step
             model.weights[on] -= rate * step / np.sqrt(square[on])
@@ -158,6 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, ep
     z = _logit(np.bincount(b.doc, -np.logaddexp(0, model.sentences(b)), len(held)))
     model.slope, model.shift = platt(z, y[held])
     model.shift += np.log(weight[1] / weight[0])
+    full = np.zeros(size, np.float32)
+    full[kept] = model.weights
+    model.weights = full
     return model
 
 
@@ -171,7 +186,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", offendin
     the span is null and n_offending 0.  Of sentences that tie, the first is the
     worst.  Without a model (a class of labels missing) every score is 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the corpus
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the corpus
     schema = StructType(list(docs.schema))
     for f in FIELDS.split(", "):
         schema = schema.add(*f.split())
