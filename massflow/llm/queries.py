@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from massflow.llm import html_extract as _html_extract
+from massflow.llm import mixing as _mixing
 from massflow.llm import near_dup as _near_dup
 from massflow.llm import quality_rules as _quality_rules
 from massflow.llm import site_quality as _site_quality
+from massflow.llm import token_store as _token_store
 from massflow.llm import toxicity as _toxicity
 from massflow.llm import warc as _warc
 
@@ -18,6 +20,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mixing(_table(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -30,6 +42,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_store.token_ids(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _site_quality.quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -44,9 +60,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_html_extraction": op2_html_extraction,
         "op3_quality_rules": op3_quality_rules,
         "op4_near_duplicates": op4_near_duplicates,
+        "op6_token_ids": op6_token_ids,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
