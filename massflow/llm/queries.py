@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from massflow.llm import html_extract as _html_extract
 from massflow.llm import mixing as _mixing
 from massflow.llm import near_dup as _near_dup
+from massflow.llm import nearest as _nearest
 from massflow.llm import quality_rules as _quality_rules
 from massflow.llm import site_quality as _site_quality
 from massflow.llm import token_store as _token_store
@@ -46,6 +47,10 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_store.token_ids(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nearest.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _site_quality.quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_near_duplicates": op4_near_duplicates,
         "op6_token_ids": op6_token_ids,
+        "op7_nearest": op7_nearest,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
