@@ -10,6 +10,7 @@ from massflow.llm import html_extract as _html_extract
 from massflow.llm import mixing as _mixing
 from massflow.llm import near_dup as _near_dup
 from massflow.llm import nearest as _nearest
+from massflow.llm import piece_codec as _piece_codec
 from massflow.llm import quality_rules as _quality_rules
 from massflow.llm import site_quality as _site_quality
 from massflow.llm import token_store as _token_store
@@ -43,6 +44,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _piece_codec.encode(_table(spark, sf_dir, "documents"), _piece_codec.load(_tokenizer("piece_bpe_32k.model")))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _token_store.token_ids(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_html_extraction": op2_html_extraction,
         "op3_quality_rules": op3_quality_rules,
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_sentencepiece": op5_sentencepiece,
         "op6_token_ids": op6_token_ids,
         "op7_nearest": op7_nearest,
         "op8_quality_classifier": op8_quality_classifier,
