@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massflow.plans import ot_queries
+from massflow.plans import ot_queries, radon_queries
 
-_PARTS = (ot_queries,)
+_PARTS = (ot_queries, radon_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
