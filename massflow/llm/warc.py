@@ -11,6 +11,7 @@ protocol.  They are read back whole, file by file, by Content-Length.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 
 import pyarrow as pa
@@ -79,12 +80,14 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_record(*x, date) for x in zip(*(c.to_pylist() for c in b.columns))], pa.string())], ["value"])
 
-    out = rows.mapInArrow(run, "value string").write.option("lineSep", END).option("maxRecordsPerFile", max(1, min(20_000, int(FILE_BYTES / max(size, 400)))))
+    out = rows.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, min(20_000, int(FILE_BYTES / max(size, 400)))))
     out.mode("overwrite").text(path)
 
 
 def parse(content: bytes):
-    """(headers, block) of each record of an archive file."""
+    """(headers, block) of each record of an archive file, gzipped or plain."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     at = 0
     while at < len(content):
         stop = content.index(b"\r\n\r\n", at)
