@@ -39,7 +39,7 @@ END_ID = 2
 SHARD_IDS = 1 << 20
 TERMINALS = 50_257
 MAX_RULES = 65_536 - TERMINALS
-ROUNDS = 6
+ROUNDS = 4
 PER_ROUND = 2_048
 LEAST_COUNT = 16
 #: Words whose ids a worker remembers at most; then it starts afresh.
@@ -49,6 +49,12 @@ BROADCAST_SHARDS = 100_000
 MAGIC = b"RPG1"
 
 
+#: How a byte-level vocabulary writes bytes: printable ones as themselves, the rest from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+ENDINGS = frozenset(",.;:?!|")
+
+
 class WordEncoder:
     """The tokenizer's ids of whole texts, one word at a time.
 
@@ -70,6 +76,12 @@ class WordEncoder:
 
         class Spaced(dict):
             def __missing__(self, piece: str) -> bytes:
+                if piece.isalpha():  # a run of letters is one token to merge
+                    self[piece] = got = enc.merged("\u0120" + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS)))
+                    return got
+                if len(piece) > 1 and piece[-1] in ENDINGS and piece[:-1].isalpha():
+                    self[piece] = got = self[piece[:-1]] + enc.word(piece[-1])
+                    return got
                 if "\n" in piece:
                     head, *lines = piece.split("\n")
                     if head and all(lines):
@@ -80,6 +92,9 @@ class WordEncoder:
         self.spaced = Spaced()
         self.newline = self.pack("\n")
 
+    def merged(self, mapped: str) -> bytes:
+        return array("I", [t.id for t in self._merge(mapped)]).tobytes()
+
     def pack(self, chunk: str) -> bytes:
         return array("I", [t.id for word, _ in self._split(chunk) for t in self._merge(word)]).tobytes()
 
