@@ -35,7 +35,7 @@ def _split(df: DataFrame, start: str, mass: str, buckets: int) -> DataFrame:
         return df.withColumn("bucket", F.lit(0)).withColumn("q", c(start))
     first = F.least(F.floor(c(start) * buckets), F.lit(buckets - 1))
     last = F.greatest(first, F.least(F.ceil((c(start) + c(mass)) * buckets) - 1, F.lit(buckets - 1)))
-    return df.withColumn("bucket", F.explode(F.sequence(first, last)).cast("int")).withColumn("q", F.greatest(c(start), c("bucket") / buckets))
+    return df.withColumn("bucket", F.explode(F.sequence(first.cast("int"), last.cast("int")))).withColumn("q", F.greatest(c(start), c("bucket") / buckets))
 
 
 def pieces(d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -50,7 +50,7 @@ def pieces(d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
     cell = F.struct("cell_id", "x0", "x1", "y", "m", "c0")
     left = s.select("batch", "bucket", "q", F.lit(0).alias("kind"), c("pos").alias("at"), dirac.alias("d"), F.lit(None).alias("t"))
     right = u.select("batch", "bucket", "q", F.lit(1).alias("kind"), c("x0").alias("at"), F.lit(None).alias("d"), cell.alias("t"))
-    both = left.unionByName(right)
+    both = _merged(left, right, "batch", "bucket")
     order = Window.partitionBy("batch", "bucket").orderBy("q", "kind", "at", "d.dirac_id", "t.cell_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     merged = both.select("batch", c("q").alias("q0"), F.coalesce(F.lead("q").over(order), (c("bucket") + 1) / F.lit(float(k))).alias("q1"), F.last("d", ignorenulls=True).over(upto).alias("d"), F.last("t", ignorenulls=True).over(upto).alias("t"))
@@ -59,6 +59,15 @@ def pieces(d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
     return merged.select("batch", "dirac_id", "cell_id", "pos", "w", "q0", "q1", "y", (c("x0") + (c("q0") - c("c0")) * slope).alias("l"), (c("x0") + (c("q1") - c("c0")) * slope).alias("r"), (c("q1") - c("q0")).alias("dm"))
 
 
+def _merged(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """Both sides' rows, dealt by the keys in one exchange.
+
+    Explicit, as a union's own partitioning breaks where adaptive execution
+    reads one side's exchange in other pieces than the other's.
+    """
+    return left.unionByName(right).repartition(*keys)
+
+
 def _quadratic() -> Column:
     a, b = c("l") - c("pos"), c("r") - c("pos")
     return c("dm") * (a * a + a * b + b * b) / 3
@@ -124,7 +133,7 @@ def grad_density(p: DataFrame, d: DataFrame, t: DataFrame) -> DataFrame:
     left = at.select("batch", c("q0").alias("q"), F.lit(0).alias("kind"), F.struct("pos", "phi").alias("d"), F.lit(None).alias("t"))
     right = flat.select("batch", c("c0").alias("q"), F.lit(1).alias("kind"), F.lit(None).alias("d"), F.struct("cell_id", "x0", "x1").alias("t"))
     upto = Window.partitionBy("batch").orderBy("q", "kind", "d.pos").rowsBetween(Window.unboundedPreceding, 0)
-    held = left.unionByName(right).withColumn("d", F.last("d", ignorenulls=True).over(upto)).where("t IS NOT NULL AND d IS NOT NULL").select("batch", "d.*", "t.*")
+    held = _merged(left, right, "batch").withColumn("d", F.last("d", ignorenulls=True).over(upto)).where("t IS NOT NULL AND d IS NOT NULL").select("batch", "d.*", "t.*")
     a, b = c("x0") - c("pos"), c("x1") - c("pos")
     empty = held.select("batch", "cell_id", ((c("x1") - c("x0")) * ((a * a + a * b + b * b) / 3 - c("phi"))).alias("g"))
     g = full.unionByName(empty)
@@ -146,7 +155,7 @@ def lookup(levels: DataFrame, t: DataFrame) -> DataFrame:
     # A level on a border belongs to the cell before it, except at the very start.
     right = right.withColumn("kind", F.when(c("q") <= 0, F.lit(1)).otherwise(F.lit(-1)))
     upto = Window.partitionBy("batch").orderBy("q", "kind", "t.x0", "level_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right).withColumn("t", F.last("t", ignorenulls=True).over(upto)).where("level_id IS NOT NULL AND t IS NOT NULL")
+    both = _merged(left, right, "batch").withColumn("t", F.last("t", ignorenulls=True).over(upto)).where("level_id IS NOT NULL AND t IS NOT NULL")
     return both.select("batch", "level_id", c("q").alias("level"), (c("t.x0") + F.least((c("q") - c("t.c0")) / c("t.m"), F.lit(1.0)) * (c("t.x1") - c("t.x0"))).alias("x"))
 
 
@@ -159,7 +168,7 @@ def cost_by_moments(d: DataFrame, t: DataFrame) -> DataFrame:
     left = u.select("batch", c("c0").alias("q"), F.lit(0).alias("kind"), F.struct("x0", "y", "c0", "b1", "b2").alias("t"), F.lit(None).alias("d"))
     right = s.select("batch", c("q0").alias("q"), F.lit(1).alias("kind"), F.lit(None).alias("t"), F.struct("dirac_id", "pos", "w").alias("d"))
     order = Window.partitionBy("batch").orderBy("q", "kind", "d.pos", "d.dirac_id", "t.x0")
-    at = left.unionByName(right).withColumn("t", F.last("t", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("d IS NOT NULL")
+    at = _merged(left, right, "batch").withColumn("t", F.last("t", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("d IS NOT NULL")
     x = c("t.x0") + (c("q") - c("t.c0")) / c("t.y")
     at = at.select("batch", "q", "d.*", x.alias("x"), (c("t.b1") + c("t.y") * (x * x - c("t.x0") ** 2) / 2).alias("m1"), (c("t.b2") + c("t.y") * (x**3 - c("t.x0") ** 3) / 3).alias("m2"))
     whole = u.groupBy("batch").agg(F.sum("k1").alias("all1"), F.sum("k2").alias("all2"))

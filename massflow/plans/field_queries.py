@@ -218,7 +218,7 @@ def tent_cost_grad(spark, d):
 
 
 def _history(spark, d):
-    return read(spark, d, "events").groupBy(c("event_type").alias("run"), (c("event_id") % 500).cast("int").alias("step")).agg(F.avg("value").alias("loss"))
+    return read(spark, d, "events").groupBy(c("event_type").alias("run"), (c("event_id") % 500).cast("int").alias("step")).agg(F.max("value").alias("loss"))
 
 
 def loss_table(spark, d):
@@ -302,7 +302,7 @@ ORACLE = {
     "mesh_project": f"{_OPS} SELECT angle_id, bin_id, round(sum(val * (1 + (ix + 2 * iy) % 3)), 6) AS value FROM op GROUP BY 1, 2",
     "mesh_backproject": f"{_OPS} SELECT level, ix, iy, round(sum(val * (1 + (bin_id * 3 + angle_id) % 5)), 5) AS value FROM op GROUP BY 1, 2, 3",
     "mesh_edges": f"{_TILES}, id AS (SELECT *, CAST(row_number() OVER (ORDER BY level, ix, iy) - 1 AS INTEGER) AS i FROM tiles), d AS (SELECT p.i, q.i AS j, p.h AS hi, q.h AS hj, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist FROM id p, id q), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS n FROM d) SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j, least(hi, hj) AS face, round(dist, 9) AS dist FROM k WHERE n <= 9 AND i != j AND dist < 0.75 * (hi + hj)",
-    "loss_table": "WITH h AS (SELECT event_type AS run, CAST(event_id % 500 AS INTEGER) AS step, round(avg(value), 3) AS loss FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY 1, 2) SELECT step, coalesce(max(CASE WHEN run = 'click' THEN printf('%.6f', loss) END), '-') AS click, coalesce(max(CASE WHEN run = 'error' THEN printf('%.6f', loss) END), '-') AS error, coalesce(max(CASE WHEN run = 'purchase' THEN printf('%.6f', loss) END), '-') AS purchase FROM h GROUP BY 1",
+    "loss_table": "WITH h AS (SELECT event_type AS run, CAST(event_id % 500 AS INTEGER) AS step, round(max(value), 3) AS loss FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY 1, 2) SELECT step, coalesce(max(CASE WHEN run = 'click' THEN printf('%.6f', loss) END), '-') AS click, coalesce(max(CASE WHEN run = 'error' THEN printf('%.6f', loss) END), '-') AS error, coalesce(max(CASE WHEN run = 'purchase' THEN printf('%.6f', loss) END), '-') AS purchase FROM h GROUP BY 1",
     "runs_mismatch": "WITH s AS (SELECT 'nb_angles' AS setting, count(DISTINCT user_id % 3) AS nb_values FROM events UNION ALL SELECT 'factor', count(DISTINCT 2) FROM events UNION ALL SELECT 'nb_bins', count(DISTINCT length(event_type)) FROM events) SELECT * FROM s WHERE nb_values > 1",
     "live_latest": f"WITH {_FRAMES} SELECT sim, context, coordinates, arrival, value, place FROM k WHERE n = 1",
     "live_updates": f"WITH {_FRAMES} SELECT sim, context, coordinates, arrival, value, place FROM k WHERE n = 1 AND arrival > 5000",

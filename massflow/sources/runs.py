@@ -49,7 +49,7 @@ def points_html(frames: DataFrame, extent: float, path: str, max_points: int = 5
     max_points a frame.
     """
     ids = frames.select("dirac_id").distinct().orderBy(F.xxhash64("dirac_id", F.lit(seed)), "dirac_id").limit(max_points)
-    rows = frames.join(F.broadcast(ids), "dirac_id").orderBy("frame", "dirac_id").toPandas()
+    rows = frames.withColumn("x", c("x").cast("double")).withColumn("y", c("y").cast("double")).join(F.broadcast(ids), "dirac_id").orderBy("frame", "dirac_id").toPandas()
     data = [g[["x", "y"]].round(5).to_numpy().tolist() for _, g in rows.groupby("frame")]
     page = f"""<!DOCTYPE html><meta charset="utf-8"><title>{html.escape(path)}</title><canvas id="c" width="700" height="700"></canvas><input id="k" type="range" min="0" max="{max(len(data) - 1, 0)}" value="0">
 <script>const F={json.dumps(data)},E={extent};const c=document.getElementById("c").getContext("2d");
