@@ -7,7 +7,8 @@ still too large is dealt over salts, and its queries visit every salt.  A query
 descends each tree to its longest matching prefix (and to the next best leading
 symbols), then all trees ascend together, one symbol at a time, until the
 prefixes hold ``CANDIDATES`` rows in all; those are scored exactly in double
-precision.
+precision.  A query whose leading symbols hold too few rows goes to the root,
+where all rows are candidates.
 
 Inner products are turned into angles by one more coordinate per norm band
 (rows within a factor 2), so rows of very different length do not spoil each
@@ -32,6 +33,8 @@ PROBES = 8
 CANDIDATES = 8_192
 #: Rows of a node beyond which the second symbol, and then salts, split it.
 NODE_ROWS = 16_384
+#: A query whose leading symbols hold fewer rows than this times k ascends to the root.
+ENOUGH = 40
 BROADCAST_NODES = 50_000
 SEED = 17
 
@@ -109,8 +112,13 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     level = F.lit(1)
     for i in range(2, SYMBOLS + 1):
         level = F.when(F.col(f"n{i}") >= candidates, F.lit(i)).otherwise(level)
-    level = cut(total.select("c", level.alias("level")))
-    ready = placed.select(*node, "c", "query", "code", "bytes").join(level, "c", "left").where("NOT query OR level IS NOT NULL")
+    total = cut(total.select("c", level.alias("level"), "n1"))
+    ready = placed.select(*node, "c", "query", "code", "bytes").join(total.drop("n1"), "c", "left").where("NOT query OR level IS NOT NULL")
+    # A query that has found few rows ascends to the root: all nodes of the first tree.
+    alone = keyed.where("query AND tree = 0").select("c", "bytes").dropDuplicates(["c"]).join(total, "c", "left").where(F.coalesce("n1", F.lit(0)) < ENOUGH * k).select("c", "bytes")
+    root = salts.where("tree = 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*node)
+    root = F.broadcast(root) if few else root
+    ready = ready.unionByName(alone.join(root, F.lit(True)).select(*node, "c", F.lit(True).alias("query"), F.lit(0).cast("long").alias("code"), "bytes", F.lit(0).alias("level")))
     found = ready.groupBy(*node).applyInPandas(_best(k + 1), "q struct<rep:long,h:long>, c struct<rep:long,h:long>, score double")
     best = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("q").orderBy(F.desc("score"), F.col("c.rep"))
