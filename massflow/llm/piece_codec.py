@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into words: a run of spaces with what follows it, and pieces
-between line ends.  No piece of the vocabulary spans such a cut, so words are
+Texts are cut into words: a run of spaces with what follows it, pieces
+between line ends, and marks that follow a letter in no piece.  No piece of the vocabulary spans such a cut, so words are
 encoded independently and each distinct word once.  A word's substrings of
 bounded length are exploded and joined to the piece table; the edges are
 grouped by word and folded with Spark's ``aggregate``:
@@ -29,8 +29,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from massflow.llm.frames import release
+
 #: Characters of text that one shard is planned for.
-SHARD_CHARS = 12 << 20
+SHARD_CHARS = 4 << 20
 #: Words longer than this are folded with a heap: the SQL fold is quadratic in the word.
 LONG_WORD = 40
 MARK = "▁"
@@ -51,6 +53,9 @@ class Pieces:
         spans = [t for t in self.rank if "\n" in t or re.search(f"[^{MARK}]{MARK}", t)]
         if spans:
             raise ValueError(f"pieces span words: {spans[:3]}")
+        # characters that follow a letter in no piece: a word may be cut before them
+        held = {b for t in self.rank for a, b in zip(t, t[1:]) if a.isalpha()}
+        self.ends = "".join(c for c in ",.;:!?|*#$%&" if c not in held)
         # what a piece stands for, as bytes
         self.raw = [bytes([i - self.byte0]) if k == "byte" else t.replace(MARK, " ").encode() if k == "normal" else b"" for i, (t, k) in enumerate(zip(self.text, self.kind))]
 
@@ -68,8 +73,21 @@ def load(path: str, algorithm: str = "bpe") -> Pieces:
     return Pieces([s.id_to_piece(i) for i in ids], [s.get_score(i) for i in ids], kind, algorithm)
 
 
-def cut_words(text: str) -> list[str]:
-    """Words of a text in order, with ``\\n`` for each line end; their join is the marked text."""
+def cut_words(text: str, ends: str = "") -> list[str]:
+    """Words of a text in order, with ``\\n`` for each line end; their join is the marked text.
+
+    A run of the characters ``ends`` after a letter is a word of its own.
+    """
+    if ends:
+        out = []
+        for w in cut_words(text):
+            head = w.rstrip(ends)
+            if head and head != w and head[-1].isalpha():
+                out.append(head)
+                out.append(w[len(head) :])
+            else:
+                out.append(w)
+        return out
     if not text:
         return []
     words = [" " + w for w in text.split(" ")] if "  " not in text and text[0] != " " else _SPACES.findall(" " + text)
@@ -91,13 +109,16 @@ def cut_words(text: str) -> list[str]:
 def _bpe_fold(n: Column, edges: Column) -> Column:
     """Symbol boundaries after all merges; edges: map of start * 64 + length to (rank, id)."""
 
-    def step(b: Column, _: Column) -> Column:
+    def step(acc: Column, _: Column) -> Column:
+        b = acc["b"]
         pairs = F.transform(F.sequence(F.lit(0), F.size(b) - 3), lambda i: F.struct(F.try_element_at(edges, F.get(b, i) * 64 + F.get(b, i + 2) - F.get(b, i)).getField("rank").alias("rank"), i.alias("i")))
         best = F.array_min(F.filter(pairs, lambda p: p["rank"].isNotNull()))
-        merged = F.get(F.transform(F.array(best), lambda m: F.when(m.isNull(), b).otherwise(F.filter(b, lambda _x, j: j != m["i"] + 1))), F.lit(0))
-        return F.when(F.size(b) < 3, b).otherwise(merged)
+        merged = F.get(F.transform(F.array(best), lambda m: F.struct(F.when(m.isNull(), b).otherwise(F.filter(b, lambda _x, j: j != m["i"] + 1)).alias("b"), m.isNotNull().alias("go"))), F.lit(0))
+        return F.when(~acc["go"] | (F.size(b) < 3), F.struct(b.alias("b"), F.lit(False).alias("go"))).otherwise(merged)
 
-    return F.aggregate(F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>")), F.sequence(F.lit(0), n), step)
+    first = F.struct(F.sequence(F.lit(0), n).alias("b"), (n > 1).alias("go"))
+    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, first, step, lambda acc: acc["b"])
 
 
 def _viterbi_fold(n: Column, edges: Column, unknown: float) -> Column:
@@ -121,9 +142,12 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     short = marked.where(F.col("n") <= LONG_WORD)
     top = min(pieces.longest, LONG_WORD)
     spots = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.transform(F.sequence(F.lit(1), F.least(F.lit(top), F.col("n") - p)), lambda k: F.struct(p.alias("p"), k.alias("k"), F.substring(F.col("w"), p + 1, k).alias("sub")))))
-    subs = short.select("word", F.explode(spots).alias("x")).select("word", (F.col("x.p") * 64 + F.col("x.k")).alias("at"), F.col("x.sub").alias("sub"))
-    edges = subs.join(F.broadcast(table), "sub").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct((-F.col("score")).alias("rank"), "score", "id")))).alias("edges"))
-    held = short.join(edges, "word", "left").withColumn("edges", F.coalesce("edges", F.create_map().cast("map<int,struct<rank:double,score:double,id:int>>")))
+    # An empty substring, at a place that is never looked up, keeps words without any edge.
+    spots = F.concat(F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("k"), F.lit("").alias("sub"))), spots)
+    table = table.unionByName(spark.createDataFrame([("", 0.0, -1)], table.schema))
+    subs = short.select("word", "shards", F.explode(spots).alias("x")).select("word", "shards", (F.col("x.p") * 64 + F.col("x.k")).alias("at"), F.col("x.sub").alias("sub"))
+    edges = subs.join(F.broadcast(table), "sub").groupBy("word").agg(F.any_value("shards").alias("shards"), F.map_from_entries(F.collect_list(F.struct("at", F.struct((-F.col("score")).alias("rank"), "score", "id")))).alias("edges"))
+    held = edges.withColumn("w", F.translate("word", " ", MARK)).withColumn("n", F.char_length("w"))
     low = min((s for s, k in zip(pieces.score, pieces.kind) if k == "normal"), default=0.0) - 10
     bounds = _bpe_fold(F.col("n"), F.col("edges")) if pieces.algorithm == "bpe" else _viterbi_fold(F.col("n"), F.col("edges"), low)
     held = held.withColumn("b", bounds)
@@ -216,18 +240,23 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     shards = max(1, math.ceil(total / SHARD_CHARS))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(shards)).cast("int")).repartition(shards, "shard")
 
+    ends = pieces.ends
+
     def vocabulary(batches):
         seen: dict[int, set[str]] = {}
         for b in batches:
             for s, t in zip(b.column(0).to_pylist(), b.column(1)):
                 mine = seen.setdefault(s, set())
-                mine.update(cut_words(t.as_py()))
-        for s, mine in seen.items():
+                mine.update(cut_words(t.as_py(), ends))
+        for s, mine in list(seen.items()):
             mine.discard("\n")
             some = sorted(mine)
             for k in range(0, len(some), 50_000):
                 part = some[k : k + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([s] * len(part), pa.int32()), pa.array(part, pa.string())], ["shard", "word"])
+            mine.clear()
+        seen.clear()
+        release()
 
     words = rows.select("shard", "text").mapInArrow(vocabulary, "shard int, word string").groupBy("word").agg(F.collect_list("shard").alias("shards"))
     entries = dictionary(words, pieces).select(F.explode("shards").alias("shard"), "word", "ids")
@@ -242,12 +271,14 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         known["\n"] = np.array([(p.byte0 or 0) + 10], "<i4").tobytes()
         got, crc, fine = [], [], []
         for t in left["text"].to_pylist():
-            x = b"".join(map(known.__getitem__, cut_words(t)))
+            x = b"".join(map(known.__getitem__, cut_words(t, p.ends)))
             got.append(x)
             crc.append(zlib.crc32(x))
             fine.append(decode(np.frombuffer(x, "<i4").tolist(), p) == t)
         at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(got), "<i4")))
+        del known, raw, got
+        release()
         return pa.table([left["doc_id"], lists, pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(fine)], ["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_ok"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
