@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massflow.llm import text as T
+from massflow.llm.frames import release
 
 BITS = 18
 SPACE = 1 << BITS
@@ -139,6 +140,8 @@ def train(sample: DataFrame, epochs: int = 12, batch: int = 64, rate: float = 0.
             bias -= rate * r.sum() / np.sqrt(bias_square)
     z = np.array([bias + float(weights[rows[i][0]] @ rows[i][1]) for i in held])
     slope, shift = platt(z, y[held])
+    del rows, got
+    release()
     return Model(weights, float(bias), slope, shift)
 
 

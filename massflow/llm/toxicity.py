@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from massflow.llm import text as T
+from massflow.llm.frames import release
 from massflow.llm.hashed_lr import platt, sigmoid
 
 BITS = 18
@@ -173,6 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS, ep
     full = np.zeros(size, np.float32)
     full[kept] = model.weights
     model.weights = full
+    del docs_, got, held_by
+    release()
     return model
 
 
