@@ -1,14 +1,13 @@
 """Nearest neighbours by inner product, with a hash-prefix forest.
 
-Each tree hashes a vector to a string of symbols; a symbol is the signed axis
-nearest to the vector after a random rotation.  A tree is the array of rows
-sorted by their strings, cut into nodes by the leading symbols; a node that is
-still too large is dealt over salts, and its queries visit every salt.  A query
-descends each tree to its longest matching prefix (and to the next best leading
-symbols), then all trees ascend together, one symbol at a time, until the
-prefixes hold ``CANDIDATES`` rows in all; those are scored exactly in double
-precision.  A query whose leading symbols hold too few rows goes to the root,
-where all rows are candidates.
+Each tree hashes a vector to a symbol: the signed axis nearest to the vector
+after a random rotation.  The rows with one symbol are a node of the tree.  A
+query visits, in each tree, the nodes of its ``PROBES`` nearest symbols, and is
+scored exactly, in double precision, against all of their rows, however many
+they are: the share of the table that a query sees, and with it the recall, do
+not fall with the table's size.  Longer prefixes would only take rows away.
+Large nodes are dealt over salts, which a query visits in full.  A query whose
+nodes hold too few rows goes to the root, where all rows are candidates.
 
 Inner products are turned into angles by one more coordinate per norm band
 (rows within a factor 2), so rows of very different length do not spoil each
@@ -26,37 +25,28 @@ from pyspark.sql import functions as F
 from massflow.llm.frames import cut
 
 TREES = 10
-SYMBOLS = 4
 AXES = 64
-#: Leading symbols that a query visits in each tree.
+#: Nearest symbols that a query visits in each tree.
 PROBES = 8
-CANDIDATES = 8_192
-#: Rows of a node beyond which the second symbol, and then salts, split it.
+#: Rows, and queries, of a node beyond which it is dealt out.
 NODE_ROWS = 16_384
-#: A query whose leading symbols hold fewer rows than this times k ascends to the root.
+#: A query whose nodes hold fewer rows than this times k ascends to the root.
 ENOUGH = 40
 BROADCAST_NODES = 50_000
 SEED = 17
 
 
 def _rotations(dim: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((TREES, SYMBOLS, AXES, dim + 1)).astype(np.float32)
+    return np.random.default_rng(SEED).standard_normal((TREES, AXES, dim + 1)).astype(np.float32)
 
 
 def _symbols(x: np.ndarray, rot: np.ndarray, best: int = 1) -> np.ndarray:
-    """rows x symbols x best: the nearest signed axes, nearest first."""
-    y = np.einsum("nd,sad->nsa", x, rot, optimize=True)
+    """rows x best: the nearest signed axes, nearest first."""
+    y = x @ rot.T
     size = np.abs(y)
-    top = np.argpartition(-size, best - 1, axis=2)[:, :, :best]
-    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(size, top, 2), axis=2, kind="stable"), 2)
-    return 2 * top + (np.take_along_axis(y, top, 2) < 0)
-
-
-def _code(sym: np.ndarray) -> np.ndarray:
-    code = np.zeros(len(sym), np.int64)
-    for k in range(sym.shape[1]):
-        code = (code << 8) | sym[:, k]
-    return code
+    top = np.argpartition(-size, best - 1, axis=1)[:, :best]
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(size, top, 1), axis=1, kind="stable"), 1)
+    return 2 * top + (np.take_along_axis(y, top, 1) < 0)
 
 
 def _vectors(col: pa.Array) -> np.ndarray:
@@ -71,7 +61,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(fine)
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", candidates: int = CANDIDATES) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of each row whose id is divisible by ``every``.
 
     Null, zero and non-finite vectors, rows with a null id and vectors shorter
@@ -96,30 +86,25 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     longest = {r["band"]: r["m"] for r in flat.groupBy("band").agg(F.max("norm").alias("m")).collect()}  # one row per power of two
     keyed = cut(_hashed(flat, dim, longest))
 
-    nodes = keyed.where("NOT query").groupBy("tree", "band", "s1").count()
-    deep = cut(nodes.where(F.col("count") > NODE_ROWS).select("tree", "band", "s1", F.lit(True).alias("deep")))
-    placed = keyed.join(deep, ["tree", "band", "s1"], "left").withColumn("s2", F.explode(F.when(F.col("deep"), F.col("seconds")).otherwise(F.array(F.lit(-1)))))
-    salts = cut(placed.where("NOT query").groupBy("tree", "band", "s1", "s2").agg(F.ceil(F.count(F.lit(1)) / NODE_ROWS).cast("int").alias("salts")))
-    few = salts.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    placed = placed.join(F.broadcast(salts) if few else salts, ["tree", "band", "s1", "s2"])
-    own = F.pmod(F.xxhash64("c"), F.col("salts")).cast("int")
-    placed = placed.withColumn("salt", F.explode(F.when(F.col("query"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(own))))
-    # the code a query uses under a probed leading symbol
-    placed = placed.withColumn("code", F.when(F.col("s2") < 0, F.col("s1") * (1 << 24) + F.col("code") % (1 << 24)).otherwise(F.col("s1") * (1 << 24) + F.col("s2") * (1 << 16) + F.col("code") % (1 << 16)))
-    node = ["tree", "band", "s1", "s2", "salt"]
-    held = placed.select(*node, "c", "query", "code").groupBy(*node).applyInPandas(_counts, "c struct<rep:long,h:long>, " + ", ".join(f"n{i} long" for i in range(1, SYMBOLS + 1)))
-    total = held.groupBy("c").agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in range(1, SYMBOLS + 1)))
-    level = F.lit(1)
-    for i in range(2, SYMBOLS + 1):
-        level = F.when(F.col(f"n{i}") >= candidates, F.lit(i)).otherwise(level)
-    total = cut(total.select("c", level.alias("level"), "n1"))
-    ready = placed.select(*node, "c", "query", "code", "bytes").join(total.drop("n1"), "c", "left").where("NOT query OR level IS NOT NULL")
+    node = ["tree", "band", "s1"]
+    nodes = cut(keyed.groupBy(*node).agg(F.count_if(~F.col("query")).alias("held"), F.count_if(F.col("query")).alias("asking")).where("held > 0"))
+    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    small = F.broadcast(nodes) if few else nodes
+    total = keyed.where("query").select(*node, "c").join(small, node).groupBy("c").agg(F.sum("held").alias("seen"))
     # A query that has found few rows ascends to the root: all nodes of the first tree.
-    alone = keyed.where("query AND tree = 0").select("c", "bytes").dropDuplicates(["c"]).join(total, "c", "left").where(F.coalesce("n1", F.lit(0)) < ENOUGH * k).select("c", "bytes")
-    root = salts.where("tree = 0").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*node)
-    root = F.broadcast(root) if few else root
-    ready = ready.unionByName(alone.join(root, F.lit(True)).select(*node, "c", F.lit(True).alias("query"), F.lit(0).cast("long").alias("code"), "bytes", F.lit(0).alias("level")))
-    found = ready.groupBy(*node).applyInPandas(_best(k + 1), "q struct<rep:long,h:long>, c struct<rep:long,h:long>, score double")
+    alone = keyed.where("query AND tree = 0").select("c", "bytes").dropDuplicates(["c"]).join(total, "c", "left")
+    alone = cut(alone.where(F.coalesce("seen", F.lit(0)) < ENOUGH * k).select("c", "bytes"))
+    asking = F.col("asking") + F.when(F.col("tree") == 0, F.lit(alone.count())).otherwise(F.lit(0))
+    # A node is dealt over salts by its rows and over turns by its queries; every row meets every query.
+    tiles = nodes.select(*node, F.ceil(F.col("held") / NODE_ROWS).cast("int").alias("salts"), F.greatest(F.ceil(asking / NODE_ROWS), F.lit(1)).cast("int").alias("turns"))
+    tiles = F.broadcast(tiles) if few else tiles
+    placed = keyed.select(*node, "c", "query", "bytes").join(tiles, node)
+    placed = placed.unionByName(alone.withColumn("query", F.lit(True)).join(tiles.where("tree = 0"), F.lit(True)).select(*placed.columns))
+    salt, turn = (F.pmod(F.xxhash64("c", F.lit(n)), F.col(n)).cast("int") for n in ("salts", "turns"))
+    every_salt, every_turn = (F.sequence(F.lit(0), F.col(n) - 1) for n in ("salts", "turns"))
+    placed = placed.withColumn("salt", F.explode(F.when(F.col("query"), every_salt).otherwise(F.array(salt))))
+    placed = placed.withColumn("turn", F.explode(F.when(F.col("query"), F.array(turn)).otherwise(every_turn))).drop("salts", "turns")
+    found = placed.groupBy(*node, "salt", "turn").applyInPandas(_best(k + 1), "q struct<rep:long,h:long>, c struct<rep:long,h:long>, score double")
     best = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("q").orderBy(F.desc("score"), F.col("c.rep"))
     best = best.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k + 1).drop("r")
@@ -142,9 +127,9 @@ def _members(rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
 
 
 def _hashed(flat: DataFrame, dim: int, longest: dict[int, float]) -> DataFrame:
-    """Rows and queries, one per tree (queries: per band and probe), with code, s1 and seconds."""
+    """Rows and queries, one per tree (queries: per band and probe), with s1."""
     bands = sorted(longest)
-    schema = "c struct<rep:long,h:long>, query boolean, tree int, band int, s1 int, seconds array<int>, code long, bytes binary"
+    schema = "c struct<rep:long,h:long>, query boolean, tree int, band int, s1 int, bytes binary"
     packed = flat.select("c", "asked", "band", "norm", "v")
 
     def run(batches):
@@ -162,31 +147,21 @@ def _hashed(flat: DataFrame, dim: int, longest: dict[int, float]) -> DataFrame:
             as_row = np.column_stack([x / top[:, None], extra]).astype(np.float32)
             as_query = np.column_stack([x[asked] / norm[asked, None], np.zeros(len(asked))]).astype(np.float32)
             for t in range(TREES):
-                sym = _symbols(as_row, rot[t])[:, :, 0]
-                yield _batch(ids, raw, False, t, band, sym[:, 0], sym[:, 1:2], _code(sym))
+                yield _batch(ids, raw, False, t, band, _symbols(as_row, rot[t])[:, 0])
                 if len(asked):
                     near = _symbols(as_query, rot[t], PROBES)
-                    code = _code(near[:, :, 0])
                     some, bytes_ = ids.take(pa.array(asked)), [raw[i] for i in asked]
                     for p in range(PROBES):
                         for g in bands:
-                            yield _batch(some, bytes_, True, t, np.full(len(asked), g), near[:, 0, p], near[:, 1, :], code)
+                            yield _batch(some, bytes_, True, t, np.full(len(asked), g), near[:, p])
 
     return packed.mapInArrow(run, schema)
 
 
-def _batch(ids, raw, query, tree, band, s1, seconds, code):
+def _batch(ids, raw, query, tree, band, s1):
     n = len(raw)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * seconds.shape[1]), pa.array(seconds.astype(np.int32).ravel()))
     ids = pa.StructArray.from_arrays([ids.field(0), ids.field(1)], ["rep", "h"])
-    return pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, query)), pa.array(np.full(n, tree, np.int32)), pa.array(band.astype(np.int32)), pa.array(s1.astype(np.int32)), lists, pa.array(code), pa.array(raw, pa.binary())], ["c", "query", "tree", "band", "s1", "seconds", "code", "bytes"])
-
-
-def _range(codes: np.ndarray, asked: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the sorted codes that share the first ``level`` symbols with each query."""
-    shift = 8 * (SYMBOLS - level)
-    low = (asked >> shift) << shift
-    return np.searchsorted(codes, low), np.searchsorted(codes, low + (1 << shift))
+    return pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, query)), pa.array(np.full(n, tree, np.int32)), pa.array(band.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(raw, pa.binary())], ["c", "query", "tree", "band", "s1", "bytes"])
 
 
 def _ids(c: pd.Series) -> np.ndarray:
@@ -197,42 +172,25 @@ def _structs(x: np.ndarray) -> list[dict]:
     return [{"rep": int(a), "h": int(b)} for a, b in x]
 
 
-def _counts(g: pd.DataFrame) -> pd.DataFrame:
-    codes = np.sort(g.code[~g["query"]].to_numpy())
-    q = g[g["query"]]
-    out = {"c": _structs(_ids(q.c)) if len(q) else pd.Series(dtype=object)}
-    for i in range(1, SYMBOLS + 1):
-        lo, hi = _range(codes, q.code.to_numpy(), i)
-        out[f"n{i}"] = hi - lo
-    return pd.DataFrame(out)
-
-
 def _best(k: int):
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows, q = g[~g["query"]].sort_values("code", kind="stable"), g[g["query"]]
+        rows, q = g[~g["query"]], g[g["query"]]
         out = pd.DataFrame({"q": pd.Series(dtype=object), "c": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
         if rows.empty or q.empty:
             return out
         x = np.frombuffer(b"".join(rows.bytes), np.float64).reshape(len(rows), -1)
         ids, asked = _ids(rows.c), _ids(q.c)
-        lo, hi = _range(rows.code.to_numpy(), q.code.to_numpy(), q.level.to_numpy().astype(np.int64))
         parts = []
         for at in range(0, len(q), 256):
             y = np.frombuffer(b"".join(q.bytes.iloc[at : at + 256]), np.float64).reshape(-1, x.shape[1])
-            score = y @ x.T
-            for j in range(len(y)):
-                a, b = lo[at + j], hi[at + j]
-                if b > a:
-                    s = score[j, a:b]
-                    if len(s) > k:
-                        least = np.partition(s, len(s) - k)[len(s) - k]
-                        at_least = np.flatnonzero(s >= least)
-                        keep = at_least[np.lexsort((ids[a + at_least, 0], -s[at_least]))[:k]]
-                    else:
-                        keep = np.arange(len(s))
-                    parts.append((np.full(len(keep), at + j), a + keep, s[keep]))
-        if not parts:
-            return out
+            for j, s in enumerate(y @ x.T):
+                if len(s) > k:
+                    least = np.partition(s, len(s) - k)[len(s) - k]
+                    at_least = np.flatnonzero(s >= least)
+                    keep = at_least[np.lexsort((ids[at_least, 0], -s[at_least]))[:k]]
+                else:
+                    keep = np.arange(len(s))
+                parts.append((np.full(len(keep), at + j), keep, s[keep]))
         qi, ri, s = (np.concatenate(p) for p in zip(*parts))
         return pd.DataFrame({"q": _structs(asked[qi]), "c": _structs(ids[ri]), "score": s})
 

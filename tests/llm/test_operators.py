@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -402,6 +403,19 @@ def test_nearest(spark):
     assert nearest.search(df.limit(0)).count() == 0
 
 
+def test_nearest_sees_large_nodes_in_full(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(nearest, "NODE_ROWS", 30)  # every node is dealt out, over salts and over turns
+    x = np.random.default_rng(7).standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.array(list(x))}), str(tmp_path / "v.parquet"))
+    got = nearest.search(spark.read.parquet(str(tmp_path / "v.parquet")), k=20, every=20).toPandas()
+    assert len(got) == 600 * 20 and not got.duplicated(["query_id", "vec_id"]).any()
+    score = x[::20] @ x.T
+    score[np.arange(600), np.arange(0, 12_000, 20)] = -2
+    want = {(20 * i, int(j)) for i, s in enumerate(score) for j in np.argsort(-s)[:20]}
+    assert len(want & set(zip(got.query_id, got.vec_id))) >= 0.9 * len(want)
+
+
 def test_toxicity(spark, corpus):
     docs, labels = corpus
     got = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
