@@ -85,7 +85,7 @@ def sinogram_add_disk(spark, d):
 
 
 def disk_projection_gradient(spark, d):
-    return _r(R.disk_gradient(part_disks(spark, d).where("disk_id <= 200"), G.angles(spark), G), 5, "gx", "gy").where("gx != 0 OR gy != 0")
+    return _r(R.disk_gradient(part_disks(spark, d), G.angles(spark), G), 5, "gx", "gy").where("gx != 0 OR gy != 0")
 
 
 def sinogram_mass(spark, d):

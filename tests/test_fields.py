@@ -12,10 +12,29 @@ from massflow.operators import halo as H
 from massflow.operators import mesh as Q
 from massflow.operators import radon as R
 from massflow.operators import reconstruct as X
+from massflow.plans import radon_queries
 from massflow.sources import phantoms, runs
 from massflow.streaming import live
 
 
+def test_disk_gradient_query_covers_every_part(spark, tmp_path):
+    parts = [(k, 1 + k % 50) for k in (1, 200, 201, 1999, 20_000)]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = {(r.disk_id, r.angle_id, r.bin_id): (r.gx, r.gy) for r in radon_queries.disk_projection_gradient(spark, str(tmp_path)).collect()}
+    g, want = radon_queries.G, {}
+    for k, size in parts:
+        cx, cy, r = k * 37 % 401 / 100 - 2, k * 53 % 397 / 100 - 1.98, 0.1 + size / 60
+        for a in range(g.nb_angles):
+            nx, ny = math.cos(a * math.pi / g.nb_angles), math.sin(a * math.pi / g.nb_angles)
+            edge = g.s_min + np.arange(g.nb_bins + 1) * g.dw - cx * nx - cy * ny
+            d = -np.diff(2 * np.sqrt(np.maximum(r * r - edge * edge, 0))) / g.dw
+            want |= {(k, a, b): (x * nx, x * ny) for b, x in enumerate(d) if abs(x) > 1e-4}
+    assert {k for k, _, _ in got} == {k for k, _ in parts}
+    assert want.keys() <= got.keys()
+    for at, v in got.items():
+        assert v == pytest.approx(want.get(at, (0, 0)), abs=2e-4 if at not in want else 6e-6)
+
+
 def test_geometry_and_errors(spark):
     g = R.Geometry(3, 10, 4.0, 1.0)
     assert g.dw == pytest.approx(0.4) and g.s_min == -1
