@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import itertools
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +42,24 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_position(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df with each row's place, from 0, in the files that df is read from, and the number of rows.
+
+    A frame that is not plainly read from Parquet files is written to some first.
+    """
+    spark = df.sparkSession
+    try:
+        at = df.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        df = cut(df)
+        at = df.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    files = [(r["__file"], r["n"]) for r in at.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row per file
+    files.sort(key=lambda f: (int(found[1]) if (found := re.match(r"part-(\d+)", f[0])) else 0, f[0]))
+    ahead = [0, *itertools.accumulate(n for _, n in files)]
+    first = spark.createDataFrame([(f, a) for (f, _), a in zip(files, ahead)], "__file string, __ahead long")
+    return at.join(F.broadcast(first), "__file").withColumn(name, F.col("__ahead") + F.col("__row")).drop("__file", "__row", "__ahead"), ahead[-1]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a work table once nothing will read it again."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -226,16 +226,16 @@ def decode(ids, pieces: Pieces) -> str:
     return raw[1:] if raw.startswith(" ") else raw
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32, decoded_ok: one row per row of docs.
 
     decoded_ok tells that decoding the ids gives the text back.  A null or
     empty text has no ids.  Null ids and repeated rows pass through; ties of
-    merges go to the left.  Words of any length are read whole.  Other columns
-    of docs are not returned.  An empty table gives an empty result.
+    merges go to the left.  Words of any length are read whole.  Of the
+    other columns of docs those in ``carry`` are returned, after these.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_CHARS))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(shards)).cast("int")).repartition(shards, "shard")
@@ -279,7 +279,8 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(got), "<i4")))
         del known, raw, got
         release()
-        return pa.table([left["doc_id"], lists, pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(fine)], ["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_ok"])
+        return pa.table([left["doc_id"], lists, pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(fine), *(left[c] for c in carry)], ["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_ok", *carry])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.groupBy("shard").cogroup(entries.groupBy("shard")).applyInArrow(together, f"doc_id {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_ok boolean")
+    more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.groupBy("shard").cogroup(entries.groupBy("shard")).applyInArrow(together, f"doc_id {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_ok boolean" + more)

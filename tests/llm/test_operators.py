@@ -450,3 +450,24 @@ def test_pipeline_stages(spark, corpus, tmp_path):
     assert len(lost) <= 0.05 * len(good)
     assert not set(ids) & {r.doc_id for r in labels.collect() if not r.quality}
     assert len(ids) == len(set(ids)) and all(r.decoded_ok for r in out)
+
+
+def test_pipeline_result_is_in_the_order_of_the_mix(spark, corpus, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "PART_DOCS", 50, raising=False)
+    docs = corpus[0].where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("slot", "part").collect()]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several files
+    try:
+        corpus_pipeline.source_mix(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / "m"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "m").glob("part-*"))) > 1
+    corpus_pipeline.sentencepiece(spark, spark.read.parquet(str(tmp_path / "m")), str(tmp_path)).write.parquet(str(tmp_path / "s"))
+    out = spark.read.parquet(str(tmp_path / "s"))
+    assert [(r.position, r.doc_id) for r in out.orderBy("position").collect()] == list(enumerate(want))
+    rows = [r for f in sorted((tmp_path / "s").glob("part-*")) for r in pq.read_table(str(f))["doc_id"].to_pylist()]
+    assert rows == want
+    unmixed = corpus_pipeline.sentencepiece(spark, docs.limit(500).orderBy("doc_id"), str(tmp_path))  # not plainly files
+    assert [r.doc_id for r in unmixed.orderBy("position").collect()] == sorted(want)
