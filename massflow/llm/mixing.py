@@ -1,21 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling of source blocks.
 
-Every source is a task whose weight is its share of the mix.  Its k-th block
+Every source is a task whose weight w is its share of the mix.  Its k-th block
 (from 1) is released at slot floor((k - 1) / w) and due at slot ceil(k / w);
-each slot takes the released block with the earliest deadline.  With weights
-that are whole multiples of 1/D the schedule repeats every D slots, so one
-period's pattern, D entries, places any number of blocks.  At every slot each
-source is less than one block away from its share.
+each slot takes the released block with the earliest deadline.  Both are
+computed in whole numbers from the weights as they are given, so at every slot
+of a phase each source is less than one block away from its share, however
+many blocks there are.
 
 When a source runs out, the others' weights are scaled up and a new phase
-starts; no document is dropped or repeated.  Phases and patterns depend on the
-number of sources only, not on their sizes.
+starts; no document is dropped or repeated.  The driver plans block by block:
+it holds eight bytes for each block of ``BLOCK_CHARS`` characters, no document.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,44 +32,35 @@ BLOCK_CHARS = 65_536
 SHARD_DOCS = 4_096
 #: Target weight of a source without a given one: its characters to this power.
 TEMPERATURE = 0.7
-PERIOD = 4_096
 #: Sources are a catalogue: more of them than this is an error, not a cut.
 MAX_SOURCES = 10_000
 
 
-def quantise(weights: list[float], period: int) -> list[int]:
-    """Whole numbers, each at least 1, with sum ``period``, nearest to the weights' shares."""
-    total = sum(weights)
-    exact = [w / total * period for w in weights]
-    whole = [max(1, math.floor(x)) for x in exact]
-    spare = period - sum(whole)
-    order = sorted(range(len(exact)), key=lambda i: (whole[i] - exact[i], i))
-    k = 0
-    while spare:
-        i = order[k % len(order)] if spare > 0 else order[-1 - k % len(order)]
-        if spare > 0 or whole[i] > 1:
-            whole[i] += 1 if spare > 0 else -1
-            spare -= 1 if spare > 0 else -1
-        k += 1
-    return whole
-
-
-def pattern(share: list[int]) -> list[int]:
-    """The source of each slot of one period, by earliest deadline among released blocks."""
-    period = sum(share)
+def whole(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the weights' proportions; below 0 counts as 0, all 0 as equal."""
+    parts = [max(w, 0.0).as_integer_ratio() for w in map(float, weights)]
+    unit = max((d for _, d in parts), default=1)  # denominators are powers of 2
+    out = [n * (unit // d) for n, d in parts]
+    return out if any(out) else [1] * len(out)
+
+
+def schedule(share: list[int], left: list[int]) -> np.ndarray:
+    """The source of each slot, by earliest deadline among released blocks, until a source is used up."""
+    if len(share) == 1:
+        return np.zeros(left[0], np.int32)
+    total = sum(share)
     waiting = [(0, i, 1) for i in range(len(share))]  # release, source, block
-    heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
+    out = array("i")
+    while True:
+        while waiting and waiting[0][0] <= len(out):
             _, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-k * period // share[i]), i, k))
+            heapq.heappush(ready, (-(-k * total // share[i]), i, k))
         _, i, k = heapq.heappop(ready)
         out.append(i)
-        if k < share[i]:
-            heapq.heappush(waiting, (k * period // share[i], i, k + 1))
-    return out
+        if k == left[i]:
+            return np.frombuffer(out, np.int32)
+        heapq.heappush(waiting, (k * total // share[i], i, k + 1))
 
 
 @dataclass
@@ -76,28 +68,26 @@ class Phase:
     first_slot: int
     slots: int
     done: list[int]  # blocks of each source before the phase
-    share: list[int]
-    places: list[np.ndarray]  # per source, its slots within a period
+    share: list[float]  # target weights of the phase's sources, else 0
+    places: list[np.ndarray]  # per source, its slots within the phase
 
 
 def plan(blocks: list[int], weights: list[float]) -> list[Phase]:
-    """Phases until every source is used up."""
+    """Phases until every source is used up; sources of weight 0 come after all others."""
     left, done, phases, slot = list(blocks), [0] * len(blocks), [], 0
     while any(left):
         live = [i for i, n in enumerate(left) if n]
-        period = max(PERIOD, 1 << (4 * len(live) - 1).bit_length())
-        own = quantise([weights[i] for i in live], period)
-        turn = np.array(pattern(own))
-        share, places = [0] * len(blocks), [np.zeros(0, np.int64)] * len(blocks)
-        for j, i in enumerate(live):
-            share[i], places[i] = own[j], np.flatnonzero(turn == j)
-        # The phase ends right after the slot in which the first source runs out.
-        slots = min((left[i] - 1) // share[i] * period + int(places[i][(left[i] - 1) % share[i]]) + 1 for i in live)
-        used = [slots // period * share[i] + int(np.searchsorted(places[i], slots % period)) if share[i] else 0 for i in range(len(blocks))]
-        phases.append(Phase(slot, slots, list(done), share, places))
-        slot += slots
-        left = [n - u for n, u in zip(left, used)]
-        done = [d + u for d, u in zip(done, used)]
+        exact = whole([weights[i] for i in live])
+        live, exact = [i for i, w in zip(live, exact) if w], [w for w in exact if w]
+        turn = schedule(exact, [left[i] for i in live])
+        order, used = np.argsort(turn, kind="stable"), np.bincount(turn, minlength=len(live)).tolist()
+        share, places, done_before = [0.0] * len(blocks), [np.zeros(0, np.int64)] * len(blocks), list(done)
+        for j, (i, own) in enumerate(zip(live, np.split(order, np.cumsum(used)[:-1]))):
+            share[i], places[i] = exact[j] / sum(exact), own
+            left[i] -= used[j]
+            done[i] += used[j]
+        phases.append(Phase(slot, len(turn), done_before, share, places))
+        slot += len(turn)
     return phases
 
 
@@ -110,9 +100,7 @@ def place(phases: list[Phase], source: np.ndarray, block: np.ndarray) -> np.ndar
         which = np.searchsorted(starts[:, i], block[at], "right") - 1
         for f in np.unique(which):
             p, on = phases[f], at[which == f]
-            k = block[on] - p.done[i]
-            period = sum(p.share)
-            out[on] = p.first_slot + k // p.share[i] * period + p.places[i][k % p.share[i]]
+            out[on] = p.first_slot + p.places[i][block[on] - p.done[i]]
     return out
 
 

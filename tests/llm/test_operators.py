@@ -7,6 +7,7 @@ import re
 import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -233,6 +234,30 @@ def test_mixing_deviates_by_less_than_a_block(spark, corpus):
     assert mixing.in_order(docs).count() == docs.count()
 
 
+def test_mixing_keeps_to_the_given_weights():
+    weights = [0.33, 0.27, 0.2, 0.1, 0.07, 0.0299, 9e-5, 1e-5]
+    blocks = [int(60_000 * w) + 1 for w in weights]
+    phases = mixing.plan(blocks, weights)
+    src = np.repeat(np.arange(8), blocks)
+    slot = mixing.place(phases, src, np.concatenate([np.arange(b) for b in blocks]))
+    assert sorted(slot) == list(range(sum(blocks)))
+    order = src[np.argsort(slot)]
+    done = np.zeros(8, int)
+    for p in phases:
+        part = order[p.first_slot : p.first_slot + p.slots]
+        live = done < blocks
+        total = sum(Fraction(w) for w, on in zip(weights, live) if on)
+        slots = np.arange(1, p.slots + 1).astype(object)
+        for i in range(8):
+            own = Fraction(weights[i]) / total if live[i] else 0
+            assert np.abs(np.cumsum(part == i).astype(object) - slots * own).max() < 1
+        done += np.bincount(part, minlength=8)
+    assert phases[0].slots > 50_000
+    # a source of weight 0 waits for the others
+    some = mixing.plan([2, 3, 4], [0.0, 1.0, 1.0])
+    assert sorted(mixing.place(some, np.array([0, 0]), np.array([0, 1]))) == [7, 8]
+
+
 PAGES = "page_id long, url string, html string"
 ARTICLE = "<p>Some words that make a sentence, and then more of them.</p>"
 
