@@ -70,7 +70,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return judge(docs.select("doc_id", "text"), fit(docs, labels)).drop("text")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with docs' own columns (pipeline stage)."""
+def keep_good(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that pass, with docs' own columns (pipeline stage).
+
+    The model is fitted on labelled rows of ``known``, or else of docs.
+    """
     p = "__rule_"
-    return judge(docs, fit(docs, labels), prefix=p).where(F.col(p + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judge(docs, fit(docs if known is None else known, labels), prefix=p).where(F.col(p + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))

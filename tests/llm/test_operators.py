@@ -496,3 +496,16 @@ def test_pipeline_result_is_in_the_order_of_the_mix(spark, corpus, tmp_path, mon
     assert rows == want
     unmixed = corpus_pipeline.sentencepiece(spark, docs.limit(500).orderBy("doc_id"), str(tmp_path))  # not plainly files
     assert [r.doc_id for r in unmixed.orderBy("position").collect()] == sorted(want)
+
+
+def test_pipeline_rules_are_fitted_on_all_documents(spark, corpus, tmp_path):
+    docs, labels = corpus
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rng = random.Random(8)
+    bad = spark.createDataFrame([(9000 + i, junk(120, rng), "en", "src0", 0) for i in range(10)], DOCS)
+    good = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    left = corpus_pipeline.quality_rule_filter(spark, good.unionByName(bad), str(tmp_path))  # no labelled bad row is left
+    ids = {r.doc_id for r in left.collect()}
+    assert not [i for i in ids if i >= 9000]
+    assert len(ids) >= 0.9 * good.count()
