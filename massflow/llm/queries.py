@@ -84,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": _warc.ORACLE}
+    return {"op4_near_duplicates": _near_dup.ORACLE, "op9_warc": _warc.ORACLE}
