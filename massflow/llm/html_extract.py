@@ -1,9 +1,12 @@
 """Main text of HTML pages by minimum-cut labelling of their blocks.
 
 A page becomes a row of text blocks.  A small fixed classifier gives each block
-a cost for either label; the costs are its terminal capacities.  Neighbouring
-blocks, and blocks near to each other in the DOM, are tied by smoothness edges.
-The minimum cut, found by max-flow, separates content from boilerplate.
+a cost for either label; the costs are its terminal capacities.  The role of an
+element (nav, aside, footer, hidden) is nearly sure; whole names in class and id
+attributes are evidence that fades outwards and that text and neighbours can
+overrule.  Neighbouring blocks, and blocks near to each other in the DOM, are
+tied by smoothness edges.  The minimum cut, found by max-flow, separates content
+from boilerplate.
 """
 
 from __future__ import annotations
@@ -11,26 +14,39 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 # Element names of HTML by their role, and words of class and id attributes.
-RAW = {"script", "style", "template", "noscript", "iframe", "svg", "math", "object", "canvas", "audio", "video", "textarea", "select", "head", "title"}
+RAW = {"script", "style", "template", "noscript", "iframe", "svg", "object", "canvas", "audio", "video", "textarea", "select", "head", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "label", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
-BOILER_TAGS = {"nav", "aside", "footer", "form", "button", "menu", "dialog", "fieldset", "label", "legend", "option", "search"}
+FRAME_TAGS = {"nav", "aside", "footer", "menu", "search", "button", "option"}  # outside the article wherever they stand
+FORM_TAGS = {"form", "fieldset", "dialog", "label", "legend"}
 CONTENT_TAGS = {"article", "main"}
 BOILER_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies", "consent", "gdpr", "banner", "notice", "notices", "notification", "alert", "sidebar", "side", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "reply", "replies", "respond", "disqus", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "subscription", "signup", "login", "popup", "modal", "overlay", "footer", "foot", "pagination", "pager", "toolbar", "widget", "masthead", "topbar", "skip", "copyright", "legal", "disclaimer"}
+ALONE_WORDS = {"widget", "side", "alert", "skip", "foot", "legal"}  # say little at the end of a longer name
 OUTER_WORDS = {"header", "head", "top"}  # boilerplate unless inside an article
 CONTENT_WORDS = {"article", "content", "post", "entry", "story", "body", "main", "text"}
+HOLDER_WORDS = {"list", "container", "wrapper", "wrap", "box", "area", "section", "bar", "block", "slot", "inner", "outer", "links", "thread"}  # the word before says what is held
+SWITCH_WORDS = {"has", "no", "with", "without", "is", "not", "hide", "show"}  # a name that begins so describes a layout
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "alertdialog", "dialog", "menu", "menubar", "form"}
+COMMENT_HEADINGS = r"(?:\d+\s+)?(?:reader |user )?(?:comments?|replies|responses|kommentare?|commentaires?|comentarios?)\W{0,3}(?:\(?\d+\)?)?:?|leave a (?:reply|comment)|join the (?:discussion|conversation)"
+REPLY_LABELS = {"reply", "antworten", "répondre", "responder"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+# Log-odds of a hint.
+FRAME, FORM, NAME, PART, CONTENT = -8.0, -4.0, -5.0, -2.5, 3.0
+#: What a hint still weighs one container further out, and behind a content or form element.
+FADE, BEHIND = 0.85, 0.15
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>|</?[a-zA-Z][^<>]*\Z", re.S)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s\"'>]+))?")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_COMMENTS = re.compile(COMMENT_HEADINGS, re.I)
 
 
 @dataclass
@@ -39,43 +55,70 @@ class Block:
     tag: str
     path: tuple[int, ...]  # ids of the open containers
     link: int  # characters inside links
-    boiler: bool
-    content: bool
+    hint: float  # log-odds of the open containers
+    content: bool  # a container says that it holds content
 
 
 @dataclass
 class _Open:
     tag: str
     key: int
-    boiler: bool
+    frame: float  # holds for all inside, whatever is between
+    hint: float  # fades outwards
+    shade: float  # what hints further out keep
     content: bool
     article: bool
 
 
-@dataclass
-class _Page:
-    blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=list)
-
-
-def _hints(tag: str, attrs: str, inside_article: bool) -> tuple[bool, bool]:
-    boiler = tag in BOILER_TAGS or tag == "header" and not inside_article
-    content = tag in CONTENT_TAGS
-    if attrs:
-        for name, value in _ATTR.findall(attrs):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                boiler = True
-            elif name == "role":
-                boiler |= value in BOILER_ROLES
-                content |= value in ("main", "article")
-            elif name in ("class", "id"):
-                words = set(_WORD.findall(value))
-                boiler |= bool(words & BOILER_WORDS) or not inside_article and bool(words & OUTER_WORDS)
-                content |= bool(words & CONTENT_WORDS)
+def _name_hint(value: str, inside_article: bool) -> tuple[float, float]:
+    """(boilerplate, content) log-odds of a class or id attribute, by its whole names."""
+    boiler = content = 0.0
+    for token in value.split():
+        parts = [p.lower() for p in _NAME.findall(token)]
+        if not parts or parts[0] in SWITCH_WORDS and len(parts) > 1:
+            continue
+        if len(parts) > 2 and parts[-1] in HOLDER_WORDS or len(parts) == 2 and parts[-1] in HOLDER_WORDS and parts[0] not in ALONE_WORDS:
+            parts.pop()
+        known = lambda w: w in BOILER_WORDS or not inside_article and w in OUTER_WORDS
+        if len(parts) == 1:
+            boiler = min(boiler, NAME if known(parts[0]) else 0.0)
+        elif known(parts[-1]) and parts[-1] not in ALONE_WORDS:
+            boiler = min(boiler, NAME)
+        elif known(parts[0]):
+            boiler = min(boiler, PART)
+        if parts[-1] in CONTENT_WORDS and not known(parts[0]):
+            content = CONTENT
     return boiler, content
 
 
+def _opened(tag: str, key: int, attrs: str, article: bool) -> _Open:
+    """The hints of an element: its role is sure, its names are evidence."""
+    frame = FRAME if tag in FRAME_TAGS or tag == "header" and not article else 0.0
+    boiler, content = FORM if tag in FORM_TAGS else 0.0, CONTENT if tag in CONTENT_TAGS else 0.0
+    for name, value in _ATTR.findall(attrs) if attrs else ():
+        name, value = name.lower(), _html.unescape(value.strip("\"'"))
+        if tag in ("html", "body"):
+            continue  # their names describe the site
+        if name == "hidden" and value.lower() != "false" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            frame = FRAME
+        elif name == "role":
+            frame = FRAME if value.lower() in BOILER_ROLES else frame
+            content = CONTENT if value.lower() in ("main", "article") else content
+        elif name in ("class", "id"):
+            b, c = _name_hint(value, article)
+            boiler, content = min(boiler, b / 2 if tag in CONTENT_TAGS else b), max(content, c)
+    shade = BEHIND if tag in CONTENT_TAGS or tag in FORM_TAGS or boiler <= NAME else FADE
+    return _Open(tag, key, frame, boiler + content, shade, content > 0, article or tag in CONTENT_TAGS)
+
+
+def _hint(stack: list[_Open]) -> float:
+    total, left = min((o.frame for o in stack), default=0.0), 1.0
+    for o in reversed(stack):
+        total += left * o.hint
+        left *= o.shade
+    return total
+
+
 def blocks(page: str) -> list[Block]:
     """Non-empty text blocks in page order; comments, scripts, styles and head left out."""
     found: list[Block] = []
@@ -88,7 +131,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(_html.unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, tag, tuple(o.key for o in stack), min(linked, len(text)), any(o.boiler for o in stack), any(o.content for o in stack)))
+                found.append(Block(text, tag, tuple(o.key for o in stack), min(linked, len(text)), _hint(stack), any(o.content for o in stack)))
             parts.clear()
         linked = 0
 
@@ -104,13 +147,13 @@ def blocks(page: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        if m[2] is None:
+        name, closing, attrs = (m[2], m[1], m[3]) if m[2] is not None else (m[5], m[4], m[6])
+        if name is None:
             continue
-        name = m[2].lower()
-        closing = bool(m[1])
-        if name in RAW and not closing and not m[3].endswith("/"):
+        name, closing = name.lower(), bool(closing)
+        if name in RAW and not closing and not attrs.endswith("/"):
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page) if name != "head" else at
+            at = end.end() if end else len(page) if name in ("script", "style") else at
             continue
         if name == "a":
             in_link = 0 if closing else 1
@@ -140,9 +183,34 @@ def blocks(page: str) -> list[Block]:
             if name not in VOID:
                 article = bool(stack) and stack[-1].article
                 keys += 1
-                boiler, content = _hints(name, m[3], article)
-                stack.append(_Open(name, keys, boiler, content, article or name in CONTENT_TAGS))
+                stack.append(_opened(name, keys, attrs, article))
     flush()
+    return _with_comments(found)
+
+
+def _with_comments(found: list[Block]) -> list[Block]:
+    """Lowers the hints of unlabelled reader comments.
+
+    They follow a short heading that names them, in its container, or stand in
+    sibling containers of which two or more hold a reply button.
+    """
+    under: tuple[int, ...] | None = None
+    replies = Counter(b.path[:-1][:-1] for b in found if b.text.lower() in REPLY_LABELS)
+    for b in found:
+        if _COMMENTS.fullmatch(b.text):
+            under = b.path[:-1] if b.path else ()
+            b.hint += NAME
+        elif under is not None:
+            if b.path[: len(under)] == under and under:
+                b.hint += NAME
+            else:
+                under = None
+    for parent, n in replies.items():
+        if n > 1 and parent:
+            who = {b.path[len(parent)] for b in found if b.text.lower() in REPLY_LABELS and b.path[: len(parent)] == parent and len(b.path) > len(parent)}
+            for b in found:
+                if len(b.path) > len(parent) and b.path[: len(parent)] == parent and b.path[len(parent)] in who:
+                    b.hint += NAME
     return found
 
 
@@ -152,10 +220,9 @@ def evidence(b: Block) -> float:
     links = b.link / len(b.text)
     z = -0.4 + min(2.0, words / 10) * (1 - links) - 3 * links
     z += 0.8 if b.text[-1] in ".!?…\"'»”" else 0.0
-    z += 3.0 if b.content else 0.0
     z += 0.7 if b.tag in HEADING and b.content else 0.0
     z += 0.6 if b.tag in ("p", "pre", "blockquote") else 0.0
-    return z - 12.0 if b.boiler else z
+    return z + b.hint
 
 
 def _ties(found: list[Block]) -> list[tuple[int, int, float]]:
