@@ -2,9 +2,10 @@
 
 Documents are range-partitioned and sorted by id; each partition encodes its
 texts and closes a shard after about ``SHARD_IDS`` ids.  In a shard, frequent
-adjacent pairs of symbols are replaced by new symbols, round after round; the
-rules and their expansion lengths are stored, so any document, and any token
-range in it, is decoded without the rest.
+adjacent pairs of symbols are replaced by new symbols, round after round, until
+no pair pays for its rule or all symbols are taken; the rules and their
+expansion lengths are stored, so any document, and any token range in it, is
+decoded without the rest.
 
 A shard is one binary value (all integers little-endian):
 
@@ -38,12 +39,11 @@ from massflow.llm.frames import cut, work_path
 END_ID = 2
 SHARD_IDS = 1 << 20
 TERMINALS = 50_257
-MAX_RULES = 65_536 - TERMINALS
-ROUNDS = 4
-PER_ROUND = 2_048
 LEAST_COUNT = 16
-#: Words whose ids a worker remembers at most; then it starts afresh.
-CACHE_WORDS = 700_000
+#: Pairs are counted in a table of this many bits.
+TABLE_BITS = 20
+#: Words whose ids a worker remembers at most; then it forgets those not met again since half of them.
+CACHE_WORDS = 2_000_000
 #: Shard heads of at most this many rows are broadcast to the shards.
 BROADCAST_SHARDS = 100_000
 MAGIC = b"RPG1"
@@ -52,7 +52,32 @@ MAGIC = b"RPG1"
 #: How a byte-level vocabulary writes bytes: printable ones as themselves, the rest from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-ENDINGS = frozenset(",.;:?!|")
+#: Marks that split off from letters before them, as one run (an apostrophe may begin a token of its own).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class _Spaced(dict):
+    """Ids, as bytes, of a space and what follows it; ``old`` is what an earlier table held."""
+
+    def __init__(self, enc: WordEncoder, old: dict):
+        self.enc, self.old = enc, old
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            enc = self.enc
+            if piece.isalpha():
+                got = enc.letters(piece, "\u0120")
+            elif "\n" in piece:
+                head, *lines = piece.split("\n")
+                if head and all(lines):
+                    return self[head] + b"".join([enc.newline + enc.word(x) for x in lines])
+                got = enc.pack(" " + piece)
+            else:
+                head = piece.rstrip(MARKS)
+                got = self[head] + enc.word(piece[len(head) :]) if head != piece and head.isalpha() else enc.pack(" " + piece)
+        self[piece] = got
+        return got
 
 
 class WordEncoder:
@@ -61,58 +86,51 @@ class WordEncoder:
     A text is cut before single spaces: no token of a byte-level vocabulary
     crosses the step from a visible character, or from other white space, to a
     space before a word.  Each piece is split and merged by the tokenizers
-    library itself and its ids remembered.  Texts with runs of spaces go to
-    the library whole.
+    library itself and its ids remembered.  Texts with runs of spaces, or with
+    the string of an added token, go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self._split, self._merge = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
+        if self.whole.get_vocab_size() > TERMINALS:
+            raise ValueError(f"more than {TERMINALS} token ids")
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.split, self.merge = self.whole.pre_tokenizer.pre_tokenize_str, self.whole.model.tokenize
+        self.packed = [struct.pack("<I", i) for i in range(TERMINALS)]
         self.plain: dict[str, bytes] = {}
-        enc = self
-
-        class Spaced(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if piece.isalpha():  # a run of letters is one token to merge
-                    self[piece] = got = enc.merged("\u0120" + (piece if piece.isascii() else piece.encode().decode("latin-1").translate(BYTE_CHARS)))
-                    return got
-                if len(piece) > 1 and piece[-1] in ENDINGS and piece[:-1].isalpha():
-                    self[piece] = got = self[piece[:-1]] + enc.word(piece[-1])
-                    return got
-                if "\n" in piece:
-                    head, *lines = piece.split("\n")
-                    if head and all(lines):
-                        return self[head] + b"".join(enc.newline + enc.word(x) for x in lines)
-                self[piece] = got = enc.pack(" " + piece)
-                return got
-
-        self.spaced = Spaced()
+        self.spaced = _Spaced(self, {})
         self.newline = self.pack("\n")
 
-    def merged(self, mapped: str) -> bytes:
-        return array("I", [t.id for t in self._merge(mapped)]).tobytes()
-
     def pack(self, chunk: str) -> bytes:
-        return array("I", [t.id for word, _ in self._split(chunk) for t in self._merge(word)]).tobytes()
+        return b"".join([self.packed[t.id] for word, _ in self.split(chunk) for t in self.merge(word)])
+
+    def letters(self, chunk: str, ahead: str = "") -> bytes:
+        """A run of letters is one token to merge."""
+        mapped = ahead + (chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(BYTE_CHARS))
+        return b"".join([self.packed[t.id] for t in self.merge(mapped)])
 
     def word(self, chunk: str) -> bytes:
         got = self.plain.get(chunk)
         if got is None:
-            got = self.plain[chunk] = self.pack(chunk)
+            head = chunk.rstrip(MARKS)
+            if not head.isalpha():
+                got = self.pack(chunk)
+            else:
+                got = self.letters(head) if head == chunk else self.word(head) + self.word(chunk[len(head) :])
+            self.plain[chunk] = got
         return got
 
     def encode(self, text: str) -> bytes:
-        """Ids as unsigned 32-bit integers."""
+        """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if "  " in text:
-            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        if len(self.spaced) + len(self.plain) > CACHE_WORDS:
-            self.spaced.clear()
-            self.plain.clear()
+        if "  " in text or any(a in text for a in self.added):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if 2 * (len(self.spaced) + len(self.plain)) > CACHE_WORDS:
+            self.spaced = _Spaced(self, dict(self.spaced))
+            self.plain = {}
         first, *rest = text.split(" ")
         head = b"" if not first else self.word(first) if "\n" not in first else self.pack(first)
         return head + b"".join(map(self.spaced.__getitem__, rest))
@@ -127,56 +145,128 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def re_pair(ids: np.ndarray, starts: np.ndarray, terminals: int = TERMINALS, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _slots(code: np.ndarray) -> np.ndarray:
+    return ((code ^ (code >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(32 - TABLE_BITS)).astype(np.int32)
+
+
+def _union(parts: list[np.ndarray], n: int) -> np.ndarray:
+    """Sorted distinct places under n."""
+    if sum(map(len, parts)) < n >> 6:
+        return np.unique(np.concatenate(parts))
+    mask = np.zeros(n, bool)
+    for p in parts:
+        mask[p] = True
+    return np.flatnonzero(mask)
+
+
+def _chosen(code: np.ndarray, slot: np.ndarray, count: np.ndarray, rank_of: np.ndarray, close: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hits, their names from 0, the pairs named, places of pairs met too seldom) among frequent places in order.
+
+    Slots are ranked by count; of each, the pair met last is taken.  ``close``
+    tells that a place and the next one overlap: the better rank is replaced.
+    rank_of is a table to work in.
+    """
+    rank_of[slot] = np.arange(len(slot))
+    often = slot[rank_of[slot] == np.arange(len(slot))]  # each slot once
+    # Ties by slot, which is a hash: in a passage that repeats, many pairs then outrank their neighbours at once.
+    often = often[np.lexsort((often, -count[often]))][:most]
+    none = len(often)
+    rank_of[slot] = none
+    rank_of[often] = np.arange(none)
+    rank = rank_of[slot]
+    value = np.zeros(none + 1, np.uint32)
+    value[rank] = code
+    same = (code == value[rank]) & (rank < none)
+    real = np.append(np.bincount(rank[same], minlength=none)[:none] >= LEAST_COUNT, False)
+    hit = same & real[rank]
+    both = close & hit[1:] & hit[:-1]
+    rare = same & ~hit  # it only shares its slot
+    hit[1:] &= ~(both & (rank[1:] >= rank[:-1]))
+    hit[:-1] &= ~(both & (rank[:-1] > rank[1:]))
+    used = np.zeros(none, bool)
+    used[rank[hit]] = True
+    return hit, (np.cumsum(used) - 1)[rank[hit]], value[:none][used], rare
+
+
+def re_pair(ids: np.ndarray, starts: np.ndarray, terminals: int = TERMINALS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, first symbol per document and the end, left, right).
 
-    starts: first id of each document, and the end.  Each round counts all
-    pairs inside documents, takes the most frequent ones, and replaces those
-    occurrences that outrank both overlapping neighbours.
+    starts: first id of each document, and the end.  Each round counts the
+    pairs inside documents in a table, ranks the frequent ones and replaces
+    those occurrences that outrank both overlapping neighbours.  While rounds
+    replace much, all is counted anew and moved up; then symbols are linked,
+    and only counts and places round the replaced ones change.  Rounds go on
+    until no pair that occurs ``LEAST_COUNT`` times is left, or no symbol.
     """
-    seq = ids.astype(np.int32)
-    starts = starts.astype(np.int64)
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    made = 0
-    for _ in range(rounds):
-        if len(seq) < 2 or made >= MAX_RULES:
-            break
-        code = (seq[:-1].astype(np.uint64) << np.uint64(16)) | seq[1:].astype(np.uint64)
+    seq, starts = ids.astype(np.uint32), starts.astype(np.int64)
+    rules: list[np.ndarray] = []
+    made, most = 0, (1 << 16) - terminals
+    rank_of = np.zeros((1 << TABLE_BITS) + 1, np.int32)
+
+    def named(value: np.ndarray) -> None:
+        nonlocal made
+        rules.append(value)
+        made += len(value)
+
+    while len(seq) > 1 and made < most:
+        code = (seq[:-1] << np.uint32(16)) | seq[1:]
+        slot = _slots(code)
         inner = starts[1:-1]
-        inner = inner[(inner > 0) & (inner < len(seq))]
-        code[inner - 1] = np.uint64(1 << 40)  # a pair across two documents
-        ordered = np.sort(code)
-        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        count = np.diff(np.append(edge, len(ordered)))
-        value = ordered[edge]
-        ok = (count >= LEAST_COUNT) & (value < (1 << 40))
-        value, count = value[ok], count[ok]
-        if not len(value):
-            break
-        top = np.lexsort((value, -count))[: min(PER_ROUND, MAX_RULES - made)]
-        value = value[top]
-        slot = (value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
-        value = value[np.sort(np.unique(slot, return_index=True)[1])]  # one pair a table slot
-        table = np.full(1 << 18, len(value), np.int32)
-        table[(value * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)] = np.arange(len(value))
-        rank = table[(code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)]
-        rank[np.append(value, np.uint64(1 << 41))[rank] != code] = len(value)
-        hit = rank < len(value)
-        hit[1:] &= rank[1:] < rank[:-1]
-        hit[:-1] &= rank[:-1] <= rank[1:]
-        at = np.flatnonzero(hit)
-        used, new = np.unique(rank[at], return_inverse=True)
-        seq[at] = terminals + made + new
+        slot[inner[(inner > 0) & (inner < len(seq))] - 1] = 1 << TABLE_BITS  # a pair across two documents
+        count = np.bincount(slot, minlength=(1 << TABLE_BITS) + 1).astype(np.int32)
+        count[-1] = 0
+        at = np.flatnonzero(count[slot] >= LEAST_COUNT)
+        hit, name, value, _ = _chosen(code[at], slot[at], count, rank_of, at[1:] == at[:-1] + 1, most - made)
+        at = at[hit]
+        seq[at] = terminals + made + name
+        named(value)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         starts = starts - np.searchsorted(at + 1, starts)
+        much = len(at) > len(seq) >> 5
         seq = seq[keep]
-        left.append((value[used] >> np.uint64(16)).astype(np.uint16))
-        right.append((value[used] & np.uint64(0xFFFF)).astype(np.uint16))
-        made += len(used)
-    none = np.zeros(0, np.uint16)
-    return seq.astype(np.uint16), starts, np.concatenate(left or [none]), np.concatenate(right or [none])
+        if not much:
+            break
+
+    n = len(seq)
+    after, ahead = np.arange(1, n + 1), np.arange(-1, n - 1)  # linked symbols; n and -1 beyond a document
+    first = starts[:-1][starts[:-1] < starts[1:]]
+    after[first[1:] - 1], ahead[first] = n, -1
+    gone = np.zeros(n, bool)
+
+    def codes(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        code = (seq[at] << np.uint32(16)) | seq[after[at]]
+        return code, _slots(code)
+
+    active = np.flatnonzero(after < n)
+    code, slot = codes(active)
+    count = np.bincount(slot, minlength=1 << TABLE_BITS).astype(np.int32)
+    while True:
+        frequent = count[slot] >= LEAST_COUNT
+        active, code, slot = active[frequent], code[frequent], slot[frequent]
+        if not len(active) or made >= most:
+            break
+        hit, name, value, rare = _chosen(code, slot, count, rank_of, after[active[:-1]] == active[1:], most - made)
+        at, active = active[hit], active[~rare]
+        if len(at):
+            second, before = after[at], ahead[at]
+            old = _union([before[before >= 0], at, second[after[second] < n]], n)
+            np.subtract.at(count, codes(old)[1], 1)
+            seq[at] = terminals + made + name
+            named(value)
+            beyond = after[second]
+            after[at] = beyond
+            inside = beyond < n
+            ahead[beyond[inside]] = at[inside]
+            gone[second] = True
+            before = ahead[at]
+            fresh = _union([before[before >= 0], at[after[at] < n]], n)
+            np.add.at(count, codes(fresh)[1], 1)
+            active = _union([active[~gone[active] & (after[active] < n)], fresh], n)
+        code, slot = codes(active)
+    starts = starts - np.concatenate([[0], np.cumsum(gone)])[starts]
+    pairs = np.concatenate(rules or [np.zeros(0, np.uint32)])
+    return seq[~gone].astype(np.uint16), starts, (pairs >> np.uint32(16)).astype(np.uint16), (pairs & np.uint32(0xFFFF)).astype(np.uint16)
 
 
 def _lengths(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -220,11 +310,16 @@ class Shard:
             begin = np.concatenate([[0], np.cumsum(self.size)])
             flat = np.empty(begin[-1], np.uint32)
             flat[:TERMINALS] = np.arange(TERMINALS)
-            for k, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist())):
-                at = begin[TERMINALS + k]
-                mid = at + self.size[a]
-                flat[at:mid] = flat[begin[a] : begin[a + 1]]
-                flat[mid : begin[TERMINALS + k + 1]] = flat[begin[b] : begin[b + 1]]
+            depth = [0] * TERMINALS
+            for a, b in zip(self.left.tolist(), self.right.tolist()):
+                depth.append(1 + max(depth[a], depth[b]))
+            depth = np.array(depth[TERMINALS:])
+            for d in range(1, int(depth.max(initial=0)) + 1):  # rules whose parts are known
+                k = np.flatnonzero(depth == d)
+                for part, at in ((self.left[k], begin[TERMINALS + k]), (self.right[k], begin[TERMINALS + k] + self.size[self.left[k]])):
+                    n = self.size[part]
+                    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    flat[np.repeat(at, n) + inside] = flat[np.repeat(begin[part], n) + inside]
             self._flat = flat, begin
         return self._flat
 
@@ -254,7 +349,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, shard_ids: int = SHA
 
     A null or empty text has the end id only; null ids come first.  Rows that
     repeat an id are stored each, least text first.  An empty table writes no
-    shard.  Strings of special tokens in a text are ordinary text.
+    shard.  The string of an added token in a text is that token, as the library has it.
     """
     end = array("I", [END_ID]).tobytes()
 

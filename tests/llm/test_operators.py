@@ -328,9 +328,8 @@ def test_token_store(spark, corpus, tmp_path):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(BPE)
-    tk.encode_special_tokens = True
     docs, _ = corpus
-    extra = ["a  b", "a   b \n", "a\n b", "\n\n", "a\n\nb c", " x", "x ", "it's <|endoftext|>   b", "\ta\tb", "a\n  b", "é  f  g", "don't, we'll|no", "12,5 ab12 x²"]
+    extra = ["a  b", "a   b \n", "a\n b", "\n\n", "a\n\nb c", " x", "x ", "it's <|endoftext|>   b", "it's <|endoftext|> b", "<|endoftext|>", "a<|endoftext|>b c", "\ta\tb", "a\n  b", "é  f  g", "don't, we'll|no", "12,5 ab12 x²"]
     docs = docs.unionByName(spark.createDataFrame([(9000 + i, t, None, None, None) for i, t in enumerate(extra)], DOCS))
     path = str(tmp_path / "store")
     token_store.write_store(docs, path, BPE, shard_ids=3000)
