@@ -1,60 +1,79 @@
 """Nearest neighbours by inner product, with a hash-prefix forest.
 
-Each tree hashes a vector to a symbol: the signed axis nearest to the vector
-after a random rotation.  The rows with one symbol are a node of the tree.  A
-query visits, in each tree, the nodes of its ``PROBES`` nearest symbols, and is
-scored exactly, in double precision, against all of their rows, however many
-they are: the share of the table that a query sees, and with it the recall, do
-not fall with the table's size.  Longer prefixes would only take rows away.
-Large nodes are dealt over salts, which a query visits in full.  A query whose
-nodes hold too few rows goes to the root, where all rows are candidates.
-
-Inner products are turned into angles by one more coordinate per norm band
-(rows within a factor 2), so rows of very different length do not spoil each
-other's strings.  Equal vectors are one row of the forest.
+Each tree gives a vector a string: the signed axis nearest to it after a random
+rotation, then the sides of random planes on which it lies, one bit each, as
+many as the table needs for small leaves.  A tree is the sorted array of its
+strings, and a prefix a contiguous range of it.  A query has, in every tree, the
+strings that begin with its ``PROBES`` nearest axes; it descends to their
+longest prefixes that rows share, and ascends in all trees together, bit by bit,
+until the ranges hold enough rows.  What is enough is fitted on a bounded sample
+of queries, whose true neighbours are looked up among all rows: the least number
+with which their recall reaches ``RECALL``.  So tables with close neighbours are
+searched in short ranges, and directionless ones in as much as the recall takes,
+at any size.  A query whose ranges would hold as many rows as the table goes to
+the root instead.  Candidates are scored exactly, in double precision; none is
+cut.
+
+Trees are dealt out by a short prefix; a dense prefix is dealt over salts, all of
+which its queries visit.  Inner products are turned into angles by one more
+coordinate per norm band (rows within a factor 2), so rows of very different
+length do not spoil each other's strings.  Equal vectors are one row of the
+forest.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massflow.llm.frames import cut
 
 TREES = 10
 AXES = 64
-#: Nearest symbols that a query visits in each tree.
+#: Bits of a signed axis.
+SYMBOL = 7
+#: Nearest axes whose strings a query looks up in each tree.
 PROBES = 8
-#: Rows, and queries, of a node beyond which it is dealt out.
+#: Rows of a leaf that the strings' length is planned for, and their longest.
+LEAF_ROWS = 16
+MOST_BITS = 30
+#: Rows, and queries, of a dealt part of a tree.
 NODE_ROWS = 16_384
-#: A query whose nodes hold fewer rows than this times k ascends to the root.
-ENOUGH = 40
-BROADCAST_NODES = 50_000
+#: Queries on which the ascent is fitted, and the recall that it is fitted to.
+FIT_QUERIES = 96
+RECALL = 0.95
+BROADCAST_PARTS = 50_000
 SEED = 17
 
 
-def _rotations(dim: int) -> np.ndarray:
-    return np.random.default_rng(SEED).standard_normal((TREES, AXES, dim + 1)).astype(np.float32)
-
-
-def _symbols(x: np.ndarray, rot: np.ndarray, best: int = 1) -> np.ndarray:
-    """rows x best: the nearest signed axes, nearest first."""
-    y = x @ rot.T
-    size = np.abs(y)
-    top = np.argpartition(-size, best - 1, axis=1)[:, :best]
-    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(size, top, 1), axis=1, kind="stable"), 1)
-    return 2 * top + (np.take_along_axis(y, top, 1) < 0)
+def rotations(dim: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axes and planes of each tree; the first planes are the same whatever their number."""
+    rng = np.random.default_rng(SEED)
+    axes = rng.standard_normal((TREES, AXES, dim + 1)).astype(np.float32)
+    return axes, np.stack([rng.standard_normal((TREES, dim + 1)).astype(np.float32) for _ in range(bits)], 1) if bits else np.zeros((TREES, 0, dim + 1), np.float32)
 
 
-def _vectors(col: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(v.as_buffer() for v in col), np.float64).reshape(len(col), -1)
+def strings(x: np.ndarray, axes: np.ndarray, plane: np.ndarray, probes: int) -> np.ndarray:
+    """rows x (trees * probes): strings as numbers, the nearest axis first and the last bit lowest."""
+    out = np.zeros((len(x), len(axes), probes), np.int32)
+    for t, (r, p) in enumerate(zip(axes, plane)):
+        y = x @ r.T
+        size = np.abs(y)
+        top = np.argpartition(-size, probes - 1, axis=1)[:, :probes]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(size, top, 1), axis=1, kind="stable"), 1)
+        code = 2 * top + (np.take_along_axis(y, top, 1) < 0)
+        for side in (x @ p.T > 0).T:
+            code = 2 * code + side[:, None]
+        out[:, t] = code
+    return out.reshape(len(x), -1)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v): rows whose vector has the greatest length found, finite and not all zero."""
+    """(id, v): rows whose vector is finite and not all zero."""
     v = F.transform(F.col(vec_col).cast("array<double>"), lambda x: x + 0.0)
     rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
     fine = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
@@ -64,17 +83,19 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of each row whose id is divisible by ``every``.
 
-    Null, zero and non-finite vectors, rows with a null id and vectors shorter
-    than the longest take no part.  A query's own id is never its answer; rows
-    repeated under one id count once (with their greatest score).  Ties go to
-    the smaller id.  With fewer than k other rows found, all are returned; an
-    empty table gives an empty result.
+    Null, zero and non-finite vectors and rows with a null id take no part, nor
+    do vectors of another length than most have (of two lengths equally common,
+    the longer).  A query's own id is never its answer; rows repeated under one
+    id count once (with their greatest score).  Ties go to the smaller id.  With
+    fewer than k other rows, all are returned; an empty table gives an empty
+    result.  Other columns are not read, whatever their names.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vec_col)
-    dim = rows.agg(F.max(F.size("v"))).first()[0]
-    if dim is None:
+    sizes = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dim = sizes["dim"]
     rows = rows.where(F.size("v") == dim)
     classes = cut(rows.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max((F.col("id") % every == 0).cast("int")).alias("asked")))
     # A repeated id with another vector could be another class's rep: number classes by vector as well.
@@ -83,28 +104,37 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
 
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     flat = classes.select("c", "asked", "v", norm.alias("norm")).withColumn("band", F.floor(F.log2("norm") + 0.5).cast("int"))
-    longest = {r["band"]: r["m"] for r in flat.groupBy("band").agg(F.max("norm").alias("m")).collect()}  # one row per power of two
-    keyed = cut(_hashed(flat, dim, longest))
-
-    node = ["tree", "band", "s1"]
-    nodes = cut(keyed.groupBy(*node).agg(F.count_if(~F.col("query")).alias("held"), F.count_if(F.col("query")).alias("asking")).where("held > 0"))
-    few = nodes.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
-    small = F.broadcast(nodes) if few else nodes
-    total = keyed.where("query").select(*node, "c").join(small, node).groupBy("c").agg(F.sum("held").alias("seen"))
-    # A query that has found few rows ascends to the root: all nodes of the first tree.
-    alone = keyed.where("query AND tree = 0").select("c", "bytes").dropDuplicates(["c"]).join(total, "c", "left")
-    alone = cut(alone.where(F.coalesce("seen", F.lit(0)) < ENOUGH * k).select("c", "bytes"))
-    asking = F.col("asking") + F.when(F.col("tree") == 0, F.lit(alone.count())).otherwise(F.lit(0))
-    # A node is dealt over salts by its rows and over turns by its queries; every row meets every query.
-    tiles = nodes.select(*node, F.ceil(F.col("held") / NODE_ROWS).cast("int").alias("salts"), F.greatest(F.ceil(asking / NODE_ROWS), F.lit(1)).cast("int").alias("turns"))
-    tiles = F.broadcast(tiles) if few else tiles
-    placed = keyed.select(*node, "c", "query", "bytes").join(tiles, node)
-    placed = placed.unionByName(alone.withColumn("query", F.lit(True)).join(tiles.where("tree = 0"), F.lit(True)).select(*placed.columns))
-    salt, turn = (F.pmod(F.xxhash64("c", F.lit(n)), F.col(n)).cast("int") for n in ("salts", "turns"))
-    every_salt, every_turn = (F.sequence(F.lit(0), F.col(n) - 1) for n in ("salts", "turns"))
-    placed = placed.withColumn("salt", F.explode(F.when(F.col("query"), every_salt).otherwise(F.array(salt))))
-    placed = placed.withColumn("turn", F.explode(F.when(F.col("query"), F.array(turn)).otherwise(every_turn))).drop("salts", "turns")
-    found = placed.groupBy(*node, "salt", "turn").applyInPandas(_best(k + 1), "q struct<rep:long,h:long>, c struct<rep:long,h:long>, score double")
+    bands = flat.groupBy("band").agg(F.max("norm").alias("m"), F.count(F.lit(1)).alias("n")).collect()  # one row per power of two
+    longest, total = {r["band"]: r["m"] for r in bands}, sum(r["n"] for r in bands)
+    bits = min(MOST_BITS - SYMBOL, max(0, math.ceil(math.log2(max(2, total / LEAF_ROWS))) - SYMBOL))
+    coded = cut(_coded(flat, dim, bits, longest))
+
+    # Depth 0 is the root, 1 the axis, and every bit one more.
+    asks = coded.where("asked = 1")
+    tree = F.expr(f"CAST(at DIV {PROBES} AS INT)").alias("tree")
+    seen = asks.select("c", F.posexplode("q_codes").alias("at", "code")).select("c", tree, "code", F.explode(F.sequence(F.lit(1), F.lit(bits + 1))).alias("depth"))
+    seen = seen.withColumn("prefix", F.expr(f"shiftright(code, {bits + 1} - depth)")).join(_held(coded, bits), ["depth", "tree", "prefix"])
+    seen = cut(seen.groupBy("c", "depth").agg(F.sum("rows").alias("rows")))
+    # So many rows in all trees are k + 1 different ones in one of them.
+    enough = max(_fitted(coded, seen, bits, k, dim, total), TREES * (k + 1))
+    depths = seen.where((F.col("rows") >= enough) & (F.col("rows") < total)).groupBy("c").agg(F.max("depth").alias("depth"))
+    placed = asks.join(depths, "c", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+
+    low = SYMBOL + bits - min(SYMBOL + bits, max(0, math.ceil(math.log2(max(1, total / NODE_ROWS)))))
+    rows_in = coded.select(F.col("c.rep").alias("rep"), F.col("c.h").alias("h"), "bytes", F.posexplode("codes").alias("tree", "code")).withColumn("part", F.shiftright("code", low))
+    own = F.expr(f"shiftleft(shiftright(code, {bits + 1} - depth), {bits + 1} - depth)")
+    ask_in = placed.select(F.col("c.rep").alias("rep"), F.col("c.h").alias("h"), "bytes", "depth", F.posexplode("q_codes").alias("at", "code")).where("depth > 0 OR at = 0")
+    ask_in = ask_in.select("rep", "h", "bytes", tree, F.when(F.col("depth") > 0, own).otherwise(0).alias("lo"), F.when(F.col("depth") > 0, own + F.expr(f"shiftleft(1, {bits + 1} - depth)") - 1).otherwise((1 << (SYMBOL + bits)) - 1).alias("hi"))
+    ask_in = ask_in.withColumn("part", F.explode(F.sequence(F.shiftright("lo", low), F.shiftright("hi", low))))
+    parts = rows_in.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("rows")).join(ask_in.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("asks")), ["tree", "part"])
+    parts = cut(parts.select("tree", "part", F.ceil(F.col("rows") / NODE_ROWS).cast("int").alias("salts"), F.ceil(F.col("asks") / NODE_ROWS).cast("int").alias("turns")))
+    tiles = F.broadcast(parts) if parts.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS else parts
+    none = F.lit(None).cast("int")
+    both = rows_in.select("tree", "part", "rep", "h", F.lit(False).alias("query"), "code", none.alias("lo"), none.alias("hi"), "bytes")
+    both = both.unionByName(ask_in.select("tree", "part", "rep", "h", F.lit(True).alias("query"), none.alias("code"), "lo", "hi", "bytes")).join(tiles, ["tree", "part"])
+    both = both.withColumn("salt", F.explode(_dealt("salts", ~F.col("query")))).withColumn("turn", F.explode(_dealt("turns", F.col("query")))).drop("salts", "turns")
+    found = both.groupBy("tree", "part", "salt", "turn").applyInArrow(_best(k + 1), "q_rep long, q_h long, rep long, h long, score double")
+    found = found.select(F.struct(F.col("q_rep").alias("rep"), F.col("q_h").alias("h")).alias("q"), F.struct("rep", "h").alias("c"), "score")
     best = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("q").orderBy(F.desc("score"), F.col("c.rep"))
     best = best.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k + 1).drop("r")
@@ -117,6 +147,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     return out.select(F.col("id").alias("query_id"), F.posexplode("answers").alias("p", "a")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("a.id").alias("vec_id"), F.col("a.score").alias("score"))
 
 
+def _dealt(n: str, one: Column) -> Column:
+    """The share of n that a row goes to, or all of them."""
+    return F.when(one, F.array(F.pmod(F.xxhash64("rep", "h", F.lit(n)), F.col(n)).cast("int"))).otherwise(F.sequence(F.lit(0), F.col(n) - 1))
+
+
 def _members(rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(c, ids): the k least ids of each class, taken per salt first."""
     single = classes.where("n = 1").select("c", F.array("rep").alias("ids"))
@@ -126,72 +161,121 @@ def _members(rows: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     return single.unionByName(least.groupBy("c").agg(F.collect_list("id").alias("ids")))
 
 
-def _hashed(flat: DataFrame, dim: int, longest: dict[int, float]) -> DataFrame:
-    """Rows and queries, one per tree (queries: per band and probe), with s1."""
-    bands = sorted(longest)
-    schema = "c struct<rep:long,h:long>, query boolean, tree int, band int, s1 int, bytes binary"
-    packed = flat.select("c", "asked", "band", "norm", "v")
+def _coded(flat: DataFrame, dim: int, bits: int, longest: dict[int, float]) -> DataFrame:
+    """(c, asked, bytes, codes, q_codes): each tree's string of a row, and of an asked row the strings that it looks up."""
 
     def run(batches):
-        rot = _rotations(dim)
+        axes, plane = rotations(dim, bits)
         for b in batches:
             if not b.num_rows:
                 continue
-            col = b.column(4)
-            x = col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), dim)
-            norm, band = b.column(3).to_numpy(), b.column(2).to_numpy()
-            top = np.array([longest[i] for i in band])
-            ids, raw = b.column(0), [r.tobytes() for r in x]
-            asked = np.flatnonzero(b.column(1).to_numpy() == 1)
+            x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
+            norm, asked = b.column("norm").to_numpy(), b.column("asked").to_numpy() == 1
+            top = np.array([longest[i] for i in b.column("band").to_pylist()])
             extra = np.sqrt(np.maximum(0.0, 1 - (norm / top) ** 2))
-            as_row = np.column_stack([x / top[:, None], extra]).astype(np.float32)
-            as_query = np.column_stack([x[asked] / norm[asked, None], np.zeros(len(asked))]).astype(np.float32)
-            for t in range(TREES):
-                yield _batch(ids, raw, False, t, band, _symbols(as_row, rot[t])[:, 0])
-                if len(asked):
-                    near = _symbols(as_query, rot[t], PROBES)
-                    some, bytes_ = ids.take(pa.array(asked)), [raw[i] for i in asked]
-                    for p in range(PROBES):
-                        for g in bands:
-                            yield _batch(some, bytes_, True, t, np.full(len(asked), g), near[:, p])
-
-    return packed.mapInArrow(run, schema)
+            as_row = strings(np.column_stack([x / top[:, None], extra]).astype(np.float32), axes, plane, 1)
+            as_query = strings(np.column_stack([x[asked] / norm[asked, None], np.zeros(asked.sum())]).astype(np.float32), axes, plane, PROBES)
+            at = np.concatenate([[0], np.cumsum(asked)]) * TREES * PROBES
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * TREES), pa.array(as_row.ravel()))
+            wanted = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(as_query.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("c"), b.column("asked"), pa.array([r.tobytes() for r in x], pa.binary()), codes, wanted], ["c", "asked", "bytes", "codes", "q_codes"])
 
+    return flat.mapInArrow(run, "c struct<rep:long,h:long>, asked int, bytes binary, codes array<int>, q_codes array<int>")
 
-def _batch(ids, raw, query, tree, band, s1):
-    n = len(raw)
-    ids = pa.StructArray.from_arrays([ids.field(0), ids.field(1)], ["rep", "h"])
-    return pa.RecordBatch.from_arrays([ids, pa.array(np.full(n, query)), pa.array(np.full(n, tree, np.int32)), pa.array(band.astype(np.int32)), pa.array(s1.astype(np.int32)), pa.array(raw, pa.binary())], ["c", "query", "tree", "band", "s1", "bytes"])
 
+def _held(coded: DataFrame, bits: int) -> DataFrame:
+    """(depth, tree, prefix, rows) of all prefixes from the axis on: leaves are counted first, and their counts added up."""
+    leaves = coded.select(F.posexplode("codes").alias("tree", "code")).groupBy("tree", "code").agg(F.count(F.lit(1)).alias("rows"))
+    each = leaves.withColumn("depth", F.explode(F.sequence(F.lit(1), F.lit(bits + 1))))
+    return each.groupBy("depth", "tree", F.expr(f"shiftright(code, {bits + 1} - depth)").alias("prefix")).agg(F.sum("rows").alias("rows"))
 
-def _ids(c: pd.Series) -> np.ndarray:
-    return np.array([(r["rep"], r["h"]) for r in c], dtype=np.int64).reshape(-1, 2)
 
+def _fitted(coded: DataFrame, seen: DataFrame, bits: int, k: int, dim: int, total: int) -> int:
+    """Rows in all ranges at which an ascent may end, from a sample's true neighbours.
 
-def _structs(x: np.ndarray) -> list[dict]:
-    return [{"rep": int(a), "h": int(b)} for a, b in x]
+    The sample is the FIT_QUERIES asked vectors of least hash.  A neighbour is
+    met at a depth if its string in some tree begins as one of the query's does.
+    """
+    spark = coded.sparkSession
+    some = coded.where("asked = 1").orderBy(F.xxhash64("c", F.lit("fit")), "c").limit(FIT_QUERIES).select("c", "bytes", "q_codes").collect()
+    if not some:
+        return 0
+    asked = spark.sparkContext.broadcast(np.array([np.frombuffer(r["bytes"]) for r in some]))
+
+    def nearest(batches):
+        y = asked.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.frombuffer(b"".join(v.as_buffer() for v in b.column("bytes")), np.float64).reshape(-1, dim)
+            s = y @ x.T
+            keep = min(k + 1, len(x))
+            top = np.argpartition(-s, keep - 1, axis=1)[:, :keep].ravel()
+            who = np.repeat(np.arange(len(y), dtype=np.int32), keep)
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(s[who, top]), b.column("codes").take(pa.array(top))], ["q", "score", "codes"])
+
+    near = coded.select("bytes", "codes").mapInArrow(nearest, "q int, score double, codes array<int>")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "codes"))).where(F.col("r") <= k + 1)
+    which = {(r["c"]["rep"], r["c"]["h"]): i for i, r in enumerate(some)}
+    rows = np.zeros((len(some), bits + 2), np.int64)
+    rows[:, 0] = total
+    sample = spark.createDataFrame([(r["c"],) for r in some], seen.select("c").schema)
+    for r in seen.join(F.broadcast(sample), "c").collect():  # samples x depths
+        rows[which[r["c"]["rep"], r["c"]["h"]], r["depth"]] = min(r["rows"], total)
+    met: list[list[int]] = [[] for _ in some]  # the depth to which each neighbour goes with its query in the best tree
+    for r in near.collect():  # samples x (k + 1)
+        if r["r"] > 1:  # the first is the query itself, or equally near
+            ask = some[r["q"]]["q_codes"]
+            shared = (bits + 1 - max(0, int(a ^ b).bit_length()) for t, b in enumerate(r["codes"]) for a in ask[t * PROBES : (t + 1) * PROBES])
+            met[r["q"]].append(max(0, *shared))
+
+    def recall(enough: int) -> float:
+        depth = [max((d for d in range(1, bits + 2) if enough <= own[d] < total), default=0) for own in rows]
+        return float(np.mean([np.mean([m >= d for m in ms]) for ms, d in zip(met, depth) if ms] or [1.0]))
+
+    # More rows never find less, so the least number is found by bisection; the root finds all.
+    tried = np.unique(rows)
+    lo, hi = 0, len(tried) - 1
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if recall(int(tried[mid])) >= RECALL else (mid + 1, hi)
+    return int(tried[lo])
 
 
 def _best(k: int):
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        rows, q = g[~g["query"]], g[g["query"]]
-        out = pd.DataFrame({"q": pd.Series(dtype=object), "c": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
-        if rows.empty or q.empty:
-            return out
-        x = np.frombuffer(b"".join(rows.bytes), np.float64).reshape(len(rows), -1)
-        ids, asked = _ids(rows.c), _ids(q.c)
+    def run(g: pa.Table) -> pa.Table:
+        """The k best rows of each query in its ranges of the part's sorted strings."""
+        kinds = pa.schema([("q_rep", pa.int64()), ("q_h", pa.int64()), ("rep", pa.int64()), ("h", pa.int64()), ("score", pa.float64())])
+        rows = g.filter(pa.compute.invert(g["query"])).sort_by("code")
+        q = g.filter(g["query"]).sort_by([("lo", "ascending"), ("hi", "ascending")])
+        if not rows.num_rows or not q.num_rows:
+            return kinds.empty_table()
+
+        def matrix(t: pa.Table) -> np.ndarray:
+            return np.frombuffer(b"".join(v.as_buffer() for v in t["bytes"]), np.float64).reshape(t.num_rows, -1)
+
+        code, x, y = rows["code"].to_numpy(), matrix(rows), matrix(q)
+        rep, h, q_rep, q_h = (t[n].to_numpy() for t in (rows, q) for n in ("rep", "h"))
+        first, last = np.searchsorted(code, q["lo"].to_numpy(), "left"), np.searchsorted(code, q["hi"].to_numpy(), "right")
+        runs = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1]), [True]]))
         parts = []
-        for at in range(0, len(q), 256):
-            y = np.frombuffer(b"".join(q.bytes.iloc[at : at + 256]), np.float64).reshape(-1, x.shape[1])
-            for j, s in enumerate(y @ x.T):
-                if len(s) > k:
-                    least = np.partition(s, len(s) - k)[len(s) - k]
-                    at_least = np.flatnonzero(s >= least)
-                    keep = at_least[np.lexsort((ids[at_least, 0], -s[at_least]))[:k]]
-                else:
-                    keep = np.arange(len(s))
-                parts.append((np.full(len(keep), at + j), keep, s[keep]))
+        for lo, hi in ((a, min(a + 256, e)) for r, e in zip(runs, runs[1:]) for a in range(r, e, 256)):
+            a, b = first[lo], last[lo]
+            if a == b:
+                continue
+            for j, s in enumerate(y[lo:hi] @ x[a:b].T):
+                keep = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                parts.append((np.full(len(keep), lo + j), a + keep, s[keep]))
+        if not parts:
+            return kinds.empty_table()
         qi, ri, s = (np.concatenate(p) for p in zip(*parts))
-        return pd.DataFrame({"q": _structs(asked[qi]), "c": _structs(ids[ri]), "score": s})
+        # A query's ranges in this part do not overlap; the k best of all of them go on.
+        order = np.lexsort((h[ri], rep[ri], -s, q_h[qi], q_rep[qi]))
+        qi, ri, s = qi[order], ri[order], s[order]
+        new = np.concatenate([[True], (q_rep[qi][1:] != q_rep[qi][:-1]) | (q_h[qi][1:] != q_h[qi][:-1])])
+        start = np.flatnonzero(new)
+        on = np.arange(len(qi)) - np.repeat(start, np.diff(np.append(start, len(qi)))) < k
+        qi, ri, s = qi[on], ri[on], s[on]
+        return pa.table([q_rep[qi], q_h[qi], rep[ri], h[ri], s], schema=kinds)
 
     return run
