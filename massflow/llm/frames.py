@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where a session names none (tests, one machine) a temporary one is set.
+    Only where a session on one machine names none (tests) a temporary one is
+    set; on a cluster that is an error, as executors would not share it.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         known = spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         known = tempfile.mkdtemp(prefix="massflow-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(known)

@@ -1,7 +1,7 @@
 """Logistic regression over hashed word and character n-grams.
 
-Word unigrams and bigrams and byte 3- and 4-grams are hashed into one table of
-``4 * 2**BITS`` weights.  A document's feature is each n-gram's share of all
+Word unigrams and bigrams and character 3- and 4-grams are hashed into one table
+of ``4 * 2**BITS`` weights.  A document's feature is each n-gram's share of all
 its n-grams of that kind, so the score is a sum of four averages and is made
 by a gather and a running sum over a whole Arrow batch.
 """
@@ -29,15 +29,26 @@ def _ngrams(buf: np.ndarray, off: np.ndarray, w: T.Words):
     h, at = T.grams(w, 2)
     lo = np.searchsorted(at, w.first)
     yield (h >> shift).astype(np.int32), lo[:-1], lo[1:]
-    b = buf.astype(np.uint32)
+    chars, first = _characters(buf, off)
     for n in (3, 4):
-        m = max(0, len(b) - n + 1)
+        m = max(0, len(chars) - n + 1)
         v = np.zeros(m, np.uint32)
         for j in range(n):
-            v |= b[j : j + m] << np.uint32(8 * j)
-        v = (v * np.uint32(2654435761)) ^ (v >> np.uint32(7)) * np.uint32(0x85EBCA6B)
-        lo = np.minimum(off[:-1], m)
-        yield (v >> np.uint32(32 - BITS)).astype(np.int32), lo, np.maximum(lo, np.minimum(off[1:] - n + 1, m))
+            v = v * np.uint32(0x9E3779B1) + chars[j : j + m]
+        v = (v ^ (v >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        lo = np.minimum(first[:-1], m)
+        yield (v >> np.uint32(32 - BITS)).astype(np.int32), lo, np.maximum(lo, np.minimum(first[1:] - n + 1, m))
+
+
+def _characters(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every character as its bytes in one number, and the index of each document's first one."""
+    start = np.flatnonzero((buf & 0xC0) != 0x80)
+    chars = buf[start].astype(np.uint32)
+    size = np.diff(np.append(start, len(buf)))
+    for j in range(1, 4):
+        long = np.flatnonzero(size > j)
+        chars[long] = chars[long] << np.uint32(8) | buf[start[long] + j]
+    return chars, np.searchsorted(start, off)
 
 
 @dataclass
@@ -95,11 +106,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     return hits.groupBy("id", "y").agg(F.min("text").alias("text"))
 
 
-def train(sample: DataFrame, epochs: int = 12, batch: int = 64, rate: float = 0.6, decay: float = 1e-3, seed: int = 7) -> Model | None:
+def class_counts(labels: DataFrame, label: str, id_col: str = "doc_id") -> dict[int, int]:
+    """Labelled ids of each class; an id that repeats counts once with its least label."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.min(label).cast("int").alias("y"))
+    return {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+
+
+def train(sample: DataFrame, counts: dict[int, int] | None = None, epochs: int = 12, batch: int = 64, rate: float = 0.6, decay: float = 1e-3, seed: int = 7) -> Model | None:
     """Fit on (id, y, text) rows of a bounded sample; a fourth of them calibrates.
 
-    Features are made on the executors; the driver holds only their indices
-    and shares.  None when a class is missing.
+    A sample drawn by class has other proportions than the labels; ``counts``,
+    the labels' own, are given back to the calibrated odds.  Features are made
+    on the executors; the driver holds only their indices and shares.  None
+    when a class is missing.
     """
 
     def features(batches):
@@ -140,12 +159,14 @@ def train(sample: DataFrame, epochs: int = 12, batch: int = 64, rate: float = 0.
             bias -= rate * r.sum() / np.sqrt(bias_square)
     z = np.array([bias + float(weights[rows[i][0]] @ rows[i][1]) for i in held])
     slope, shift = platt(z, y[held])
+    if counts and counts.get(0) and counts.get(1):
+        shift += np.log(counts[1] / (y == 1).sum()) - np.log(counts[0] / (y == 0).sum())
     del rows, got
     release()
     return Model(weights, float(bias), slope, shift)
 
 
-def platt(z: np.ndarray, y: np.ndarray, prior: tuple[float, float] | None = None) -> tuple[float, float]:
+def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a calibrating sigmoid (Newton steps, smoothed targets)."""
     pos, neg = (y == 1).sum(), (y == 0).sum()
     t = np.where(y == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))

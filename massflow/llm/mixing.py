@@ -114,10 +114,13 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, prefix: str =
     very long document is a block by itself or ends one.  Order inside a source
     is by shard (a hash of the id) and then id, length and a hash of the text,
     so rows that repeat all of these are interchangeable.  No row is dropped or
-    repeated; an empty table gives an empty result.
+    repeated; an empty table gives an empty result.  Columns of docs named like
+    an output give way to it; other names pass through, but for those that begin
+    with ``__own_``.
     """
-    src, shard, size, tie = (prefix + n for n in ("src", "shard", "size", "tie"))
+    src, shard, size, tie = ("__own_" + n for n in ("src", "shard", "size", "tie"))
     block, slot, part = (prefix + n for n in ("block", "slot", "part"))
+    docs = docs.drop(block, slot, part)
     base = docs.withColumn(src, F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))).withColumn(size, F.greatest(F.coalesce(F.col(size_col) if size_col else F.length(text_col), F.lit(0)), F.lit(1)).cast("long")).withColumn(tie, F.xxhash64(id_col, text_col))
     catalogue = base.groupBy(src).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("chars")).orderBy(src).limit(MAX_SOURCES + 1).collect()
     if len(catalogue) > MAX_SOURCES:
@@ -136,7 +139,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, prefix: str =
     # Blocks are closed inside a shard, and shards hold a bounded number of documents.
     base = base.withColumn(shard, F.pmod(F.xxhash64(id_col, F.lit("shard")), F.lit(shards)))
     inside = Window.partitionBy(src, shard).orderBy(F.col(id_col), F.col(size), F.col(tie))
-    local = prefix + "local"
+    local = "__own_local"
     rows = base.withColumn(local, F.floor((F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)) / block_chars)).withColumn(part, F.row_number().over(inside).cast("long"))
     light = base.select(src, shard, size, id_col, tie).withColumn(local, F.floor((F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)) / block_chars))
     # A block number may be skipped by a long document, so blocks are counted, not subtracted.

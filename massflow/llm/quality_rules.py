@@ -23,7 +23,7 @@ NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> lr.Model | None:
-    return lr.train(lr.labelled_sample(docs, labels, "quality", per_class))
+    return lr.train(lr.labelled_sample(docs, labels, "quality", per_class), lr.class_counts(labels, "quality"))
 
 
 def judge(docs: DataFrame, model: lr.Model | None, text_col: str = "text", prefix: str = "", keep_at: float = KEEP_AT) -> DataFrame:
@@ -31,10 +31,11 @@ def judge(docs: DataFrame, model: lr.Model | None, text_col: str = "text", prefi
 
     A null or empty text has no words: its counts are 0 and base_failed holds.
     Without a model (no labels, or one class only) quality_p is 1 and the base
-    rules decide alone.  Repeated rows are judged alike; ties do not arise.
-    Other columns pass through; a clash with an output name is for ``prefix``
-    to avoid.
+    rules decide alone.  Repeated rows are judged alike; ties do not arise; an
+    empty table gives an empty result.  Other columns pass through, but for
+    those named like an output, which takes their place; ``prefix`` avoids that.
     """
+    docs = docs.drop(*(prefix + n for n in NAMES))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the corpus
     schema = StructType(list(docs.schema))
     for f in FIELDS.split(", "):
@@ -73,7 +74,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """The rows of docs that pass, with docs' own columns (pipeline stage).
 
-    The model is fitted on labelled rows of ``known``, or else of docs.
+    The model is fitted on labelled rows of ``known``, or else of docs.  Null
+    and empty texts go, as they have no words; repeated rows go or stay
+    together; an empty table stays empty.  Columns of any names but those that
+    begin with ``__rule_`` pass through.
     """
     p = "__rule_"
     return judge(docs, fit(docs if known is None else known, labels), prefix=p).where(F.col(p + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -188,7 +188,11 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", offendin
     A null or empty text has no sentence: its score is that of no evidence,
     the span is null and n_offending 0.  Of sentences that tie, the first is the
     worst.  Without a model (a class of labels missing) every score is 0.
+    Repeated rows are scored alike, rows that share an id each by its own text;
+    an empty table gives an empty result.  Other columns pass through, but for
+    those named like an output, which takes their place.
     """
+    docs = docs.drop(*(f.split()[0] for f in FIELDS.split(", ")))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 4 MB, whatever the corpus
     schema = StructType(list(docs.schema))
     for f in FIELDS.split(", "):

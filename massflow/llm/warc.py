@@ -27,8 +27,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 DATE = "2024-01-01T00:00:00Z"
 ID = "urn:massflow:page:"
-#: Payload bytes that one archive file is planned for.
-FILE_BYTES = 32 << 20
+#: Payload bytes that one archive file is planned for, and that it holds at most if all its payloads are the longest.
+FILE_BYTES, MOST_BYTES = 32 << 20, 1 << 30
 
 
 def b32(sha1_hex: str) -> str:
@@ -73,14 +73,15 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     page_id, url and html are not archived.
     """
     again = revisits(pages, min_bytes)
-    size = pages.agg(F.avg(_size())).first()[0] or 1
+    size, longest = pages.agg(F.avg(_size()), F.max(_size())).first()
+    per_file = min(20_000, int(FILE_BYTES / max(size or 1, 400)), MOST_BYTES // max(longest or 1, 400))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", _hex().alias("hex")).join(again, ["page_id", "hex"], "left").select("page_id", "url", "html", "hex", "refers_to")
 
     def run(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_record(*x, date) for x in zip(*(c.to_pylist() for c in b.columns))], pa.string())], ["value"])
 
-    out = rows.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, min(20_000, int(FILE_BYTES / max(size, 400)))))
+    out = rows.mapInArrow(run, "value string").write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, per_file))
     out.mode("overwrite").text(path)
 
 
