@@ -1,19 +1,24 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into words: a run of spaces with what follows it, pieces
-between line ends, and marks that follow a letter in no piece.  No piece of the vocabulary spans such a cut, so words are
-encoded independently and each distinct word once.  A word's substrings of
-bounded length are exploded and joined to the piece table; the edges are
-grouped by word and folded with Spark's ``aggregate``:
+Texts are cut into words: a run of spaces with what follows it, pieces between
+line ends, and marks that follow a letter in no piece.  No piece of the
+vocabulary spans such a cut, so words are encoded independently and each
+distinct word once.  A word's substrings of bounded length are exploded and
+joined to the piece table; the edges are grouped by word and folded with
+Spark's ``aggregate`` over a bit mask of the symbol boundaries that are left:
 
 * ``unigram`` models: Viterbi over end positions, best score first;
-* ``bpe`` models: the best-ranked adjacent pair whose union is an edge is
+* ``bpe`` models: the best-ranked edge that covers exactly two symbols is
   merged, leftmost first, until none is left.  (A Viterbi fold maximises the sum
   of scores, which is not how a BPE model segments.)
 
-Characters outside the vocabulary fall back to byte pieces.  Words go back to
-their documents in shards: a shard of documents meets the dictionary of its own
-words only.
+Characters outside the vocabulary fall back to byte pieces.  A word longer than
+the mask is first cut between characters that stand together in no piece; what
+is still longer is folded with a heap, by the same rule.
+
+Documents stay in chunks of neighbouring rows.  A chunk's texts, compressed, and
+its part of the dictionary meet in one partition, dictionary first, and the
+texts are coded one blob at a time.
 """
 
 from __future__ import annotations
@@ -26,15 +31,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.frames import release
-
-#: Characters of text that one shard is planned for.
-SHARD_CHARS = 4 << 20
-#: Words longer than this are folded with a heap: the SQL fold is quadratic in the word.
-LONG_WORD = 40
+from massflow.llm.frames import release, with_position
+
+#: Bytes of text that one chunk is planned for.
+CHUNK_BYTES = 24 << 20
+#: Bytes of text in one compressed blob.
+BLOB_BYTES = 1 << 20
+#: Bytes of text of a chunk that are coded at once.
+CODED_BYTES = 6 << 20
+#: Dictionary entries that a task packs together, and ids of documents in a batch.
+PACK_ENTRIES = 1 << 20
+#: Words longer than this do not fit the mask of boundaries.
+LONG_WORD = 62
 MARK = "▁"
 _SPACES = re.compile(r" +[^ ]*")
 
@@ -53,15 +65,19 @@ class Pieces:
         spans = [t for t in self.rank if "\n" in t or re.search(f"[^{MARK}]{MARK}", t)]
         if spans:
             raise ValueError(f"pieces span words: {spans[:3]}")
-        # characters that follow a letter in no piece: a word may be cut before them
-        held = {b for t in self.rank for a, b in zip(t, t[1:]) if a.isalpha()}
-        self.ends = "".join(c for c in ",.;:!?|*#$%&" if c not in held)
+        # characters that stand together in a piece: a word may be cut between others
+        self.pairs = {a + b for t in self.rank for a, b in zip(t, t[1:])}
+        held = {p[1] for p in self.pairs if p[0].isalpha()}
+        self.ends = "".join(c for c in ",.;:?!|*#$%&" if c not in held)
+        # what a character outside the vocabulary costs a path
+        self.unknown = min((s for s, k in zip(self.score, self.kind) if k == "normal"), default=0.0) - 10
         # what a piece stands for, as bytes
         self.raw = [bytes([i - self.byte0]) if k == "byte" else t.replace(MARK, " ").encode() if k == "normal" else b"" for i, (t, k) in enumerate(zip(self.text, self.kind))]
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(sub, score, id): the vocabulary, a bounded table whatever the corpus."""
-        return spark.createDataFrame([(t, float(self.score[i]), i) for t, (_, i) in self.rank.items()], "sub string, score double, id int")
+        """(sub, rank, score, id): the vocabulary, a bounded table whatever the corpus; the empty sub marks a word."""
+        order = {c: r for r, c in enumerate(sorted({c for c, _ in self.rank.values()}))}
+        return spark.createDataFrame([("", -1, 0.0, -1), *((t, order[c], -float(c), i) for t, (c, i) in self.rank.items())], "sub string, rank int, score double, id int")
 
 
 def load(path: str, algorithm: str = "bpe") -> Pieces:
@@ -73,103 +89,122 @@ def load(path: str, algorithm: str = "bpe") -> Pieces:
     return Pieces([s.id_to_piece(i) for i in ids], [s.get_score(i) for i in ids], kind, algorithm)
 
 
-def cut_words(text: str, ends: str = "") -> list[str]:
-    """Words of a text in order, with ``\\n`` for each line end; their join is the marked text.
-
-    A run of the characters ``ends`` after a letter is a word of its own.
-    """
-    if ends:
-        out = []
-        for w in cut_words(text):
-            head = w.rstrip(ends)
-            if head and head != w and head[-1].isalpha():
-                out.append(head)
-                out.append(w[len(head) :])
-            else:
-                out.append(w)
-        return out
+def spaced(text: str) -> list[str]:
+    """What follows each word-starting space of " " + text; all but single spaces stay in front."""
     if not text:
         return []
-    words = [" " + w for w in text.split(" ")] if "  " not in text and text[0] != " " else _SPACES.findall(" " + text)
-    out = []
-    for w in words:
-        if "\n" in w:
-            head, *lines = w.split("\n")
-            if head:
-                out.append(head)
-            for line in lines:
-                out.append("\n")
-                if line:
-                    out.append(line)
-        else:
-            out.append(w)
+    if "  " in text or text[0] == " ":
+        return [w[1:] for w in _SPACES.findall(" " + text)]
+    return text.split(" ")
+
+
+def words_of(part: str, pieces: Pieces) -> list[str]:
+    """The words of " " + part in order, with ``\\n`` for each line end; their join is " " + part."""
+    out: list[str] = []
+    for k, line in enumerate((" " + part).split("\n")):
+        if k:
+            out.append("\n")
+        if not line:
+            continue
+        head = line.rstrip(pieces.ends) if pieces.ends else line
+        cuts = [head, line[len(head) :]] if head and head != line and head[-1].isalpha() else [line]
+        for w in cuts:
+            out += [w] if len(w) <= LONG_WORD else _apart(w, pieces.pairs)
     return out
 
 
+def _apart(word: str, pairs: set[str]) -> list[str]:
+    """A long word cut wherever two characters stand together in no piece."""
+    marked = word.replace(" ", MARK)
+    at = [0, *(i for i in range(1, len(word)) if marked[i - 1 : i + 1] not in pairs), len(word)]
+    return [word[a:b] for a, b in zip(at, at[1:])]
+
+
+def _first(x: Column) -> Column:
+    return F.get(x, F.lit(0))
+
+
+def _shift(x: int, n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(x).cast("long"), n)
+
+
+def _intact(m: Column, x: Column) -> Column:
+    """Whether both ends of an edge are boundaries of mask m."""
+    return m.bitwiseAND(x["ends"]) == x["ends"]
+
+
 def _bpe_fold(n: Column, edges: Column) -> Column:
-    """Symbol boundaries after all merges; edges: map of start * 64 + length to (rank, id)."""
+    """Mask of the boundaries left after all merges; edges come best rank first, then leftmost."""
 
     def step(acc: Column, _: Column) -> Column:
-        b = acc["b"]
-        pairs = F.transform(F.sequence(F.lit(0), F.size(b) - 3), lambda i: F.struct(F.try_element_at(edges, F.get(b, i) * 64 + F.get(b, i + 2) - F.get(b, i)).getField("rank").alias("rank"), i.alias("i")))
-        best = F.array_min(F.filter(pairs, lambda p: p["rank"].isNotNull()))
-        merged = F.get(F.transform(F.array(best), lambda m: F.struct(F.when(m.isNull(), b).otherwise(F.filter(b, lambda _x, j: j != m["i"] + 1)).alias("b"), m.isNotNull().alias("go"))), F.lit(0))
-        return F.when(~acc["go"] | (F.size(b) < 3), F.struct(b.alias("b"), F.lit(False).alias("go"))).otherwise(merged)
+        m = acc["m"]
+        alive = F.filter(acc["e"], lambda x: _intact(m, x))
 
-    first = F.struct(F.sequence(F.lit(0), n).alias("b"), (n > 1).alias("go"))
+        # Bound by a lambda each, as what is written twice is evaluated twice.
+        def merged(e: Column) -> Column:
+            hit = _first(F.filter(e, lambda x: F.bit_count(m.bitwiseAND(x["inner"])) == 1))["inner"]
+            return _first(F.transform(F.array(hit), lambda h: F.struct(F.when(h.isNull(), m).otherwise(m.bitwiseAND(F.bitwise_not(h))).alias("m"), F.when(h.isNotNull(), e).alias("e"))))
+
+        return F.when(acc["e"].isNull(), acc).otherwise(_first(F.transform(F.array(alive), merged)))
+
+    start = F.struct((_shift(2, n) - 1).alias("m"), F.filter(edges, lambda x: x["k"] > 1).alias("e"))
     steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, first, step, lambda acc: acc["b"])
+    return F.aggregate(steps, start, step, lambda acc: acc["m"])
 
 
 def _viterbi_fold(n: Column, edges: Column, unknown: float) -> Column:
-    """Symbol boundaries of the best path; a character without an edge costs ``unknown``."""
+    """Mask of the boundaries on the best path; a character without an edge costs ``unknown``."""
 
     def step(acc: Column, e: Column) -> Column:
-        ways = F.transform(F.sequence(F.lit(1), F.least(e, F.lit(32))), lambda k: F.struct((F.get(acc, e - k)["s"] + F.coalesce(F.try_element_at(edges, (e - k) * 64 + k).getField("score"), F.when(k == 1, F.lit(unknown)).otherwise(F.lit(float("-inf"))))).alias("s"), (e - k).alias("p")))
-        return F.concat(acc, F.array(F.array_max(ways)))
+        ways = F.transform(F.filter(edges, lambda x: (x["k"] > 0) & (x["s"] + x["k"] == e)), lambda x: F.struct((F.get(acc, x["s"])["c"] + x["score"]).alias("c"), x["s"].alias("p")))
+        alone = F.struct((F.get(acc, e - 1)["c"] + F.lit(unknown)).alias("c"), (e - 1).alias("p"))
+        return F.concat(acc, F.array(F.array_max(F.concat(ways, F.array(alone)))))
+
+    best = F.aggregate(F.sequence(F.lit(1), n), F.array(F.struct(F.lit(0.0).alias("c"), F.lit(-1).alias("p"))), step)
 
-    first = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("p")))
-    best = F.aggregate(F.sequence(F.lit(1), n), first, step)
-    # walk back from the end, prepending each start
-    return F.aggregate(F.sequence(F.lit(1), n), F.array(n), lambda b, _: F.when(F.get(b, F.lit(0)) > 0, F.concat(F.array(F.get(best, F.get(b, F.lit(0)))["p"]), b)).otherwise(b))
+    def back(acc: Column, _: Column) -> Column:
+        p = F.greatest(F.get(best, acc["at"])["p"], F.lit(0))
+        return F.struct(p.alias("at"), acc["m"].bitwiseOR(_shift(1, p)).alias("m"))
+
+    return F.aggregate(F.sequence(F.lit(1), n), F.struct(n.alias("at"), _shift(1, n).alias("m")), back, lambda acc: acc["m"])
 
 
 def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, shards, ids) of (word, shards): words as in the text, spaces not yet marked."""
-    spark = words.sparkSession
-    table = pieces.table(spark)
+    """(word, chunks, ids) of (word, chunks): words as in the text, spaces not yet marked.
+
+    ids is null for words that do not fit the mask; ``_entries`` folds them.
+    """
     marked = words.withColumn("w", F.translate("word", " ", MARK)).withColumn("n", F.char_length("w"))
-    short = marked.where(F.col("n") <= LONG_WORD)
-    top = min(pieces.longest, LONG_WORD)
-    spots = F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda p: F.transform(F.sequence(F.lit(1), F.least(F.lit(top), F.col("n") - p)), lambda k: F.struct(p.alias("p"), k.alias("k"), F.substring(F.col("w"), p + 1, k).alias("sub")))))
-    # An empty substring, at a place that is never looked up, keeps words without any edge.
-    spots = F.concat(F.array(F.struct(F.lit(-1).alias("p"), F.lit(0).alias("k"), F.lit("").alias("sub"))), spots)
-    table = table.unionByName(spark.createDataFrame([("", 0.0, -1)], table.schema))
-    subs = short.select("word", "shards", F.explode(spots).alias("x")).select("word", "shards", (F.col("x.p") * 64 + F.col("x.k")).alias("at"), F.col("x.sub").alias("sub"))
-    edges = subs.join(F.broadcast(table), "sub").groupBy("word").agg(F.any_value("shards").alias("shards"), F.map_from_entries(F.collect_list(F.struct("at", F.struct((-F.col("score")).alias("rank"), "score", "id")))).alias("edges"))
-    held = edges.withColumn("w", F.translate("word", " ", MARK)).withColumn("n", F.char_length("w"))
-    low = min((s for s, k in zip(pieces.score, pieces.kind) if k == "normal"), default=0.0) - 10
-    bounds = _bpe_fold(F.col("n"), F.col("edges")) if pieces.algorithm == "bpe" else _viterbi_fold(F.col("n"), F.col("edges"), low)
-    held = held.withColumn("b", bounds)
-
-    def symbol(i: Column) -> Column:
-        start, length = F.get("b", i), F.get("b", i + 1) - F.get("b", i)
-        known = F.try_element_at("edges", start * 64 + length).getField("id")
-        code = F.hex(F.encode(F.substring(F.col("w"), start + 1, length), "UTF-8"))
+    fits = F.col("n") <= LONG_WORD
+    starts = marked.select("word", "chunks", "w", "n", F.explode(F.sequence(F.lit(0), F.when(fits, F.col("n") - 1).otherwise(0))).alias("s"))
+    # An empty substring at the start keeps words without any edge.
+    spots = starts.select("word", "chunks", "s", "w", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.when(fits, F.least(F.lit(pieces.longest), F.col("n") - F.col("s"))).otherwise(0))).alias("k"))
+    subs = spots.select("word", "chunks", "s", "k", F.expr("substring(w, s + 1, k)").alias("sub"))
+    # Joined by a hash, as one long key is looked up several times faster than a string; then the strings must be equal.
+    table = pieces.table(words.sparkSession).select(F.xxhash64("sub").alias("key"), F.col("sub").alias("piece"), "rank", "score", "id")
+    found = subs.withColumn("key", F.xxhash64("sub")).join(F.broadcast(table), "key").where(F.startswith("sub", "piece") & F.startswith("piece", "sub"))
+    end = F.col("s") + F.col("k")
+    edge = ["rank", "s", "k", "id", "score"] if pieces.algorithm != "bpe" else ["rank", "s", "k", "id"]
+    ends, inner = _shift(1, F.col("s")).bitwiseOR(_shift(1, end)), _shift(1, end) - _shift(2, F.col("s"))
+    found = found.select("word", "chunks", F.struct(*edge, ends.alias("ends"), F.when(F.col("k") > 1, inner).otherwise(F.lit(0).cast("long")).alias("inner")).alias("edge"))
+    held = found.groupBy("word").agg(F.any_value("chunks").alias("chunks"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    held = held.withColumn("n", F.char_length("word"))
+    fold = _bpe_fold(F.col("n"), F.col("edges")) if pieces.algorithm == "bpe" else _viterbi_fold(F.col("n"), F.col("edges"), pieces.unknown)
+    held = held.withColumn("m", F.when(fits, fold))
+    kept = F.filter("edges", lambda x: (x["k"] > 0) & _intact(F.col("m"), x) & (F.col("m").bitwiseAND(x["inner"]) == 0))
+    held = held.withColumn("symbols", F.array_sort(F.transform(kept, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["id"].alias("id")))))
+    covered = F.aggregate("symbols", F.lit(0), lambda a, x: a + x["k"])
+
+    def at(i: Column) -> Column:
+        """Ids of the symbol that starts at character i; none inside another."""
+        own = F.transform(F.filter("symbols", lambda x: x["s"] == i), lambda x: x["id"])
+        inside = F.exists("symbols", lambda x: (x["s"] < i) & (x["s"] + x["k"] > i))
+        code = F.hex(F.encode(F.substring(F.translate("word", " ", MARK), i + 1, F.lit(1)), "UTF-8"))
         fallback = F.transform(F.sequence(F.lit(1), F.length(code) - 1, F.lit(2)), lambda j: F.conv(F.substring(code, j, F.lit(2)), 16, 10).cast("int") + (pieces.byte0 or 0))
-        return F.when(known.isNotNull(), F.array(known)).otherwise(fallback)
+        return F.when((F.size(own) > 0) | inside, own).otherwise(fallback)
 
-    done = held.select("word", "shards", F.flatten(F.transform(F.sequence(F.lit(0), F.size("b") - 2), symbol)).alias("ids"))
-    rank, raw0 = spark.sparkContext.broadcast((pieces.rank, pieces.byte0 or 0)), pieces.algorithm
-
-    def long_words(batches):
-        ranks, byte0 = rank.value
-        for b in batches:
-            ids = [heap_bpe(w.replace(" ", MARK), ranks, byte0) if raw0 == "bpe" else path_unigram(w.replace(" ", MARK), ranks, byte0, -low, top) for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], ["word", "shards", "ids"])
-
-    rest = marked.where(F.col("n") > LONG_WORD).select("word", "shards").mapInArrow(long_words, "word string, shards array<int>, ids array<int>")
-    return done.unionByName(rest)
+    ids = F.when(covered == F.col("n"), F.transform("symbols", lambda x: x["id"])).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.col("n") - 1), at)))
+    return held.select("word", "chunks", F.when(fits, ids).alias("ids"))
 
 
 def _symbol_ids(parts: list[str], rank: dict, byte0: int) -> list[int]:
@@ -179,6 +214,12 @@ def _symbol_ids(parts: list[str], rank: dict, byte0: int) -> list[int]:
     return out
 
 
+def fold_long(word: str, pieces: Pieces) -> list[int]:
+    """Ids of a word that does not fit the mask."""
+    marked, byte0 = word.replace(" ", MARK), pieces.byte0 or 0
+    return heap_bpe(marked, pieces.rank, byte0) if pieces.algorithm == "bpe" else path_unigram(marked, pieces.rank, byte0, -pieces.unknown, pieces.longest)
+
+
 def heap_bpe(word: str, rank: dict, byte0: int) -> list[int]:
     """The same merges with a heap and links, for words of any length."""
     n = len(word)
@@ -226,61 +267,247 @@ def decode(ids, pieces: Pieces) -> str:
     return raw[1:] if raw.startswith(" ") else raw
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def _sealed(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(blob) -> pa.Table:
+    return pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
+def _blobs(t: pa.Table, chunk: np.ndarray) -> list[tuple[int, pa.Table]]:
+    """t's rows by chunk, in their order."""
+    order = np.argsort(chunk, kind="stable")
+    c = chunk[order]
+    edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]])) if len(c) else [0]
+    if (order != np.arange(len(order))).any():
+        t = t.take(pa.array(order))
+    return [(int(c[a]), t.slice(a, b - a)) for a, b in zip(edge, edge[1:])]
+
+
+_BLOB = "chunk int, kind int, place long, blob binary"
+
+
+def _rows(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 4, kinds)], ["chunk", "kind", "place", "blob"])
+
+
+def _texts(batches):
+    """Compressed runs of a chunk's rows, about BLOB_BYTES of text each."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        for c, own in _blobs(t.drop_columns(["chunk"]), b.column("chunk").to_numpy()):
+            size = np.cumsum(pc.binary_length(own["text"]).to_numpy())
+            lo = 0
+            while lo < own.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BLOB_BYTES, "right")))
+                part = own.slice(lo, hi - lo).combine_chunks()
+                yield _rows([(c, 1, part["place"][0].as_py(), _sealed(part))])
+                lo = hi
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Each text's ``spaced`` parts, as a list array, and the texts' indices in its order."""
+    odd = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))
+    odd = pc.or_(odd, pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+    order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
+    plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    rest = pa.array([spaced(t) for t in texts.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))
+    return pa.concat_arrays([plain.cast(pa.list_(pa.string())), rest]), order
+
+
+class _Cut:
+    """``words_of`` distinct parts: plain ones, with marks after an ASCII letter or none, are cut as arrays."""
+
+    def __init__(self, parts: pa.Array, pieces: Pieces):
+        marks = re.escape(pieces.ends)
+        short = pc.and_not(pc.less(pc.utf8_length(parts), LONG_WORD), pc.match_substring(parts, "\n"))
+        whole = pc.and_(short, pc.match_substring_regex(parts, f"[^{marks}]$" if marks else "."))
+        split = pc.and_(short, pc.match_substring_regex(parts, f"[A-Za-z][{marks}]+$")) if marks else pc.and_(whole, pa.scalar(False))
+        hard = pc.invert(pc.or_(whole, split))
+        self.whole, self.split, self.hard = (np.flatnonzero(m.to_numpy(zero_copy_only=False)) for m in (whole, split, hard))
+        ended = parts.filter(split)
+        self.heads = pc.binary_join_element_wise(" ", pa.concat_arrays([parts.filter(whole), pc.utf8_rtrim(ended, pieces.ends) if marks else ended]), "")
+        self.tails = pc.extract_regex(ended, f"(?P<end>[{marks}]+)$").field("end") if marks else ended
+        self.lists = [words_of(p, pieces) for p in parts.filter(hard).to_pylist()]
+
+
+def _vocabulary(batches, pieces: Pieces):
+    """(word, chunk): each chunk's distinct words."""
+
+    def out(chunk: int, seen: list[pa.Array]):
+        cut = _Cut(pc.unique(pa.chunked_array(seen, pa.string())), pieces)
+        rest = {w for ws in cut.lists for w in ws} - {"\n"}
+        words = pc.unique(pa.chunked_array([cut.heads, cut.tails, pa.array(rest, pa.string())], pa.string()))
+        for k in range(0, len(words), 50_000):
+            one = words.slice(k, 50_000)
+            yield pa.RecordBatch.from_arrays([one, pa.array(np.full(len(one), chunk, np.int32))], ["word", "chunk"])
+
+    last, seen = None, []
+    for b in batches:
+        for c, own in _blobs(pa.Table.from_batches([b]), b.column("chunk").to_numpy()):
+            if c != last and seen:  # rows come in order; a chunk that goes on later comes in parts
+                yield from out(last, seen)
+                seen = []
+            last = c
+            for lo in range(0, own.num_rows, 1_024):
+                seen.append(pc.unique(_split(own["text"].slice(lo, 1_024).combine_chunks())[0].flatten()))
+    if seen:
+        yield from out(last, seen)
+    release()
+
+
+def _entries(batches, pieces: Pieces):
+    """Dictionary blobs per chunk: word, ids and whether the ids decode to the word."""
+    small = pa.uint16() if len(pieces.text) <= 1 << 16 else pa.int32()
+    waiting, size = [], 0
+
+    def flush():
+        t = pa.concat_tables([w for w, _ in waiting])
+        return _rows([(c, 0, 0, _sealed(own.combine_chunks())) for c, own in _blobs(t, np.concatenate([c for _, c in waiting]))])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        words, ids = b.column(0).to_pylist(), b.column(2)
+        if ids.null_count:
+            ids = pa.array([fold_long(w, pieces) if i is None else i for w, i in zip(words, ids.to_pylist())], pa.list_(pa.int32()))
+        flat, at = ids.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).astype(np.int32)
+        raw, codes = list(map(pieces.raw.__getitem__, flat.to_pylist())), at.tolist()
+        fine = [b"".join(raw[x:y]) == w.encode() for w, x, y in zip(words, codes, codes[1:])]
+        t = pa.table([b.column(0), pa.ListArray.from_arrays(pa.array(at), flat.cast(small)), pa.array(fine)], ["word", "ids", "fine"])
+        who = pc.list_parent_indices(b.column(1))
+        waiting.append((t.take(who), b.column(1).flatten().to_numpy()))
+        size += len(who)
+        if size >= PACK_ENTRIES:
+            yield flush()
+            waiting, size = [], 0
+    if waiting:
+        yield flush()
+    release()
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, end to end."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(end[-1] if len(end) else 0)
+
+
+class _Dictionary:
+    """A chunk's words with their ids end to end."""
+
+    def __init__(self, tables: list[pa.Table], pieces: Pieces):
+        self.pieces = pieces
+        line = pa.table({"word": pa.array(["\n"]), "ids": pa.array([[(pieces.byte0 or 0) + 10]], pa.list_(pa.int32())), "fine": [True]})
+        t = pa.concat_tables([*(x.set_column(1, "ids", x["ids"].cast(pa.list_(pa.int32()))) for x in tables), line]).combine_chunks()
+        ids = t["ids"].combine_chunks()
+        self.words, self.flat = t["word"].combine_chunks(), ids.flatten().to_numpy()
+        self.size = pc.list_value_length(ids).to_numpy().astype(np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.fine = t["fine"].combine_chunks().to_numpy(zero_copy_only=False)
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            raise KeyError(words.filter(pc.is_null(at))[0].as_py())
+        return at.to_numpy()
+
+    def parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids end to end, start, size, whether they decode) of distinct parts."""
+        cut = _Cut(parts, self.pieces)
+        counts = np.ones(len(parts), np.int64)
+        counts[cut.split] = 2
+        counts[cut.hard] = [len(ws) for ws in cut.lists]
+        first = np.cumsum(counts) - counts
+        word = np.empty(int(counts.sum()), np.int64)
+        word[first[np.concatenate([cut.whole, cut.split])]] = self.find(cut.heads)
+        word[first[cut.split] + 1] = self.find(cut.tails)
+        word[_spread(first[cut.hard], counts[cut.hard])] = self.find(pa.array([w for ws in cut.lists for w in ws], pa.string()))
+        ids = self.flat[_spread(self.start[word], self.size[word])]
+        owner = np.repeat(np.arange(len(parts)), counts)
+        size = np.bincount(owner, self.size[word], len(parts)).astype(np.int64)
+        return ids, np.cumsum(size) - size, size, np.bincount(owner[~self.fine[word]], minlength=len(parts)) == 0
+
+
+def _coded(t: pa.Table, known: _Dictionary, carry: tuple[str, ...]):
+    """Coded documents of some texts of a chunk, in their order."""
+    lists, order = _split(t["text"].combine_chunks())
+    coded = lists.flatten().dictionary_encode()
+    ids, start, size, fine = known.parts(coded.dictionary)
+    code, first = coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    back = np.argsort(order)
+    if (back != np.arange(len(back))).any():  # the order of the texts again
+        code = code[_spread(first[back], np.diff(first)[back])]
+        first = np.concatenate([[0], np.cumsum(np.diff(first)[back])])
+    words = np.concatenate([[0], np.cumsum(size[code])])
+    tokens, wrong = words[first], np.concatenate([[0], np.cumsum(~fine[code])])[first]
+    lo = 0
+    while lo < t.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(tokens, tokens[lo] + PACK_ENTRIES, "right")) - 1)
+        own = code[first[lo] : first[hi]]
+        out = ids[_spread(start[own], size[own])]
+        at = (tokens[lo : hi + 1] - tokens[lo]).astype(np.int32)
+        raw = memoryview(out.astype("<i4", copy=False)).cast("B")
+        crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        rows = [t[n].slice(lo, hi - lo).combine_chunks() for n in ("doc_id", *carry)]
+        made = [pa.ListArray.from_arrays(pa.array(at), pa.array(out)), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(wrong[lo + 1 : hi + 1] == wrong[lo:hi])]
+        yield pa.RecordBatch.from_arrays([rows[0], *made, *rows[1:]], ["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_ok", *carry])
+        lo = hi
+
+
+def _assembled(batches, pieces: Pieces, carry: tuple[str, ...]):
+    """Coded documents of a partition in order: a chunk's dictionary blobs come before its texts."""
+    chunk, tables, known, texts, size = None, [], None, [], 0
+    for b in batches:
+        for c, kind, blob in zip(b.column("chunk").to_pylist(), b.column("kind").to_pylist(), b.column("blob")):
+            if texts and (c != chunk or size >= CODED_BYTES):
+                yield from _coded(pa.concat_tables(texts), known, carry)
+                texts, size = [], 0
+            if c != chunk:
+                chunk, tables, known = c, [], None
+                release()
+            t = _opened(blob)
+            if kind == 0:
+                tables.append(t)
+                continue
+            if known is None:
+                known, tables = _Dictionary(tables, pieces), []
+            texts.append(t)
+            size += t["text"].nbytes
+    if texts:
+        yield from _coded(pa.concat_tables(texts), known, carry)
+    release()
+
+
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), place: str | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32, decoded_ok: one row per row of docs.
 
-    decoded_ok tells that decoding the ids gives the text back.  A null or
-    empty text has no ids.  Null ids and repeated rows pass through; ties of
-    merges go to the left.  Words of any length are read whole.  Of the
-    other columns of docs those in ``carry`` are returned, after these.  An empty table gives an empty result.
+    decoded_ok tells that decoding the ids gives the text back: each word's ids
+    are decoded, and a text is its words end to end.  A null or empty text has
+    no ids.  Null ids and repeated rows pass through; ties of merges go to the
+    left.  Words of any length are read whole.  Of the other columns of docs
+    those in ``carry`` are returned, after these.  ``place`` names a column that
+    holds each row's place from 0; without one it is the place in docs' files.
+    The result is in that order.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(total / SHARD_CHARS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(shards)).cast("int")).repartition(shards, "shard")
-
-    ends = pieces.ends
-
-    def vocabulary(batches):
-        seen: dict[int, set[str]] = {}
-        for b in batches:
-            for s, t in zip(b.column(0).to_pylist(), b.column(1)):
-                mine = seen.setdefault(s, set())
-                mine.update(cut_words(t.as_py(), ends))
-        for s, mine in list(seen.items()):
-            mine.discard("\n")
-            some = sorted(mine)
-            for k in range(0, len(some), 50_000):
-                part = some[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([s] * len(part), pa.int32()), pa.array(part, pa.string())], ["shard", "word"])
-            mine.clear()
-        seen.clear()
-        release()
-
-    words = rows.select("shard", "text").mapInArrow(vocabulary, "shard int, word string").groupBy("word").agg(F.collect_list("shard").alias("shards"))
-    entries = dictionary(words, pieces).select(F.explode("shards").alias("shard"), "word", "ids")
+    if place is None:
+        place = "__place"
+        docs, _ = with_position(docs.select(*dict.fromkeys((id_col, text_col, *carry))), place)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry, F.col(place).cast("long").alias("place"))
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.max(place).alias("last")).first()
+    per_chunk = max(1, int(CHUNK_BYTES * ((size["last"] or 0) + 1) // max(1, size["bytes"] or 0)))
+    chunks = (size["last"] or 0) // per_chunk + 1
+    rows = rows.withColumn("chunk", F.floor(F.col("place") / per_chunk).cast("int"))
     shared = spark.sparkContext.broadcast(pieces)
 
-    def together(left: pa.Table, right: pa.Table) -> pa.Table:
-        p = shared.value
-        ids = right["ids"].combine_chunks()
-        flat, off = ids.values.to_numpy().astype("<i4"), ids.offsets.to_numpy()
-        raw = flat.tobytes()
-        known = {w: raw[4 * a : 4 * b] for w, a, b in zip(right["word"].to_pylist(), off[:-1].tolist(), off[1:].tolist())}
-        known["\n"] = np.array([(p.byte0 or 0) + 10], "<i4").tobytes()
-        got, crc, fine = [], [], []
-        for t in left["text"].to_pylist():
-            x = b"".join(map(known.__getitem__, cut_words(t, p.ends)))
-            got.append(x)
-            crc.append(zlib.crc32(x))
-            fine.append(decode(np.frombuffer(x, "<i4").tolist(), p) == t)
-        at = np.concatenate([[0], np.cumsum([len(x) // 4 for x in got])]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(got), "<i4")))
-        del known, raw, got
-        release()
-        return pa.table([left["doc_id"], lists, pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(fine), *(left[c] for c in carry)], ["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_ok", *carry])
-
+    words = rows.select("chunk", "text").mapInArrow(lambda it: _vocabulary(it, shared.value), "word string, chunk int").groupBy("word").agg(F.collect_set("chunk").alias("chunks"))
+    entries = dictionary(words, pieces).mapInArrow(lambda it: _entries(it, shared.value), _BLOB)
+    dealt = rows.mapInArrow(_texts, _BLOB).unionByName(entries).repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", "kind", "place")
     kind = rows.schema["doc_id"].dataType.simpleString()
     more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.groupBy("shard").cogroup(entries.groupBy("shard")).applyInArrow(together, f"doc_id {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_ok boolean" + more)
+    return dealt.mapInArrow(lambda it: _assembled(it, shared.value, carry), f"doc_id {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_ok boolean" + more)
