@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,15 +16,27 @@ def axes(t: DataFrame) -> list[str]:
     return [k for k in t.columns if k != VALUE]
 
 
-def combine(a: DataFrame, b: DataFrame, op: Callable[[Column, Column], Column], small: bool = False) -> DataFrame:
+#: Cells of a factor that an outer product may spread over the other one.
+OUTER_CELLS = 1 << 20
+
+
+def combine(a: DataFrame, b: DataFrame, op: Callable[[Column, Column], Column]) -> DataFrame:
     """op over axis-aligned values: an equi-join on shared axes, an outer product without any.
 
-    ``small`` states that b is a bounded table that may be broadcast.
+    An outer product has the product of both sides' cells, whatever the plan; its
+    smaller side is counted, and broadcast up to OUTER_CELLS.  Two larger factors
+    are an error, not a cross join.
     """
     shared = [k for k in axes(a) if k in axes(b)]
     right = b.withColumnRenamed(VALUE, "_w")
-    right = F.broadcast(right) if small else right
-    both = a.join(right, shared) if shared else a.crossJoin(right)
+    if shared:
+        both = a.join(right, shared)
+    elif b.limit(OUTER_CELLS + 1).count() <= OUTER_CELLS:
+        both = a.join(F.broadcast(right), F.lit(True))
+    elif a.limit(OUTER_CELLS + 1).count() <= OUTER_CELLS:
+        both = F.broadcast(a).join(right, F.lit(True))
+    else:
+        raise ValueError(f"an outer product of two tables of more than {OUTER_CELLS} cells")
     keys = [*axes(a), *(k for k in axes(b) if k not in shared)]
     return both.select(*keys, op(F.col(VALUE), F.col("_w")).alias(VALUE))
 
@@ -120,6 +133,130 @@ def full(spark, shape: dict[str, int], value: float) -> DataFrame:
     return t.select(*cols, F.lit(float(value)).alias(VALUE))
 
 
+def ones(spark, shape: dict[str, int]) -> DataFrame:
+    return full(spark, shape, 1.0)
+
+
+def linspace(spark, axis: str, start: float, stop: float, n: int) -> DataFrame:
+    """n even steps, both ends included (n = 1: the start)."""
+    step = (stop - start) / (n - 1) if n > 1 else 0.0
+    return spark.range(n).select(F.col("id").cast("int").alias(axis), (start + F.col("id") * step).alias(VALUE))
+
+
+def iota(spark, axis: str, n: int) -> DataFrame:
+    """The knots 0, 1, 2, ..."""
+    return linspace(spark, axis, 0.0, n - 1.0, n)
+
+
+def wrap(spark, values: np.ndarray, names: list[str]) -> DataFrame:
+    """A dense array with named axes, its indices from one range (a driver's array is a bounded table)."""
+    x = np.asarray(values, float)
+    if x.ndim != len(names):
+        raise ValueError(f"{x.ndim} axes, {len(names)} names")
+    at = np.indices(x.shape).reshape(x.ndim, -1).astype(np.int32)
+    return spark.createDataFrame(pa.table([*at, x.ravel()], [*names, VALUE]))
+
+
+def repeat(t: DataFrame, axis: str, n: int) -> DataFrame:
+    """Every index of an axis n times in a row."""
+    return t.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(axis, F.col(axis) * n + F.col("_k")).drop("_k")
+
+
+def move_axis(t: DataFrame, axis: str, to: int) -> DataFrame:
+    order = [k for k in axes(t) if k != axis]
+    order.insert(to, axis)
+    return transpose(t, *order)
+
+
+def hstack(parts: list[DataFrame], axis: str, sizes: list[int]) -> DataFrame:
+    """Tables side by side along an axis; sizes are their lengths there."""
+    out, at = parts[0], sizes[0]
+    for p, n in zip(parts[1:], sizes[1:]):
+        out, at = concat(out, p, axis, at), at + n
+    return out
+
+
+def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Positional product: the last axis of a against the first of b, whatever their names.
+
+    The result has a's other axes and b's; one that both have gets a 2 in b's name.
+    """
+    *left, inner = axes(a)
+    first, *right = axes(b)
+    names = {k: f"{k}2" if k in left else k for k in right}
+    both = a.join(b.select(F.col(first).alias(inner), *(F.col(k).alias(f"_{n}") for k, n in names.items()), F.col(VALUE).alias("_w")), inner)
+    return both.groupBy(*left, *(F.col(f"_{n}").alias(n) for n in names.values())).agg(F.sum(F.col(VALUE) * F.col("_w")).alias(VALUE))
+
+
+def intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The index tuples that both tables have."""
+    return a.select(*axes(a)).join(b.select(*axes(a)), axes(a), "left_semi")
+
+
+def assign(a: DataFrame, b: DataFrame, op: Callable[[Column, Column], Column] = lambda x, y: y) -> DataFrame:
+    """a with op(a, b) in the cells that b has, too (=, +=, -=, *=, /=); cells of b alone are left out."""
+    both = a.join(b.withColumnRenamed(VALUE, "_w"), axes(a), "left")
+    return both.select(*axes(a), F.when(F.col("_w").isNotNull(), op(F.col(VALUE), F.col("_w"))).otherwise(F.col(VALUE)).alias(VALUE))
+
+
+def squeeze(t: DataFrame, axis: str) -> DataFrame:
+    """t without an axis of length 1."""
+    return t.where(F.when(F.col(axis) != 0, F.raise_error(F.lit(f"axis {axis} is longer than 1")).cast("boolean")).otherwise(True)).drop(axis)
+
+
+def unsqueeze(t: DataFrame, axis: str, to: int = 0) -> DataFrame:
+    return move_axis(extend(t, axis), axis, to)
+
+
+def row(t: DataFrame, k: int) -> DataFrame:
+    """One index of the first axis."""
+    return pick(t, axes(t)[0], k)
+
+
+def offset(t: DataFrame, **by: int) -> DataFrame:
+    """The view that begins at the given indices."""
+    for axis, k in by.items():
+        t = t.where(F.col(axis) >= k).withColumn(axis, F.col(axis) - k)
+    return t
+
+
+def length(t: DataFrame, axis: str) -> int:
+    """One more than the greatest index of an axis."""
+    top = t.agg(F.max(axis)).first()[0]
+    return 0 if top is None else top + 1
+
+
+def scalar(t: DataFrame) -> float:
+    """The value of a table of one cell."""
+    some = t.select(VALUE).take(2)
+    if len(some) != 1:
+        raise ValueError("not one cell")
+    return float(some[0][0])
+
+
+def rows_of(t: DataFrame):
+    """(index, sub-table) along the first axis; one small lookup of indices, a filter each."""
+    first = axes(t)[0]
+    for k in range(length(t, first)):
+        yield k, pick(t, first, k)
+
+
+def dense(t: DataFrame, most: int = 1 << 22) -> np.ndarray:
+    """The table as an array on the driver, missing cells nan; an error beyond ``most`` cells."""
+    if t.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} cells")
+    p = t.toPandas()
+    at = tuple(p[k].to_numpy() for k in axes(t))
+    out = np.full([int(i.max(initial=-1)) + 1 for i in at], np.nan)
+    out[at] = p[VALUE].to_numpy()
+    return out
+
+
+def stop_gradient(t: DataFrame) -> DataFrame:
+    """The table itself: derivatives are tables of their own here."""
+    return t
+
+
 def from_nested(spark, values: list, names: list[str]) -> DataFrame:
     """Nested lists, ragged ones too, as a long table."""
     rows: list[tuple] = []
@@ -167,6 +304,46 @@ def normalized(a: Column) -> Column:
     return F.transform(a, lambda x: F.try_divide(x, norm(a)))
 
 
+def vmap(a: Column, f: Callable[[Column], Column]) -> Column:
+    """Elementwise: floor, ceil, neg, a scalar's product."""
+    return F.transform(a, lambda x: f(x))
+
+
+def vzip(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """Elementwise of two vectors: +, -, *, /, least, greatest."""
+    return F.zip_with(a, b, f)
+
+
+def vargmax(a: Column) -> Column:
+    """The first index (from 0) of the greatest component."""
+    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Direction cosine; null for a zero vector."""
+    return F.try_divide(vdot(a, b), norm(a) * norm(b))
+
+
+def minor(m: Column, n: int, row: int, col: int) -> Column:
+    """A row-major n x n array without a row and a column."""
+    return F.array(*(F.get(m, F.lit(i * n + j)) for i in range(n) for j in range(n) if i != row and j != col))
+
+
+def diagonal(m: Column, n: int) -> Column:
+    return F.array(*(F.get(m, F.lit(i * n + i)) for i in range(n)))
+
+
+def replaced_column(m: Column, n: int, col: int, b: Column) -> Column:
+    return F.array(*(F.get(b, F.lit(i)) if j == col else F.get(m, F.lit(i * n + j)) for i in range(n) for j in range(n)))
+
+
+def det(m: Column, n: int) -> Column:
+    """Determinant by cofactors of the first row (n is a small constant)."""
+    if n <= 3:
+        return F.get(m, F.lit(0)) if n == 1 else det2(m) if n == 2 else det3(m)
+    return sum((F.get(m, F.lit(j)) * det(minor(m, n, 0, j), n - 1) * (-1) ** j for j in range(n)), F.lit(0.0))
+
+
 def det2(m: Column) -> Column:
     """Determinant of a row-major 2 x 2 array."""
     return F.get(m, F.lit(0)) * F.get(m, F.lit(3)) - F.get(m, F.lit(1)) * F.get(m, F.lit(2))

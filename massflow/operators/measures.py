@@ -5,6 +5,9 @@ diracs: (batch, dirac_id, pos, w); density: (batch, cell_id, x0, x1, y).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +62,8 @@ def image_mass(cells: DataFrame, knots: DataFrame, det: float = 1.0) -> DataFram
 def histogram(df: DataFrame, value: str, bins: int = BINS) -> DataFrame:
     """(cell_id, x0, x1, y): counts of ``value`` in equal bins between its extremes; empty bins have y = 0."""
     lo, hi = df.agg(F.min(value), F.max(value)).first()
+    if lo is None:  # no values: no cells
+        return df.sparkSession.createDataFrame([], "cell_id int, x0 double, x1 double, y double")
     lo, hi = float(lo), float(hi)
     dw = (hi - lo) / bins or 1.0
     b = F.least(F.floor((F.col(value) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int") if hi > lo else F.lit(0)
@@ -70,3 +75,47 @@ def histogram(df: DataFrame, value: str, bins: int = BINS) -> DataFrame:
 def for_batches(cells: DataFrame, points: DataFrame) -> DataFrame:
     """One density shared by every batch of points (cells: a bounded number of bins)."""
     return points.select("batch").distinct().join(F.broadcast(cells), F.lit(True))
+
+
+@dataclass(frozen=True)
+class Measure:
+    """A measure of either kind, with what it can be asked for.
+
+    kind "diracs": (batch, dirac_id, pos, w); "density": (batch, cell_id, x0, x1, y).
+    Its mass and its normalized form are planned once, when first asked for.
+    """
+
+    kind: str
+    table: DataFrame
+
+    def __post_init__(self):
+        if self.kind not in ("diracs", "density"):
+            raise ValueError(f"no such kind: {self.kind}")
+
+    @cached_property
+    def mass(self) -> DataFrame:
+        return point_mass(self.table) if self.kind == "diracs" else density_mass(self.table)
+
+    @cached_property
+    def normalized(self) -> DataFrame:
+        return normalize_points(self.table) if self.kind == "diracs" else normalize_density(self.table)
+
+    def batch_slice(self, *batches: object) -> Measure:
+        return Measure(self.kind, self.table.where(F.col("batch").isin(*batches)))
+
+    def as_diracs(self) -> DataFrame:
+        """Points as they are; cells as their centers with their masses."""
+        if self.kind == "diracs":
+            return self.table
+        t = self.table
+        return diracs(t, F.col("batch"), F.col("cell_id"), (F.col("x0") + F.col("x1")) / 2, F.col("y") * (F.col("x1") - F.col("x0")))
+
+    def as_density(self) -> DataFrame | None:
+        """Cells as they are; points have no density: None."""
+        return self.table if self.kind == "density" else None
+
+    def plan_to(self, target: Measure) -> DataFrame | None:
+        """The transport plan to a density; None where this pair has no closed form."""
+        from massflow.operators.transport import pieces
+
+        return pieces(self.as_diracs(), target.table) if target.kind == "density" else None

@@ -196,6 +196,17 @@ def displacement(before: DataFrame, after: DataFrame) -> DataFrame:
     return d.agg(F.max(F.greatest(F.abs(c("x") - c("x0")), F.abs(c("y") - c("y0")))).alias("most"), F.avg(F.sqrt((c("x") - c("x0")) ** 2 + (c("y") - c("y0")) ** 2)).alias("mean"))
 
 
+def direction_cosine(before: DataFrame, here: DataFrame, after: DataFrame) -> DataFrame:
+    """Cosine between two successive steps of all points together; null where one step is none."""
+    def at(t: DataFrame, k: int) -> DataFrame:
+        return t.select("dirac_id", c("x").alias(f"x{k}"), c("y").alias(f"y{k}"))
+
+    t = at(before, 0).join(at(here, 1), "dirac_id").join(at(after, 2), "dirac_id")
+    ax, ay, bx, by = c("x1") - c("x0"), c("y1") - c("y0"), c("x2") - c("x1"), c("y2") - c("y1")
+    s = t.agg(F.sum(ax * bx + ay * by).alias("ab"), F.sum(ax * ax + ay * ay).alias("aa"), F.sum(bx * bx + by * by).alias("bb"))
+    return s.select(F.try_divide(c("ab"), F.sqrt(c("aa") * c("bb"))).alias("cosine"))
+
+
 def split_points(points: DataFrame, factor: int, noise: Column, id_col: str = "dirac_id") -> DataFrame:
     """Every point becomes ``factor`` children at its place plus ``noise`` times two hash-like units of the child id."""
     kids = points.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(factor - 1)))).withColumn("child", c(id_col) * factor + c("_j"))
@@ -209,3 +220,23 @@ def split_points(points: DataFrame, factor: int, noise: Column, id_col: str = "d
 def subsample(points: DataFrame, k: int, id_col: str = "dirac_id") -> DataFrame:
     """k points without replacement: those whose ids come first in a fixed scramble."""
     return points.orderBy((c(id_col) * 48_271 + 11) % 2_147_483_647, id_col).limit(k)
+
+
+def descend(points: DataFrame, gradient: DataFrame, rate: float) -> DataFrame:
+    """points moved by rate against (dirac_id, gx, gy); a point without a gradient stays."""
+    moved = points.join(gradient, "dirac_id", "left")
+    step = {"x": "gx", "y": "gy"}
+    return moved.select(*((c(k) - rate * F.coalesce(step[k], F.lit(0.0))).alias(k) if k in step else c(k) for k in points.columns))
+
+
+def adam_step(points: DataFrame, gradient: DataFrame, moments: DataFrame | None, step: int, rate: float, beta1: float = 0.9, beta2: float = 0.999, eps: float = 1e-8) -> DataFrame:
+    """(dirac_id, x, y, mx, my, vx, vy): points after Adam's step number ``step`` (from 1), with the moments for the next one."""
+    t = points.select("dirac_id", "x", "y").join(gradient, "dirac_id", "left").fillna(0.0, ["gx", "gy"])
+    if moments is None:
+        t = t.select("*", *(F.lit(0.0).alias(k) for k in ("mx", "my", "vx", "vy")))
+    else:
+        t = t.join(moments.select("dirac_id", "mx", "my", "vx", "vy"), "dirac_id")
+    for k in "xy":
+        t = t.withColumn("m" + k, beta1 * c("m" + k) + (1 - beta1) * c("g" + k)).withColumn("v" + k, beta2 * c("v" + k) + (1 - beta2) * c("g" + k) * c("g" + k))
+        t = t.withColumn(k, c(k) - rate * (c("m" + k) / (1 - beta1**step)) / (F.sqrt(c("v" + k) / (1 - beta2**step)) + eps))
+    return t.select("dirac_id", "x", "y", "mx", "my", "vx", "vy")

@@ -9,6 +9,7 @@ loops over NumPy vectors, as those are small beside the sinogram.
 
 from __future__ import annotations
 
+import itertools
 import math
 import time
 from abc import ABC, abstractmethod
@@ -16,7 +17,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ def _pieces(pos: np.ndarray, w: np.ndarray, edges: np.ndarray, y: np.ndarray):
     q = np.concatenate([[0.0], np.cumsum(wn)])
     cum = np.concatenate([[0.0], np.cumsum(m)])
     q[-1] = cum[-1] = 1.0
-    cuts = np.union1d(q, cum)
+    cuts = np.sort(np.concatenate([q, cum]), kind="stable")  # two sorted runs; equal ends make empty pieces
     lo, hi = cuts[:-1], cuts[1:]
     k = np.minimum(np.searchsorted(q, lo, "right") - 1, len(p) - 1)
     cell = np.minimum(np.searchsorted(cum, lo, "right") - 1, len(on) - 1)
@@ -78,66 +79,76 @@ def density_gradient(pos: np.ndarray, w: np.ndarray, edges: np.ndarray, y: np.nd
     return cost, (g - np.diff(edges) * (g * y).sum() / m.sum()) / m.sum()
 
 
+def tent_density(s0: np.ndarray, r: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(knots, height, slope, mass before) of a sum of tents of half-width r: linear between sorted knots."""
+    knots = np.concatenate([s0 - r, s0, s0 + r])
+    order = np.argsort(knots, kind="stable")
+    knots = knots[order]
+    slope = np.cumsum(np.repeat([1 / r, -2 / r, 1 / r], len(s0))[order])
+    gap = np.diff(knots)
+    height = np.concatenate([[0.0], np.cumsum(slope[:-1] * gap)])
+    before = np.concatenate([[0.0], np.cumsum(height[:-1] * gap + slope[:-1] * gap * gap / 2)])
+    return knots, height, slope, before
+
+
 def tent_transport(s0: np.ndarray, r: float, edges: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
     """Cost and its gradient by s0: bin centers with masses y to a sum of tents of half-width r.
 
-    A sweep over the tents' breakpoints carries height and slope; a segment is
-    cut where the current bin's mass is used up, a root of a quadratic.
+    In mass space: the bins' levels are looked up among the masses at the
+    density's knots, and knots and levels together cut the line into pieces of
+    one bin and one linear height each.  Cost and gradient are running sums of
+    the pieces' polynomials.
     """
-    n = len(s0)
-    total = n * r
-    mass = y * np.diff(edges)
-    mass = mass / mass.sum() * total
-    centers = (edges[:-1] + edges[1:]) / 2
-    at = np.concatenate([s0 - r, s0, s0 + r])
-    jump = np.concatenate([np.full(n, 1 / r), np.full(n, -2 / r), np.full(n, 1 / r)])
-    order = np.argsort(at, kind="stable")
-    at, jump = at[order], jump[order]
-    height = slope = cost = s = hat = 0.0
-    i, left = 0, mass[0]
-    while i < len(mass) - 1 and left <= 0:
-        i, left = i + 1, mass[i + 1]
-    known_s, known_hat = np.zeros(len(at)), np.zeros(len(at))
-    for e in range(len(at)):
-        known_s[e], known_hat[e] = s, hat
-        slope += jump[e]
-        if e == len(at) - 1:
-            break
-        u, rest = at[e], at[e + 1] - at[e]
-        while rest > 0:
-            area = height * rest + slope * rest * rest / 2
-            x = rest
-            if i < len(mass) - 1 and area > left:
-                root = math.sqrt(max(height * height + 2 * slope * left, 0.0))
-                x = left / height if abs(slope) < 1e-12 and height > 0 else (root - height) / slope if abs(slope) >= 1e-12 else rest
-                x = min(max(x, 0.0), rest)
-                area = left
-            d = u - centers[i]
-            cost += height * (d * d * x + d * x * x + x**3 / 3) + slope * (d * d * x * x / 2 + 2 * d * x**3 / 3 + x**4 / 4)
-            hat += s * x - d * x * x / 2 - x**3 / 6
-            s += -d * x - x * x / 2
-            height += slope * x
-            u, rest, left = u + x, rest - x, left - area
-            while i < len(mass) - 1 and left <= 1e-15 * total:
-                i, left = i + 1, max(mass[i + 1], 0.0)
-            if x == 0 and rest > 0 and i >= len(mass) - 1:
-                left = math.inf
-    back = np.empty(3 * n, int)
-    back[order] = np.arange(3 * n)
-    low, mid, high = (known_hat[back[k * n : (k + 1) * n]] for k in range(3))
-    return cost / total, -2 / (total * r) * ((high - mid) - (mid - low))
+    knots, height, slope, before = tent_density(s0, r)
+    whole = before[-1]
+    m = y * np.diff(edges)
+    level = np.cumsum(m)[:-1] / m.sum() * whole
+    # Where the density has given each level: the root of a quadratic inside its segment.
+    k = np.clip(np.searchsorted(before, level, "right") - 1, 0, len(knots) - 2)
+    rest = np.maximum(level - before[k], 0.0)
+    lift = height[k] + np.sqrt(np.maximum(height[k] ** 2 + 2 * slope[k] * rest, 0.0))
+    spot = np.clip(knots[k] + np.divide(2 * rest, lift, out=np.zeros_like(rest), where=lift > 0), knots[k], knots[k + 1])
+    u = np.concatenate([knots, spot])
+    order = np.argsort(u, kind="stable")
+    u = u[order]
+    seg = np.clip(np.cumsum(order < len(knots)) - 1, 0, len(knots) - 2)
+    bins = np.cumsum(order >= len(knots))
+    u, v, seg, bins = u[:-1], u[1:], seg[:-1], bins[:-1]
+    center = ((edges[:-1] + edges[1:]) / 2)[bins]
+    p, q = u - center, v - center
+    # Height as a + b z about the bin's center.
+    b = slope[seg]
+    a = height[seg] - b * (knots[seg] - center)
+    cost = float((a * (q**3 - p**3) / 3 + b * (q**4 - p**4) / 4).sum()) / whole
+    # The potential's derivative is 2 (z - center); each tent takes the second difference of its second antiderivative.
+    first = np.concatenate([[0.0], np.cumsum(q * q - p * p)])
+    second = np.concatenate([[0.0], np.cumsum((first[:-1] - p * p) * (v - u) + (q**3 - p**3) / 3)])
+    at = np.searchsorted(np.append(u, v[-1]), np.stack([s0 - r, s0, s0 + r]), "left")
+    low, mid, high = second[np.minimum(at, len(second) - 1)]
+    return cost, (low - 2 * mid + high) / (r * whole)
+
+
+#: Disks of one block of disk_profile and of the gradient's chords: bounds their disks x bins arrays.
+DISK_BLOCK = 2_048
 
 
 def disk_profile(s0: np.ndarray, r: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Sum of the disks' chords, integrated per bin and divided by its width."""
-    t = np.clip(edges[None, :] - s0[:, None], -r[:, None], r[:, None])
-    g = t * np.sqrt(np.maximum(r[:, None] ** 2 - t**2, 0)) + r[:, None] ** 2 * np.arcsin(np.clip(t / r[:, None], -1, 1))
-    return np.diff(g, axis=1).sum(0) / np.diff(edges)
+    """Sum of the disks' chords, integrated per bin and divided by its width; in blocks of disks."""
+    total = np.zeros(len(edges))
+    for k in range(0, len(s0), DISK_BLOCK):
+        own = r[k : k + DISK_BLOCK, None]
+        t = np.clip(edges[None, :] - s0[k : k + DISK_BLOCK, None], -own, own)
+        total += (t * np.sqrt(np.maximum(own**2 - t**2, 0)) + own**2 * np.arcsin(np.clip(t / own, -1, 1))).sum(0)
+    return np.diff(total) / np.diff(edges)
 
 
 # ---- models -----------------------------------------------------------------------
 
 
+#: Bytes of trial points that are broadcast at once; more trials go one by one.
+MOST_TRIAL_BYTES = 256 << 20
+
+
 class Model(ABC):
     """cost over trials of points; value_and_grad; floor, the least loss it can reach."""
 
@@ -157,40 +168,61 @@ class Model(ABC):
     def floor(self) -> float:
         return 0.0
 
-    def _job(self, trials: list[np.ndarray], grad: bool) -> tuple[np.ndarray, np.ndarray]:
-        shared = self.spark.sparkContext.broadcast(trials)  # 2n doubles a trial
+    def radii(self, points: np.ndarray) -> np.ndarray:
+        """The radius with which each point is drawn; 0 for points without extent."""
+        return np.full(len(points), getattr(self, "radius", 0.0))
+
+    def wrap(self, points: np.ndarray) -> DataFrame:
+        """Positions as a table (dirac_id, x, y, r)."""
+        columns = [np.arange(len(points)), points[:, 0], points[:, 1], self.radii(points)]
+        return self.spark.createDataFrame(pa.table([pa.array(col) for col in columns], ["dirac_id", "x", "y", "r"]))
+
+    def _job(self, trials: list[np.ndarray], with_grad: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Costs of all trials, and the gradients of the first ``with_grad`` of them."""
+        if sum(p.nbytes for p in trials) > MOST_TRIAL_BYTES:
+            parts = [self._job([p], int(k < with_grad)) for k, p in enumerate(trials)] if len(trials) > 1 else None
+            if parts is None:
+                raise ValueError("the points are too many to be sent to every task")
+            return np.concatenate([c for c, _ in parts]), [g for _, gs in parts for g in gs]
+        shared = self.spark.sparkContext.broadcast(trials)  # 2n doubles a trial, bounded above
         n_angles, model_angle = self.g.nb_angles, self.angle
         self.evaluations += len(trials)
 
         def run(batches):
             pts = shared.value
-            cost, total = np.zeros(len(pts)), np.zeros_like(pts[0])
+            cost, total = np.zeros(len(pts)), [np.zeros_like(p) for p in pts[:with_grad]]
             for b in batches:
-                for k, y in zip(b.angle_id, b.y):
-                    th = k * math.pi / n_angles
+                for k, y in zip(b.column("angle_id").to_pylist(), b.column("y")):
+                    th, profile = k * math.pi / n_angles, y.values.to_numpy()
                     normal = np.array([math.cos(th), math.sin(th)])
                     for j, p in enumerate(pts):
-                        v, d = model_angle(p @ normal, np.asarray(y, float), grad)
+                        v, d = model_angle(p @ normal, profile, j < with_grad)
                         cost[j] += v
-                        if grad:
-                            total += d[:, None] * normal
-            yield pd.DataFrame({"cost": [cost.tolist()], "grad": [total.ravel().tolist() if grad else []]})
+                        if j < with_grad:
+                            total[j] += d[:, None] * normal
+            yield pa.RecordBatch.from_arrays([pa.array([cost.tobytes()], pa.binary()), pa.array([b"".join(t.tobytes() for t in total)], pa.binary())], ["cost", "grad"])
 
-        got = self.rows.mapInPandas(run, "cost array<double>, grad array<double>").toPandas()  # a row per task
+        got = self.rows.mapInArrow(run, "cost binary, grad binary").collect()  # a row per task
         shared.destroy()
-        cost = np.sum([np.asarray(x) for x in got.cost], axis=0)
-        return cost, np.sum([np.asarray(x) for x in got.grad], axis=0).reshape(trials[0].shape) if grad else np.zeros(0)
+        cost = np.sum([np.frombuffer(r["cost"]) for r in got], axis=0)
+        grads = np.sum([np.frombuffer(r["grad"]) for r in got], axis=0).reshape(with_grad, *trials[0].shape) if with_grad else []
+        return cost, list(grads)
 
     def costs(self, trials: list[np.ndarray]) -> np.ndarray:
         """Costs of several point sets of one size, in one job."""
-        return self._job(trials, False)[0]
+        return self._job(trials, 0)[0]
 
     def cost(self, points: np.ndarray) -> float:
         return float(self.costs([points])[0])
 
     def value_and_grad(self, points: np.ndarray) -> tuple[float, np.ndarray]:
-        v, g = self._job([points], True)
-        return float(v[0]), g
+        v, g = self._job([points], 1)
+        return float(v[0]), g[0]
+
+    def costs_and_first_grad(self, trials: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Costs of all trials and the gradient at the first, in one job: what a line search mostly needs next."""
+        v, g = self._job(trials, 1)
+        return v, g[0]
 
 
 class DiracModel(Model):
@@ -230,13 +262,16 @@ class DiskModel(Model):
         centers = (self.edges[:-1] + self.edges[1:]) / 2
         on = y > 0
         if density.sum() <= 0:
-            return float(((s.mean() - (centers * y).sum() / y.sum()) ** 2) + self.g.extent**2), np.zeros(len(s))
+            # No disk is in the field: beyond any cost inside it, and less the nearer they are.
+            off = s.mean() - (centers * y).sum() / y.sum()
+            return float(off**2 + self.g.extent**2), np.full(len(s), 2 * off / len(s))
         if not grad:
             return transport(centers[on], y[on], self.edges, density)[0], np.zeros(0)
         cost, by_density = density_gradient(centers[on], y[on], self.edges, density)
-        u = self.edges[None, :] - s[:, None]
-        chord = np.where(np.abs(u) < self.radius, 2 * np.sqrt(np.maximum(self.radius**2 - u**2, 0)), 0.0)
-        return cost, -(np.diff(chord, axis=1) / np.diff(self.edges) * by_density).sum(1)
+        # Differences of chords against the density's gradient, as chords against its differences.
+        step = -np.diff(np.concatenate([[0.0], by_density / np.diff(self.edges), [0.0]]))
+        out = [2 * np.sqrt(np.maximum(self.radius**2 - (self.edges[None, :] - s[k : k + DISK_BLOCK, None]) ** 2, 0)) @ step for k in range(0, len(s), DISK_BLOCK)]
+        return cost, -np.concatenate(out)
 
     def __getstate__(self):
         return {"edges": self.edges, "radius": self.radius, "g": self.g}
@@ -256,6 +291,20 @@ class TentModel(Model):
         return {"edges": self.edges, "radius": self.radius}
 
 
+#: Models by name; ``make_model`` leaves out what one does not take.
+MODELS: dict[str, type[Model]] = {"diracs": DiracModel, "disks": DiskModel, "tents": TentModel}
+
+
+def make_model(name: str, sino: DataFrame, g: Geometry, radius: float | None = None) -> Model:
+    if name not in MODELS:
+        raise ValueError(f"no such model: {name}; there are {', '.join(MODELS)}")
+    if name == "diracs":
+        return DiracModel(sino, g)
+    if radius is None:
+        raise ValueError(f"{name} need a radius")
+    return MODELS[name](sino, g, radius)
+
+
 # ---- optimizers ---------------------------------------------------------------------
 
 Step = Callable[[int, np.ndarray, float], None]
@@ -270,23 +319,29 @@ def gradient_descent(model: Model, x: np.ndarray, steps: int = 100, rate: float
     return x
 
 
-def armijo(model: Model, x: np.ndarray, v: float, g: np.ndarray, d: np.ndarray, step: float, c1: float = 1e-4, tries: int = 20) -> tuple[float, float, bool]:
-    """The largest halving of ``step`` that lowers the cost enough; several are tried in one job."""
+def armijo(model: Model, x: np.ndarray, v: float, g: np.ndarray, d: np.ndarray, step: float, c1: float = 1e-4, tries: int = 20) -> tuple[float, float, bool, np.ndarray | None]:
+    """The largest halving of ``step`` that lowers the cost enough; several are tried in one job.
+
+    Also the gradient there, where the job has it: at the first trial of a job.
+    """
     slope = float((g * d).sum())
     for at in range(0, tries, 4):
         ts = [step * 0.5 ** (at + j) for j in range(min(4, tries - at))]
-        for t, c in zip(ts, model.costs([x + t * d for t in ts])):
+        costs, grad = model.costs_and_first_grad([x + t * d for t in ts])
+        for j, (t, c) in enumerate(zip(ts, costs)):
             if c <= v + c1 * t * slope:
-                return t, float(c), True
-    return step * 0.5**tries, v, False
+                return t, float(c), True, grad if j == 0 else None
+    return step * 0.5**tries, v, False, None
 
 
 def line_search_descent(model: Model, x: np.ndarray, steps: int = 50, rate: float | None = None, on_step: Step | None = None) -> np.ndarray:
     t = rate or 1.0
+    g = None
     for k in range(steps):
-        v, g = model.value_and_grad(x)
+        if g is None:
+            v, g = model.value_and_grad(x)
         d = -len(x) * g / model.g.nb_angles
-        t, v, _ = armijo(model, x, v, g, d, 2 * t)
+        t, v, _, g = armijo(model, x, v, g, d, 2 * t)
         x = x + t * d
         on_step and on_step(k, x, v)
     return x
@@ -328,14 +383,15 @@ def lbfgs(model: Model, x: np.ndarray, steps: int = 50, min_iter: int = 0, ftol:
         d = two_loop(g, pairs) if pairs else -len(x) * g / model.g.nb_angles
         if float((d * g).sum()) >= 0:
             pairs, d = [], -len(x) * g / model.g.nb_angles
-        t, _, ok = armijo(model, x, v, g, d, 1.0)
+        t, nv, ok, ng = armijo(model, x, v, g, d, 1.0)
         if not ok:
             if not pairs:
                 break
             pairs = []
             continue
         new = x + t * d
-        nv, ng = model.value_and_grad(new)
+        if ng is None:
+            nv, ng = model.value_and_grad(new)
         s, y = new - x, ng - g
         if float((s * y).sum()) > 1e-12:
             pairs = [*pairs, (s, y)][-memory:]
@@ -362,10 +418,10 @@ def subspace_newton(model: DiracModel, x: np.ndarray, steps: int = 30, tikhonov:
         d = sum(a * e for a, e in zip(np.linalg.solve(h, -b), basis))
         if float((d * g).sum()) >= 0:
             d = -len(x) * g / model.g.nb_angles
-        t, _, ok = armijo(model, x, v, g, d, 1.0)
+        t, _, ok, _ = armijo(model, x, v, g, d, 1.0)
         if not ok:
             d = -len(x) * g / model.g.nb_angles
-            t, _, _ = armijo(model, x, v, g, d, 1.0)
+            t, _, _, _ = armijo(model, x, v, g, d, 1.0)
         x = x + t * d
         past = [*past, t * d][-history:]
         last = v
@@ -426,18 +482,28 @@ def conjugate(model: Model, x: np.ndarray, steps: int = 30, method: str = "pr",
 
 
 def grid_search(model: Model, x: np.ndarray, dirs: list[np.ndarray], boxes: list[tuple[float, float]], n: int = 15, grow: int = 4) -> tuple[list[float], float]:
-    """Least cost over a grid of steps along 2 or 3 directions, one job per grid; boxes grow while it lies on a side."""
+    """Least cost over steps along 2 or 3 directions, one job per grid.
+
+    The next grid is centered on the best place so far, twice as wide where
+    that lies on the rim and as wide as before elsewhere, until it is inside
+    or ``grow`` grids are used; a step along the first direction stays positive.
+    The place is then polished.
+    """
+    lo, hi = (np.array(b, float) for b in zip(*boxes))
+    least, found = math.inf, (lo + hi) / 2
     for _ in range(grow + 1):
-        axes = [np.linspace(lo, hi, n) for lo, hi in boxes]
-        at = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, len(dirs))
-        cost = model.costs([x + sum(t * d for t, d in zip(ts, dirs)) for ts in at])
-        best = at[int(np.argmin(cost))]
-        grown = [(lo - (hi - lo) * (k > 0 and abs(t - lo) <= 1e-3 * (hi - lo)), hi + (hi - lo) * (abs(t - hi) <= 1e-3 * (hi - lo))) for k, (t, (lo, hi)) in enumerate(zip(best, boxes))]
-        if grown == boxes:
+        places = np.array(list(itertools.product(*(np.linspace(a, b, n) for a, b in zip(lo, hi)))))
+        cost = model.costs([x + np.tensordot(ts, np.stack(dirs), 1) for ts in places])
+        if cost.min() < least:
+            least, found = float(cost.min()), places[int(cost.argmin())]
+        rim = np.minimum(found - lo, hi - found) < (hi - lo) / (2 * n)
+        rim[0] &= found[0] > lo[0] + (hi[0] - lo[0]) / (2 * n)  # zero step is a bound, not a rim
+        if not rim.any():
             break
-        boxes = grown
-    fine = [max((hi - lo) / (n - 1), 1e-12) for lo, hi in boxes]
-    return nelder_mead(lambda ts: model.costs([x + sum(t * d for t, d in zip(p, dirs)) for p in ts]), best, fine, boxes)
+        half = (hi - lo) / 2 * np.where(rim, 2.0, 1.0)
+        lo, hi = np.where(rim, found - half, lo), np.where(rim, found + half, hi)
+        lo[0] = max(lo[0], 0.0)
+    return nelder_mead(lambda ts: model.costs([x + np.tensordot(np.asarray(p), np.stack(dirs), 1) for p in ts]), found, list(np.maximum((hi - lo) / (n - 1), 1e-12)), list(zip(lo, hi)))
 
 
 def nelder_mead(f: Callable[[list[np.ndarray]], np.ndarray], start: np.ndarray, size: list[float], boxes: list[tuple[float, float]], steps: int = 60, xtol: float = 1e-6, ytol: float = 1e-10) -> tuple[list[float], float]:
@@ -463,18 +529,70 @@ def nelder_mead(f: Callable[[list[np.ndarray]], np.ndarray], start: np.ndarray,
     return list(p[k]), float(y[k])
 
 
-def quadratic_step(model: Model, x: np.ndarray, v: float, g: np.ndarray, d1: np.ndarray, d2: np.ndarray, a: float) -> tuple[float, float]:
-    """Steps along d1 (downhill) and d2 from a quadratic fitted to five probes of one job."""
-    h, k = a / 2, 0.5
-    at = [(h, 0.0), (-h, 0.0), (0.0, k), (0.0, -k), (h, k)]
-    y = model.costs([x + t * d1 + s * d2 for t, s in at])
-    b1, b2 = float((g * d1).sum()), float((g * d2).sum())
-    a11, a22 = (y[0] + y[1] - 2 * v) / (h * h), (y[2] + y[3] - 2 * v) / (k * k)
-    a12 = (y[4] - v - b1 * h - b2 * k - a11 * h * h / 2 - a22 * k * k / 2) / (h * k)
-    det = a11 * a22 - a12 * a12
-    if a11 <= 0 or det <= 0:
-        return h, 0.0
-    return float(np.clip((-b1 * a22 + b2 * a12) / det, 0, 4 * h)), float(np.clip((-b2 * a11 + b1 * a12) / det, -2, 2))
+def fitted_minimum(at: np.ndarray, y: np.ndarray, v: float, slope: np.ndarray) -> np.ndarray | None:
+    """The least point of the quadratic with value v and slope at 0 that fits probes best; None unless it is convex.
+
+    at: probes x directions.  Any number of probes from the quadratic's number
+    of free coefficients on.
+    """
+    k = at.shape[1]
+    i, j = np.triu_indices(k)
+    terms = at[:, i] * at[:, j] / np.where(i == j, 2.0, 1.0)
+    coef = np.linalg.lstsq(terms, y - v - at @ slope, rcond=None)[0]
+    h = np.zeros((k, k))
+    h[i, j] = h[j, i] = coef
+    return -np.linalg.solve(h, slope) if np.linalg.eigvalsh(h)[0] > 1e-12 * abs(h).max() else None
+
+
+def plane_search(model: Model, x: np.ndarray, steps: int = 20, probes: int = 8, third: bool = False, seed: int = 0, on_step: Step | None = None) -> np.ndarray:
+    """Steps in the plane of the descent direction and the last step (the first time a seeded one), or in 3-D with a seeded axis.
+
+    Probes on an ellipse, in one job, give a quadratic by least squares; its
+    least point, kept within twice the probes, competes with the probes.
+    """
+    rng, last, reach = np.random.default_rng(seed), None, None
+    for k in range(steps):
+        v, g = model.value_and_grad(x)
+        size = max(float(np.linalg.norm(g)), 1e-300)
+        random = lambda: (d := rng.standard_normal(g.shape)) / np.linalg.norm(d)
+        dirs = [-g / size, last if last is not None else random(), *([random()] if third else [])]
+        reach = reach or 0.01 * model.g.extent * math.sqrt(len(x))
+        at = rng.standard_normal((probes, len(dirs)))
+        at = reach * at / np.linalg.norm(at, axis=1)[:, None]
+        at[0] = [reach, *([0.0] * (len(dirs) - 1))]
+        y = model.costs([x + np.tensordot(t, np.stack(dirs), 1) for t in at])
+        best = fitted_minimum(at, y, v, np.array([float((g * d).sum()) for d in dirs]))
+        if best is not None:
+            best = np.clip(best, -2 * reach, 2 * reach)
+            at, y = np.vstack([at, best]), np.append(y, model.cost(x + np.tensordot(best, np.stack(dirs), 1)))
+        pick = int(np.argmin(y))
+        on_step and on_step(k, x, v)
+        if y[pick] >= v:
+            reach /= 4
+            continue
+        move = np.tensordot(at[pick], np.stack(dirs), 1)
+        x, length = x + move, float(np.linalg.norm(move))
+        last, reach = move / length, max(length, reach / 2)
+    return x
+
+
+def grid_descent(model: Model, x: np.ndarray, steps: int = 10, third: bool = False, n: int = 9, seed: int = 0, on_step: Step | None = None) -> np.ndarray:
+    """A grid search as a run: along the descent direction, the last step and, in 3-D, a seeded axis."""
+    rng, last, reach = np.random.default_rng(seed), None, None
+    for k in range(steps):
+        v, g = model.value_and_grad(x)
+        size = max(float(np.linalg.norm(g)), 1e-300)
+        random = lambda: (d := rng.standard_normal(g.shape)) / np.linalg.norm(d)
+        dirs = [-g / size, last if last is not None else random(), *([random()] if third else [])]
+        reach = reach or 0.02 * model.g.extent * math.sqrt(len(x))
+        t, best = grid_search(model, x, dirs, [(0.0, 2 * reach), *([(-reach, reach)] * (len(dirs) - 1))], n)
+        on_step and on_step(k, x, v)
+        if best >= v:
+            break
+        move = np.tensordot(np.asarray(t), np.stack(dirs), 1)
+        x, length = x + move, float(np.linalg.norm(move))
+        last, reach = move / length, max(length, 1e-12)
+    return x
 
 
 # ---- reconstruction -----------------------------------------------------------------------

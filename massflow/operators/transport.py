@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massflow.functions.prefix import buckets_for, running_sum
+from massflow.functions.prefix import buckets_for, following, running_sum
 from massflow.operators.measures import normalize_density, normalize_points
 
 c = F.col
@@ -38,14 +38,26 @@ def _split(df: DataFrame, start: str, mass: str, buckets: int) -> DataFrame:
     return df.withColumn("bucket", F.explode(F.sequence(first.cast("int"), last.cast("int")))).withColumn("q", F.greatest(c(start), c("bucket") / buckets))
 
 
+def _level_bucket(level: Column, buckets: int, before: bool) -> Column:
+    """The mass bucket that a level lies in; one on a border is of the bucket before or after it."""
+    at = F.ceil(level * buckets) - 1 if before else F.floor(level * buckets)
+    return F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1)).cast("int")
+
+
 def pieces(d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
     """(batch, dirac_id, cell_id, pos, w, q0, q1, l, r, dm, y): the transport plan.
 
     Zero weights and zero-mass cells carry nothing and are left out.
     """
     k = buckets or buckets_for(d, "batch")
-    s = _split(sorted_points(d, k), "q0", "w", k)
-    u = _split(cell_cum_mass(t).where("m > 0"), "c0", "m", k)
+    return pieces_presorted(sorted_points(d, k), cell_cum_mass(t), k)
+
+
+def pieces_presorted(s: DataFrame, u: DataFrame, buckets: int = 1) -> DataFrame:
+    """The plan of points and cells that have their running masses (q0; m and c0): normalizing and both sorts are skipped."""
+    k = buckets
+    s = _split(s, "q0", "w", k)
+    u = _split(u.where("m > 0"), "c0", "m", k)
     dirac = F.struct("dirac_id", "pos", "w")
     cell = F.struct("cell_id", "x0", "x1", "y", "m", "c0")
     left = s.select("batch", "bucket", "q", F.lit(0).alias("kind"), c("pos").alias("at"), dirac.alias("d"), F.lit(None).alias("t"))
@@ -102,38 +114,39 @@ def potentials(p: DataFrame, d: DataFrame, buckets: int | None = None) -> DataFr
     """
     k = buckets or buckets_for(d, "batch")
     ends = p.groupBy("batch", "dirac_id").agg(F.first("pos").alias("pos"), F.first("w").alias("w"), F.max("r").alias("t"))
-    order = Window.partitionBy("batch").orderBy("pos", "dirac_id")
-    nxt = F.lead("pos").over(order)
+    ends = following(ends, "batch", ["pos", "dirac_id"], {"next_pos": "pos"}, k)
+    nxt = c("next_pos")
     jumps = ends.withColumn("phi_m", F.when(nxt.isNull(), (c("t") - c("pos")) ** 2).otherwise((c("t") - c("pos")) ** 2 - (c("t") - nxt) ** 2))
     total = jumps.groupBy("batch").agg(F.sum("phi_m").alias("total"))
     run = running_sum(jumps, "batch", ["pos", "dirac_id"], {"before": "phi_m"}, k)
     return run.join(total, "batch").select("batch", "dirac_id", "w", (c("total") - c("before")).alias("phi"))
 
 
-def grad_weight(p: DataFrame, d: DataFrame) -> DataFrame:
+def grad_weight(p: DataFrame, d: DataFrame, buckets: int | None = None) -> DataFrame:
     """Derivative by the raw weights: the chain rule of the normalization."""
-    f = potentials(p, d)
+    f = potentials(p, d, buckets)
     mean = f.groupBy("batch").agg(F.sum(c("w") * c("phi")).alias("mean"))
     mass = d.groupBy("batch").agg(F.sum("w").alias("mass"))
     return f.join(mean, "batch").join(mass, "batch").select("batch", "dirac_id", ((c("phi") - c("mean")) / c("mass")).alias("grad"))
 
 
-def grad_density(p: DataFrame, d: DataFrame, t: DataFrame) -> DataFrame:
+def grad_density(p: DataFrame, d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
     """(batch, cell_id, grad): derivative by the raw density values, zero cells included.
 
     A piece adds its second moment about the dirac minus phi times its length.
     A cell without mass lies inside the slice of the dirac whose interval holds
     its level; it is added as a piece of its own.
     """
-    f = potentials(p, d)
+    k = buckets or buckets_for(d, "batch")
+    f = potentials(p, d, k)
     a, b = c("l") - c("pos"), c("r") - c("pos")
     full = p.join(f.select("batch", "dirac_id", "phi"), ["batch", "dirac_id"]).groupBy("batch", "cell_id").agg(F.sum((c("r") - c("l")) * ((a * a + a * b + b * b) / 3 - c("phi"))).alias("g"))
     flat = cell_cum_mass(t).where("m <= 0").select("batch", "cell_id", "x0", "x1", "c0")
-    at = sorted_points(d).join(f.select("batch", "dirac_id", "phi"), ["batch", "dirac_id"])
-    left = at.select("batch", c("q0").alias("q"), F.lit(0).alias("kind"), F.struct("pos", "phi").alias("d"), F.lit(None).alias("t"))
-    right = flat.select("batch", c("c0").alias("q"), F.lit(1).alias("kind"), F.lit(None).alias("d"), F.struct("cell_id", "x0", "x1").alias("t"))
-    upto = Window.partitionBy("batch").orderBy("q", "kind", "d.pos").rowsBetween(Window.unboundedPreceding, 0)
-    held = _merged(left, right, "batch").withColumn("d", F.last("d", ignorenulls=True).over(upto)).where("t IS NOT NULL AND d IS NOT NULL").select("batch", "d.*", "t.*")
+    at = _split(sorted_points(d, k), "q0", "w", k).join(f.select("batch", "dirac_id", "phi"), ["batch", "dirac_id"])
+    left = at.select("batch", "bucket", "q", F.lit(0).alias("kind"), F.struct("pos", "phi").alias("d"), F.lit(None).alias("t"))
+    right = flat.select("batch", _level_bucket(c("c0"), k, False).alias("bucket"), c("c0").alias("q"), F.lit(1).alias("kind"), F.lit(None).alias("d"), F.struct("cell_id", "x0", "x1").alias("t"))
+    upto = Window.partitionBy("batch", "bucket").orderBy("q", "kind", "d.pos").rowsBetween(Window.unboundedPreceding, 0)
+    held = _merged(left, right, "batch", "bucket").withColumn("d", F.last("d", ignorenulls=True).over(upto)).where("t IS NOT NULL AND d IS NOT NULL").select("batch", "d.*", "t.*")
     a, b = c("x0") - c("pos"), c("x1") - c("pos")
     empty = held.select("batch", "cell_id", ((c("x1") - c("x0")) * ((a * a + a * b + b * b) / 3 - c("phi"))).alias("g"))
     g = full.unionByName(empty)
@@ -144,36 +157,38 @@ def grad_density(p: DataFrame, d: DataFrame, t: DataFrame) -> DataFrame:
     return all_.join(mean, "batch").join(mass, "batch").select("batch", "cell_id", ((c("g") - c("dx") * c("mean")) / c("mass")).alias("grad"))
 
 
-def lookup(levels: DataFrame, t: DataFrame) -> DataFrame:
+def lookup(levels: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
     """As-of inversion: (batch, level_id, level) with x, the point below which ``level`` of the mass lies.
 
     The smallest cell whose cumulated mass reaches the level; inside it, linear.
     """
-    u = cell_cum_mass(t).where("m > 0")
-    left = u.select("batch", c("c0").alias("q"), F.lit(0).alias("kind"), F.struct("x0", "x1", "m", "c0").alias("t"), F.lit(None).cast("long").alias("level_id"))
-    right = levels.select("batch", c("level").alias("q"), F.lit(-1).alias("kind"), F.lit(None).alias("t"), c("level_id").cast("long").alias("level_id"))
+    k = buckets or max(buckets_for(levels, "batch"), buckets_for(t, "batch"))
+    u = _split(cell_cum_mass(t, k).where("m > 0"), "c0", "m", k)
+    left = u.select("batch", "bucket", "q", F.lit(0).alias("kind"), F.struct("x0", "x1", "m", "c0").alias("t"), F.lit(None).cast("long").alias("level_id"))
     # A level on a border belongs to the cell before it, except at the very start.
-    right = right.withColumn("kind", F.when(c("q") <= 0, F.lit(1)).otherwise(F.lit(-1)))
-    upto = Window.partitionBy("batch").orderBy("q", "kind", "t.x0", "level_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = _merged(left, right, "batch").withColumn("t", F.last("t", ignorenulls=True).over(upto)).where("level_id IS NOT NULL AND t IS NOT NULL")
+    kind = F.when(c("level") <= 0, F.lit(1)).otherwise(F.lit(-1))
+    right = levels.select("batch", _level_bucket(c("level"), k, True).alias("bucket"), c("level").alias("q"), kind.alias("kind"), F.lit(None).alias("t"), c("level_id").cast("long").alias("level_id"))
+    upto = Window.partitionBy("batch", "bucket").orderBy("q", "kind", "t.x0", "level_id").rowsBetween(Window.unboundedPreceding, 0)
+    both = _merged(left, right, "batch", "bucket").withColumn("t", F.last("t", ignorenulls=True).over(upto)).where("level_id IS NOT NULL AND t IS NOT NULL")
     return both.select("batch", "level_id", c("q").alias("level"), (c("t.x0") + F.least((c("q") - c("t.c0")) / c("t.m"), F.lit(1.0)) * (c("t.x1") - c("t.x0"))).alias("x"))
 
 
-def cost_by_moments(d: DataFrame, t: DataFrame) -> DataFrame:
+def cost_by_moments(d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
     """The same cost from cumulated moments at the slices' ends (as-of lookup, no pieces)."""
-    s = sorted_points(d)
-    u = cell_cum_mass(t).where("m > 0")
+    k = buckets or buckets_for(d, "batch")
+    s = sorted_points(d, k)
+    u = cell_cum_mass(t, k).where("m > 0")
     u = u.withColumn("k1", c("y") * (c("x1") ** 2 - c("x0") ** 2) / 2).withColumn("k2", c("y") * (c("x1") ** 3 - c("x0") ** 3) / 3)
-    u = running_sum(u, "batch", ["x0", "cell_id"], {"b1": "k1", "b2": "k2"})
-    left = u.select("batch", c("c0").alias("q"), F.lit(0).alias("kind"), F.struct("x0", "y", "c0", "b1", "b2").alias("t"), F.lit(None).alias("d"))
-    right = s.select("batch", c("q0").alias("q"), F.lit(1).alias("kind"), F.lit(None).alias("t"), F.struct("dirac_id", "pos", "w").alias("d"))
-    order = Window.partitionBy("batch").orderBy("q", "kind", "d.pos", "d.dirac_id", "t.x0")
-    at = _merged(left, right, "batch").withColumn("t", F.last("t", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("d IS NOT NULL")
+    u = running_sum(u, "batch", ["x0", "cell_id"], {"b1": "k1", "b2": "k2"}, k)
+    left = _split(u, "c0", "m", k).select("batch", "bucket", "q", F.lit(0).alias("kind"), F.struct("x0", "y", "c0", "b1", "b2").alias("t"), F.lit(None).alias("d"))
+    right = s.select("batch", _level_bucket(c("q0"), k, False).alias("bucket"), c("q0").alias("q"), F.lit(1).alias("kind"), F.lit(None).alias("t"), F.struct("dirac_id", "pos", "w").alias("d"))
+    upto = Window.partitionBy("batch", "bucket").orderBy("q", "kind", "d.pos", "d.dirac_id", "t.x0").rowsBetween(Window.unboundedPreceding, 0)
+    at = _merged(left, right, "batch", "bucket").withColumn("t", F.last("t", ignorenulls=True).over(upto)).where("d IS NOT NULL")
     x = c("t.x0") + (c("q") - c("t.c0")) / c("t.y")
     at = at.select("batch", "q", "d.*", x.alias("x"), (c("t.b1") + c("t.y") * (x * x - c("t.x0") ** 2) / 2).alias("m1"), (c("t.b2") + c("t.y") * (x**3 - c("t.x0") ** 3) / 3).alias("m2"))
     whole = u.groupBy("batch").agg(F.sum("k1").alias("all1"), F.sum("k2").alias("all2"))
-    nxt = Window.partitionBy("batch").orderBy("pos", "dirac_id")
-    at = at.join(whole, "batch").select("batch", "pos", "w", (F.coalesce(F.lead("m1").over(nxt), c("all1")) - c("m1")).alias("d1"), (F.coalesce(F.lead("m2").over(nxt), c("all2")) - c("m2")).alias("d2"))
+    at = following(at, "batch", ["pos", "dirac_id"], {"next1": "m1", "next2": "m2"}, k)
+    at = at.join(whole, "batch").select("batch", "pos", "w", (F.coalesce("next1", "all1") - c("m1")).alias("d1"), (F.coalesce("next2", "all2") - c("m2")).alias("d2"))
     return at.groupBy("batch").agg(F.sum(c("d2") - 2 * c("pos") * c("d1") + c("pos") ** 2 * c("w")).alias("cost"))
 
 

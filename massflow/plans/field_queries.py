@@ -11,7 +11,7 @@ from massflow.operators import halo as H
 from massflow.operators import mesh as Q
 from massflow.operators import radon as R
 from massflow.operators import reconstruct as X
-from massflow.plans.radon_queries import POINT_G, POINTS, _r, angles_sql, vec_points
+from massflow.plans.radon_queries import G, POINT_G, POINTS, SINO, _r, angles_sql, part_disks, vec_points
 from massflow.plans.tables import read
 from massflow.sources import phantoms, runs
 from massflow.streaming import live
@@ -211,7 +211,37 @@ def tent_cost_grad(spark, d):
     p = vec_points(spark, d).orderBy("dirac_id").select("dirac_id", "x", "y").toPandas()
     sino = R.radon_disks(phantoms.disks(spark, [(0.05, -0.02, 0.5, 1.0)]), POINT_G.angles(spark), POINT_G)
     _, g = X.TentModel(sino, POINT_G, 0.05).value_and_grad(p[["x", "y"]].to_numpy())
-    return spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(p.dirac_id, g)], "dirac_id long, gx double, gy double")
+    return spark.createDataFrame([(int(i), round(1e3 * float(a), 6), round(1e3 * float(b), 6)) for i, (a, b) in zip(p.dirac_id, g)], "dirac_id long, gx_milli double, gy_milli double")
+
+
+def _model(spark, d, name, radius=None):
+    """A model of all parts' sinogram, with all embeddings' points (ids in order)."""
+    p = vec_points(spark, d).orderBy("dirac_id").select("dirac_id", "x", "y").toPandas()
+    return X.make_model(name, R.radon_disks(part_disks(spark, d), G.angles(spark), G), G, radius), p.dirac_id.to_numpy(), p[["x", "y"]].to_numpy()
+
+
+def _placed(spark, ids, x):
+    return spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(ids, x)], "dirac_id long, x double, y double")
+
+
+def dirac_model_cost(spark, d):
+    m, _, x = _model(spark, d, "diracs")
+    return spark.createDataFrame([(round(m.cost(x), 7),)], "cost double")
+
+
+def disk_model_cost(spark, d):
+    m, _, x = _model(spark, d, "disks", 0.3)
+    return spark.createDataFrame([(round(m.cost(x), 6), m.floor())], "cost double, floor double")
+
+
+def gd_first_step(spark, d):
+    m, ids, x = _model(spark, d, "diracs")
+    return _r(_placed(spark, ids, X.gradient_descent(m, x, steps=1, rate=0.4)), 7, "x", "y")
+
+
+def adam_first_step(spark, d):
+    m, ids, x = _model(spark, d, "diracs")
+    return _r(_placed(spark, ids, X.adam(m, x, steps=1, rate=0.1, eps=1e-3)), 7, "x", "y")
 
 
 # ---- runs and live frames -------------------------------------------------------------
@@ -242,7 +272,7 @@ def live_updates(spark, d):
     return live.updates(_frames(spark, d), 5_000)
 
 
-QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_smoothness, halo_fit, alternate_run, interior_mass_scan, mesh_tiling, mesh_trapezoid, mesh_scatter, mesh_edges, mesh_project, mesh_backproject, mesh_solve_cg, mesh_solve_fista, alpha_scan, multiscale_run, interleaved_run, disk_run, grid_search_run, optimizer_comparison, tent_cost_grad, loss_table, runs_mismatch, live_latest, live_updates)} | {
+QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_smoothness, halo_fit, alternate_run, interior_mass_scan, mesh_tiling, mesh_trapezoid, mesh_scatter, mesh_edges, mesh_project, mesh_backproject, mesh_solve_cg, mesh_solve_fista, alpha_scan, multiscale_run, interleaved_run, disk_run, grid_search_run, optimizer_comparison, tent_cost_grad, dirac_model_cost, disk_model_cost, gd_first_step, adam_first_step, loss_table, runs_mismatch, live_latest, live_updates)} | {
     "gd_steps": _run(X.gradient_descent, steps=6),
     "line_search_gd_run": _run(X.line_search_descent, steps=4),
     "adam_steps": _run(X.adam, steps=6, clip=10.0),
@@ -252,19 +282,12 @@ QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_sm
 }
 
 
-def _halo_rows() -> str:
-    rows, a, ring = [], 2.0, 0
-    while a < 5.0 * (1 - 1e-12):
-        b = min(a * 1.6, 5.0)
-        n = max(1, round(8 * (2.0 / ((a + b) / 2)) ** 2))
-        rows += [f"({len(rows) + k}, {a!r}::DOUBLE, {b!r}::DOUBLE, {2 * math.pi * k / n!r}::DOUBLE, {2 * math.pi * (k + 1) / n!r}::DOUBLE, {ring}, {k})" for k in range(n)]
-        a, ring = b, ring + 1
-    return "cells(cell_id, a, b, phi0, phi1, ring, sector) AS (VALUES " + ", ".join(rows) + ")"
-
-
+_HALO_CELLS = """rings(ring, a) AS (SELECT 0, CAST(2 AS DOUBLE) UNION ALL SELECT ring + 1, a * 1.6 FROM rings WHERE a * 1.6 < 4.999999999),
+wide AS (SELECT ring, a, least(a * 1.6, 5.0) AS b, greatest(1, CAST(round_even(8 * power(4.0 / (a + least(a * 1.6, 5.0)), 2), 0) AS INTEGER)) AS n FROM rings),
+cells AS (SELECT CAST(row_number() OVER (ORDER BY ring, r.range) - 1 AS INTEGER) AS cell_id, a, b, 2 * pi() * r.range / n AS phi0, 2 * pi() * (r.range + 1) / n AS phi1, ring, CAST(r.range AS INTEGER) AS sector FROM wide JOIN range(64) r ON r.range < n)"""
 _THETA = "theta(angle_id, theta) AS (VALUES " + ", ".join(f"({k}, {k * math.pi / HALO_G.nb_angles!r}::DOUBLE)" for k in range(HALO_G.nb_angles)) + ")"
 _g = HALO_G
-_HALO_OP = f"""WITH {_halo_rows()}, {_THETA},
+_HALO_OP = f"""WITH RECURSIVE {_HALO_CELLS}, {_THETA},
 nn AS (SELECT *, CAST(least(greatest(ceil(4.0 * b * (phi1 - phi0) / {_g.dw!r}), 8), 32768) AS INTEGER) AS n FROM cells),
 nodes AS (SELECT cell_id, a, b, (phi1 - phi0) / n AS dphi, phi0 + (r.range + 0.5) * (phi1 - phi0) / n AS phi FROM nn, range(4096) r WHERE r.range < n),
 k0 AS (SELECT *, cos(theta - phi) AS cs FROM nodes, theta),
@@ -290,18 +313,55 @@ kern AS (SELECT angle_id, level, CAST(o.range - 40 AS INTEGER) AS "offset", ({_b
 pr AS (SELECT angle_id, level, ix, iy, (x * nx + y * ny - {_m.s_min!r}) / {_m.dw!r} - 0.5 AS q FROM tiles, angles),
 sc AS (SELECT angle_id, level, ix, iy, CAST(floor(q) AS INTEGER) AS bin_id, 1 - (q - floor(q)) AS w FROM pr UNION ALL SELECT angle_id, level, ix, iy, CAST(floor(q) AS INTEGER) + 1, q - floor(q) FROM pr),
 op AS (SELECT sc.level, ix, iy, sc.angle_id, sc.bin_id + "offset" AS bin_id, sum(w * k) AS val FROM sc JOIN kern ON sc.angle_id = kern.angle_id AND sc.level = kern.level WHERE sc.bin_id + "offset" BETWEEN 0 AND {_m.nb_bins - 1} GROUP BY 1, 2, 3, 4, 5)"""
+_PIECES = f"""dn AS (SELECT angle_id, id, pos, w, coalesce(sum(w) OVER (PARTITION BY angle_id ORDER BY pos, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q0 FROM d),
+tn AS (SELECT angle_id, x0, m, coalesce(sum(m) OVER (PARTITION BY angle_id ORDER BY x0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0 FROM t WHERE m > 0),
+ov AS (SELECT dn.*, x0, m, c0, greatest(q0, c0) AS a, least(q0 + w, c0 + m) AS b FROM dn JOIN tn ON dn.angle_id = tn.angle_id AND q0 < c0 + m AND c0 < q0 + w),
+pieces AS (SELECT *, b - a AS dm, x0 + (a - c0) / m * {G.dw!r} AS l, x0 + (b - c0) / m * {G.dw!r} AS r FROM ov WHERE b - a > 1e-14)"""
+_SHARE = "share AS (SELECT angle_id, bin_id, lo AS x0, value / sum(value) OVER (PARTITION BY angle_id) AS m FROM sino JOIN bins USING (bin_id))"
+_DIRAC_MODEL = f"""{SINO}, {POINTS}, {_SHARE}, t AS (SELECT * FROM share),
+d AS (SELECT angle_id, dirac_id AS id, x * nx + y * ny AS pos, 1.0 / (SELECT count(*) FROM pts) AS w FROM pts, angles), {_PIECES}"""
+_COST = "sum(dm * ((l - pos) * (l - pos) + (l - pos) * (r - pos) + (r - pos) * (r - pos)) / 3)"
+_GRAD = f"""{_DIRAC_MODEL}, g AS (SELECT angle_id, id, 2 * any_value(w) * (any_value(pos) - sum(dm * (l + r) / 2) / sum(dm)) AS g FROM pieces GROUP BY 1, 2),
+s AS (SELECT id AS dirac_id, sum(g * nx) AS gx, sum(g * ny) AS gy FROM g JOIN angles USING (angle_id) GROUP BY 1)"""
+_under = lambda t: f"(least(greatest({t}, -0.3), 0.3) * sqrt(greatest(0.09 - least(greatest({t}, -0.3), 0.3) * least(greatest({t}, -0.3), 0.3), 0)) + 0.09 * asin(least(greatest({t}, -0.3), 0.3) / 0.3))"
+_DISK_MODEL = f"""{SINO}, {POINTS}, {_SHARE}, spot AS (SELECT angle_id, x * nx + y * ny AS s0 FROM pts, angles),
+made AS (SELECT angle_id, bin_id, lo AS x0, sum({_under('(hi - s0)')} - {_under('(lo - s0)')}) AS v FROM spot, bins GROUP BY 1, 2, 3),
+t AS (SELECT angle_id, x0, v / sum(v) OVER (PARTITION BY angle_id) AS m FROM made WHERE v > 1e-13),
+d AS (SELECT angle_id, bin_id AS id, x0 + {G.dw!r} / 2 AS pos, m AS w FROM share WHERE m > 0), {_PIECES}"""
+_p = POINT_G
+_half = lambda t: f"(least(greatest({t}, -0.5), 0.5) * sqrt(greatest(0.25 - least(greatest({t}, -0.5), 0.5) * least(greatest({t}, -0.5), 0.5), 0)) + 0.25 * asin(least(greatest({t}, -0.5), 0.5) / 0.5))"
+_TENT = f"""WITH {POINTS}, {angles_sql(_p)}, n AS (SELECT count(*) * 0.05 AS whole FROM pts),
+sino AS (SELECT angle_id, CAST(r.range AS INTEGER) AS bin_id, {_half(f'({_p.s_min!r} + (r.range + 1) * {_p.dw!r} - 0.05 * nx + 0.02 * ny)')} - {_half(f'({_p.s_min!r} + r.range * {_p.dw!r} - 0.05 * nx + 0.02 * ny)')} AS m FROM angles, range({_p.nb_bins}) r),
+lv AS (SELECT angle_id, bin_id, whole * sum(m) OVER (PARTITION BY angle_id ORDER BY bin_id) / sum(m) OVER (PARTITION BY angle_id) AS lev FROM sino, n),
+knot AS (SELECT angle_id, dirac_id, k.range - 1 AS side, x * nx + y * ny + (k.range - 1) * 0.05 AS z, CASE WHEN k.range = 1 THEN -40.0::DOUBLE ELSE 20.0 END AS jump FROM pts, angles, range(3) k),
+k1 AS (SELECT *, sum(jump) OVER o AS slope, lead(z) OVER o - z AS gap FROM knot WINDOW o AS (PARTITION BY angle_id ORDER BY z, dirac_id, side)),
+k2 AS (SELECT *, coalesce(sum(slope * gap) OVER o, 0) AS height FROM k1 WINDOW o AS (PARTITION BY angle_id ORDER BY z, dirac_id, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+k3 AS (SELECT *, coalesce(sum(height * gap + slope * gap * gap / 2) OVER o, 0) AS before FROM k2 WINDOW o AS (PARTITION BY angle_id ORDER BY z, dirac_id, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+at0 AS (SELECT lv.angle_id, bin_id, lev, z, height, slope, gap, before FROM lv ASOF JOIN (SELECT * FROM k3 WHERE gap > 0) k ON lv.angle_id = k.angle_id AND lv.lev >= k.before WHERE bin_id < {_p.nb_bins - 1}),
+cut AS (SELECT angle_id, dirac_id, side, z, 0 AS step FROM knot
+  UNION ALL SELECT angle_id, NULL, NULL, z + least(gap, coalesce(2 * (lev - before) / nullif(height + sqrt(greatest(height * height + 2 * slope * (lev - before), 0)), 0), 0)), 1 FROM at0),
+c1 AS (SELECT *, lead(z) OVER o AS v, {_p.s_min!r} + (sum(step) OVER (PARTITION BY angle_id ORDER BY z, step, dirac_id, side ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + 0.5) * {_p.dw!r} AS center FROM cut WINDOW o AS (PARTITION BY angle_id ORDER BY z, step, dirac_id, side)),
+c2 AS (SELECT *, z - center AS p, v - center AS q FROM c1),
+c3 AS (SELECT *, coalesce(sum(q * q - p * p) OVER (PARTITION BY angle_id ORDER BY z, step, dirac_id, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM c2),
+c4 AS (SELECT *, coalesce(sum((first - p * p) * (v - z) + (q * q * q - p * p * p) / 3) OVER (PARTITION BY angle_id ORDER BY z, step, dirac_id, side ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS second FROM c3),
+g AS (SELECT dirac_id, angle_id, sum(CASE WHEN side = 0 THEN -2 ELSE 1 END * second) / 0.05 / any_value(whole) AS g FROM c4, n WHERE dirac_id IS NOT NULL GROUP BY 1, 2)"""
 _FRAMES = "f AS (SELECT event_type AS sim, user_id % 3 AS context, user_id % 200 AS coordinates, event_id AS arrival, value FROM events), k AS (SELECT *, row_number() OVER w AS n, min(arrival) OVER (PARTITION BY sim, context, coordinates) AS place FROM f WINDOW w AS (PARTITION BY sim, context, coordinates ORDER BY arrival DESC, value DESC))"
 ORACLE = {
-    "halo_cells": f"WITH {_halo_rows()} SELECT cell_id, round(a, 9) AS a, round(b, 9) AS b, round(phi0, 9) AS phi0, round(phi1, 9) AS phi1, ring, sector FROM cells",
+    "halo_cells": f"WITH RECURSIVE {_HALO_CELLS} SELECT cell_id, round(a, 9) AS a, round(b, 9) AS b, round(phi0, 9) AS phi0, round(phi1, 9) AS phi1, ring, sector FROM cells",
     "halo_operator": f"{_HALO_OP} SELECT cell_id, angle_id, bin_id, round(val, 6) AS val FROM op WHERE bin_id < {_g.nb_bins} AND round(val, 6) != 0",
     "halo_gram": f"{_HALO_OP} SELECT p.cell_id AS i, q.cell_id AS j, round(sum(p.val * q.val), 5) AS v FROM op p JOIN op q ON p.angle_id = q.angle_id AND p.bin_id = q.bin_id WHERE p.bin_id < {_g.nb_bins} GROUP BY 1, 2 HAVING round(sum(p.val * q.val), 5) != 0",
-    "halo_smoothness": f"WITH {_halo_rows()}, n AS (SELECT cell_id, coalesce(lead(cell_id) OVER (PARTITION BY ring ORDER BY sector), min(cell_id) OVER (PARTITION BY ring)) AS nxt FROM cells) SELECT cell_id AS row, cell_id, -1.0::DOUBLE AS coef FROM n WHERE cell_id != nxt UNION ALL SELECT cell_id, nxt, 1.0::DOUBLE FROM n WHERE cell_id != nxt",
+    "halo_smoothness": f"WITH RECURSIVE {_HALO_CELLS}, n AS (SELECT cell_id, coalesce(lead(cell_id) OVER (PARTITION BY ring ORDER BY sector), min(cell_id) OVER (PARTITION BY ring)) AS nxt FROM cells) SELECT cell_id AS row, cell_id, -1.0::DOUBLE AS coef FROM n WHERE cell_id != nxt UNION ALL SELECT cell_id, nxt, 1.0::DOUBLE FROM n WHERE cell_id != nxt",
     "mesh_tiling": f"{_TILES} SELECT level, ix, iy, x, y, h, sqrt(x * x + y * y) < 2.0 AS interior FROM tiles",
     "mesh_trapezoid": f'{_OPS} SELECT angle_id, level, "offset", round(k, 7) AS k FROM kern WHERE round(k, 7) != 0',
     "mesh_scatter": f"{_OPS} SELECT angle_id, level, ix, iy, bin_id, round(w, 7) AS w FROM sc WHERE round(w, 7) != 0",
     "mesh_project": f"{_OPS} SELECT angle_id, bin_id, round(sum(val * (1 + (ix + 2 * iy) % 3)), 6) AS value FROM op GROUP BY 1, 2",
     "mesh_backproject": f"{_OPS} SELECT level, ix, iy, round(sum(val * (1 + (bin_id * 3 + angle_id) % 5)), 5) AS value FROM op GROUP BY 1, 2, 3",
     "mesh_edges": f"{_TILES}, id AS (SELECT *, CAST(row_number() OVER (ORDER BY level, ix, iy) - 1 AS INTEGER) AS i FROM tiles), d AS (SELECT p.i, q.i AS j, p.h AS hi, q.h AS hj, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist FROM id p, id q), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS n FROM d) SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j, least(hi, hj) AS face, round(dist, 9) AS dist FROM k WHERE n <= 9 AND i != j AND dist < 0.75 * (hi + hj)",
+    "tent_cost_grad": f"{_TENT} SELECT dirac_id, round(sum(g * nx) * 1e3, 6) AS gx_milli, round(sum(g * ny) * 1e3, 6) AS gy_milli FROM g JOIN angles USING (angle_id) GROUP BY 1",
+    "dirac_model_cost": f"{_DIRAC_MODEL} SELECT round({_COST}, 7) AS cost FROM pieces",
+    "disk_model_cost": f"{_DISK_MODEL} SELECT round({_COST}, 6) AS cost, {G.nb_angles * G.dw**2 / 12!r}::DOUBLE AS floor FROM pieces",
+    "gd_first_step": f"{_GRAD} SELECT dirac_id, round(x - 0.4 * gx * (SELECT count(*) FROM pts) / {G.nb_angles}, 7) AS x, round(y - 0.4 * gy * (SELECT count(*) FROM pts) / {G.nb_angles}, 7) AS y FROM pts JOIN s USING (dirac_id)",
+    "adam_first_step": f"{_GRAD} SELECT dirac_id, round(x - 0.1 * gx / (abs(gx) + 1e-3), 7) AS x, round(y - 0.1 * gy / (abs(gy) + 1e-3), 7) AS y FROM pts JOIN s USING (dirac_id)",
     "loss_table": "WITH h AS (SELECT event_type AS run, CAST(event_id % 500 AS INTEGER) AS step, round(max(value), 3) AS loss FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY 1, 2) SELECT step, coalesce(max(CASE WHEN run = 'click' THEN printf('%.6f', loss) END), '-') AS click, coalesce(max(CASE WHEN run = 'error' THEN printf('%.6f', loss) END), '-') AS error, coalesce(max(CASE WHEN run = 'purchase' THEN printf('%.6f', loss) END), '-') AS purchase FROM h GROUP BY 1",
     "runs_mismatch": "WITH s AS (SELECT 'nb_angles' AS setting, count(DISTINCT user_id % 3) AS nb_values FROM events UNION ALL SELECT 'factor', count(DISTINCT 2) FROM events UNION ALL SELECT 'nb_bins', count(DISTINCT length(event_type)) FROM events) SELECT * FROM s WHERE nb_values > 1",
     "live_latest": f"WITH {_FRAMES} SELECT sim, context, coordinates, arrival, value, place FROM k WHERE n = 1",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from massflow.functions.prefix import buckets_for
 from massflow.operators import measures as M
 from massflow.operators import transport as T
 from massflow.plans import tables as B
@@ -32,6 +33,21 @@ def ot1d_cost_weighted(spark, d):
     return T.cost(p).select("batch", F.round(F.col("cost") / 1e6, 6).alias("cost_millions"))
 
 
+def ot1d_cost_presorted(spark, d):
+    """Running masses made once, then the plan without sorting or normalizing again."""
+    points, t = B.event_points(spark, d), B.event_target(spark, d)
+    k = buckets_for(points, "batch")
+    return _round(T.cost(T.pieces_presorted(T.sorted_points(points, k), T.cell_cum_mass(t, k), k)), 6, "cost")
+
+
+def measure_plan(spark, d):
+    """Two measures asked for what they can: masses, and the plan's cost of some batches."""
+    points, cells = M.Measure("diracs", B.event_points(spark, d)), M.Measure("density", B.event_target(spark, d))
+    some = ("click", "error")
+    p = points.batch_slice(*some).plan_to(cells.batch_slice(*some))
+    return T.cost(p).join(points.mass, "batch").select("batch", F.round("cost", 6).alias("cost"), F.round("mass", 4).alias("mass"))
+
+
 def ot1d_cost_moments(spark, d):
     return _round(T.cost_by_moments(B.event_points(spark, d), B.event_target(spark, d)), 5, "cost")
 
@@ -49,12 +65,15 @@ def ot1d_grad_position(spark, d):
 
 
 def ot1d_grad_weight(spark, d):
-    return T.grad_weight(_events(spark, d), B.event_points(spark, d)).select("batch", "dirac_id", F.round("grad", 6).alias("grad"))
+    points = B.event_points(spark, d)
+    k = buckets_for(points, "batch")
+    return T.grad_weight(T.pieces(points, B.event_target(spark, d), k), points, k).select("batch", "dirac_id", F.round("grad", 6).alias("grad"))
 
 
 def ot1d_grad_density(spark, d):
-    t = B.event_target(spark, d)
-    return T.grad_density(_events(spark, d), B.event_points(spark, d), t).select("batch", "cell_id", F.round("grad", 6).alias("grad"))
+    points, t = B.event_points(spark, d), B.event_target(spark, d)
+    k = buckets_for(points, "batch")
+    return T.grad_density(T.pieces(points, t, k), points, t, k).select("batch", "cell_id", F.round("grad", 6).alias("grad"))
 
 
 def ot1d_total_cost(spark, d):
@@ -64,7 +83,10 @@ def ot1d_total_cost(spark, d):
 
 def ot1d_udp_lookup(spark, d):
     levels = B.order_points(spark, d).select("batch").distinct().select("batch", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("level_id")).withColumn("level", F.col("level_id") / 100)
-    return T.lookup(levels, B.order_target(spark, d)).select("batch", "level_id", F.round("x", 4).alias("x"))
+    # In units of the density's width, which leaves nine digits beyond the rounding.
+    t = B.order_target(spark, d)
+    side = t.groupBy("batch").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"))
+    return T.lookup(levels, t).join(side, "batch").select("batch", "level_id", F.round((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), 7).alias("x"))
 
 
 def fused_cost_grad(spark, d):
@@ -91,12 +113,14 @@ def cell_cum_mass(spark, d):
     return T.cell_cum_mass(B.event_target(spark, d)).select("batch", "cell_id", F.round("c0", 9).alias("c0"))
 
 
-QUERIES = {f.__name__: f for f in (ot1d_cost, ot1d_cost_weighted, ot1d_cost_moments, ot1d_cost_barycentric, ot1d_barycenters, ot1d_grad_position, ot1d_grad_weight, ot1d_grad_density, ot1d_total_cost, ot1d_udp_lookup, fused_cost_grad, mass_points, mass_density, normalize_points, normalize_density, cell_cum_mass)}
+QUERIES = {f.__name__: f for f in (ot1d_cost, ot1d_cost_weighted, ot1d_cost_presorted, measure_plan, ot1d_cost_moments, ot1d_cost_barycentric, ot1d_barycenters, ot1d_grad_position, ot1d_grad_weight, ot1d_grad_density, ot1d_total_cost, ot1d_udp_lookup, fused_cost_grad, mass_points, mass_density, normalize_points, normalize_density, cell_cum_mass)}
 
 _E = B.plan_sql("events")
 ORACLE = {
     "ot1d_cost": f"{_E} SELECT batch, round({COST}, 6) AS cost FROM pieces GROUP BY 1",
     "ot1d_cost_weighted": f"{B.plan_sql('lineitem')} SELECT batch, round({COST} / 1e6, 6) AS cost_millions FROM pieces GROUP BY 1",
+    "ot1d_cost_presorted": f"{_E} SELECT batch, round({COST}, 6) AS cost FROM pieces GROUP BY 1",
+    "measure_plan": f"{_E} SELECT batch, round({COST}, 6) AS cost, round(any_value(mass), 4) AS mass FROM pieces JOIN (SELECT event_type AS batch, count(*)::DOUBLE AS mass FROM events GROUP BY 1) USING (batch) WHERE batch IN ('click', 'error') GROUP BY 1",
     "ot1d_cost_moments": f"{_E} SELECT batch, round({COST}, 5) AS cost FROM pieces GROUP BY 1",
     "ot1d_cost_barycentric": f"{_E} SELECT batch, round({COST}, 5) AS cost FROM pieces GROUP BY 1",
     "ot1d_barycenters": f"{_E} SELECT batch, id AS dirac_id, round(b, 6) AS barycenter FROM ({BARY})",
@@ -111,7 +135,7 @@ mn AS (SELECT batch, sum(g * y) AS mean FROM al GROUP BY 1)
 SELECT batch, cell_id, round((g - dx * mean) / mass, 6) AS grad FROM al JOIN mn USING (batch) JOIN tm USING (batch)""",
     "ot1d_total_cost": f"{B.plan_sql('orders')} SELECT round({COST} / 1e6, 6) AS total_cost_millions FROM pieces",
     "ot1d_udp_lookup": f"""{B.plan_sql('orders')}, lv AS (SELECT DISTINCT batch, CAST(r.range AS BIGINT) AS level_id, r.range / 100.0 AS level FROM d, range(101) r)
-SELECT batch, level_id, round(x0 + least((level - c0) / m, 1.0) * (x1 - x0), 4) AS x FROM (SELECT lv.batch, level_id, level, x0, x1, m, c0, row_number() OVER (PARTITION BY lv.batch, level_id ORDER BY c0 DESC) AS k FROM lv JOIN tn ON lv.batch = tn.batch AND m > 0 AND (c0 < level OR c0 <= 0)) WHERE k = 1""",
+SELECT batch, level_id, round((x0 + least((level - c0) / m, 1.0) * (x1 - x0) - lo) / (hi - lo), 7) AS x FROM hb, (SELECT lv.batch, level_id, level, x0, x1, m, c0, row_number() OVER (PARTITION BY lv.batch, level_id ORDER BY c0 DESC) AS k FROM lv JOIN tn ON lv.batch = tn.batch AND m > 0 AND (c0 < level OR c0 <= 0)) WHERE k = 1""",
     "fused_cost_grad": f"{_E}, g AS (SELECT batch, id, {COST} AS cost, any_value(pos) AS pos, any_value(w) AS w, sum(dm * (l + r) / 2) / sum(dm) AS b FROM pieces GROUP BY 1, 2) SELECT batch, id AS dirac_id, round(cost * 1e3, 5) AS cost_milli, round(2 * w * (pos - b) * 1e3, 6) AS grad_milli FROM g",
     "mass_points": f"{B.plan_sql('lineitem')} SELECT batch, round(mass, 4) AS mass FROM dm",
     "mass_density": f"{_E} SELECT batch, round(mass, 4) AS mass FROM tm",

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from massflow.functions import axes as A
+from massflow.functions import calls as K
 from massflow.operators import cells as C
 from massflow.operators import measures as M
 from massflow.operators import radon as R
@@ -138,10 +140,7 @@ def sliced_cost(spark, d):
 
 
 def point_gradient_2d(spark, d):
-    p, t = _sliced(spark, d)
-    g = T.grad_position(T.pieces(p, t)).withColumn("angle_id", F.split("batch", "/")[1].cast("int"))
-    out = R.point_gradient(g.join(F.broadcast(POINT_G.angles(spark)), "angle_id"))
-    return out.select("dirac_id", F.round(c("gx") * 1e3, 6).alias("gx_milli"), F.round(c("gy") * 1e3, 6).alias("gy_milli"))
+    return _gradient(spark, d).select("dirac_id", F.round(c("gx") * 1e3, 6).alias("gx_milli"), F.round(c("gy") * 1e3, 6).alias("gy_milli"))
 
 
 def subspace_hessian(spark, d):
@@ -166,6 +165,13 @@ def displacement(spark, d):
     return _r(R.displacement(p, q), 9, "most", "mean")
 
 
+def direction_cosine(spark, d):
+    p = vec_points(spark, d)
+    q = p.select("dirac_id", (c("x") * 0.9 + 0.01).alias("x"), (c("y") * 1.1).alias("y"))
+    r = q.select("dirac_id", (c("x") * 0.8).alias("x"), (c("y") + 0.3 * c("x")).alias("y"))
+    return _r(R.direction_cosine(p, q, r), 9, "cosine")
+
+
 # ---- axis algebra ---------------------------------------------------------------
 
 
@@ -247,6 +253,99 @@ def vector_algebra(spark, d):
     return e.select("vec_id", F.round(A.vdot(c("m"), F.reverse("m")), 8).alias("dot"), F.round(A.norm(c("m")), 8).alias("norm"), F.round(A.det2(c("m")), 8).alias("det"), F.round(F.get(A.solve2(F.array(F.lit(2.0), F.lit(1.0), F.lit(1.0), F.lit(3.0)), b), F.lit(0)), 8).alias("x0"))
 
 
+def _other(spark, d):
+    """v by (col, k): line counts by supplier and line number."""
+    return read(spark, d, "lineitem").groupBy((c("l_suppkey") % 5).cast("int").alias("col"), (c("l_linenumber") % 3).cast("int").alias("k")).agg((F.count(F.lit(1)) / 100.0).alias("v"))
+
+
+_O = "o AS (SELECT CAST(l_suppkey % 5 AS INTEGER) AS col, CAST(l_linenumber % 3 AS INTEGER) AS k, count(*) / 100.0::DOUBLE AS v FROM lineitem GROUP BY 1, 2)"
+
+
+def axis_matmul(spark, d):
+    return _r(A.matmul(_table(spark, d), _other(spark, d).withColumnRenamed("col", "inner")), 4, "v")
+
+
+def axis_assign(spark, d):
+    """+= over the cells that a smaller table has, too."""
+    part = A.apply(A.between(_table(spark, d), "row", 0, 3), lambda v: -v / 4)
+    return _r(A.assign(_table(spark, d), part, lambda x, y: x + y), 6, "v")
+
+
+def axis_views(spark, d):
+    """An offset view beside evenly spaced knots, each column twice."""
+    view = A.offset(A.row(A.transpose(_table(spark, d), "col", "row"), 3), row=2)
+    return _r(A.repeat(A.hstack([view, A.linspace(spark, "row", 1.0, 2.0, 5)], "row", [5, 5]), "row", 2), 6, "v")
+
+
+def axis_power(spark, d):
+    return _r(A.power(A.apply(_table(spark, d), lambda v: v / 50), A.apply(_row(spark, d), lambda v: v / 100)), 6, "v")
+
+
+def axis_arcsin(spark, d):
+    return _r(A.apply(_table(spark, d), lambda v: F.asin(v / (1 + v))), 8, "v")
+
+
+def vector_parts(spark, d):
+    """Floor, ceil, extremes, place of the greatest and direction cosine of whole embeddings."""
+    e = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 10).alias("m"))
+    down, up = A.vmap(c("m"), F.floor), A.vmap(c("m"), F.ceil)
+    return e.select("vec_id", F.aggregate(down, F.lit(0).cast("long"), lambda s, x: s + x).alias("down"), F.aggregate(up, F.lit(0).cast("long"), lambda s, x: s + x).alias("up"), F.round(F.array_min("m"), 8).alias("least"), F.round(F.array_max("m"), 8).alias("most"), A.vargmax(c("m")).alias("place"), F.round(A.cosine(c("m"), F.reverse("m")), 8).alias("cosine"))
+
+
+def matrix_parts(spark, d):
+    """Determinants of 3 x 3 and 4 x 4 arrays, a minor's, a diagonal's sum, and one with a column replaced."""
+    e = read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 10).alias("m"))
+    four, three = F.slice("m", 1, 16), F.slice("m", 1, 9)
+    return e.select("vec_id", F.round(A.det(four, 4), 5).alias("det4"), F.round(A.det(three, 3), 6).alias("det3"), F.round(A.det(A.minor(three, 3, 1, 2), 2), 7).alias("minor"), F.round(F.aggregate(A.diagonal(four, 4), F.lit(0.0), lambda s, x: s + x), 7).alias("trace"), F.round(A.det(A.replaced_column(three, 3, 1, F.slice("m", 10, 3)), 3), 6).alias("replaced"))
+
+
+def _centered(item, errors, event_id, value):
+    if not len(value):
+        errors.report("no values in %s", item)
+    return {"y": value - value.mean(), "sq": (value - value.mean()) ** 2}
+
+
+def _centered_back(item, errors, columns, given):
+    v = columns["value"]
+    u = v - v.mean()
+    g = given.get("y", np.zeros(len(v))) + 2 * u * given.get("sq", np.zeros(len(v)))
+    return {"value": g - g.mean()}
+
+
+CENTERED = K.Call(_centered, ("batch",), {"y": "double", "sq": "double"}, _centered_back, ("value",))
+
+
+def _items(spark, d):
+    return read(spark, d, "events").select(F.concat_ws("/", "event_type", (c("user_id") % 40).cast("string")).alias("batch"), "event_id", "value")
+
+
+def call_forward(spark, d):
+    """A user's body on every batch item's columns."""
+    return _r(CENTERED(_items(spark, d)).select("batch", "row", "y", "sq"), 6, "y", "sq")
+
+
+def call_gradient(spark, d):
+    """The user's derivative of the sum of squares, by value."""
+    return _r(CENTERED.grad(_items(spark, d), "sq"), 6, "value")
+
+
+def _gradient(spark, d):
+    p, t = _sliced(spark, d)
+    g = T.grad_position(T.pieces(p, t)).withColumn("angle_id", F.split("batch", "/")[1].cast("int"))
+    return R.point_gradient(g.join(F.broadcast(POINT_G.angles(spark)), "angle_id"))
+
+
+def gradient_step(spark, d):
+    """All embeddings' points one step down the gradient."""
+    return _r(R.descend(vec_points(spark, d), _gradient(spark, d), 0.5), 8, "x", "y")
+
+
+def adam_step(spark, d):
+    """All points' first Adam step: both moments are new, so it is the rate along the gradient's signs, but for epsilon."""
+    moved = R.adam_step(vec_points(spark, d).select("dirac_id", "x", "y"), _gradient(spark, d), None, 1, 0.01, eps=1e-4)
+    return _r(moved.select("dirac_id", "x", "y"), 7, "x", "y")
+
+
 # ---- cells -------------------------------------------------------------------------
 
 
@@ -284,7 +383,7 @@ def hypercube_adjoint(spark, d):
     return g.select("cell_id", *(F.round(k, 9).alias(k) for k in ("gax", "gay", "gbx", "gby")))
 
 
-QUERIES = {f.__name__: f for f in (project_points, radon_disks, radon_tents, sinogram_add_disk, disk_projection_gradient, sinogram_mass, sinogram_debias, sinogram_density, sinogram_diracs, linear_deposit, coarse_regroup, coarse_repeat, void_fraction, sliced_cost, point_gradient_2d, subspace_hessian, split_points, subsample_points, displacement, axis_broadcast, axis_floordiv_mod, axis_outer, axis_dot, axis_reduce, axis_all_any, axis_prod, axis_argmax, axis_mean_ragged, axis_slice, axis_clip_where, axis_concat_pad, vector_algebra, hypercube_vertices, hypercube_cuts, cell_measure, cell_measure_grad, hypercube_adjoint)}
+QUERIES = {f.__name__: f for f in (project_points, radon_disks, radon_tents, sinogram_add_disk, disk_projection_gradient, sinogram_mass, sinogram_debias, sinogram_density, sinogram_diracs, linear_deposit, coarse_regroup, coarse_repeat, void_fraction, sliced_cost, point_gradient_2d, subspace_hessian, split_points, subsample_points, displacement, direction_cosine, axis_broadcast, axis_floordiv_mod, axis_outer, axis_dot, axis_reduce, axis_all_any, axis_prod, axis_argmax, axis_mean_ragged, axis_slice, axis_clip_where, axis_concat_pad, axis_matmul, axis_assign, axis_views, axis_power, axis_arcsin, vector_algebra, vector_parts, matrix_parts, call_forward, call_gradient, gradient_step, adam_step, hypercube_vertices, hypercube_cuts, cell_measure, cell_measure_grad, hypercube_adjoint)}
 
 _PROJ = f"WITH {POINTS}, {angles_sql(POINT_G)}, proj AS (SELECT dirac_id, label, angle_id, nx, ny, x, y, x * nx + y * ny AS s FROM pts, angles)"
 _SLICED = f"""{_PROJ},
@@ -295,6 +394,17 @@ dn AS (SELECT d.*, 1 / n AS w, (row_number() OVER (PARTITION BY batch ORDER BY p
 tn AS (SELECT angle_id, cell_id, -1 + cell_id / 32.0::DOUBLE AS x0, y / tot.n AS m, coalesce(sum(y) OVER (PARTITION BY angle_id ORDER BY cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / tot.n AS c0 FROM cells, tot),
 ov AS (SELECT dn.*, x0, m, c0, greatest(q0, c0) AS a, least(q0 + w, c0 + m) AS b FROM dn JOIN tn ON dn.angle_id = tn.angle_id AND q0 < c0 + m AND c0 < q0 + w),
 pieces AS (SELECT *, b - a AS dm, x0 + (a - c0) / m / 32 AS l, x0 + (b - c0) / m / 32 AS r FROM ov WHERE b - a > 1e-14)"""
+_STEP = f"{_SLICED}, g AS (SELECT batch, id, nx, ny, 2 * any_value(w) * (any_value(pos) - sum(dm * (l + r) / 2) / sum(dm)) AS g FROM pieces GROUP BY 1, 2, 3, 4), s AS (SELECT id AS dirac_id, sum(g * nx) AS gx, sum(g * ny) AS gy FROM g GROUP BY 1)"
+_CENTERED = "WITH i AS (SELECT event_type || '/' || CAST(user_id % 40 AS VARCHAR) AS batch, event_id, value FROM events), u AS (SELECT batch, CAST(row_number() OVER (PARTITION BY batch ORDER BY event_id, value) - 1 AS INTEGER) AS row, value - avg(value) OVER (PARTITION BY batch) AS u FROM i)"
+
+
+def _det_sql(at: list[list[int]]) -> str:
+    """Determinant of the list's elements at the given places, expanded along the first column."""
+    if len(at) == 1:
+        return f"m[{at[0][0]}]"
+    return "(" + " ".join(f"{'-' if i % 2 else '+'} m[{r[0]}] * {_det_sql([q[1:] for k, q in enumerate(at) if k != i])}" for i, r in enumerate(at)) + ")"
+
+
 _DB = f"per AS (SELECT angle_id, sum(value) * {G.dw!r} AS mass, min(value) AS least FROM sino GROUP BY 1), lv AS (SELECT max(mass - least * {G.extent!r}) AS m FROM per)"
 _chord = lambda u: f"(CASE WHEN abs({u}) < r THEN 2 * sqrt(greatest(r * r - ({u}) * ({u}), 0)) ELSE 0 END)"
 _fine = R.coarse_group(G.nb_bins, 20)
@@ -304,7 +414,7 @@ ORACLE = {
     "radon_disks": f"{SINO} SELECT angle_id, bin_id, round(value, 6) AS value FROM sino",
     "radon_tents": f"{sino_sql('tents')} SELECT angle_id, bin_id, round(value, 6) AS value FROM sino",
     "sinogram_add_disk": SINO.replace("FROM part)", "FROM part UNION ALL SELECT 0, 0.3, -0.2, 1.0, 2.0)") + " SELECT angle_id, bin_id, round(value, 6) AS value FROM sino",
-    "disk_projection_gradient": f"{SINO}, g AS (SELECT disk_id, angle_id, bin_id, nx, ny, -rho * ({_chord('hi - s0')} - {_chord('lo - s0')}) / {G.dw!r} AS d FROM sh, bins WHERE disk_id <= 200) SELECT disk_id, angle_id, bin_id, round(d * nx, 5) + 0.0 AS gx, round(d * ny, 5) + 0.0 AS gy FROM g WHERE round(d * nx, 5) != 0 OR round(d * ny, 5) != 0",
+    "disk_projection_gradient": f"{SINO}, g AS (SELECT disk_id, angle_id, bin_id, nx, ny, -rho * ({_chord('hi - s0')} - {_chord('lo - s0')}) / {G.dw!r} AS d FROM sh, bins) SELECT disk_id, angle_id, bin_id, round(d * nx, 5) + 0.0 AS gx, round(d * ny, 5) + 0.0 AS gy FROM g WHERE round(d * nx, 5) != 0 OR round(d * ny, 5) != 0",
     "sinogram_mass": f"{SINO} SELECT angle_id, round(sum(value) * {G.dw!r}, 5) AS mass FROM sino GROUP BY 1",
     "sinogram_debias": f"{SINO}, {_DB} SELECT angle_id, bin_id, round(value - (mass - m) / {G.extent!r}, 5) AS value FROM sino JOIN per USING (angle_id), lv",
     "sinogram_density": f"{SINO} SELECT angle_id AS batch, bin_id AS cell_id, round(lo, 6) AS x0, round(hi, 6) AS x1, round(value, 6) AS y FROM sino JOIN bins USING (bin_id)",
@@ -314,10 +424,22 @@ ORACLE = {
     "coarse_repeat": f"{SINO}, co AS ({_REP}) SELECT angle_id, bin_id, round(value, 6) AS value FROM co JOIN bins ON bin_id // {_fine} = cbin",
     "void_fraction": f"WITH {POINTS}, i AS (SELECT DISTINCT floor((x + 0.4) / ({0.8 / 24!r})) AS ix, floor((y + 0.4) / ({0.8 / 24!r})) AS iy FROM pts) SELECT round(1 - count(*) / 576.0::DOUBLE, 9) AS void FROM i WHERE ix BETWEEN 0 AND 23 AND iy BETWEEN 0 AND 23",
     "sliced_cost": f"{_SLICED} SELECT label, round(sum(dm * ((l - pos) * (l - pos) + (l - pos) * (r - pos) + (r - pos) * (r - pos)) / 3), 6) AS cost FROM pieces GROUP BY 1",
+    "axis_matmul": f"WITH {_T}, {_O} SELECT row, k, round(sum(t.v * o.v), 4) AS v FROM t JOIN o USING (col) GROUP BY 1, 2",
+    "axis_assign": f"WITH {_T} SELECT row, col, round(CASE WHEN row < 3 THEN v - v / 4 ELSE v END, 6) AS v FROM t",
+    "axis_views": f"WITH {_T}, h AS (SELECT row - 2 AS row, v FROM t WHERE col = 3 AND row >= 2 UNION ALL SELECT CAST(5 + r.range AS INTEGER), 1 + r.range / 4.0 FROM range(5) r) SELECT CAST(row * 2 + k.range AS INTEGER) AS row, round(v, 6) AS v FROM h, range(2) k",
+    "axis_power": f"WITH {_T} SELECT row, col, round(pow(t.v / 50, r.v / 100), 6) AS v FROM t JOIN r USING (row)",
+    "axis_arcsin": f"WITH {_T} SELECT row, col, round(asin(v / (1 + v)), 8) AS v FROM t",
+    "vector_parts": "WITH m AS (SELECT vec_id, [x::DOUBLE * 10 for x in embedding] AS m FROM embeddings) SELECT vec_id, CAST(list_sum([floor(x) for x in m]) AS BIGINT) AS down, CAST(list_sum([ceil(x) for x in m]) AS BIGINT) AS up, round(list_min(m), 8) AS least, round(list_max(m), 8) AS most, CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS place, round(list_cosine_similarity(m, list_reverse(m)), 8) AS cosine FROM m",
+    "matrix_parts": f"WITH m AS (SELECT vec_id, [x::DOUBLE * 10 for x in embedding] AS m FROM embeddings) SELECT vec_id, round({_det_sql([[1 + 4 * i + j for j in range(4)] for i in range(4)])}, 5) AS det4, round({_det_sql([[1, 2, 3], [4, 5, 6], [7, 8, 9]])}, 6) AS det3, round(m[1] * m[8] - m[2] * m[7], 7) AS minor, round(m[1] + m[6] + m[11] + m[16], 7) AS trace, round({_det_sql([[1, 10, 3], [4, 11, 6], [7, 12, 9]])}, 6) AS replaced FROM m",
+    "call_forward": f"{_CENTERED} SELECT batch, row, round(u, 6) AS y, round(u * u, 6) AS sq FROM u",
+    "call_gradient": f"{_CENTERED} SELECT batch, row, round(2 * u - avg(2 * u) OVER (PARTITION BY batch), 6) AS value FROM u",
+    "gradient_step": f"{_STEP} SELECT pts.dirac_id, label, round(x - 0.5 * coalesce(gx, 0), 8) AS x, round(y - 0.5 * coalesce(gy, 0), 8) AS y, w FROM pts LEFT JOIN s USING (dirac_id)",
+    "adam_step": f"{_STEP} SELECT pts.dirac_id, round(x - 0.01 * coalesce(gx, 0) / (abs(coalesce(gx, 0)) + 1e-4), 7) AS x, round(y - 0.01 * coalesce(gy, 0) / (abs(coalesce(gy, 0)) + 1e-4), 7) AS y FROM pts LEFT JOIN s USING (dirac_id)",
     "point_gradient_2d": f"{_SLICED}, g AS (SELECT batch, id, nx, ny, 2 * any_value(w) * (any_value(pos) - sum(dm * (l + r) / 2) / sum(dm)) AS g FROM pieces GROUP BY 1, 2, 3, 4) SELECT id AS dirac_id, round(sum(g * nx) * 1e3, 6) AS gx_milli, round(sum(g * ny) * 1e3, 6) AS gy_milli FROM g GROUP BY 1",
     "subspace_hessian": f"{_SLICED}, b AS (SELECT id AS dirac_id, angle_id, sum(dm * (l + r) / 2) / sum(dm) AS b FROM pieces GROUP BY 1, 2), e AS (SELECT s, b, x * nx + y * ny AS e0, -y * nx + x * ny AS e1 FROM proj JOIN b USING (dirac_id, angle_id)) SELECT round(sum(0.002 * e0 * e0), 6) AS h_0_0, round(sum(0.002 * e0 * e1), 6) AS h_0_1, round(sum(0.002 * e1 * e1), 6) AS h_1_1, round(sum(0.002 * (s - b) * e0), 6) AS b_0, round(sum(0.002 * (s - b) * e1), 6) AS b_1 FROM e",
     "split_points": f"WITH {POINTS}, k AS (SELECT dirac_id * 3 + r.range AS child, x, y FROM pts, range(3) r) SELECT child AS dirac_id, round(x + 0.01 * ((child * 48271 + 11) % 2147483647 % 1000003 / 500001.5::DOUBLE - 1), 9) AS x, round(y + 0.01 * ((child * 69621 + 7) % 2147483647 % 1000003 / 500001.5::DOUBLE - 1), 9) AS y FROM k",
     "subsample_points": f"WITH {POINTS} SELECT dirac_id, round(x, 9) AS x, round(y, 9) AS y FROM pts ORDER BY (dirac_id * 48271 + 11) % 2147483647, dirac_id LIMIT 100",
+    "direction_cosine": f"WITH {POINTS}, s AS (SELECT 0.01 - 0.1 * x AS ax, 0.1 * y AS ay, -0.2 * (0.9 * x + 0.01) AS bx, 0.3 * (0.9 * x + 0.01) AS b2 FROM pts) SELECT round(sum(ax * bx + ay * b2) / sqrt(sum(ax * ax + ay * ay) * sum(bx * bx + b2 * b2)), 9) AS cosine FROM s",
     "displacement": f"WITH {POINTS} SELECT round(max(greatest(abs(0.01 - 0.1 * x), abs(0.1 * y))), 9) AS most, round(avg(sqrt((0.01 - 0.1 * x) * (0.01 - 0.1 * x) + 0.01 * y * y)), 9) AS mean FROM pts",
     "axis_broadcast": f"WITH {_T} SELECT row, col, round(t.v - r.v, 6) AS v FROM t JOIN r USING (row)",
     "axis_floordiv_mod": f"WITH {_T} SELECT row, col, floor(t.v / -r.v) AS q, round(t.v + r.v * floor(t.v / -r.v), 6) AS m FROM t JOIN r USING (row)",

@@ -201,3 +201,94 @@ def test_live_stream(spark, tmp_path):
     assert got == {"x": (0.3, 1), "y": (0.2, 2)}
     with pytest.raises(ValueError):
         live.register([("a", "canvas"), ("a", "canvas")])
+
+
+def _mesh(spark, **more):
+    g = R.Geometry(20, 64, 4.0)
+    sino = R.radon_disks(phantoms.disks(spark, [(0.2, -0.1, 0.8, 1.0), (2.6, 0.4, 0.5, 1.0)]), g.angles(spark), g).persist()
+    return Q.GradedMesh(spark, g, outer=4.0, cell=0.5, max_level=2, nb_coarse=32, **more), sino
+
+
+def test_mesh_solvers_meet_their_conditions(spark):
+    m, sino = _mesh(spark)
+    p = m.coarse(sino)
+    lam = 3e-2 * m.lipschitz() / m.degrees().max()
+    b, dense = m.adjoint(p), np.column_stack([m.a.normal(e) + lam * m.laplacian(e) for e in np.eye(m.n)])
+    free = np.linalg.solve(dense, b)
+    assert m.solve(sino, nb_iter=400) == pytest.approx(np.maximum(free, 0), abs=1e-6 * abs(free).max())
+    w = m.solve(sino, smooth=3e-2, nonneg=True, nb_iter=6000)
+    slope = dense @ w - b  # zero where w is positive, not negative where it is not
+    size = abs(b).max()
+    assert w.min() >= 0 and slope.min() > -1e-3 * size and abs(slope[w > 1e-6]).max() < 1e-3 * size
+    cold = m.solve(sino, tv=3e-3, nb_iter=40)
+    far = np.linalg.norm(m.solve(sino, tv=3e-3, nb_iter=2000) - cold)
+    m.weights = m.solve(sino, tv=3e-3, nb_iter=2000)
+    assert np.linalg.norm(m.solve(sino, tv=3e-3, nb_iter=1, warm=True) - m.weights) < far
+
+
+def test_huber_penalty(spark):
+    m, _ = _mesh(spark)
+    w, delta = np.random.default_rng(1).random(m.n), 0.3
+    d = w[m._i] - w[m._j]
+    want = np.where(abs(d) > delta, abs(d) - delta / 2, d * d / (2 * delta))
+    value, grad = m.tv(w, delta)
+    assert value == pytest.approx((m._face * want).sum())
+    for i in range(0, m.n, 17):
+        a, b = w.copy(), w.copy()
+        a[i] += 1e-6
+        b[i] -= 1e-6
+        assert grad[i] == pytest.approx((m.tv(a, delta)[0] - m.tv(b, delta)[0]) / 2e-6, abs=1e-5)
+
+
+def test_mesh_beyond_the_driver(spark):
+    """The operator in blocks on the executors gives what the arrays on the driver give."""
+    (near, sino), (far, _) = _mesh(spark), _mesh(spark, max_entries=1)
+    assert isinstance(far.a, Q.BlockOperator)
+    rng = np.random.default_rng(0)
+    w, p = rng.random(near.n), rng.random(near.m)
+    assert far.apply(w) == pytest.approx(near.apply(w)) and far.adjoint(p) == pytest.approx(near.adjoint(p))
+    assert far.a.normal(w) == pytest.approx(near.a.normal(w)) and far.a.diagonal() == pytest.approx(near.a.diagonal())
+    assert far.solve(sino, nb_iter=5) == pytest.approx(near.solve(sino, nb_iter=5), rel=1e-6, abs=1e-9)
+
+
+def test_tents_in_mass_space():
+    """The pieces' cost against the cost on a very fine grid of the same density."""
+    rng = np.random.default_rng(4)
+    e, y, p = np.linspace(-2, 2, 9), np.array([0, 1, 0, 3, 2, 0.5, 0, 1.0]), rng.uniform(-1, 1, 6)
+    cost, _ = X.tent_transport(p, 0.4, e, y)
+    z = np.linspace(-1.5, 1.5, 60_001)
+    mid = (z[:-1] + z[1:]) / 2
+    f = np.maximum(0.4 - abs(mid[:, None] - p), 0).sum(1)
+    centers = (e[:-1] + e[1:]) / 2
+    assert X.transport(centers[y > 0], y[y > 0], z, f)[0] == pytest.approx(cost, rel=1e-4)
+
+
+def test_plane_and_grid_searches_go_down(spark):
+    g = R.Geometry(6, 64, 6.0)
+    m = X.DiracModel(R.radon_disks(phantoms.disks(spark, [(0.3, -0.2, 1.0, 1.0)]), g.angles(spark), g).persist(), g)
+    x = X.random_points(20, g.extent, 1)
+    start = m.cost(x)
+    for third in (False, True):
+        assert m.cost(X.plane_search(m, x, steps=6, third=third)) < 0.5 * start
+    assert m.cost(X.grid_descent(m, x, steps=3, n=5)) < 0.5 * start
+    at = np.array([[1.0, 0], [0, 1], [1, 1], [2, 1], [-1, 2]])
+    h, b = np.array([[3.0, 1], [1, 2]]), np.array([-1.0, 2])
+    y = 5 + at @ b + 0.5 * np.einsum("ki,ij,kj->k", at, h, at)
+    assert X.fitted_minimum(at, y, 5.0, b) == pytest.approx(-np.linalg.solve(h, b))
+    assert X.fitted_minimum(at, 5 + at @ b - (at**2).sum(1), 5.0, b) is None
+
+
+def test_disk_out_of_the_field_is_drawn_back():
+    disk = X.DiskModel.__new__(X.DiskModel)
+    disk.edges, disk.radius, disk.g = np.linspace(-2, 2, 17), 0.5, R.Geometry(1, 16, 4.0)
+    y, s = np.ones(16), np.array([9.0, 11.0])
+    v, grad = disk.angle(s, y, True)
+    assert (grad > 0).all() and grad[0] == pytest.approx((disk.angle(s + [1e-5, 0], y, True)[0] - v) / 1e-5, rel=1e-3)
+
+
+def test_disk_profile_in_blocks(monkeypatch):
+    rng = np.random.default_rng(0)
+    s, r, e = rng.uniform(-1, 1, 50), rng.uniform(0.1, 0.5, 50), np.linspace(-2, 2, 33)
+    whole = X.disk_profile(s, r, e)
+    monkeypatch.setattr(X, "DISK_BLOCK", 7)
+    assert X.disk_profile(s, r, e) == pytest.approx(whole)

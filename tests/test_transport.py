@@ -89,3 +89,32 @@ def test_masses(spark):
 def test_empty_points(spark):
     d, t = _tables(spark, CASES[:1])
     assert T.cost(T.pieces(d.limit(0), t)).count() == 0
+
+
+def test_one_batch_in_many_buckets(spark):
+    """Potentials, gradients, look-ups and moments are the same however a batch is cut, empty cells and ties included."""
+    rng = np.random.default_rng(8)
+    at = np.concatenate([rng.random(150), np.full(20, 0.4), [0.0, 1.0]])
+    d = spark.createDataFrame([(0, i, float(x), float(v)) for i, (x, v) in enumerate(zip(at, rng.random(len(at)) + 0.1))], POINTS).persist()
+    t = M.knots_density(spark.createDataFrame([(0, i, float(y)) for i, y in enumerate([0, 1, 2, 0, 0, 5, 1, 0, 3, 0])], CELLS)).persist()
+    levels = spark.range(101).select(F.lit(0).cast("long").alias("batch"), F.col("id").alias("level_id"), (F.col("id") / 100).alias("level"))
+
+    def both(f, key):
+        one, many = ({tuple(r[k] for k in key): r for r in f(k).collect()} for k in (1, 16))
+        assert one.keys() == many.keys() and one
+        for k, r in one.items():
+            for c, v in r.asDict().items():
+                assert many[k][c] == pytest.approx(v, abs=1e-9), (k, c)
+
+    both(lambda k: T.potentials(T.pieces(d, t, k), d, k), ["dirac_id"])
+    both(lambda k: T.grad_weight(T.pieces(d, t, k), d, k), ["dirac_id"])
+    both(lambda k: T.grad_density(T.pieces(d, t, k), d, t, k), ["cell_id"])
+    both(lambda k: T.lookup(levels, t, k), ["level_id"])
+    both(lambda k: T.cost_by_moments(d, t, k), ["batch"])
+    both(lambda k: T.cell_cum_mass(t, k), ["cell_id"])
+
+
+def test_histogram_of_nothing(spark):
+    none = spark.createDataFrame([], "v double")
+    assert M.histogram(none, "v").count() == 0
+    assert M.histogram(spark.createDataFrame([(None,)], "v double"), "v").count() == 0
