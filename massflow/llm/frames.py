@@ -41,10 +41,37 @@ def cut(df: DataFrame) -> DataFrame:
     """Lineage cut by a written table in the shared folder; survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, "cut")
+    if _open:
+        _open[-1].paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Work tables that are cut inside are deleted at its end, but for those cut by ``last``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        _open.append(self)
+        return self
+
+    def last(self, df: DataFrame) -> DataFrame:
+        """df written, in a table that stays: what is read after the end rests on such tables only."""
+        kept = cut(df)
+        self.paths.pop()
+        return kept
+
+    def __exit__(self, *failed) -> None:
+        _open.remove(self)
+        for path in self.paths:
+            remove(self.spark, path)
+
+
+_open: list[Scratch] = []
+
+
 def with_position(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """df with each row's place, from 0, in the files that df is read from, and the number of rows.
 

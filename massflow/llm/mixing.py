@@ -166,6 +166,12 @@ def mixing(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFram
 
 
 def in_order(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """docs' own rows and columns in the order of the mix (pipeline stage)."""
+    """docs' own rows and columns in the order of the mix (pipeline stage).
+
+    Null sources, null and empty texts, repeated rows and very long texts are
+    placed as ``mix`` places them, none is dropped; rows that tie in all of id,
+    length and text are interchangeable; an empty table stays empty.  Columns of
+    any names but those that begin with ``__mix_`` or ``__own_`` pass through.
+    """
     p = "__mix_"
     return mix(docs, weights, prefix=p).orderBy(p + "slot", p + "part").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from massflow.llm import hashed_lr as lr
 from massflow.llm import text as T
+from massflow.llm.frames import release
 
 #: Labelled rows of each class that the classifier is fitted on at most.
 TRAIN_PER_CLASS = 1200
@@ -58,6 +59,8 @@ def judge(docs: DataFrame, model: lr.Model | None, text_col: str = "text", prefi
                     cols[k].append(got[k])
             made = [pa.array(np.concatenate(v) if v else np.zeros(0), _arrow(k)) for k, v in cols.items()]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*b.schema.names, *(prefix + k for k in NAMES)])
+        b = cols = made = None  # noqa: F841  nothing of the last batch is held
+        release()
 
     return docs.mapInArrow(run, schema)
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from massflow.llm import text as T
-from massflow.llm.frames import cut
+from massflow.llm.frames import cut, release
 from massflow.llm.hashed_lr import labelled_sample, sigmoid
 
 TRAIN_PER_CLASS = 1500
@@ -103,6 +103,8 @@ def _scored(docs: DataFrame, model: Evidence | None, text_col: str, out: str) ->
         for b in batches:
             p = [m.probabilities(features(buf, off)) if m is not None else np.full(hi - lo, 0.5) for lo, hi, buf, off in T.slices(b.column(text_col))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(p) if p else np.zeros(0))], [*b.schema.names, out])
+        b = p = None  # noqa: F841  nothing of the last batch is held
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -176,6 +178,13 @@ def quality_classifier(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier keeps, with docs' own columns (pipeline stage)."""
+    """The rows of docs that the classifier keeps, with docs' own columns (pipeline stage).
+
+    A null or empty text is judged as an empty text, a null source or lang is a
+    site of its own, repeated rows are judged alike and each count for their
+    site; ties stay (a posterior at the bound is kept); without labels of both
+    classes all stay; an empty table stays empty.  Columns of any names but
+    those that begin with ``__site_`` pass through.
+    """
     p = "__site_"
     return classify(docs, labels, prefix=p, again=True).where(F.col(p + "kept")).select(*(F.col(f"`{c}`") for c in docs.columns))

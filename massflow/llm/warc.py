@@ -54,12 +54,12 @@ def _record(page_id, url, html, digest, refers_to, date) -> str:
     body = html or ""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body.encode())}\r\n\r\n"
     block = http if refers_to is not None else http + body
-    head = [VERSION.decode(), f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <{ID}{page_id}>", f"WARC-Date: {date}"]
+    head = [VERSION.decode(), f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: <{ID}{page_id}:{digest[:12]}>", f"WARC-Date: {date}"]
     if url:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     head.append(f"WARC-Payload-Digest: sha1:{b32(digest)}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <{ID}{refers_to}>", f"WARC-Profile: {REVISIT_PROFILE}"]
+        head += [f"WARC-Refers-To: <{ID}{refers_to}:{digest[:12]}>", f"WARC-Profile: {REVISIT_PROFILE}"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block.encode())}"]
     return "\r\n".join(head) + "\r\n\r\n" + block
 
@@ -69,8 +69,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
 
     A null html is an empty payload, a null url leaves out the target.  A row
     with a null page_id is a response that nothing refers to.  Rows that repeat
-    the greatest id of a payload are responses all.  Columns other than
-    page_id, url and html are not archived.
+    the greatest id of a payload are responses all.  A record id is the page_id
+    with the beginning of its payload's digest, so pages that share an id differ
+    in it unless they share the payload, too.  Columns other than page_id, url
+    and html are not archived.
     """
     again = revisits(pages, min_bytes)
     size, longest = pages.agg(F.avg(_size()), F.max(_size())).first()
@@ -108,7 +110,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
 
     def number(ref):
-        tail = ref.strip("<>").removeprefix(ID) if ref else "None"
+        tail = ref.strip("<>").removeprefix(ID).partition(":")[0] if ref else "None"
         return None if tail == "None" else int(tail)
 
     def run(batches):

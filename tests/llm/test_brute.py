@@ -174,3 +174,26 @@ def test_empty_tables_and_clashing_columns(spark, corpus):  # noqa: F811
     assert stage.columns == wide.columns and stage.where("kept != 'clash'").count() == 0
     assert quality_rules.keep_good(wide.limit(0), labels).count() == 0
     assert mixing.in_order(wide.limit(0)).columns == wide.columns
+
+
+def test_stages_on_awkward_tables(spark, corpus, tmp_path):  # noqa: F811
+    """Empty tables, null columns, very long texts, repeated rows and columns with clashing names, through every stage."""
+    import corpus_pipeline
+
+    docs, labels = corpus
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    long = " ".join(f"word{k % 997} of a long text, number {k}." for k in range(30_000))
+    odd = spark.createDataFrame([(70, None, None, None, None), (70, None, None, None, None), (None, "x " * 99, None, None, None), (71, long, "en", "src0", 1), (71, long, "en", "src0", 1)], docs.schema)
+    wide = odd.withColumn("kept", F.lit("clash")).withColumn("slot", F.lit("clash")).withColumn("evidence", F.lit("clash")).withColumn("component_id", F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (wide, wide.limit(0)):
+            out = stage(spark, table, str(tmp_path))
+            n = out.count()
+            assert n <= table.count() and (name != "source_mix" or n == table.count())
+            if name == "sentencepiece":
+                assert n == table.count() and out.where("NOT decoded_ok").count() == 0
+            else:
+                assert out.columns == wide.columns
+                assert out.where("kept != 'clash' OR slot != 'clash'").count() == 0
+    assert corpus_pipeline.near_duplicates(spark, wide, str(tmp_path)).where("doc_id = 71").count() == 1
