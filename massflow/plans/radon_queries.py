@@ -262,7 +262,7 @@ _O = "o AS (SELECT CAST(l_suppkey % 5 AS INTEGER) AS col, CAST(l_linenumber % 3
 
 
 def axis_matmul(spark, d):
-    return _r(A.matmul(_table(spark, d), _other(spark, d).withColumnRenamed("col", "inner")), 4, "v")
+    return _r(A.matmul(_table(spark, d), _other(spark, d).withColumnRenamed("col", "inner")), 7, "v")
 
 
 def axis_assign(spark, d):
@@ -321,12 +321,12 @@ def _items(spark, d):
 
 def call_forward(spark, d):
     """A user's body on every batch item's columns."""
-    return _r(CENTERED(_items(spark, d)).select("batch", "row", "y", "sq"), 6, "y", "sq")
+    return _r(_r(CENTERED(_items(spark, d)).select("batch", "row", "y", "sq"), 8, "y"), 6, "sq")
 
 
 def call_gradient(spark, d):
     """The user's derivative of the sum of squares, by value."""
-    return _r(CENTERED.grad(_items(spark, d), "sq"), 6, "value")
+    return _r(CENTERED.grad(_items(spark, d), "sq"), 8, "value")
 
 
 def _gradient(spark, d):
@@ -424,15 +424,15 @@ ORACLE = {
     "coarse_repeat": f"{SINO}, co AS ({_REP}) SELECT angle_id, bin_id, round(value, 6) AS value FROM co JOIN bins ON bin_id // {_fine} = cbin",
     "void_fraction": f"WITH {POINTS}, i AS (SELECT DISTINCT floor((x + 0.4) / ({0.8 / 24!r})) AS ix, floor((y + 0.4) / ({0.8 / 24!r})) AS iy FROM pts) SELECT round(1 - count(*) / 576.0::DOUBLE, 9) AS void FROM i WHERE ix BETWEEN 0 AND 23 AND iy BETWEEN 0 AND 23",
     "sliced_cost": f"{_SLICED} SELECT label, round(sum(dm * ((l - pos) * (l - pos) + (l - pos) * (r - pos) + (r - pos) * (r - pos)) / 3), 6) AS cost FROM pieces GROUP BY 1",
-    "axis_matmul": f"WITH {_T}, {_O} SELECT row, k, round(sum(t.v * o.v), 4) AS v FROM t JOIN o USING (col) GROUP BY 1, 2",
+    "axis_matmul": f"WITH {_T}, {_O} SELECT row, k, round(sum(t.v * o.v), 7) AS v FROM t JOIN o USING (col) GROUP BY 1, 2",
     "axis_assign": f"WITH {_T} SELECT row, col, round(CASE WHEN row < 3 THEN v - v / 4 ELSE v END, 6) AS v FROM t",
     "axis_views": f"WITH {_T}, h AS (SELECT row - 2 AS row, v FROM t WHERE col = 3 AND row >= 2 UNION ALL SELECT CAST(5 + r.range AS INTEGER), 1 + r.range / 4.0 FROM range(5) r) SELECT CAST(row * 2 + k.range AS INTEGER) AS row, round(v, 6) AS v FROM h, range(2) k",
     "axis_power": f"WITH {_T} SELECT row, col, round(pow(t.v / 50, r.v / 100), 6) AS v FROM t JOIN r USING (row)",
     "axis_arcsin": f"WITH {_T} SELECT row, col, round(asin(v / (1 + v)), 8) AS v FROM t",
     "vector_parts": "WITH m AS (SELECT vec_id, [x::DOUBLE * 10 for x in embedding] AS m FROM embeddings) SELECT vec_id, CAST(list_sum([floor(x) for x in m]) AS BIGINT) AS down, CAST(list_sum([ceil(x) for x in m]) AS BIGINT) AS up, round(list_min(m), 8) AS least, round(list_max(m), 8) AS most, CAST(list_position(m, list_max(m)) - 1 AS INTEGER) AS place, round(list_cosine_similarity(m, list_reverse(m)), 8) AS cosine FROM m",
     "matrix_parts": f"WITH m AS (SELECT vec_id, [x::DOUBLE * 10 for x in embedding] AS m FROM embeddings) SELECT vec_id, round({_det_sql([[1 + 4 * i + j for j in range(4)] for i in range(4)])}, 5) AS det4, round({_det_sql([[1, 2, 3], [4, 5, 6], [7, 8, 9]])}, 6) AS det3, round(m[1] * m[8] - m[2] * m[7], 7) AS minor, round(m[1] + m[6] + m[11] + m[16], 7) AS trace, round({_det_sql([[1, 10, 3], [4, 11, 6], [7, 12, 9]])}, 6) AS replaced FROM m",
-    "call_forward": f"{_CENTERED} SELECT batch, row, round(u, 6) AS y, round(u * u, 6) AS sq FROM u",
-    "call_gradient": f"{_CENTERED} SELECT batch, row, round(2 * u - avg(2 * u) OVER (PARTITION BY batch), 6) AS value FROM u",
+    "call_forward": f"{_CENTERED} SELECT batch, row, round(u, 8) AS y, round(u * u, 6) AS sq FROM u",
+    "call_gradient": f"{_CENTERED} SELECT batch, row, round(2 * u - avg(2 * u) OVER (PARTITION BY batch), 8) AS value FROM u",
     "gradient_step": f"{_STEP} SELECT pts.dirac_id, label, round(x - 0.5 * coalesce(gx, 0), 8) AS x, round(y - 0.5 * coalesce(gy, 0), 8) AS y, w FROM pts LEFT JOIN s USING (dirac_id)",
     "adam_step": f"{_STEP} SELECT pts.dirac_id, round(x - 0.01 * coalesce(gx, 0) / (abs(coalesce(gx, 0)) + 1e-4), 7) AS x, round(y - 0.01 * coalesce(gy, 0) / (abs(coalesce(gy, 0)) + 1e-4), 7) AS y FROM pts LEFT JOIN s USING (dirac_id)",
     "point_gradient_2d": f"{_SLICED}, g AS (SELECT batch, id, nx, ny, 2 * any_value(w) * (any_value(pos) - sum(dm * (l + r) / 2) / sum(dm)) AS g FROM pieces GROUP BY 1, 2, 3, 4) SELECT id AS dirac_id, round(sum(g * nx) * 1e3, 6) AS gx_milli, round(sum(g * ny) * 1e3, 6) AS gy_milli FROM g GROUP BY 1",
