@@ -90,6 +90,21 @@ def with_position(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return at.join(F.broadcast(first), "__file").withColumn(name, F.col("__ahead") + F.col("__row")).drop("__file", "__row", "__ahead"), ahead[-1]
 
 
+#: Bytes of one Arrow batch between the JVM and Python: buffers grow by doubling, outside the heap, one set a task.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of an Arrow batch to BATCH_BYTES; a lower one stays.
+
+    The default bound is 64 MB.  Results do not depend on it.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = spark.conf.get(key, None) or ""
+    if not known.removesuffix("b").isdigit() or int(known.removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a work table once nothing will read it again."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

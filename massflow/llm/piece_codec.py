@@ -35,16 +35,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massflow.llm.frames import release, with_position
+from massflow.llm.frames import bound_batches, release, with_position
 
 #: Bytes of text that one chunk is planned for.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 20 << 20
 #: Bytes of text in one compressed blob.
 BLOB_BYTES = 1 << 20
 #: Bytes of text of a chunk that are coded at once.
-CODED_BYTES = 6 << 20
-#: Dictionary entries that a task packs together, and ids of documents in a batch.
-PACK_ENTRIES = 1 << 20
+CODED_BYTES = 2 << 20
+#: Dictionary entries that a task packs together, and ids of the documents of one batch.
+PACK_ENTRIES, BATCH_IDS = 1 << 18, 1 << 18
 #: Words longer than this do not fit the mask of boundaries.
 LONG_WORD = 62
 MARK = "▁"
@@ -80,6 +80,15 @@ class Pieces:
         return spark.createDataFrame([("", -1, 0.0, -1), *((t, order[c], -float(c), i) for t, (c, i) in self.rank.items())], "sub string, rank int, score double, id int")
 
 
+@dataclass
+class Cuts:
+    """What cutting words needs of a vocabulary: a worker that does not encode holds no pieces."""
+
+    ends: str
+    pairs: set[str]
+    byte0: int | None
+
+
 def load(path: str, algorithm: str = "bpe") -> Pieces:
     from sentencepiece import SentencePieceProcessor
 
@@ -98,7 +107,7 @@ def spaced(text: str) -> list[str]:
     return text.split(" ")
 
 
-def words_of(part: str, pieces: Pieces) -> list[str]:
+def words_of(part: str, pieces: Pieces | Cuts) -> list[str]:
     """The words of " " + part in order, with ``\\n`` for each line end; their join is " " + part."""
     out: list[str] = []
     for k, line in enumerate((" " + part).split("\n")):
@@ -186,8 +195,9 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     end = F.col("s") + F.col("k")
     edge = ["rank", "s", "k", "id", "score"] if pieces.algorithm != "bpe" else ["rank", "s", "k", "id"]
     ends, inner = _shift(1, F.col("s")).bitwiseOR(_shift(1, end)), _shift(1, end) - _shift(2, F.col("s"))
-    found = found.select("word", "chunks", F.struct(*edge, ends.alias("ends"), F.when(F.col("k") > 1, inner).otherwise(F.lit(0).cast("long")).alias("inner")).alias("edge"))
-    held = found.groupBy("word").agg(F.any_value("chunks").alias("chunks"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    # Only a word's first row carries its chunks: the others are grouped in as few bytes as they need.
+    found = found.select("word", F.when(F.col("k") == 0, F.col("chunks")).alias("chunks"), F.struct(*edge, ends.alias("ends"), F.when(F.col("k") > 1, inner).otherwise(F.lit(0).cast("long")).alias("inner")).alias("edge"))
+    held = found.groupBy("word").agg(F.any_value("chunks", True).alias("chunks"), F.sort_array(F.collect_list("edge")).alias("edges"))
     held = held.withColumn("n", F.char_length("word"))
     fold = _bpe_fold(F.col("n"), F.col("edges")) if pieces.algorithm == "bpe" else _viterbi_fold(F.col("n"), F.col("edges"), pieces.unknown)
     held = held.withColumn("m", F.when(fits, fold))
@@ -267,9 +277,44 @@ def decode(ids, pieces: Pieces) -> str:
     return raw[1:] if raw.startswith(" ") else raw
 
 
-def _sealed(t: pa.Table) -> bytes:
+# Arrow arrays from and to buffers: ``pa.array`` and ``to_numpy`` load pandas into every worker, 35 MB each.
+
+
+def _plain(x: np.ndarray) -> pa.Array:
+    """An array of numbers, without a copy, or of booleans."""
+    if x.dtype == bool:
+        return pa.Array.from_buffers(pa.bool_(), len(x), [None, pa.py_buffer(np.packbits(x, bitorder="little"))])
+    return pa.Array.from_buffers(pa.from_numpy_dtype(x.dtype), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _numbers(x: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The values of an array without nulls, without a copy but for booleans."""
+    x = x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
+    if not len(x):
+        return np.zeros(0, str(x.type))
+    if pa.types.is_boolean(x.type):
+        bits = np.unpackbits(np.frombuffer(x.buffers()[1], np.uint8), bitorder="little")
+        return bits[x.offset : x.offset + len(x)].astype(bool)
+    return np.frombuffer(x.buffers()[1], str(x.type))[x.offset : x.offset + len(x)]
+
+
+def _binary(values: list[bytes], kind: pa.DataType) -> pa.Array:
+    at = np.zeros(len(values) + 1, np.int32)
+    np.cumsum([len(v) for v in values], out=at[1:])
+    return pa.Array.from_buffers(kind, len(values), [None, pa.py_buffer(at), pa.py_buffer(b"".join(values))])
+
+
+def _strings(values) -> pa.Array:
+    return _binary([v.encode() for v in values], pa.string())
+
+
+def _lists(at: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(_plain(at.astype(np.int32)), values)
+
+
+def _sealed(t: pa.Table, level: int = 3) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=level))) as out:
         out.write_table(t)
     return sink.getvalue().to_pybytes()
 
@@ -284,7 +329,7 @@ def _blobs(t: pa.Table, chunk: np.ndarray) -> list[tuple[int, pa.Table]]:
     c = chunk[order]
     edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]])) if len(c) else [0]
     if (order != np.arange(len(order))).any():
-        t = t.take(pa.array(order))
+        t = t.take(_plain(order))
     return [(int(c[a]), t.slice(a, b - a)) for a, b in zip(edge, edge[1:])]
 
 
@@ -292,64 +337,66 @@ _BLOB = "chunk int, kind int, place long, blob binary"
 
 
 def _rows(found: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 4, kinds)], ["chunk", "kind", "place", "blob"])
+    chunk, kind, place, blob = zip(*found) if found else [()] * 4
+    return pa.RecordBatch.from_arrays([_plain(np.array(chunk, np.int32)), _plain(np.array(kind, np.int32)), _plain(np.array(place, np.int64)), _binary(list(blob), pa.binary())], ["chunk", "kind", "place", "blob"])
 
 
 def _texts(batches):
     """Compressed runs of a chunk's rows, about BLOB_BYTES of text each."""
     for b in batches:
         t = pa.Table.from_batches([b])
-        for c, own in _blobs(t.drop_columns(["chunk"]), b.column("chunk").to_numpy()):
-            size = np.cumsum(pc.binary_length(own["text"]).to_numpy())
+        for c, own in _blobs(t.drop_columns(["chunk"]), _numbers(b.column("chunk"))):
+            size = np.cumsum(_numbers(pc.binary_length(own["text"])))
             lo = 0
             while lo < own.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + BLOB_BYTES, "right")))
                 part = own.slice(lo, hi - lo).combine_chunks()
-                yield _rows([(c, 1, part["place"][0].as_py(), _sealed(part))])
+                yield _rows([(c, 1, part["place"][0].as_py(), _sealed(part, 6))])
                 lo = hi
+    b = t = own = part = None  # noqa: F841  nothing of the last batch is held
+    release()
 
 
 def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Each text's ``spaced`` parts, as a list array, and the texts' indices in its order."""
-    odd = pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))
-    odd = pc.or_(odd, pc.equal(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+    odd = _numbers(pc.or_(pc.match_substring(texts, "  "), pc.starts_with(texts, " "))) | (_numbers(pc.binary_length(texts)) == 0)
     order = np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])
-    plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
-    rest = pa.array([spaced(t) for t in texts.filter(pa.array(odd)).to_pylist()], pa.list_(pa.string()))
-    return pa.concat_arrays([plain.cast(pa.list_(pa.string())), rest]), order
+    plain = pc.split_pattern(texts.filter(_plain(~odd)), " ")
+    parts = [spaced(t) for t in texts.filter(_plain(odd)).to_pylist()]
+    rest = _lists(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), _strings([x for own in parts for x in own]))
+    return pa.concat_arrays([plain.cast(rest.type), rest]), order
 
 
 class _Cut:
     """``words_of`` distinct parts: plain ones, with marks after an ASCII letter or none, are cut as arrays."""
 
-    def __init__(self, parts: pa.Array, pieces: Pieces):
+    def __init__(self, parts: pa.Array, pieces: Pieces | Cuts):
         marks = re.escape(pieces.ends)
-        short = pc.and_not(pc.less(pc.utf8_length(parts), LONG_WORD), pc.match_substring(parts, "\n"))
+        short = pc.and_not(_plain(_numbers(pc.utf8_length(parts)) < LONG_WORD), pc.match_substring(parts, "\n"))
         whole = pc.and_(short, pc.match_substring_regex(parts, f"[^{marks}]$" if marks else "."))
-        split = pc.and_(short, pc.match_substring_regex(parts, f"[A-Za-z][{marks}]+$")) if marks else pc.and_(whole, pa.scalar(False))
+        split = pc.and_(short, pc.match_substring_regex(parts, f"[A-Za-z][{marks}]+$")) if marks else pc.and_not(whole, whole)
         hard = pc.invert(pc.or_(whole, split))
-        self.whole, self.split, self.hard = (np.flatnonzero(m.to_numpy(zero_copy_only=False)) for m in (whole, split, hard))
+        self.whole, self.split, self.hard = (np.flatnonzero(_numbers(m)) for m in (whole, split, hard))
         ended = parts.filter(split)
-        self.heads = pc.binary_join_element_wise(" ", pa.concat_arrays([parts.filter(whole), pc.utf8_rtrim(ended, pieces.ends) if marks else ended]), "")
+        self.heads = pc.utf8_replace_slice(pa.concat_arrays([parts.filter(whole), pc.utf8_rtrim(ended, pieces.ends) if marks else ended]), 0, 0, " ")
         self.tails = pc.extract_regex(ended, f"(?P<end>[{marks}]+)$").field("end") if marks else ended
         self.lists = [words_of(p, pieces) for p in parts.filter(hard).to_pylist()]
 
 
-def _vocabulary(batches, pieces: Pieces):
+def _vocabulary(batches, pieces: Pieces | Cuts):
     """(word, chunk): each chunk's distinct words."""
 
     def out(chunk: int, seen: list[pa.Array]):
         cut = _Cut(pc.unique(pa.chunked_array(seen, pa.string())), pieces)
         rest = {w for ws in cut.lists for w in ws} - {"\n"}
-        words = pc.unique(pa.chunked_array([cut.heads, cut.tails, pa.array(rest, pa.string())], pa.string()))
+        words = pc.unique(pa.chunked_array([cut.heads, cut.tails, _strings(rest)], pa.string()))
         for k in range(0, len(words), 50_000):
             one = words.slice(k, 50_000)
-            yield pa.RecordBatch.from_arrays([one, pa.array(np.full(len(one), chunk, np.int32))], ["word", "chunk"])
+            yield pa.RecordBatch.from_arrays([one, _plain(np.full(len(one), chunk, np.int32))], ["word", "chunk"])
 
     last, seen = None, []
     for b in batches:
-        for c, own in _blobs(pa.Table.from_batches([b]), b.column("chunk").to_numpy()):
+        for c, own in _blobs(pa.Table.from_batches([b]), _numbers(b.column("chunk"))):
             if c != last and seen:  # rows come in order; a chunk that goes on later comes in parts
                 yield from out(last, seen)
                 seen = []
@@ -358,36 +405,48 @@ def _vocabulary(batches, pieces: Pieces):
                 seen.append(pc.unique(_split(own["text"].slice(lo, 1_024).combine_chunks())[0].flatten()))
     if seen:
         yield from out(last, seen)
+    b = own = seen = None  # noqa: F841  nothing of the last batch is held
     release()
 
 
 def _entries(batches, pieces: Pieces):
     """Dictionary blobs per chunk: word, ids and whether the ids decode to the word."""
     small = pa.uint16() if len(pieces.text) <= 1 << 16 else pa.int32()
-    waiting, size = [], 0
+    waiting: list[tuple[pa.Table, np.ndarray]] = []
+    size = 0
 
     def flush():
-        t = pa.concat_tables([w for w, _ in waiting])
-        return _rows([(c, 0, 0, _sealed(own.combine_chunks())) for c, own in _blobs(t, np.concatenate([c for _, c in waiting]))])
+        """A blob for each chunk, one at a time: only the entries themselves are held twice."""
+        t, chunk = pa.concat_tables([w for w, _ in waiting]).combine_chunks(), np.concatenate([c for _, c in waiting])
+        waiting.clear()
+        order = np.argsort(chunk, kind="stable").astype(np.int32)
+        chunk = chunk[order]
+        edge = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]]))
+        for lo, hi in zip(edge, edge[1:]):
+            yield _rows([(int(chunk[lo]), 0, 0, _sealed(t.take(_plain(order[lo:hi]))))])
 
     for b in batches:
         if not b.num_rows:
             continue
         words, ids = b.column(0).to_pylist(), b.column(2)
         if ids.null_count:
-            ids = pa.array([fold_long(w, pieces) if i is None else i for w, i in zip(words, ids.to_pylist())], pa.list_(pa.int32()))
-        flat, at = ids.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(ids).to_numpy())]).astype(np.int32)
+            each = [fold_long(w, pieces) if i is None else i for w, i in zip(words, ids.to_pylist())]
+            ids = _lists(np.concatenate([[0], np.cumsum([len(i) for i in each])]), _plain(np.array([x for i in each for x in i], np.int32)))
+        flat, at = ids.flatten(), np.concatenate([[0], np.cumsum(_numbers(pc.list_value_length(ids)))]).astype(np.int32)
         raw, codes = list(map(pieces.raw.__getitem__, flat.to_pylist())), at.tolist()
         fine = [b"".join(raw[x:y]) == w.encode() for w, x, y in zip(words, codes, codes[1:])]
-        t = pa.table([b.column(0), pa.ListArray.from_arrays(pa.array(at), flat.cast(small)), pa.array(fine)], ["word", "ids", "fine"])
+        t = pa.Table.from_arrays([b.column(0), _lists(at, flat.cast(small)), _plain(np.array(fine, bool))], ["word", "ids", "fine"])
         who = pc.list_parent_indices(b.column(1))
-        waiting.append((t.take(who), b.column(1).flatten().to_numpy()))
+        waiting.append((t.take(who), _numbers(b.column(1).flatten()).copy()))
         size += len(who)
+        t = ids = words = raw = codes = flat = fine = who = None
         if size >= PACK_ENTRIES:
-            yield flush()
-            waiting, size = [], 0
+            yield from flush()
+            size = 0
+            release()
     if waiting:
-        yield flush()
+        yield from flush()
+    b = None  # noqa: F841  nothing of the last batch is held
     release()
 
 
@@ -400,21 +459,21 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class _Dictionary:
     """A chunk's words with their ids end to end."""
 
-    def __init__(self, tables: list[pa.Table], pieces: Pieces):
+    def __init__(self, tables: list[pa.Table], pieces: Pieces | Cuts):
         self.pieces = pieces
-        line = pa.table({"word": pa.array(["\n"]), "ids": pa.array([[(pieces.byte0 or 0) + 10]], pa.list_(pa.int32())), "fine": [True]})
-        t = pa.concat_tables([*(x.set_column(1, "ids", x["ids"].cast(pa.list_(pa.int32()))) for x in tables), line]).combine_chunks()
-        ids = t["ids"].combine_chunks()
-        self.words, self.flat = t["word"].combine_chunks(), ids.flatten().to_numpy()
-        self.size = pc.list_value_length(ids).to_numpy().astype(np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.fine = t["fine"].combine_chunks().to_numpy(zero_copy_only=False)
+        self.words = pa.concat_arrays([*(c for t in tables for c in t["word"].chunks), _strings(["\n"])])
+        ids = [c for t in tables for c in t["ids"].chunks]
+        kind = str(ids[0].type.value_type) if ids else "int32"
+        self.flat = np.concatenate([*(_numbers(c.flatten()) for c in ids), np.array([(pieces.byte0 or 0) + 10], kind)])
+        self.size = np.concatenate([*(_numbers(pc.list_value_length(c)) for c in ids), np.ones(1, np.int32)])
+        self.start = np.cumsum(self.size, dtype=np.int32) - self.size
+        self.fine = np.concatenate([*(_numbers(c) for t in tables for c in t["fine"].chunks), np.ones(1, bool)])
 
     def find(self, words: pa.Array) -> np.ndarray:
         at = pc.index_in(words, value_set=self.words)
         if at.null_count:
             raise KeyError(words.filter(pc.is_null(at))[0].as_py())
-        return at.to_numpy()
+        return _numbers(at)
 
     def parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids end to end, start, size, whether they decode) of distinct parts."""
@@ -424,10 +483,9 @@ class _Dictionary:
         counts[cut.hard] = [len(ws) for ws in cut.lists]
         first = np.cumsum(counts) - counts
         word = np.empty(int(counts.sum()), np.int64)
-        word[first[np.concatenate([cut.whole, cut.split])]] = self.find(cut.heads)
-        word[first[cut.split] + 1] = self.find(cut.tails)
-        word[_spread(first[cut.hard], counts[cut.hard])] = self.find(pa.array([w for ws in cut.lists for w in ws], pa.string()))
-        ids = self.flat[_spread(self.start[word], self.size[word])]
+        place = [first[np.concatenate([cut.whole, cut.split])], first[cut.split] + 1, _spread(first[cut.hard], counts[cut.hard])]
+        word[np.concatenate(place)] = self.find(pa.concat_arrays([cut.heads, cut.tails, _strings([w for ws in cut.lists for w in ws])]))
+        ids = self.flat[_spread(self.start[word].astype(np.int64), self.size[word])]
         owner = np.repeat(np.arange(len(parts)), counts)
         size = np.bincount(owner, self.size[word], len(parts)).astype(np.int64)
         return ids, np.cumsum(size) - size, size, np.bincount(owner[~self.fine[word]], minlength=len(parts)) == 0
@@ -438,7 +496,7 @@ def _coded(t: pa.Table, known: _Dictionary, carry: tuple[str, ...]):
     lists, order = _split(t["text"].combine_chunks())
     coded = lists.flatten().dictionary_encode()
     ids, start, size, fine = known.parts(coded.dictionary)
-    code, first = coded.indices.to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+    code, first = _numbers(coded.indices), np.concatenate([[0], np.cumsum(_numbers(pc.list_value_length(lists)))])
     back = np.argsort(order)
     if (back != np.arange(len(back))).any():  # the order of the texts again
         code = code[_spread(first[back], np.diff(first)[back])]
@@ -447,19 +505,19 @@ def _coded(t: pa.Table, known: _Dictionary, carry: tuple[str, ...]):
     tokens, wrong = words[first], np.concatenate([[0], np.cumsum(~fine[code])])[first]
     lo = 0
     while lo < t.num_rows:
-        hi = max(lo + 1, int(np.searchsorted(tokens, tokens[lo] + PACK_ENTRIES, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(tokens, tokens[lo] + BATCH_IDS, "right")) - 1)
         own = code[first[lo] : first[hi]]
-        out = ids[_spread(start[own], size[own])]
+        out = ids[_spread(start[own], size[own])].astype("<i4")
         at = (tokens[lo : hi + 1] - tokens[lo]).astype(np.int32)
-        raw = memoryview(out.astype("<i4", copy=False)).cast("B")
+        raw = memoryview(out).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         rows = [t[n].slice(lo, hi - lo).combine_chunks() for n in ("doc_id", *carry)]
-        made = [pa.ListArray.from_arrays(pa.array(at), pa.array(out)), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64()), pa.array(wrong[lo + 1 : hi + 1] == wrong[lo:hi])]
+        made = [_lists(at, _plain(out)), _plain(np.diff(at).astype(np.int64)), _plain(np.array(crc, np.int64)), _plain(wrong[lo + 1 : hi + 1] == wrong[lo:hi])]
         yield pa.RecordBatch.from_arrays([rows[0], *made, *rows[1:]], ["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_ok", *carry])
         lo = hi
 
 
-def _assembled(batches, pieces: Pieces, carry: tuple[str, ...]):
+def _assembled(batches, pieces: Pieces | Cuts, carry: tuple[str, ...]):
     """Coded documents of a partition in order: a chunk's dictionary blobs come before its texts."""
     chunk, tables, known, texts, size = None, [], None, [], 0
     for b in batches:
@@ -467,6 +525,7 @@ def _assembled(batches, pieces: Pieces, carry: tuple[str, ...]):
             if texts and (c != chunk or size >= CODED_BYTES):
                 yield from _coded(pa.concat_tables(texts), known, carry)
                 texts, size = [], 0
+                pa.default_memory_pool().release_unused()
             if c != chunk:
                 chunk, tables, known = c, [], None
                 release()
@@ -475,11 +534,14 @@ def _assembled(batches, pieces: Pieces, carry: tuple[str, ...]):
                 tables.append(t)
                 continue
             if known is None:
-                known, tables = _Dictionary(tables, pieces), []
+                known, tables, t = _Dictionary(tables, pieces), [], None
+                release()
+                t = _opened(blob)
             texts.append(t)
             size += t["text"].nbytes
     if texts:
         yield from _coded(pa.concat_tables(texts), known, carry)
+    b = t = texts = tables = known = None  # noqa: F841  nothing of the last batch is held
     release()
 
 
@@ -492,9 +554,11 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     left.  Words of any length are read whole.  Of the other columns of docs
     those in ``carry`` are returned, after these.  ``place`` names a column that
     holds each row's place from 0; without one it is the place in docs' files.
-    The result is in that order.  An empty table gives an empty result.
+    The result is in that order.  An empty table gives an empty result.  The
+    session's Arrow batches are bounded (``bound_batches``).
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     if place is None:
         place = "__place"
         docs, _ = with_position(docs.select(*dict.fromkeys((id_col, text_col, *carry))), place)
@@ -503,11 +567,11 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     per_chunk = max(1, int(CHUNK_BYTES * ((size["last"] or 0) + 1) // max(1, size["bytes"] or 0)))
     chunks = (size["last"] or 0) // per_chunk + 1
     rows = rows.withColumn("chunk", F.floor(F.col("place") / per_chunk).cast("int"))
-    shared = spark.sparkContext.broadcast(pieces)
+    shared, cuts = spark.sparkContext.broadcast(pieces), spark.sparkContext.broadcast(Cuts(pieces.ends, pieces.pairs, pieces.byte0))
 
-    words = rows.select("chunk", "text").mapInArrow(lambda it: _vocabulary(it, shared.value), "word string, chunk int").groupBy("word").agg(F.collect_set("chunk").alias("chunks"))
+    words = rows.select("chunk", "text").mapInArrow(lambda it: _vocabulary(it, cuts.value), "word string, chunk int").groupBy("word").agg(F.collect_set("chunk").alias("chunks"))
     entries = dictionary(words, pieces).mapInArrow(lambda it: _entries(it, shared.value), _BLOB)
     dealt = rows.mapInArrow(_texts, _BLOB).unionByName(entries).repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", "kind", "place")
     kind = rows.schema["doc_id"].dataType.simpleString()
     more = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return dealt.mapInArrow(lambda it: _assembled(it, shared.value, carry), f"doc_id {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_ok boolean" + more)
+    return dealt.mapInArrow(lambda it: _assembled(it, cuts.value, carry), f"doc_id {kind}, ids array<int>, n_tokens long, ids_crc32 long, decoded_ok boolean" + more)
