@@ -130,10 +130,19 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     parts = cut(parts.select("tree", "part", F.ceil(F.col("rows") / NODE_ROWS).cast("int").alias("salts"), F.ceil(F.col("asks") / NODE_ROWS).cast("int").alias("turns")))
     tiles = F.broadcast(parts) if parts.limit(BROADCAST_PARTS + 1).count() <= BROADCAST_PARTS else parts
     none = F.lit(None).cast("int")
-    both = rows_in.select("tree", "part", "rep", "h", F.lit(False).alias("query"), "code", none.alias("lo"), none.alias("hi"), "bytes")
-    both = both.unionByName(ask_in.select("tree", "part", "rep", "h", F.lit(True).alias("query"), none.alias("code"), "lo", "hi", "bytes")).join(tiles, ["tree", "part"])
-    both = both.withColumn("salt", F.explode(_dealt("salts", ~F.col("query")))).withColumn("turn", F.explode(_dealt("turns", F.col("query")))).drop("salts", "turns")
-    found = both.groupBy("tree", "part", "salt", "turn").applyInArrow(_best(k + 1), "q_rep long, q_h long, rep long, h long, score double")
+    rows_in = rows_in.select("tree", "part", "rep", "h", F.lit(False).alias("query"), "code", none.alias("lo"), none.alias("hi"), "bytes", F.lit(None).cast("double").alias("least"))
+    ask_in = ask_in.select("tree", "part", "rep", "h", F.lit(True).alias("query"), none.alias("code"), "lo", "hi", "bytes")
+
+    def scored(rows: DataFrame, asks: DataFrame) -> DataFrame:
+        both = rows.unionByName(asks.select(*rows.columns)).join(tiles, ["tree", "part"])
+        both = both.withColumn("salt", F.explode(_dealt("salts", ~F.col("query")))).withColumn("turn", F.explode(_dealt("turns", F.col("query")))).drop("salts", "turns")
+        return both.groupBy("tree", "part", "salt", "turn").applyInArrow(_best(k + 1), "q_rep long, q_h long, rep long, h long, score double")
+
+    # The k + 1 found in the first tree bound a query's answer from below; the other trees report what reaches that.
+    begun = cut(scored(rows_in.where("tree = 0"), ask_in.where("tree = 0").withColumn("least", F.lit(None).cast("double"))))
+    place = Window.partitionBy("q_rep", "q_h").orderBy(F.desc("score"))
+    least = begun.withColumn("r", F.row_number().over(place)).where(F.col("r") == k + 1).select(F.col("q_rep").alias("rep"), F.col("q_h").alias("h"), F.col("score").alias("least"))
+    found = begun.unionByName(scored(rows_in.where("tree > 0"), ask_in.where("tree > 0").join(least, ["rep", "h"], "left")))
     found = found.select(F.struct(F.col("q_rep").alias("rep"), F.col("q_h").alias("h")).alias("q"), F.struct("rep", "h").alias("c"), "score")
     best = found.groupBy("q", "c").agg(F.max("score").alias("score"))
     rank = Window.partitionBy("q").orderBy(F.desc("score"), F.col("c.rep"))
@@ -256,6 +265,7 @@ def _best(k: int):
 
         code, x, y = rows["code"].to_numpy(), matrix(rows), matrix(q)
         rep, h, q_rep, q_h = (t[n].to_numpy() for t in (rows, q) for n in ("rep", "h"))
+        least = np.nan_to_num(q["least"].to_numpy(), nan=-np.inf)
         first, last = np.searchsorted(code, q["lo"].to_numpy(), "left"), np.searchsorted(code, q["hi"].to_numpy(), "right")
         runs = np.flatnonzero(np.concatenate([[True], (first[1:] != first[:-1]) | (last[1:] != last[:-1]), [True]]))
         parts = []
@@ -264,7 +274,9 @@ def _best(k: int):
             if a == b:
                 continue
             for j, s in enumerate(y[lo:hi] @ x[a:b].T):
-                keep = np.arange(len(s)) if len(s) <= k else np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k])
+                keep = np.flatnonzero(s >= least[lo + j])
+                if len(keep) > k:
+                    keep = keep[s[keep] >= np.partition(s[keep], len(keep) - k)[len(keep) - k]]
                 parts.append((np.full(len(keep), lo + j), a + keep, s[keep]))
         if not parts:
             return kinds.empty_table()
