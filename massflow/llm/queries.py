@@ -15,6 +15,7 @@ from massflow.llm import quality_rules as _quality_rules
 from massflow.llm import site_quality as _site_quality
 from massflow.llm import token_store as _token_store
 from massflow.llm import toxicity as _toxicity
+from massflow.llm import vector_codes as _vector_codes
 from massflow.llm import warc as _warc
 
 
@@ -68,6 +69,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -80,8 +85,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": _near_dup.ORACLE, "op9_warc": _warc.ORACLE}
+    return {"op4_near_duplicates": _near_dup.ORACLE, "op9_warc": _warc.ORACLE, "op13_vector_codes": _vector_codes.ORACLE}
