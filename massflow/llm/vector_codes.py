@@ -116,7 +116,8 @@ class Codebooks:
         return hashlib.sha256(",".join(flat).encode()).hexdigest()
 
     def trees(self, kind: type) -> list[Tree]:
-        return [Tree(np.array(book, kind).reshape(len(book), self.part)) for book in self.books]
+        """One per part; none without entries, which only a table without rows gives."""
+        return [Tree(np.array(book, kind).reshape(len(book), self.part)) for book in self.books if book]
 
 
 def taking_part(vector: str | Column) -> Column:
