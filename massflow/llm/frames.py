@@ -37,13 +37,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Lineage cut by a written table in the shared folder; survives lost executors."""
+def cut(df: DataFrame, *partitions: str) -> DataFrame:
+    """Lineage cut by a written table in the shared folder, which survives lost executors.
+
+    Where ``partitions`` (columns of few values) are named, a filter on them reads its own files only.
+    """
     spark = df.sparkSession
     path = work_path(spark, "cut")
     if _open:
         _open[-1].paths.append(path)
-    df.write.parquet(path)
+    df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,6 +11,7 @@ from massflow.llm import mixing as _mixing
 from massflow.llm import near_dup as _near_dup
 from massflow.llm import nearest as _nearest
 from massflow.llm import piece_codec as _piece_codec
+from massflow.llm import prefix_trie as _prefix_trie
 from massflow.llm import quality_rules as _quality_rules
 from massflow.llm import site_quality as _site_quality
 from massflow.llm import token_store as _token_store
@@ -69,6 +70,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
 
@@ -85,9 +90,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_near_duplicates": _near_dup.ORACLE, "op9_warc": _warc.ORACLE, "op13_vector_codes": _vector_codes.ORACLE}
+    return {"op4_near_duplicates": _near_dup.ORACLE, "op9_warc": _warc.ORACLE, "op12_prefix_trie": _prefix_trie.ORACLE, "op13_vector_codes": _vector_codes.ORACLE}
