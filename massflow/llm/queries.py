@@ -13,6 +13,7 @@ from massflow.llm import nearest as _nearest
 from massflow.llm import piece_codec as _piece_codec
 from massflow.llm import prefix_trie as _prefix_trie
 from massflow.llm import quality_rules as _quality_rules
+from massflow.llm import secret_scan as _secret_scan
 from massflow.llm import site_quality as _site_quality
 from massflow.llm import token_store as _token_store
 from massflow.llm import toxicity as _toxicity
@@ -70,6 +71,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _secret_scan.secret_scan(_table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
@@ -90,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_warc": op9_warc,
         "op10_toxicity": op10_toxicity,
+        "op11_secret_scan": op11_secret_scan,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_vector_codes": op13_vector_codes,
     }
