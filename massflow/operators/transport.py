@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massflow.functions.prefix import buckets_for, following, running_sum
+from massflow.functions.stored import Store
 from massflow.operators.measures import normalize_density, normalize_points
 
 c = F.col
@@ -49,8 +50,8 @@ def pieces(d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
 
     Zero weights and zero-mass cells carry nothing and are left out.
     """
-    k = buckets or buckets_for(d, "batch")
-    return pieces_presorted(sorted_points(d, k), cell_cum_mass(t), k)
+    k = buckets or max(buckets_for(d, "batch"), buckets_for(t, "batch"))
+    return pieces_presorted(sorted_points(d, k), cell_cum_mass(t, k), k)
 
 
 def pieces_presorted(s: DataFrame, u: DataFrame, buckets: int = 1) -> DataFrame:
@@ -130,31 +131,57 @@ def grad_weight(p: DataFrame, d: DataFrame, buckets: int | None = None) -> DataF
     return f.join(mean, "batch").join(mass, "batch").select("batch", "dirac_id", ((c("phi") - c("mean")) / c("mass")).alias("grad"))
 
 
-def grad_density(p: DataFrame, d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
+def _end(start: Column) -> Column:
+    """Where a merged row's piece ends (or starts), inside its cell t."""
+    return c("t.x0") + (start - c("t.c0")) * (c("t.x1") - c("t.x0")) / c("t.m")
+
+
+def grad_density(d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
     """(batch, cell_id, grad): derivative by the raw density values, zero cells included.
 
-    A piece adds its second moment about the dirac minus phi times its length.
-    A cell without mass lies inside the slice of the dirac whose interval holds
-    its level; it is added as a piece of its own.
+    Points and cells are merged once, as in the plan.  A piece adds its second
+    moment about the dirac minus phi times its length, where phi falls at the
+    end e of a dirac's slice by (e - p)^2 - (e - p')^2, p' being the next dirac's
+    position.  A constant in phi cancels in the normalization, so a running sum
+    over the merged rows gives it.  A cell without mass lies inside the slice of
+    the dirac whose interval holds its level.
     """
-    k = buckets or buckets_for(d, "batch")
-    f = potentials(p, d, k)
-    a, b = c("l") - c("pos"), c("r") - c("pos")
-    full = p.join(f.select("batch", "dirac_id", "phi"), ["batch", "dirac_id"]).groupBy("batch", "cell_id").agg(F.sum((c("r") - c("l")) * ((a * a + a * b + b * b) / 3 - c("phi"))).alias("g"))
-    flat = cell_cum_mass(t).where("m <= 0").select("batch", "cell_id", "x0", "x1", "c0")
-    at = _split(sorted_points(d, k), "q0", "w", k).join(f.select("batch", "dirac_id", "phi"), ["batch", "dirac_id"])
-    left = at.select("batch", "bucket", "q", F.lit(0).alias("kind"), F.struct("pos", "phi").alias("d"), F.lit(None).alias("t"))
-    right = flat.select("batch", _level_bucket(c("c0"), k, False).alias("bucket"), c("c0").alias("q"), F.lit(1).alias("kind"), F.lit(None).alias("d"), F.struct("cell_id", "x0", "x1").alias("t"))
-    upto = Window.partitionBy("batch", "bucket").orderBy("q", "kind", "d.pos").rowsBetween(Window.unboundedPreceding, 0)
-    held = _merged(left, right, "batch", "bucket").withColumn("d", F.last("d", ignorenulls=True).over(upto)).where("t IS NOT NULL AND d IS NOT NULL").select("batch", "d.*", "t.*")
-    a, b = c("x0") - c("pos"), c("x1") - c("pos")
-    empty = held.select("batch", "cell_id", ((c("x1") - c("x0")) * ((a * a + a * b + b * b) / 3 - c("phi"))).alias("g"))
-    g = full.unionByName(empty)
-    cells = normalize_density(t).select("batch", "cell_id", c("y").alias("yn")).join(t.select("batch", "cell_id", (c("x1") - c("x0")).alias("dx")), ["batch", "cell_id"])
+    k = buckets or max(buckets_for(d, "batch"), buckets_for(t, "batch"))
+    s = following(sorted_points(d, k), "batch", ["pos", "dirac_id"], {"next_pos": "pos", "next_q0": "q0"}, k)
+    u = cell_cum_mass(t, k)
+    none = F.lit(None)
+    dirac = F.struct("pos", "next_pos", "next_q0", (c("q") == c("q0")).alias("starts"))
+    at = _split(s, "q0", "w", k).select("batch", "bucket", "q", F.lit(0).alias("kind"), c("pos").alias("at"), c("dirac_id").alias("id"), dirac.alias("d"), none.alias("t"), none.alias("z"))
+    full = _split(u.where("m > 0"), "c0", "m", k).select("batch", "bucket", "q", F.lit(1).alias("kind"), c("x0").alias("at"), none.alias("id"), none.alias("d"), F.struct("cell_id", "x0", "x1", "m", "c0").alias("t"), none.alias("z"))
+    flat = u.where("m <= 0").select("batch", _level_bucket(c("c0"), k, False).alias("bucket"), c("c0").alias("q"), F.lit(1).alias("kind"), c("x0").alias("at"), none.alias("id"), none.alias("d"), none.alias("t"), F.struct("cell_id", "x0", "x1").alias("z"))
+    keys = ["batch", "bucket", "q", "kind", "at", "id"]
+    order = Window.partitionBy("batch", "bucket").orderBy(*keys[2:])
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    border = (c("bucket") + 1) / F.lit(float(k))
+    rows = _merged(at.unionByName(full), flat, "batch", "bucket")
+    rows = rows.select(*keys, "z", F.coalesce(F.lead("q").over(order), border).alias("q1"), F.lead(F.coalesce(c("d.starts"), F.lit(False))).over(order).alias("followed"), F.last("d", ignorenulls=True).over(upto).alias("d"), F.last("t", ignorenulls=True).over(upto).alias("t"))
+    # The next dirac starts after this row, or right behind the bucket's border; what ended at the border before is that bucket's.
+    ended = F.coalesce(c("followed") & (c("d.next_q0") > c("bucket") / F.lit(float(k))), c("d.next_q0") <= border)
+    fall = F.when(ended, (_end(c("q1")) - c("d.pos")) ** 2 - (_end(c("q1")) - c("d.next_pos")) ** 2)
+    rows = rows.where("d IS NOT NULL AND (t IS NOT NULL OR z IS NOT NULL)").withColumn("fall", F.coalesce(fall, F.lit(0.0))).withColumn("fallen", F.coalesce(F.sum("fall").over(before), F.lit(0.0)))
+
+    def part(cell: Column, l: Column, r: Column, fall: Column) -> Column:
+        a, b = l - c("d.pos"), r - c("d.pos")
+        return F.struct(cell.alias("cell_id"), ((r - l) * ((a * a + a * b + b * b) / 3 + c("fallen"))).alias("g"), (r - l).alias("dx"), fall.alias("fall"))
+
+    piece = part(c("t.cell_id"), _end(c("q")), _end(c("q1")), c("fall"))
+    empty = part(c("z.cell_id"), c("z.x0"), c("z.x1"), F.lit(0.0))
+    parts = F.when(c("z").isNull(), F.array(piece)).when(c("t").isNull(), F.array(empty)).otherwise(F.array(piece, empty))
+    g = rows.select("batch", "bucket", F.inline(parts)).groupBy("batch", "bucket", "cell_id").agg(F.sum("g").alias("g"), F.sum("dx").alias("dx"), F.sum("fall").alias("fall"))
+    if k > 1:
+        g = Store(d.sparkSession).keep(g)  # a row per cell and bucket
+        falls = g.groupBy("batch", "bucket").agg(F.sum("fall").alias("fall"))
+        falls = falls.select("batch", "bucket", F.coalesce(F.sum("fall").over(Window.partitionBy("batch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("above"))
+        g = g.join(falls, ["batch", "bucket"]).groupBy("batch", "cell_id").agg(F.sum(c("g") + c("above") * c("dx")).alias("g"))
     mass = t.groupBy("batch").agg(F.sum(c("y") * (c("x1") - c("x0"))).alias("mass"))
-    all_ = cells.join(g, ["batch", "cell_id"], "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
-    mean = all_.groupBy("batch").agg(F.sum(c("g") * c("yn")).alias("mean"))
-    return all_.join(mean, "batch").join(mass, "batch").select("batch", "cell_id", ((c("g") - c("dx") * c("mean")) / c("mass")).alias("grad"))
+    cells = t.select("batch", "cell_id", "y", (c("x1") - c("x0")).alias("dx")).join(g.select("batch", "cell_id", "g"), ["batch", "cell_id"], "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
+    mean = cells.groupBy("batch").agg(F.sum(c("g") * c("y")).alias("gy")).join(mass, "batch").select("batch", "mass", (c("gy") / c("mass")).alias("mean"))
+    return cells.join(mean, "batch").select("batch", "cell_id", ((c("g") - c("dx") * c("mean")) / c("mass")).alias("grad"))
 
 
 def lookup(levels: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:

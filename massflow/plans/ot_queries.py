@@ -71,9 +71,7 @@ def ot1d_grad_weight(spark, d):
 
 
 def ot1d_grad_density(spark, d):
-    points, t = B.event_points(spark, d), B.event_target(spark, d)
-    k = buckets_for(points, "batch")
-    return T.grad_density(T.pieces(points, t, k), points, t, k).select("batch", "cell_id", F.round("grad", 6).alias("grad"))
+    return T.grad_density(B.event_points(spark, d), B.event_target(spark, d)).select("batch", "cell_id", F.round("grad", 6).alias("grad"))
 
 
 def ot1d_total_cost(spark, d):

@@ -60,7 +60,7 @@ def test_gradients_against_differences(spark):
     plan = T.pieces(d, t)
     gp = {r.dirac_id: r.grad for r in T.grad_position(plan).collect()}
     gw = {r.dirac_id: r.grad for r in T.grad_weight(plan, d).collect()}
-    gy = {r.cell_id: r.grad for r in T.grad_density(plan, d, t).collect()}
+    gy = {r.cell_id: r.grad for r in T.grad_density(d, t).collect()}
     for i in range(3):
         assert gp[i] == pytest.approx(_slope(lambda v: _cost(v, w, y), p, i), abs=1e-6)
         assert gw[i] == pytest.approx(_slope(lambda v: _cost(p, v, y), w, i), abs=1e-6)
@@ -108,7 +108,7 @@ def test_one_batch_in_many_buckets(spark):
 
     both(lambda k: T.potentials(T.pieces(d, t, k), d, k), ["dirac_id"])
     both(lambda k: T.grad_weight(T.pieces(d, t, k), d, k), ["dirac_id"])
-    both(lambda k: T.grad_density(T.pieces(d, t, k), d, t, k), ["cell_id"])
+    both(lambda k: T.grad_density(d, t, k), ["cell_id"])
     both(lambda k: T.lookup(levels, t, k), ["level_id"])
     both(lambda k: T.cost_by_moments(d, t, k), ["batch"])
     both(lambda k: T.cell_cum_mass(t, k), ["cell_id"])
