@@ -7,10 +7,12 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from massflow.operators import descent as D
 from massflow.operators import halo as H
 from massflow.operators import mesh as Q
 from massflow.operators import radon as R
 from massflow.operators import reconstruct as X
+from massflow.operators import sliced as S
 from massflow.plans.radon_queries import G, POINT_G, POINTS, SINO, _r, angles_sql, part_disks, vec_points
 from massflow.plans.tables import read
 from massflow.sources import phantoms, runs
@@ -206,42 +208,42 @@ def optimizer_comparison(spark, d):
     return spark.createDataFrame([(r["optimizer"], r["step"], float(r["loss"])) for r in rows], "run string, step int, loss double")
 
 
+def _part_model(spark, d, name, radius=None):
+    """A table model of all parts' sinogram, and all embeddings' points."""
+    return S.make_model(name, R.radon_disks(part_disks(spark, d), G.angles(spark), G), G, radius), S.with_trial(vec_points(spark, d))
+
+
 def tent_cost_grad(spark, d):
     """Tents at all embeddings' first two coordinates against the sinogram of one disk."""
-    p = vec_points(spark, d).orderBy("dirac_id").select("dirac_id", "x", "y").toPandas()
     sino = R.radon_disks(phantoms.disks(spark, [(0.05, -0.02, 0.5, 1.0)]), POINT_G.angles(spark), POINT_G)
-    _, g = X.TentModel(sino, POINT_G, 0.05).value_and_grad(p[["x", "y"]].to_numpy())
-    return spark.createDataFrame([(int(i), round(1e3 * float(a), 6), round(1e3 * float(b), 6)) for i, (a, b) in zip(p.dirac_id, g)], "dirac_id long, gx_milli double, gy_milli double")
-
-
-def _model(spark, d, name, radius=None):
-    """A model of all parts' sinogram, with all embeddings' points (ids in order)."""
-    p = vec_points(spark, d).orderBy("dirac_id").select("dirac_id", "x", "y").toPandas()
-    return X.make_model(name, R.radon_disks(part_disks(spark, d), G.angles(spark), G), G, radius), p.dirac_id.to_numpy(), p[["x", "y"]].to_numpy()
-
-
-def _placed(spark, ids, x):
-    return spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in zip(ids, x)], "dirac_id long, x double, y double")
+    got = S.Tents(sino, POINT_G, 0.05).evaluate(S.with_trial(vec_points(spark, d)))
+    return got.gradient.select("dirac_id", F.round(1e3 * c("gx"), 6).alias("gx_milli"), F.round(1e3 * c("gy"), 6).alias("gy_milli"))
 
 
 def dirac_model_cost(spark, d):
-    m, _, x = _model(spark, d, "diracs")
-    return spark.createDataFrame([(round(m.cost(x), 7),)], "cost double")
+    m, points = _part_model(spark, d, "diracs")
+    return _r(m.evaluate(points).costs.select("cost"), 7, "cost")
 
 
 def disk_model_cost(spark, d):
-    m, _, x = _model(spark, d, "disks", 0.3)
-    return spark.createDataFrame([(round(m.cost(x), 6), m.floor())], "cost double, floor double")
+    m, points = _part_model(spark, d, "disks", 0.3)
+    return _r(m.evaluate(points).costs.select("cost", F.lit(m.floor()).alias("floor")), 6, "cost")
+
+
+def disk_model_gradient(spark, d):
+    """All parts' sinogram as points, disks at all embeddings as the density: the derivative by the disks' centers."""
+    m, points = _part_model(spark, d, "disks", 0.3)
+    return _r(m.evaluate(points).gradient.drop("trial"), 6, "gx", "gy")
 
 
 def gd_first_step(spark, d):
-    m, ids, x = _model(spark, d, "diracs")
-    return _r(_placed(spark, ids, X.gradient_descent(m, x, steps=1, rate=0.4)), 7, "x", "y")
+    m, points = _part_model(spark, d, "diracs")
+    return _r(D.gradient_descent(m, points.drop("trial"), steps=1, rate=0.4).points.select("dirac_id", "x", "y"), 7, "x", "y")
 
 
 def adam_first_step(spark, d):
-    m, ids, x = _model(spark, d, "diracs")
-    return _r(_placed(spark, ids, X.adam(m, x, steps=1, rate=0.1, eps=1e-3)), 7, "x", "y")
+    m, points = _part_model(spark, d, "diracs")
+    return _r(D.adam(m, points.drop("trial"), steps=1, rate=0.1, eps=1e-3).points.select("dirac_id", "x", "y"), 7, "x", "y")
 
 
 # ---- runs and live frames -------------------------------------------------------------
@@ -272,7 +274,7 @@ def live_updates(spark, d):
     return live.updates(_frames(spark, d), 5_000)
 
 
-QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_smoothness, halo_fit, alternate_run, interior_mass_scan, mesh_tiling, mesh_trapezoid, mesh_scatter, mesh_edges, mesh_project, mesh_backproject, mesh_solve_cg, mesh_solve_fista, alpha_scan, multiscale_run, interleaved_run, disk_run, grid_search_run, optimizer_comparison, tent_cost_grad, dirac_model_cost, disk_model_cost, gd_first_step, adam_first_step, loss_table, runs_mismatch, live_latest, live_updates)} | {
+QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_smoothness, halo_fit, alternate_run, interior_mass_scan, mesh_tiling, mesh_trapezoid, mesh_scatter, mesh_edges, mesh_project, mesh_backproject, mesh_solve_cg, mesh_solve_fista, alpha_scan, multiscale_run, interleaved_run, disk_run, grid_search_run, optimizer_comparison, tent_cost_grad, dirac_model_cost, disk_model_cost, disk_model_gradient, gd_first_step, adam_first_step, loss_table, runs_mismatch, live_latest, live_updates)} | {
     "gd_steps": _run(X.gradient_descent, steps=6),
     "line_search_gd_run": _run(X.line_search_descent, steps=4),
     "adam_steps": _run(X.adam, steps=6, clip=10.0),
@@ -328,6 +330,15 @@ _DISK_MODEL = f"""{SINO}, {POINTS}, {_SHARE}, spot AS (SELECT angle_id, x * nx +
 made AS (SELECT angle_id, bin_id, lo AS x0, sum({_under('(hi - s0)')} - {_under('(lo - s0)')}) AS v FROM spot, bins GROUP BY 1, 2, 3),
 t AS (SELECT angle_id, x0, v / sum(v) OVER (PARTITION BY angle_id) AS m FROM made WHERE v > 1e-13),
 d AS (SELECT angle_id, bin_id AS id, x0 + {G.dw!r} / 2 AS pos, m AS w FROM share WHERE m > 0), {_PIECES}"""
+_chord = lambda t: f"2 * sqrt(greatest(0.09 - ({t}) * ({t}), 0))"
+_DISK_GRAD = f"""{_DISK_MODEL},
+ends AS (SELECT angle_id, id, any_value(pos) AS pos, max(r) AS e FROM pieces GROUP BY 1, 2),
+jumps AS (SELECT *, (e - pos) * (e - pos) - (e - lead(pos) OVER o) * (e - lead(pos) OVER o) AS jump FROM ends WINDOW o AS (PARTITION BY angle_id ORDER BY pos)),
+fall AS (SELECT angle_id, id, coalesce(sum(jump) OVER (PARTITION BY angle_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fallen FROM jumps),
+cell AS (SELECT p.angle_id, x0, any_value(m) AS m, sum((r - l) * (((l - pos) * (l - pos) + (l - pos) * (r - pos) + (r - pos) * (r - pos)) / 3 + fallen)) AS g FROM pieces p JOIN fall USING (angle_id, id) GROUP BY 1, 2),
+whole AS (SELECT angle_id, sum(v) AS mass FROM made WHERE v > 1e-13 GROUP BY 1), middle AS (SELECT angle_id, sum(g * m) / {G.dw!r} AS mean FROM cell GROUP BY 1),
+gd AS (SELECT angle_id, x0, (g - {G.dw!r} * mean) / mass AS gd FROM cell JOIN whole USING (angle_id) JOIN middle USING (angle_id)),
+sg AS (SELECT dirac_id, nx, ny, gd * ({_chord('x0 - x * nx - y * ny')} - {_chord(f'x0 + {G.dw!r} - x * nx - y * ny')}) / {G.dw!r} AS v FROM pts JOIN gd ON true JOIN angles USING (angle_id))"""
 _p = POINT_G
 _half = lambda t: f"(least(greatest({t}, -0.5), 0.5) * sqrt(greatest(0.25 - least(greatest({t}, -0.5), 0.5) * least(greatest({t}, -0.5), 0.5), 0)) + 0.25 * asin(least(greatest({t}, -0.5), 0.5) / 0.5))"
 _TENT = f"""WITH {POINTS}, {angles_sql(_p)}, n AS (SELECT count(*) * 0.05 AS whole FROM pts),
@@ -360,6 +371,7 @@ ORACLE = {
     "tent_cost_grad": f"{_TENT} SELECT dirac_id, round(sum(g * nx) * 1e3, 6) AS gx_milli, round(sum(g * ny) * 1e3, 6) AS gy_milli FROM g JOIN angles USING (angle_id) GROUP BY 1",
     "dirac_model_cost": f"{_DIRAC_MODEL} SELECT round({_COST}, 7) AS cost FROM pieces",
     "disk_model_cost": f"{_DISK_MODEL} SELECT round({_COST}, 6) AS cost, {G.nb_angles * G.dw**2 / 12!r}::DOUBLE AS floor FROM pieces",
+    "disk_model_gradient": f"{_DISK_GRAD} SELECT dirac_id, round(sum(v * nx), 6) AS gx, round(sum(v * ny), 6) AS gy FROM sg GROUP BY 1",
     "gd_first_step": f"{_GRAD} SELECT dirac_id, round(x - 0.4 * gx * (SELECT count(*) FROM pts) / {G.nb_angles}, 7) AS x, round(y - 0.4 * gy * (SELECT count(*) FROM pts) / {G.nb_angles}, 7) AS y FROM pts JOIN s USING (dirac_id)",
     "adam_first_step": f"{_GRAD} SELECT dirac_id, round(x - 0.1 * gx / (abs(gx) + 1e-3), 7) AS x, round(y - 0.1 * gy / (abs(gy) + 1e-3), 7) AS y FROM pts JOIN s USING (dirac_id)",
     "loss_table": "WITH h AS (SELECT event_type AS run, CAST(event_id % 500 AS INTEGER) AS step, round(max(value), 3) AS loss FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY 1, 2) SELECT step, coalesce(max(CASE WHEN run = 'click' THEN printf('%.6f', loss) END), '-') AS click, coalesce(max(CASE WHEN run = 'error' THEN printf('%.6f', loss) END), '-') AS error, coalesce(max(CASE WHEN run = 'purchase' THEN printf('%.6f', loss) END), '-') AS purchase FROM h GROUP BY 1",
