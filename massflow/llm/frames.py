@@ -8,6 +8,7 @@ import itertools
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -76,18 +77,24 @@ _open: list[Scratch] = []
 
 
 def with_position(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """df with each row's place, from 0, in the files that df is read from, and the number of rows.
+    """df with each row's place, from 0, in the files that df is read from, and one more than the last place.
 
-    A frame that is not plainly read from Parquet files is written to some first.
+    Files come in order of their part numbers, then paths.  A row's place counts
+    what is read or not before it in its file, so places of a filtered frame may
+    have gaps, but no two rows have one.  A frame that is not plainly read from
+    Parquet files is written to some first.
     """
     spark = df.sparkSession
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+
     try:
-        at = df.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        at = placed(df)
     except AnalysisException:
-        df = cut(df)
-        at = df.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    files = [(r["__file"], r["n"]) for r in at.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()]  # one row per file
-    files.sort(key=lambda f: (int(found[1]) if (found := re.match(r"part-(\d+)", f[0])) else 0, f[0]))
+        at = placed(cut(df))
+    files = [(r["__file"], r["n"]) for r in at.groupBy("__file").agg((F.max("__row") + 1).alias("n")).collect()]  # one row per file
+    files.sort(key=lambda f: (int(found[1]) if (found := re.match(r"part-(\d+)", f[0].rsplit("/", 1)[-1])) else 0, f[0]))
     ahead = [0, *itertools.accumulate(n for _, n in files)]
     first = spark.createDataFrame([(f, a) for (f, _), a in zip(files, ahead)], "__file string, __ahead long")
     return at.join(F.broadcast(first), "__file").withColumn(name, F.col("__ahead") + F.col("__row")).drop("__file", "__row", "__ahead"), ahead[-1]
@@ -97,15 +104,28 @@ def with_position(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 BATCH_BYTES = 8 << 20
 
 
+_BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the session's bound of an Arrow batch to BATCH_BYTES; a lower one stays.
 
     The default bound is 64 MB.  Results do not depend on it.
     """
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    known = spark.conf.get(key, None) or ""
+    known = spark.conf.get(_BOUND, None) or ""
     if not known.removesuffix("b").isdigit() or int(known.removesuffix("b")) > BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
+        spark.conf.set(_BOUND, str(BATCH_BYTES))
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession):
+    """Arrow batches are bounded inside; the session's own setting holds again at its end.  For work that ends inside."""
+    known = spark.conf.get(_BOUND, None)
+    bound_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BOUND) if known is None else spark.conf.set(_BOUND, known)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -47,6 +47,8 @@ CODED_BYTES = 2 << 20
 PACK_ENTRIES, BATCH_IDS = 1 << 18, 1 << 18
 #: Words longer than this do not fit the mask of boundaries.
 LONG_WORD = 62
+#: Neighbouring chunks whose common words are coded once.
+CHUNKS_OF_A_WORD = 4096
 MARK = "▁"
 _SPACES = re.compile(r" +[^ ]*")
 
@@ -181,14 +183,16 @@ def _viterbi_fold(n: Column, edges: Column, unknown: float) -> Column:
 def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, chunks, ids) of (word, chunks): words as in the text, spaces not yet marked.
 
-    ids is null for words that do not fit the mask; ``_entries`` folds them.
+    ids is null for words that do not fit the mask; ``_entries`` folds them.  A
+    word may come several times, told apart by the columns beside these two.
     """
+    keys = [k for k in words.columns if k != "chunks"]
     marked = words.withColumn("w", F.translate("word", " ", MARK)).withColumn("n", F.char_length("w"))
     fits = F.col("n") <= LONG_WORD
-    starts = marked.select("word", "chunks", "w", "n", F.explode(F.sequence(F.lit(0), F.when(fits, F.col("n") - 1).otherwise(0))).alias("s"))
+    starts = marked.select(*keys, "chunks", "w", "n", F.explode(F.sequence(F.lit(0), F.when(fits, F.col("n") - 1).otherwise(0))).alias("s"))
     # An empty substring at the start keeps words without any edge.
-    spots = starts.select("word", "chunks", "s", "w", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.when(fits, F.least(F.lit(pieces.longest), F.col("n") - F.col("s"))).otherwise(0))).alias("k"))
-    subs = spots.select("word", "chunks", "s", "k", F.expr("substring(w, s + 1, k)").alias("sub"))
+    spots = starts.select(*keys, "chunks", "s", "w", F.explode(F.sequence(F.when(F.col("s") == 0, 0).otherwise(1), F.when(fits, F.least(F.lit(pieces.longest), F.col("n") - F.col("s"))).otherwise(0))).alias("k"))
+    subs = spots.select(*keys, "chunks", "s", "k", F.expr("substring(w, s + 1, k)").alias("sub"))
     # Joined by a hash, as one long key is looked up several times faster than a string; then the strings must be equal.
     table = pieces.table(words.sparkSession).select(F.xxhash64("sub").alias("key"), F.col("sub").alias("piece"), "rank", "score", "id")
     found = subs.withColumn("key", F.xxhash64("sub")).join(F.broadcast(table), "key").where(F.startswith("sub", "piece") & F.startswith("piece", "sub"))
@@ -196,8 +200,8 @@ def dictionary(words: DataFrame, pieces: Pieces) -> DataFrame:
     edge = ["rank", "s", "k", "id", "score"] if pieces.algorithm != "bpe" else ["rank", "s", "k", "id"]
     ends, inner = _shift(1, F.col("s")).bitwiseOR(_shift(1, end)), _shift(1, end) - _shift(2, F.col("s"))
     # Only a word's first row carries its chunks: the others are grouped in as few bytes as they need.
-    found = found.select("word", F.when(F.col("k") == 0, F.col("chunks")).alias("chunks"), F.struct(*edge, ends.alias("ends"), F.when(F.col("k") > 1, inner).otherwise(F.lit(0).cast("long")).alias("inner")).alias("edge"))
-    held = found.groupBy("word").agg(F.any_value("chunks", True).alias("chunks"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    found = found.select(*keys, F.when(F.col("k") == 0, F.col("chunks")).alias("chunks"), F.struct(*edge, ends.alias("ends"), F.when(F.col("k") > 1, inner).otherwise(F.lit(0).cast("long")).alias("inner")).alias("edge"))
+    held = found.groupBy(*keys).agg(F.any_value("chunks", True).alias("chunks"), F.sort_array(F.collect_list("edge")).alias("edges"))
     held = held.withColumn("n", F.char_length("word"))
     fold = _bpe_fold(F.col("n"), F.col("edges")) if pieces.algorithm == "bpe" else _viterbi_fold(F.col("n"), F.col("edges"), pieces.unknown)
     held = held.withColumn("m", F.when(fits, fold))
@@ -569,7 +573,9 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("chunk", F.floor(F.col("place") / per_chunk).cast("int"))
     shared, cuts = spark.sparkContext.broadcast(pieces), spark.sparkContext.broadcast(Cuts(pieces.ends, pieces.pairs, pieces.byte0))
 
-    words = rows.select("chunk", "text").mapInArrow(lambda it: _vocabulary(it, cuts.value), "word string, chunk int").groupBy("word").agg(F.collect_set("chunk").alias("chunks"))
+    words = rows.select("chunk", "text").mapInArrow(lambda it: _vocabulary(it, cuts.value), "word string, chunk int")
+    # A common word is coded once for every CHUNKS_OF_A_WORD chunks, so no list grows with the corpus.
+    words = words.groupBy("word", F.floor(F.col("chunk") / CHUNKS_OF_A_WORD).alias("range")).agg(F.collect_set("chunk").alias("chunks"))
     entries = dictionary(words, pieces).mapInArrow(lambda it: _entries(it, shared.value), _BLOB)
     dealt = rows.mapInArrow(_texts, _BLOB).unionByName(entries).repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", "kind", "place")
     kind = rows.schema["doc_id"].dataType.simpleString()

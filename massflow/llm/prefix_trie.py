@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from massflow.llm.frames import Scratch, bound_batches, cut
+from massflow.llm.frames import Scratch, bounded_batches, cut
 
 c = F.col
 #: Turns that a rebuilt conversation can take over at most, plus one.
@@ -162,7 +162,6 @@ def _ends(chains_and_rest: DataFrame) -> DataFrame:
     several = lists.groupBy("node", "depth").count().where("count > 1").select("node", "depth")  # at most two a list's worth of ids
     several = cut(several)
     single = lists.join(several, ["node", "depth"], "left_anti").select("node", "depth", F.sha2("ids", 256).alias("ends_sha256"))
-    bound_batches(placed.sparkSession)
 
     def hashed(batches):
         now, sha = None, None
@@ -196,7 +195,7 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     table has no conversation and no node.  Other columns are not looked at.
     """
     spark = conversations.sparkSession
-    with Scratch(spark) as work:
+    with bounded_batches(spark), Scratch(spark) as work:
         convs, prefixes = _rebuilt(spark, conversations)
         root, longest, count, rows = convs.agg(F.min("conv_id"), F.max("len"), F.count(F.lit(1)), F.sum("len")).first()
         root = 0 if root is None else root

@@ -508,3 +508,24 @@ def test_pipeline_rules_are_fitted_on_all_documents(spark, corpus, tmp_path):
     ids = {r.doc_id for r in left.collect()}
     assert not [i for i in ids if i >= 9000]
     assert len(ids) >= 0.9 * good.count()
+
+
+def test_places_are_told_apart_in_any_files(spark, tmp_path):
+    from massflow.llm.frames import with_position
+
+    df = spark.range(100).select(F.col("id"), (F.col("id") % 7).cast("string").alias("part"))
+    df.repartition(5).write.partitionBy("part").parquet(str(tmp_path / "dirs"))
+    df.repartition(4).write.parquet(str(tmp_path / "plain"))
+    for read in (spark.read.parquet(str(tmp_path / "dirs")), spark.read.parquet(str(tmp_path / "plain")), spark.read.parquet(str(tmp_path / "plain")).where("id % 3 = 0"), df.orderBy("id")):
+        got, end = with_position(read, "place")
+        places = [r.place for r in got.collect()]
+        assert len(places) == len(set(places)) == read.count() and max(places) == end - 1 and min(places) >= 0
+
+
+def test_common_words_are_coded_once_a_range_of_chunks(spark, corpus, monkeypatch):
+    docs, _ = corpus
+    pieces = piece_codec.load(public_tokenizers.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(piece_codec, "CHUNK_BYTES", 4_000)
+    want = sorted(map(tuple, piece_codec.encode(docs, pieces).collect()), key=str)
+    monkeypatch.setattr(piece_codec, "CHUNKS_OF_A_WORD", 2)
+    assert sorted(map(tuple, piece_codec.encode(docs, pieces).collect()), key=str) == want
