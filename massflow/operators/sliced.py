@@ -76,14 +76,15 @@ class SlicedModel(ABC):
     def part(self, points: DataFrame, angles: DataFrame, trials: int, n: int) -> DataFrame:
         """(trial, dirac_id, cost, gx, gy) summed over some angles; costs that belong to no point have a null dirac_id."""
 
-    def evaluate(self, points: DataFrame, trials: int = 1, angle_batches: int | None = None, store: Store | None = None, name: str | None = None) -> Evaluation:
-        """Costs and gradients of all trials.
+    def evaluate(self, points: DataFrame, trials: int = 1, angle_batches: int | None = None, store: Store | None = None, name: str | None = None, n: int | None = None) -> Evaluation:
+        """Costs and gradients of all trials, each of n points (counted where not given).
 
         Sums of each batch of angles are written under ``name`` in ``store``;
         those that are there already are not made again.
         """
         store, name = store or self.store, name or f"evaluation-{id(points)}-{self._calls()}"
-        n = points.groupBy("trial").count().agg(F.max("count")).first()[0] or 0
+        if n is None:
+            n = points.groupBy("trial").count().agg(F.max("count")).first()[0] or 0
         most = trials * (self.g.nb_bins + 1) * self.g.nb_angles
         k = min(self.g.nb_angles, angle_batches or -(-most // MOST_BROADCAST))
         parts = []
@@ -110,10 +111,14 @@ class Diracs(SlicedModel):
     """Points of equal weight carried to each angle's density."""
 
     def part(self, points, angles, trials, n):
-        at = R.project_points(points, angles)
-        d = at.select(self.batch().alias("batch"), "dirac_id", c("s").alias("pos"), F.lit(1.0).alias("w"))
-        t = self.g.density(self._targets(angles, trials).withColumn("angle_id", self.batch()))
-        per = self._unbatched(T.cost_and_gradient(T.pieces(d, t, buckets_of(max(n, self.g.nb_bins)))))
+        # All points weigh alike and the sinogram is cumulated once, so a trial needs no mass and only its own sort.
+        if not self.store.has("cumulated"):
+            self.store.put("cumulated", T.cell_cum_mass(self.g.density(self.sino), buckets_of(self.g.nb_bins)))
+        k = buckets_of(max(n, self.g.nb_bins))
+        d = R.project_points(points, angles).select(self.batch().alias("batch"), "dirac_id", c("s").alias("pos"), F.lit(1.0 / max(n, 1)).alias("w"))
+        t = self.store.get("cumulated").join(F.broadcast(angles.select(c("angle_id").alias("batch"))), "batch")
+        t = t.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("batch", c("batch") + self.g.nb_angles * c("trial").cast("long"))
+        per = self._unbatched(T.cost_and_gradient(T.pieces_presorted(running_sum(d, "batch", ["pos", "dirac_id"], {"q0": "w"}, k), t, k)))
         return per.groupBy("trial", "dirac_id").agg(F.sum("cost").alias("cost"), F.sum(c("grad") * c("nx")).alias("gx"), F.sum(c("grad") * c("ny")).alias("gy"))
 
 
@@ -211,7 +216,8 @@ class Tents(SlicedModel):
         if k > 1:  # the last knot of each bucket also stands at the head of the later ones, up to the next that has knots
             heads = left.groupBy("batch", "bucket").agg(F.max(F.struct("q", "knot")).alias("head"))
             after = Window.partitionBy("batch").orderBy("bucket")
-            heads = heads.select("batch", "head", F.explode(F.when(F.coalesce(F.lead("bucket").over(after), F.lit(k - 1)) > c("bucket"), F.sequence(c("bucket") + 1, F.coalesce(F.lead("bucket").over(after), F.lit(k - 1))))).alias("bucket"))
+            heads = heads.withColumn("last", F.coalesce(F.lead("bucket").over(after), F.lit(k - 1)))
+            heads = heads.where(c("last") > c("bucket")).select("batch", "head", F.explode(F.sequence(c("bucket") + 1, c("last"))).alias("bucket"))
             left = left.unionByName(heads.select("batch", "bucket", c("head.q").alias("q"), F.lit(0).alias("kind"), c("head.knot").alias("knot"), F.lit(None).cast("int").alias("bin_id"), F.lit(None).cast("double").alias("share")))
         upto = Window.partitionBy("batch", "bucket").orderBy("q", "kind", "knot.z", "bin_id").rowsBetween(Window.unboundedPreceding, 0)
         found = T._merged(left, right, "batch", "bucket").withColumn("knot", F.last("knot", ignorenulls=True).over(upto)).where("bin_id IS NOT NULL").select("batch", "bin_id", "share", "q", "knot.*")
