@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from massflow.plans import descent_queries, field_queries, ot_queries, radon_queries
+from massflow.plans import descent_queries, field_queries, mesh_queries, ot_queries, radon_queries
 
-_PARTS = (ot_queries, radon_queries, field_queries, descent_queries)
+_PARTS = (ot_queries, radon_queries, field_queries, descent_queries, mesh_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

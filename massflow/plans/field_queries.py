@@ -120,21 +120,6 @@ def mesh_edges(spark, d):
     return _r(Q.edges(_mesh_cells(spark)), 9, "dist")
 
 
-def _mesh_op(spark):
-    cells, angles = _mesh_cells(spark), MESH_G.angles(spark)
-    return Q.forward(Q.scatter(cells, angles, MESH_G), Q.trapezoid(angles, cells.select("level", "h").distinct(), MESH_G), MESH_G)
-
-
-def mesh_project(spark, d):
-    w = _mesh_cells(spark).select("cell_id", (1 + (c("ix") + 2 * c("iy")) % 3).cast("double").alias("weight"))
-    return _r(Q.project(_mesh_op(spark), w), 6, "value")
-
-
-def mesh_backproject(spark, d):
-    sino = MESH_G.empty(spark).withColumn("value", 1 + (c("bin_id") * 3 + c("angle_id")) % 5 * 1.0)
-    return _r(_key(Q.backproject(_mesh_op(spark), sino)), 5, "value")
-
-
 def _mesh(spark, g):
     return Q.GradedMesh(spark, g, outer=4.0, cell=0.25, max_level=3, nb_coarse=48)
 
@@ -147,18 +132,6 @@ def _solved(spark, how):
     return m, sino
 
 
-def _mesh_rows(spark, m):
-    return spark.createDataFrame([(i, float(w), bool(k)) for i, (w, k) in enumerate(zip(m.weights, m.interior))], "cell_id int, weight double, interior boolean")
-
-
-def mesh_solve_cg(spark, d):
-    return _mesh_rows(spark, _solved(spark, lambda m, s: m.solve(s))[0])
-
-
-def mesh_solve_fista(spark, d):
-    return _mesh_rows(spark, _solved(spark, lambda m, s: m.solve(s, tv=3e-3))[0])
-
-
 def alpha_scan(spark, d):
     m, sino = _solved(spark, lambda m, s: m.solve(s))
     out = Q.scan_exterior_scale(m, sino, [0.8, 0.9, 1.0], lambda s: s, {"mass": lambda s: R.mass(s, m.fine).agg(F.avg("mass")).first()[0]})
@@ -274,7 +247,7 @@ def live_updates(spark, d):
     return live.updates(_frames(spark, d), 5_000)
 
 
-QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_smoothness, halo_fit, alternate_run, interior_mass_scan, mesh_tiling, mesh_trapezoid, mesh_scatter, mesh_edges, mesh_project, mesh_backproject, mesh_solve_cg, mesh_solve_fista, alpha_scan, multiscale_run, interleaved_run, disk_run, grid_search_run, optimizer_comparison, tent_cost_grad, dirac_model_cost, disk_model_cost, disk_model_gradient, gd_first_step, adam_first_step, loss_table, runs_mismatch, live_latest, live_updates)} | {
+QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_smoothness, halo_fit, alternate_run, interior_mass_scan, mesh_tiling, mesh_trapezoid, mesh_scatter, mesh_edges, alpha_scan, multiscale_run, interleaved_run, disk_run, grid_search_run, optimizer_comparison, tent_cost_grad, dirac_model_cost, disk_model_cost, disk_model_gradient, gd_first_step, adam_first_step, loss_table, runs_mismatch, live_latest, live_updates)} | {
     "gd_steps": _run(X.gradient_descent, steps=6),
     "line_search_gd_run": _run(X.line_search_descent, steps=4),
     "adam_steps": _run(X.adam, steps=6, clip=10.0),
@@ -365,8 +338,6 @@ ORACLE = {
     "mesh_tiling": f"{_TILES} SELECT level, ix, iy, x, y, h, sqrt(x * x + y * y) < 2.0 AS interior FROM tiles",
     "mesh_trapezoid": f'{_OPS} SELECT angle_id, level, "offset", round(k, 7) AS k FROM kern WHERE round(k, 7) != 0',
     "mesh_scatter": f"{_OPS} SELECT angle_id, level, ix, iy, bin_id, round(w, 7) AS w FROM sc WHERE round(w, 7) != 0",
-    "mesh_project": f"{_OPS} SELECT angle_id, bin_id, round(sum(val * (1 + (ix + 2 * iy) % 3)), 6) AS value FROM op GROUP BY 1, 2",
-    "mesh_backproject": f"{_OPS} SELECT level, ix, iy, round(sum(val * (1 + (bin_id * 3 + angle_id) % 5)), 5) AS value FROM op GROUP BY 1, 2, 3",
     "mesh_edges": f"{_TILES}, id AS (SELECT *, CAST(row_number() OVER (ORDER BY level, ix, iy) - 1 AS INTEGER) AS i FROM tiles), d AS (SELECT p.i, q.i AS j, p.h AS hi, q.h AS hj, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist FROM id p, id q), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS n FROM d) SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j, least(hi, hj) AS face, round(dist, 9) AS dist FROM k WHERE n <= 9 AND i != j AND dist < 0.75 * (hi + hj)",
     "tent_cost_grad": f"{_TENT} SELECT dirac_id, round(sum(g * nx) * 1e3, 6) AS gx_milli, round(sum(g * ny) * 1e3, 6) AS gy_milli FROM g JOIN angles USING (angle_id) GROUP BY 1",
     "dirac_model_cost": f"{_DIRAC_MODEL} SELECT round({_COST}, 7) AS cost FROM pieces",
