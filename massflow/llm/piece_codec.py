@@ -48,7 +48,9 @@ PACK_ENTRIES, BATCH_IDS = 1 << 18, 1 << 18
 #: Words longer than this do not fit the mask of boundaries.
 LONG_WORD = 62
 #: Neighbouring chunks whose common words are coded once.
-CHUNKS_OF_A_WORD = 4096
+CHUNKS_OF_A_WORD = 128
+#: Bytes of text whose distinct words make one task's lattices.
+LATTICE_BYTES = 4 << 20
 MARK = "▁"
 _SPACES = re.compile(r" +[^ ]*")
 
@@ -573,9 +575,12 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("chunk", F.floor(F.col("place") / per_chunk).cast("int"))
     shared, cuts = spark.sparkContext.broadcast(pieces), spark.sparkContext.broadcast(Cuts(pieces.ends, pieces.pairs, pieces.byte0))
 
+    # A common word is coded once for every CHUNKS_OF_A_WORD chunks, so no list grows with the corpus; lattices are
+    # many times the words they come from, so words are dealt by the bytes of text and not by their own.
+    deals = max(1, -(-min(size["bytes"] or 0, CHUNKS_OF_A_WORD * CHUNK_BYTES) // LATTICE_BYTES))
     words = rows.select("chunk", "text").mapInArrow(lambda it: _vocabulary(it, cuts.value), "word string, chunk int")
-    # A common word is coded once for every CHUNKS_OF_A_WORD chunks, so no list grows with the corpus.
-    words = words.groupBy("word", F.floor(F.col("chunk") / CHUNKS_OF_A_WORD).alias("range")).agg(F.collect_set("chunk").alias("chunks"))
+    deal = F.floor(F.col("chunk") / CHUNKS_OF_A_WORD) * deals + F.pmod(F.xxhash64("word"), F.lit(deals))
+    words = words.withColumn("deal", deal).repartition(deals * ((chunks - 1) // CHUNKS_OF_A_WORD + 1), "deal").groupBy("deal", "word").agg(F.collect_set("chunk").alias("chunks"))
     entries = dictionary(words, pieces).mapInArrow(lambda it: _entries(it, shared.value), _BLOB)
     dealt = rows.mapInArrow(_texts, _BLOB).unionByName(entries).repartitionById(chunks, F.col("chunk")).sortWithinPartitions("chunk", "kind", "place")
     kind = rows.schema["doc_id"].dataType.simpleString()
