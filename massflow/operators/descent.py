@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from massflow.functions.stored import Store
 from massflow.operators import radon as R
-from massflow.operators.sliced import Diracs, Evaluation, SlicedModel, with_trial
+from massflow.operators.sliced import Diracs, Evaluation, SlicedModel, Tents, with_trial
 
 c = F.col
 #: Halvings of a step that are tried at most, and how many are judged in one plan.
@@ -310,6 +310,48 @@ def subspace_newton(model: Diracs, points: DataFrame, steps: int = 30, tikhonov:
     return Run(state.select("dirac_id", "x", "y"), run.logs)
 
 
+# ---- scales ------------------------------------------------------------------------------------
+
+
+def multiscale(sino: DataFrame, g: R.Geometry, points: DataFrame, final: int, factor: int = 4, steps: int = 20, tents: bool = False, noise: float = 0.1, store: Store | None = None) -> Run:
+    """Converge, split every point, keep min(n * factor, final) of them, until there are ``final``.
+
+    With ``tents`` each scale ends with steps on tents whose width follows the
+    number of points.  A run's stages are named tables of the store: points of
+    every scale are ``scale-k``, states and logs those of its optimizer, and a
+    run that was stopped goes on with the first step that is not there.
+    """
+    store = store or Store(sino.sparkSession)
+    x, history, k = _located(points), [], 0
+    while True:
+        n = x.count()
+        stages = [("diracs", Diracs(sino, g, store))]
+        if tents:
+            radius = 0.5 * g.extent / max(n, 1) ** 0.5
+            stages.append(("tents", Tents(sino, g, radius, store)))
+        for stage, model in stages:
+            run = lbfgs(model, x, steps, ftol=0.0, store=store, name=f"{stage}-{k}")
+            x = run.points
+            history += [{"scale": k, "stage": stage, "n": n, "step": h["step"], "cost": h["cost"], "t": h["t"]} for h in run.history]
+        if n >= final:
+            return Run(x, history)
+        apart = F.lit(noise * g.extent / max(n, 1) ** 0.5)
+        kids = R.split_points(x, factor, apart)
+        x = store.put(f"scale-{k + 1}", kids if n * factor <= final else R.subsample(kids, final))
+        k += 1
+
+
+def grid_round(model: SlicedModel, state: DataFrame, directions: list[tuple[Column, Column]], ranges: list[tuple[float, float]], per_axis: int = 5, store: Store | None = None) -> DataFrame:
+    """(trial, t0, t1, .., cost): every combination of ``per_axis`` steps along two or three directions, judged in one plan."""
+    axes = [np.linspace(a, b, per_axis) for a, b in ranges]
+    ts = [tuple(float(axis[i]) for axis, i in zip(axes, at)) for at in np.ndindex(*(per_axis,) * len(axes))]
+    names = [f"t{k}" for k in range(len(axes))]
+    steps = state.sparkSession.createDataFrame([(j, *t) for j, t in enumerate(ts)], "trial int, " + ", ".join(f"{k} double" for k in names))
+    at = state.select("dirac_id", "x", "y", *(v.alias(f"_{axis}{k}") for k, d in enumerate(directions) for axis, v in zip("xy", d))).join(F.broadcast(steps), F.lit(True))
+    moved = at.select("trial", "dirac_id", *(sum((c(t) * c(f"_{axis}{k}") for k, t in enumerate(names)), c(axis)).alias(axis) for axis in "xy"))
+    return model.evaluate(moved, len(ts), store=store).costs.join(F.broadcast(steps), "trial").select("trial", *names, "cost")
+
+
 # ---- line searches ---------------------------------------------------------------------------
 
 

@@ -38,7 +38,71 @@ def line_search_round(spark, d):
     return _r(table.join(F.broadcast(D.bracketed(table).select("vertex")), F.lit(True)).select("trial", "t", "cost", "vertex"), 6, "cost", "vertex")
 
 
-QUERIES = {f.__name__: f for f in (lbfgs_points, newton_points, line_search_round)}
+def _history(spark, run):
+    return _r(spark.createDataFrame([(h["step"], float(h["cost"])) for h in run.history], "step int, cost double"), 5, "cost")
+
+
+def lbfgs_run(spark, d):
+    return _history(spark, D.lbfgs(_model(spark, d), vec_points(spark, d), steps=STEPS, ftol=0.0))
+
+
+def subspace_newton_run(spark, d):
+    return _history(spark, D.subspace_newton(_model(spark, d), vec_points(spark, d), steps=2, ftol=0.0))
+
+
+def gd_steps(spark, d):
+    return _history(spark, D.gradient_descent(_model(spark, d), vec_points(spark, d), steps=STEPS, rate=0.4))
+
+
+def adam_steps(spark, d):
+    return _history(spark, D.adam(_model(spark, d), vec_points(spark, d), steps=STEPS, rate=0.1, eps=1e-3))
+
+
+def line_search_gd_run(spark, d):
+    return _history(spark, D.conjugate(_model(spark, d), vec_points(spark, d), steps=1, method="gd"))
+
+
+def line_search_run(spark, d):
+    """Two bracketed searches along Polak-Ribiere directions."""
+    return _history(spark, D.conjugate(_model(spark, d), vec_points(spark, d), steps=2))
+
+
+def disk_run(spark, d):
+    """Disks at all embeddings towards the parts' sinogram."""
+    m = S.Disks(R.radon_disks(part_disks(spark, d), G.angles(spark), G), G, 0.3)
+    return _history(spark, D.lbfgs(m, vec_points(spark, d), steps=2, ftol=0.0))
+
+
+def _scales(spark, d, tents):
+    points = vec_points(spark, d)
+    run = D.multiscale(R.radon_disks(part_disks(spark, d), G.angles(spark), G), G, points, 2 * points.count(), 2, steps=1, tents=tents)
+    return spark.createDataFrame([(h["scale"], h["stage"], h["n"], h["step"], float(h["cost"])) for h in run.history], "scale int, stage string, n long, step int, cost double")
+
+
+def multiscale_run(spark, d):
+    """All embeddings' points, then two for each."""
+    return _scales(spark, d, False)
+
+
+def interleaved_run(spark, d):
+    return _scales(spark, d, True)
+
+
+def grid_search_run(spark, d):
+    """Costs on a 5 x 5 grid along -gradient and towards the center."""
+    m, points = _model(spark, d), vec_points(spark, d)
+    state = points.select("dirac_id", "x", "y").join(m.evaluate(S.with_trial(points)).gradient, "dirac_id")
+    return _r(D.grid_round(m, state, [(-c("gx"), -c("gy")), (-c("x"), -c("y"))], [(0.0, 8.0), (-1.0, 1.0)]), 5, "cost")
+
+
+def optimizer_comparison(spark, d):
+    m, points = _model(spark, d), vec_points(spark, d)
+    runs = {"gd": D.gradient_descent(m, points, steps=2, rate=0.4), "adam": D.adam(m, points, steps=2, eps=1e-3), "lbfgs": D.lbfgs(m, points, steps=2, ftol=0.0)}
+    rows = [(name, h["step"], float(h["cost"])) for name, run in runs.items() for h in run.history]
+    return _r(spark.createDataFrame(rows, "run string, step int, cost double"), 5, "cost")
+
+
+QUERIES = {f.__name__: f for f in (lbfgs_points, newton_points, line_search_round, lbfgs_run, subspace_newton_run, gd_steps, adam_steps, line_search_gd_run, line_search_run, disk_run, multiscale_run, interleaved_run, grid_search_run, optimizer_comparison)}
 
 # ---- the same in SQL -------------------------------------------------------------------
 
@@ -116,4 +180,50 @@ def _round_sql() -> str:
     return f"{_start()}, ts(trial, t) AS (VALUES {steps}), tr AS (SELECT trial, dirac_id, x - t * gx AS x, y - t * gy AS y FROM w0, ts), {_evaluated('_r', 'tr')}, {near}, {best} SELECT trial, t, round(cost, 6) AS cost, round(vertex, 6) AS vertex FROM near, best"
 
 
-ORACLE = {"lbfgs_points": _lbfgs_sql(), "newton_points": _newton_sql(), "line_search_round": _round_sql()}
+def _fixed_steps_sql(n: int, adam: bool) -> list[str]:
+    """w0 .. wn and c0 .. c(n - 1): steps of descent or of Adam, and the cost before each."""
+    ctes = [_start().replace(", w0 AS (SELECT dirac_id, x, y, gx, gy FROM", ", w0 AS (SELECT dirac_id, x, y, gx, gy, 0.0::DOUBLE AS mx, 0.0::DOUBLE AS my, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy FROM")]
+    for k in range(n - 1):
+        if adam:
+            m, v = (lambda a: f"(0.9 * m{a} + 0.1 * g{a})"), (lambda a: f"(0.999 * v{a} + (1 - 0.999) * g{a} * g{a})")
+            moved = ", ".join(f"{a} - 0.1 * ({m(a)} / {1 - 0.9 ** (k + 1)!r}) / (sqrt({v(a)} / {1 - 0.999 ** (k + 1)!r}) + 1e-3) AS {a}" for a in "xy")
+            moved += "".join(f", {m(a)} AS m{a}, {v(a)} AS v{a}" for a in "xy")
+        else:
+            moved = f"x - 0.4 * n / {G.nb_angles} * gx AS x, y - 0.4 * n / {G.nb_angles} * gy AS y, mx, my, vx, vy"
+        ctes.append(f"n{k} AS (SELECT 0 AS trial, dirac_id, {moved} FROM w{k}, nn), {_evaluated(f'f{k}', f'n{k}')}, c{k + 1} AS (SELECT cost FROM vf{k})")
+        ctes.append(f"w{k + 1} AS (SELECT dirac_id, x, y, gx, gy, mx, my, vx, vy FROM n{k} JOIN gf{k} USING (dirac_id))")
+    return ctes
+
+
+def _costs(ctes: str, n: int, run: str = "") -> str:
+    named = f"'{run}' AS run, " if run else ""
+    return f"{ctes} " + " UNION ALL ".join(f"SELECT {named}{k} AS step, round(cost, 5) AS cost FROM c{k}" for k in range(n))
+
+
+def _searched_once_sql() -> str:
+    """Costs before and after one search along -gradient."""
+    first = f"a0 AS (SELECT 0.01 * {G.extent!r} / avg(sqrt(gx * gx + gy * gy)) AS a FROM w0), ts AS (SELECT r.range AS trial, a * power(2.0, r.range - 4) AS t FROM a0, range(9) r), tr AS (SELECT trial, dirac_id, x - t * gx AS x, y - t * gy AS y FROM w0, ts), {_evaluated('_r', 'tr')}"
+    near = "near AS (SELECT trial, t, cost, t - lag(t) OVER o AS l, lead(t) OVER o - t AS r, (lag(cost) OVER o - cost) / (t - lag(t) OVER o) AS up, (lead(cost) OVER o - cost) / (lead(t) OVER o - t) AS down FROM v_r JOIN ts USING (trial) WINDOW o AS (ORDER BY t))"
+    best = "best AS (SELECT t, coalesce(CASE WHEN up + down > 0 THEN t + least(greatest((up * r - down * l) / (2 * (up + down)), -l), r) END, t) AS vertex FROM near ORDER BY cost, t LIMIT 1)"
+    return f"{_start()}, {first}, {near}, {best}, en AS (SELECT k.range AS trial, dirac_id, x - (CASE k.range WHEN 0 THEN b.t ELSE vertex END) * gx AS x, y - (CASE k.range WHEN 0 THEN b.t ELSE vertex END) * gy AS y FROM w0, best b, range(2) k), {_evaluated('_e', 'en')}, c1 AS (SELECT min(cost) AS cost FROM v_e)"
+
+
+def _grid_sql() -> str:
+    grid = "gr AS (SELECT CAST(a.range * 5 + b.range AS INTEGER) AS trial, a.range * 2.0 AS t0, b.range * 0.5 - 1.0 AS t1 FROM range(5) a, range(5) b), tr AS (SELECT trial, dirac_id, x - t0 * gx - t1 * x AS x, y - t0 * gy - t1 * y AS y FROM w0, gr)"
+    return f"{_start()}, {grid}, {_evaluated('_r', 'tr')} SELECT trial, CAST(t0 AS DOUBLE) AS t0, CAST(t1 AS DOUBLE) AS t1, round(cost, 5) AS cost FROM v_r JOIN gr USING (trial)"
+
+
+def _before(sql: str) -> str:
+    """The CTEs of a query that ends in a plain SELECT of points."""
+    return sql[: sql.rindex(" SELECT dirac_id, round(x")]
+
+
+_GD, _ADAM = (", ".join(_fixed_steps_sql(STEPS, adam)) for adam in (False, True))
+_COMPARED = " UNION ALL ".join(f"SELECT * FROM ({_costs(ctes, n, run)})" for ctes, n, run in ((_GD, 2, "gd"), (_ADAM, 2, "adam"), (_before(_lbfgs_sql()), 3, "lbfgs")))
+
+ORACLE = {
+    "lbfgs_points": _lbfgs_sql(), "newton_points": _newton_sql(), "line_search_round": _round_sql(),
+    "lbfgs_run": _costs(_before(_lbfgs_sql()), STEPS + 1), "subspace_newton_run": _costs(_before(_newton_sql()), 3),
+    "gd_steps": _costs(_GD, STEPS), "adam_steps": _costs(_ADAM, STEPS), "line_search_gd_run": _costs(_searched_once_sql(), 2),
+    "grid_search_run": _grid_sql(), "optimizer_comparison": _COMPARED,
+}

@@ -138,47 +138,7 @@ def alpha_scan(spark, d):
     return spark.createDataFrame([(x["scale"], x["clipped"], x["mass"]) for x in out], "scale double, clipped double, mass double")
 
 
-# ---- reconstruction -----------------------------------------------------------------
-
-
-def _disk_sino(spark):
-    return R.radon_disks(phantoms.disks(spark, [(0.3, -0.2, 1.0, 1.0)]), DISK_G.angles(spark), DISK_G).persist()
-
-
-def _run(optimizer, **how):
-    def query(spark, d):
-        r = X.Reconstruction(_disk_sino(spark), DISK_G).random_points(100).diracs(optimizer=optimizer, **how)
-        return r.history_table(spark)
-
-    return query
-
-
-def multiscale_run(spark, d):
-    r = X.Reconstruction(_disk_sino(spark), DISK_G).random_points(50).multiscale(200, optimizer=X.lbfgs, steps=4)
-    return r.history_table(spark)
-
-
-def interleaved_run(spark, d):
-    r = X.Reconstruction(_disk_sino(spark), DISK_G).random_points(25).multiscale(100, tents=True, optimizer=X.lbfgs, steps=3)
-    return r.history_table(spark)
-
-
-def disk_run(spark, d):
-    r = X.Reconstruction(_disk_sino(spark), DISK_G).random_points(20).diracs(steps=4).disks(0.3, optimizer=X.lbfgs, steps=4)
-    return r.history_table(spark)
-
-
-def grid_search_run(spark, d):
-    m = X.DiracModel(_disk_sino(spark), DISK_G)
-    x = X.random_points(40, DISK_G.extent, 1)
-    v, g = m.value_and_grad(x)
-    t, best = X.grid_search(m, x, [-g, np.roll(-g, 1, axis=0)], [(0.0, 40.0), (-0.5, 1.5)], n=7)
-    return spark.createDataFrame([(v, best, float(t[0]), float(t[1]))], "start double, best double, t_gradient double, t_second double")
-
-
-def optimizer_comparison(spark, d):
-    rows = X.compare(_disk_sino(spark), DISK_G, X.random_points(60, DISK_G.extent, 2), {"gd": (X.gradient_descent, {"steps": 3}), "adam": (X.adam, {"steps": 3}), "lbfgs": (X.lbfgs, {"steps": 3})})
-    return spark.createDataFrame([(r["optimizer"], r["step"], float(r["loss"])) for r in rows], "run string, step int, loss double")
+# ---- models and first steps -----------------------------------------------------------
 
 
 def _part_model(spark, d, name, radius=None):
@@ -247,14 +207,7 @@ def live_updates(spark, d):
     return live.updates(_frames(spark, d), 5_000)
 
 
-QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_smoothness, halo_fit, alternate_run, interior_mass_scan, mesh_tiling, mesh_trapezoid, mesh_scatter, mesh_edges, alpha_scan, multiscale_run, interleaved_run, disk_run, grid_search_run, optimizer_comparison, tent_cost_grad, dirac_model_cost, disk_model_cost, disk_model_gradient, gd_first_step, adam_first_step, loss_table, runs_mismatch, live_latest, live_updates)} | {
-    "gd_steps": _run(X.gradient_descent, steps=6),
-    "line_search_gd_run": _run(X.line_search_descent, steps=4),
-    "adam_steps": _run(X.adam, steps=6, clip=10.0),
-    "lbfgs_run": _run(X.lbfgs, steps=6),
-    "subspace_newton_run": _run(X.subspace_newton, steps=4),
-    "line_search_run": _run(X.conjugate, steps=4),
-}
+QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_smoothness, halo_fit, alternate_run, interior_mass_scan, mesh_tiling, mesh_trapezoid, mesh_scatter, mesh_edges, alpha_scan, tent_cost_grad, dirac_model_cost, disk_model_cost, disk_model_gradient, gd_first_step, adam_first_step, loss_table, runs_mismatch, live_latest, live_updates)}
 
 
 _HALO_CELLS = """rings(ring, a) AS (SELECT 0, CAST(2 AS DOUBLE) UNION ALL SELECT ring + 1, a * 1.6 FROM rings WHERE a * 1.6 < 4.999999999),
