@@ -13,7 +13,7 @@ from massflow.operators import mesh as Q
 from massflow.operators import radon as R
 from massflow.operators import reconstruct as X
 from massflow.operators import sliced as S
-from massflow.plans.radon_queries import G, POINT_G, POINTS, SINO, _r, angles_sql, part_disks, vec_points
+from massflow.plans.radon_queries import DISKS, G, POINT_G, POINTS, SINO, _r, angles_sql, part_disks, vec_points
 from massflow.plans.tables import read
 from massflow.sources import phantoms, runs
 from massflow.streaming import live
@@ -31,31 +31,53 @@ def _halo_cells(spark):
     return H.build_cells(spark, 2.0, 5.0, 1.6, 8)
 
 
+def _part_sites(spark, d):
+    return part_disks(spark, d).select((c("cx") * 1.8).alias("x"), (c("cy") * 1.8).alias("y"))
+
+
+def _held(spark, d):
+    """Parts per halo cell."""
+    return H.locate(_halo_cells(spark), _part_sites(spark, d)).groupBy("cell_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def halo_cells(spark, d):
-    return _r(_halo_cells(spark), 9, "a", "b", "phi0", "phi1")
+    """The cells, with the parts that each holds."""
+    cells = _halo_cells(spark).join(_held(spark, d), "cell_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return _r(cells, 9, "a", "b", "phi0", "phi1")
+
+
+def _part_operator(spark, d):
+    op = H.operator(_halo_cells(spark), HALO_G.angles(spark), HALO_G)
+    return op.join(F.broadcast(_held(spark, d)), "cell_id").select("cell_id", "angle_id", "bin_id", (c("val") * c("n")).alias("val"))
 
 
 def halo_operator(spark, d):
-    return _r(H.operator(_halo_cells(spark), HALO_G.angles(spark), HALO_G), 6, "val").where("val != 0")
+    """The operator's entries, weighted by the parts of each cell."""
+    return _r(_part_operator(spark, d), 4, "val").where("val != 0")
 
 
 def halo_gram(spark, d):
-    return _r(H.gram(H.operator(_halo_cells(spark), HALO_G.angles(spark), HALO_G), ["angle_id", "bin_id"]), 5, "v").where("v != 0")
+    op = _part_operator(spark, d).withColumn("val", c("val") / 100)
+    return _r(H.gram(op, ["angle_id", "bin_id"]), 4, "v").where("v != 0")
 
 
 def halo_smoothness(spark, d):
-    return H.smoothness_rows(_halo_cells(spark))
+    """Differences of the parts' number between neighbouring sectors."""
+    rows = H.smoothness_rows(_halo_cells(spark)).join(_held(spark, d), "cell_id", "left")
+    return rows.groupBy("row").agg(F.sum(c("coef") * F.coalesce("n", F.lit(0))).alias("difference"))
 
 
-def _truncated(spark, g):
-    return R.radon_disks(phantoms.disks(spark, [(0.2, -0.1, 0.6, 1.0), (2.6, 0.4, 0.5, 1.0)]), g.angles(spark), g).persist()
+def _part_field(spark, d, g):
+    """The sinogram of all parts, those beyond the detector's reach too, and that of the parts wholly inside it."""
+    disks = part_disks(spark, d)
+    inside = disks.where(F.sqrt(c("cx") * c("cx") + c("cy") * c("cy")) + c("r") <= g.extent / 2)
+    return tuple(R.radon_disks(t, g.angles(spark), g).persist() for t in (disks, inside))
 
 
 def halo_fit(spark, d):
-    g = R.Geometry(60, 400, 4.0)
-    sino = _truncated(spark, g)
-    h = H.Halo(spark, g, outer=4.0, nb_coarse_bins=100)
-    inside = R.radon_disks(phantoms.disks(spark, [(0.2, -0.1, 0.6, 1.0)]), g.angles(spark), g)
+    g = R.Geometry(12, 100, 3.0)
+    sino, inside = _part_field(spark, d, g)
+    h = H.Halo(spark, g, outer=4.0, nb_sectors=16, nb_coarse_bins=50)
     rest = sino.join(inside.withColumnRenamed("value", "own"), ["angle_id", "bin_id"]).select("angle_id", "bin_id", (c("value") - c("own")).alias("value"))
     m = R.mass(sino, g)
     least = m.agg(F.min("mass")).first()[0]
@@ -64,12 +86,11 @@ def halo_fit(spark, d):
 
 
 def alternate_run(spark, d):
-    g = R.Geometry(12, 100, 4.0)
-    sino = _truncated(spark, g)
+    g = R.Geometry(12, 100, 3.0)
+    sino, inside = _part_field(spark, d, g)
     h = H.Halo(spark, g, outer=4.0, nb_sectors=12, nb_coarse_bins=50)
 
     def solve(s):
-        inside = R.radon_disks(phantoms.disks(spark, [(0.2, -0.1, 0.6, 1.0)]), g.angles(spark), g)
         total = R.mass(s, g).agg(F.min("mass")).first()[0]
         own = R.mass(inside, g).agg(F.avg("mass")).first()[0]
         return inside.withColumn("value", c("value") * (total / own))
@@ -79,61 +100,53 @@ def alternate_run(spark, d):
 
 
 def interior_mass_scan(spark, d):
-    g = R.Geometry(12, 100, 4.0)
-    sino = _truncated(spark, g)
+    g = R.Geometry(12, 100, 3.0)
+    sino, inside = _part_field(spark, d, g)
     h = H.Halo(spark, g, outer=4.0, nb_sectors=12, nb_coarse_bins=50)
-    inside = R.radon_disks(phantoms.disks(spark, [(0.2, -0.1, 0.6, 1.0)]), g.angles(spark), g)
-    out = H.scan_interior_mass(h, sino, inside, [0.9, 1.13, 1.3])
+    own = R.mass(inside, g).agg(F.avg("mass")).first()[0]
+    out = H.scan_interior_mass(h, sino, inside, [0.9 * own, own, 1.2 * own])
     return spark.createDataFrame([tuple(float(v) for v in x.values()) for x in out], "interior_mass double, halo_mass double, dispersion double, nb_active double")
 
 
 # ---- mesh -------------------------------------------------------------------------
 
 
-def _mesh_cells(spark):
-    return Q.tiling(spark, **MESH)
-
-
-def _key(df):
-    return df.join(F.broadcast(_mesh_key(df)), "cell_id").drop("cell_id")
-
-
-def _mesh_key(df):
-    return _mesh_cells(df.sparkSession).select("cell_id", "level", "ix", "iy")
+def part_squares(spark, d):
+    """A square per part, its side from the size."""
+    p = part_disks(spark, d).select(c("disk_id").alias("cell_id"), c("cx").alias("x"), c("cy").alias("y"), c("r"))
+    return p.select("cell_id", F.lit(0).alias("level"), "x", "y", (0.06 + (c("r") - 0.1) * 0.06).alias("h"))
 
 
 def mesh_tiling(spark, d):
-    return _mesh_cells(spark).select("level", "ix", "iy", "x", "y", "h", "interior")
+    """The tiles, with the parts whose centers they hold."""
+    tiles = Q.tiling(spark, **MESH)
+    sizes = [(k, MESH["cell"] * 2**k) for k in range(MESH["max_level"] + 1)]
+    at = part_disks(spark, d).select("cx", "cy", F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.lit(h).alias("h")) for k, h in sizes))).alias("l"))
+    held = at.groupBy(c("l.level").alias("level"), F.floor(c("cx") / c("l.h")).alias("ix"), F.floor(c("cy") / c("l.h")).alias("iy")).agg(F.count(F.lit(1)).alias("n"))
+    return tiles.join(held, ["level", "ix", "iy"], "left").select("level", "ix", "iy", "x", "y", "h", "interior", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def mesh_trapezoid(spark, d):
-    t = Q.trapezoid(MESH_G.angles(spark), _mesh_cells(spark).select("level", "h").distinct(), MESH_G)
-    return _r(t, 7, "k").where("k != 0")
+    """Profiles of squares of all the parts' sizes."""
+    levels = read(spark, d, "part").select(c("p_size").cast("int").alias("level"), (c("p_size") / 50.0).alias("h")).distinct()
+    return _r(Q.trapezoid(MESH_G.angles(spark), levels, MESH_G), 7, "k").where("k != 0")
 
 
 def mesh_scatter(spark, d):
-    s = Q.scatter(_mesh_cells(spark), MESH_G.angles(spark), MESH_G).drop("level")
-    return _r(_key(s), 7, "w").where("w != 0")
+    """Every part's share of its two nearest bins at each angle."""
+    return _r(Q.scatter(part_squares(spark, d), MESH_G.angles(spark), MESH_G).drop("level"), 7, "w").where("w != 0")
 
 
 def mesh_edges(spark, d):
-    return _r(Q.edges(_mesh_cells(spark)), 9, "dist")
-
-
-def _mesh(spark, g):
-    return Q.GradedMesh(spark, g, outer=4.0, cell=0.25, max_level=3, nb_coarse=48)
-
-
-def _solved(spark, how):
-    g = R.Geometry(24, 96, 4.0)
-    sino = _truncated(spark, g)
-    m = _mesh(spark, g)
-    how(m, sino)
-    return m, sino
+    """Near squares among the nearest nine of each part's."""
+    return _r(Q.edges(part_squares(spark, d)), 9, "dist", "face")
 
 
 def alpha_scan(spark, d):
-    m, sino = _solved(spark, lambda m, s: m.solve(s))
+    g = R.Geometry(12, 96, 3.0)
+    sino, _ = _part_field(spark, d, g)
+    m = Q.GradedMesh(spark, g, outer=4.0, cell=0.25, max_level=3, nb_coarse=48)
+    m.solve(sino)
     out = Q.scan_exterior_scale(m, sino, [0.8, 0.9, 1.0], lambda s: s, {"mass": lambda s: R.mass(s, m.fine).agg(F.avg("mass")).first()[0]})
     return spark.createDataFrame([(x["scale"], x["clipped"], x["mass"]) for x in out], "scale double, clipped double, mass double")
 
@@ -213,9 +226,12 @@ QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_sm
 _HALO_CELLS = """rings(ring, a) AS (SELECT 0, CAST(2 AS DOUBLE) UNION ALL SELECT ring + 1, a * 1.6 FROM rings WHERE a * 1.6 < 4.999999999),
 wide AS (SELECT ring, a, least(a * 1.6, 5.0) AS b, greatest(1, CAST(round_even(8 * power(4.0 / (a + least(a * 1.6, 5.0)), 2), 0) AS INTEGER)) AS n FROM rings),
 cells AS (SELECT CAST(row_number() OVER (ORDER BY ring, r.range) - 1 AS INTEGER) AS cell_id, a, b, 2 * pi() * r.range / n AS phi0, 2 * pi() * (r.range + 1) / n AS phi1, ring, CAST(r.range AS INTEGER) AS sector FROM wide JOIN range(64) r ON r.range < n)"""
+_HALO_HELD = f"""{_HALO_CELLS}, {DISKS}, site AS (SELECT cx * 1.8 AS x, cy * 1.8 AS y FROM disks),
+polar AS (SELECT sqrt(x * x + y * y) AS r, atan2(y, x) / (2 * pi()) AS u FROM site), bands AS (SELECT ring, min(a) AS lo, max(b) AS hi, count(*) AS m FROM cells GROUP BY 1),
+held AS (SELECT cell_id, count(*) AS n FROM polar JOIN bands ON r >= lo AND r < hi JOIN cells ON cells.ring = bands.ring AND sector = least(floor((CASE WHEN u < 0 THEN u + 1 ELSE u END) * m), m - 1) GROUP BY 1)"""
 _THETA = "theta(angle_id, theta) AS (VALUES " + ", ".join(f"({k}, {k * math.pi / HALO_G.nb_angles!r}::DOUBLE)" for k in range(HALO_G.nb_angles)) + ")"
 _g = HALO_G
-_HALO_OP = f"""WITH RECURSIVE {_HALO_CELLS}, {_THETA},
+_HALO_OP = f"""WITH RECURSIVE {_HALO_HELD}, {_THETA},
 nn AS (SELECT *, CAST(least(greatest(ceil(4.0 * b * (phi1 - phi0) / {_g.dw!r}), 8), 32768) AS INTEGER) AS n FROM cells),
 nodes AS (SELECT cell_id, a, b, (phi1 - phi0) / n AS dphi, phi0 + (r.range + 0.5) * (phi1 - phi0) / n AS phi FROM nn, range(4096) r WHERE r.range < n),
 k0 AS (SELECT *, cos(theta - phi) AS cs FROM nodes, theta),
@@ -235,9 +251,14 @@ f0 AS (SELECT * FROM f1 ANTI JOIN b1 ON floor(ix / 2.0) = bx AND floor(iy / 2.0)
 tile0 AS (SELECT 2 AS level, bx AS ix, bd AS iy, 2.0::DOUBLE AS h FROM b2 UNION ALL SELECT 1, bx, bd, 1.0 FROM b1 UNION ALL SELECT 0, ix, iy, 0.5 FROM f0),
 tiles AS (SELECT level, CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, (ix + 0.5) * h AS x, (iy + 0.5) * h AS y, h FROM tile0)"""
 _below = lambda t: f"(CASE WHEN {t} <= -(u + v) / 2 THEN 0 WHEN {t} < -(u - v) / 2 THEN h * h / u / v * ({t} + (u + v) / 2) * ({t} + (u + v) / 2) / 2 WHEN {t} <= (u - v) / 2 THEN h * h / u * (v / 2 + {t} + (u - v) / 2) WHEN {t} < (u + v) / 2 THEN h * h - h * h / u / v * ((u + v) / 2 - {t}) * ((u + v) / 2 - {t}) / 2 ELSE h * h END)"
+def _kernel(levels: str) -> str:
+    """CTEs lv and kern of a table (level, h)."""
+    return f"""lv AS (SELECT angle_id, level, h, greatest(h * abs(nx), h * abs(ny)) AS u, least(h * abs(nx), h * abs(ny)) AS v FROM angles, {levels}),
+kern AS (SELECT angle_id, level, CAST(o.range - 40 AS INTEGER) AS "offset", ({_below(f'(o.range - 40 + 0.5) * {_m.dw!r}')} - {_below(f'(o.range - 40 - 0.5) * {_m.dw!r}')}) / {_m.dw!r} AS k FROM lv, range(81) o)"""
+
+
 _OPS = f"""{_TILES}, {angles_sql(_m)},
-lv AS (SELECT angle_id, level, h, greatest(h * abs(nx), h * abs(ny)) AS u, least(h * abs(nx), h * abs(ny)) AS v FROM angles, (SELECT DISTINCT level, h FROM tiles)),
-kern AS (SELECT angle_id, level, CAST(o.range - 40 AS INTEGER) AS "offset", ({_below(f'(o.range - 40 + 0.5) * {_m.dw!r}')} - {_below(f'(o.range - 40 - 0.5) * {_m.dw!r}')}) / {_m.dw!r} AS k FROM lv, range(81) o),
+{_kernel("(SELECT DISTINCT level, h FROM tiles)")},
 pr AS (SELECT angle_id, level, ix, iy, (x * nx + y * ny - {_m.s_min!r}) / {_m.dw!r} - 0.5 AS q FROM tiles, angles),
 sc AS (SELECT angle_id, level, ix, iy, CAST(floor(q) AS INTEGER) AS bin_id, 1 - (q - floor(q)) AS w FROM pr UNION ALL SELECT angle_id, level, ix, iy, CAST(floor(q) AS INTEGER) + 1, q - floor(q) FROM pr),
 op AS (SELECT sc.level, ix, iy, sc.angle_id, sc.bin_id + "offset" AS bin_id, sum(w * k) AS val FROM sc JOIN kern ON sc.angle_id = kern.angle_id AND sc.level = kern.level WHERE sc.bin_id + "offset" BETWEEN 0 AND {_m.nb_bins - 1} GROUP BY 1, 2, 3, 4, 5)"""
@@ -284,14 +305,14 @@ c4 AS (SELECT *, coalesce(sum((first - p * p) * (v - z) + (q * q * q - p * p * p
 g AS (SELECT dirac_id, angle_id, sum(CASE WHEN side = 0 THEN -2 ELSE 1 END * second) / 0.05 / any_value(whole) AS g FROM c4, n WHERE dirac_id IS NOT NULL GROUP BY 1, 2)"""
 _FRAMES = "f AS (SELECT event_type AS sim, user_id % 3 AS context, user_id % 200 AS coordinates, event_id AS arrival, value FROM events), k AS (SELECT *, row_number() OVER w AS n, min(arrival) OVER (PARTITION BY sim, context, coordinates) AS place FROM f WINDOW w AS (PARTITION BY sim, context, coordinates ORDER BY arrival DESC, value DESC))"
 ORACLE = {
-    "halo_cells": f"WITH RECURSIVE {_HALO_CELLS} SELECT cell_id, round(a, 9) AS a, round(b, 9) AS b, round(phi0, 9) AS phi0, round(phi1, 9) AS phi1, ring, sector FROM cells",
-    "halo_operator": f"{_HALO_OP} SELECT cell_id, angle_id, bin_id, round(val, 6) AS val FROM op WHERE bin_id < {_g.nb_bins} AND round(val, 6) != 0",
-    "halo_gram": f"{_HALO_OP} SELECT p.cell_id AS i, q.cell_id AS j, round(sum(p.val * q.val), 5) AS v FROM op p JOIN op q ON p.angle_id = q.angle_id AND p.bin_id = q.bin_id WHERE p.bin_id < {_g.nb_bins} GROUP BY 1, 2 HAVING round(sum(p.val * q.val), 5) != 0",
-    "halo_smoothness": f"WITH RECURSIVE {_HALO_CELLS}, n AS (SELECT cell_id, coalesce(lead(cell_id) OVER (PARTITION BY ring ORDER BY sector), min(cell_id) OVER (PARTITION BY ring)) AS nxt FROM cells) SELECT cell_id AS row, cell_id, -1.0::DOUBLE AS coef FROM n WHERE cell_id != nxt UNION ALL SELECT cell_id, nxt, 1.0::DOUBLE FROM n WHERE cell_id != nxt",
-    "mesh_tiling": f"{_TILES} SELECT level, ix, iy, x, y, h, sqrt(x * x + y * y) < 2.0 AS interior FROM tiles",
-    "mesh_trapezoid": f'{_OPS} SELECT angle_id, level, "offset", round(k, 7) AS k FROM kern WHERE round(k, 7) != 0',
-    "mesh_scatter": f"{_OPS} SELECT angle_id, level, ix, iy, bin_id, round(w, 7) AS w FROM sc WHERE round(w, 7) != 0",
-    "mesh_edges": f"{_TILES}, id AS (SELECT *, CAST(row_number() OVER (ORDER BY level, ix, iy) - 1 AS INTEGER) AS i FROM tiles), d AS (SELECT p.i, q.i AS j, p.h AS hi, q.h AS hj, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist FROM id p, id q), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS n FROM d) SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j, least(hi, hj) AS face, round(dist, 9) AS dist FROM k WHERE n <= 9 AND i != j AND dist < 0.75 * (hi + hj)",
+    "halo_cells": f"WITH RECURSIVE {_HALO_HELD} SELECT cell_id, round(a, 9) AS a, round(b, 9) AS b, round(phi0, 9) AS phi0, round(phi1, 9) AS phi1, ring, sector, coalesce(n, 0) AS n FROM cells LEFT JOIN held USING (cell_id)",
+    "halo_operator": f"{_HALO_OP} SELECT cell_id, angle_id, bin_id, round(val * n, 4) AS val FROM op JOIN held USING (cell_id) WHERE bin_id < {_g.nb_bins} AND round(val * n, 4) != 0",
+    "halo_gram": f"{_HALO_OP}, w AS (SELECT cell_id, angle_id, bin_id, val * n / 100 AS val FROM op JOIN held USING (cell_id) WHERE bin_id < {_g.nb_bins}) SELECT p.cell_id AS i, q.cell_id AS j, round(sum(p.val * q.val), 4) AS v FROM w p JOIN w q ON p.angle_id = q.angle_id AND p.bin_id = q.bin_id GROUP BY 1, 2 HAVING round(sum(p.val * q.val), 4) != 0",
+    "halo_smoothness": f"WITH RECURSIVE {_HALO_HELD}, ring_next AS (SELECT cell_id, coalesce(lead(cell_id) OVER (PARTITION BY ring ORDER BY sector), min(cell_id) OVER (PARTITION BY ring)) AS nxt FROM cells) SELECT p.cell_id AS row, coalesce(b.n, 0) - coalesce(a.n, 0) AS difference FROM ring_next p LEFT JOIN held a ON a.cell_id = p.cell_id LEFT JOIN held b ON b.cell_id = nxt WHERE p.cell_id != nxt",
+    "mesh_tiling": f"{_TILES}, {DISKS} SELECT level, ix, iy, x, y, h, sqrt(x * x + y * y) < 2.0 AS interior, count(cx) AS n FROM tiles LEFT JOIN disks ON floor(cx / h) = ix AND floor(cy / h) = iy GROUP BY 1, 2, 3, 4, 5, 6, 7",
+    "mesh_trapezoid": f'WITH {angles_sql(_m)}, {_kernel("(SELECT DISTINCT CAST(p_size AS INTEGER) AS level, p_size / 50.0::DOUBLE AS h FROM part)")} SELECT angle_id, level, "offset", round(k, 7) AS k FROM kern WHERE round(k, 7) != 0',
+    "mesh_scatter": f"WITH {angles_sql(_m)}, {DISKS}, pr AS (SELECT angle_id, disk_id AS cell_id, (cx * nx + cy * ny - {_m.s_min!r}) / {_m.dw!r} - 0.5 AS q FROM disks, angles), sc AS (SELECT angle_id, cell_id, CAST(floor(q) AS INTEGER) AS bin_id, 1 - (q - floor(q)) AS w FROM pr UNION ALL SELECT angle_id, cell_id, CAST(floor(q) AS INTEGER) + 1, q - floor(q) FROM pr) SELECT angle_id, cell_id, bin_id, round(w, 7) AS w FROM sc WHERE round(w, 7) != 0",
+    "mesh_edges": f"WITH {DISKS}, id AS (SELECT disk_id AS i, cx AS x, cy AS y, 0.06 + (r - 0.1) * 0.06 AS h FROM disks), d AS (SELECT p.i, q.i AS j, p.h AS hi, q.h AS hj, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS dist FROM id p, id q WHERE abs(p.x - q.x) < 0.2 AND abs(p.y - q.y) < 0.2), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS n FROM d) SELECT DISTINCT least(i, j) AS i, greatest(i, j) AS j, round(least(hi, hj), 9) AS face, round(dist, 9) AS dist FROM k WHERE n <= 9 AND i != j AND dist < 0.75 * (hi + hj)",
     "tent_cost_grad": f"{_TENT} SELECT dirac_id, round(sum(g * nx) * 1e3, 6) AS gx_milli, round(sum(g * ny) * 1e3, 6) AS gy_milli FROM g JOIN angles USING (angle_id) GROUP BY 1",
     "dirac_model_cost": f"{_DIRAC_MODEL} SELECT round({_COST}, 7) AS cost FROM pieces",
     "disk_model_cost": f"{_DISK_MODEL} SELECT round({_COST}, 6) AS cost, {G.nb_angles * G.dw**2 / 12!r}::DOUBLE AS floor FROM pieces",
