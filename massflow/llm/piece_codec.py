@@ -50,7 +50,7 @@ LONG_WORD = 62
 #: Neighbouring chunks whose common words are coded once.
 CHUNKS_OF_A_WORD = 128
 #: Bytes of text whose distinct words make one task's lattices.
-LATTICE_BYTES = 4 << 20
+LATTICE_BYTES = 1 << 20
 MARK = "▁"
 _SPACES = re.compile(r" +[^ ]*")
 
