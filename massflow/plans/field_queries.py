@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from massflow.functions.stored import Store
 from massflow.operators import descent as D
 from massflow.operators import halo as H
 from massflow.operators import mesh as Q
@@ -208,8 +209,28 @@ def runs_mismatch(spark, d):
     return runs.mismatches(e, ["nb_angles", "factor", "nb_bins"])
 
 
+def _as_frames(events):
+    return events.select(c("event_type").alias("sim"), (c("user_id") % 3).alias("context"), (c("user_id") % 200).alias("coordinates"), c("event_id").alias("arrival"), "value")
+
+
 def _frames(spark, d):
-    return read(spark, d, "events").select(c("event_type").alias("sim"), (c("user_id") % 3).alias("context"), (c("user_id") % 200).alias("coordinates"), c("event_id").alias("arrival"), "value")
+    return _as_frames(read(spark, d, "events"))
+
+
+def live_state(spark, d):
+    """All events as a stream through keyed state; the rows are the state's snapshot."""
+    path = f"{d}/events.parquet"
+    store = Store(spark)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    known = spark.conf.get(provider, None)
+    live.use_rocksdb(spark)
+    try:
+        # As a pattern, the path may be one file or a folder of them.
+        stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/event[s].parquet")
+        live.state_stream(_as_frames(stream), f"{store.path}/log", f"{store.path}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.unset(provider) if known is None else spark.conf.set(provider, known)
+    return live.snapshot(spark, f"{store.path}/checkpoint").select("sim", "context", "coordinates", "arrival", "value", "place")
 
 
 def live_latest(spark, d):
@@ -220,7 +241,7 @@ def live_updates(spark, d):
     return live.updates(_frames(spark, d), 5_000)
 
 
-QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_smoothness, halo_fit, alternate_run, interior_mass_scan, mesh_tiling, mesh_trapezoid, mesh_scatter, mesh_edges, alpha_scan, tent_cost_grad, dirac_model_cost, disk_model_cost, disk_model_gradient, gd_first_step, adam_first_step, loss_table, runs_mismatch, live_latest, live_updates)}
+QUERIES = {f.__name__: f for f in (halo_cells, halo_operator, halo_gram, halo_smoothness, halo_fit, alternate_run, interior_mass_scan, mesh_tiling, mesh_trapezoid, mesh_scatter, mesh_edges, alpha_scan, tent_cost_grad, dirac_model_cost, disk_model_cost, disk_model_gradient, gd_first_step, adam_first_step, loss_table, runs_mismatch, live_latest, live_state, live_updates)}
 
 
 _HALO_CELLS = """rings(ring, a) AS (SELECT 0, CAST(2 AS DOUBLE) UNION ALL SELECT ring + 1, a * 1.6 FROM rings WHERE a * 1.6 < 4.999999999),
@@ -322,5 +343,6 @@ ORACLE = {
     "loss_table": "WITH h AS (SELECT event_type AS run, CAST(event_id % 500 AS INTEGER) AS step, round(max(value), 3) AS loss FROM events WHERE event_type IN ('click', 'error', 'purchase') GROUP BY 1, 2) SELECT step, coalesce(max(CASE WHEN run = 'click' THEN printf('%.6f', loss) END), '-') AS click, coalesce(max(CASE WHEN run = 'error' THEN printf('%.6f', loss) END), '-') AS error, coalesce(max(CASE WHEN run = 'purchase' THEN printf('%.6f', loss) END), '-') AS purchase FROM h GROUP BY 1",
     "runs_mismatch": "WITH s AS (SELECT 'nb_angles' AS setting, count(DISTINCT user_id % 3) AS nb_values FROM events UNION ALL SELECT 'factor', count(DISTINCT 2) FROM events UNION ALL SELECT 'nb_bins', count(DISTINCT length(event_type)) FROM events) SELECT * FROM s WHERE nb_values > 1",
     "live_latest": f"WITH {_FRAMES} SELECT sim, context, coordinates, arrival, value, place FROM k WHERE n = 1",
+    "live_state": f"WITH {_FRAMES} SELECT sim, context, coordinates, arrival, value, place FROM k WHERE n = 1",
     "live_updates": f"WITH {_FRAMES} SELECT sim, context, coordinates, arrival, value, place FROM k WHERE n = 1 AND arrival > 5000",
 }
