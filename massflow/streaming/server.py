@@ -1,7 +1,8 @@
 """Live frames over HTTP: publish, snapshot, and updates as server-sent events.
 
-The server holds the latest frame of each key in memory, as a viewer's window of
-bounded size; the table of all frames is written by ``live.upsert_stream``.
+The server holds the latest frame of each key in memory, all of them unless a
+viewer's window is given a size, past which the oldest places go first; the
+table of all frames is kept by ``live.state_stream``.
 """
 
 from __future__ import annotations
@@ -14,14 +15,10 @@ from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 from massflow.streaming.live import KEY
 
-#: Keys that the window holds at most; the oldest places go first.
-MOST_KEYS = 10_000
-
-
 class Window:
     """Latest frames by key, in the order of their first arrival."""
 
-    def __init__(self, most: int = MOST_KEYS):
+    def __init__(self, most: int | None = None):
         self.most, self.arrival, self.changed = most, 0, threading.Condition()
         self.frames: OrderedDict[tuple, dict] = OrderedDict()
 
@@ -31,7 +28,7 @@ class Window:
         with self.changed:
             self.arrival += 1
             self.frames[tuple(json.dumps(frame[k], sort_keys=True) for k in KEY)] = {**frame, "arrival": self.arrival}
-            while len(self.frames) > self.most:
+            while self.most is not None and len(self.frames) > self.most:
                 self.frames.popitem(last=False)
             self.changed.notify_all()
             return self.arrival
@@ -86,7 +83,7 @@ def handler(window: Window) -> type[BaseHTTPRequestHandler]:
     return Frames
 
 
-def serve(port: int = 0, most: int = MOST_KEYS) -> tuple[ThreadingHTTPServer, Window]:
+def serve(port: int = 0, most: int | None = None) -> tuple[ThreadingHTTPServer, Window]:
     """A running server on this machine (port 0: any free one) and its window; ``close`` stops it."""
     window = Window(most)
     server = ThreadingHTTPServer(("127.0.0.1", port), handler(window))
