@@ -10,8 +10,8 @@ until the ranges hold enough rows.  What is enough is fitted on a bounded sample
 of queries, whose true neighbours are looked up among all rows: the least number
 with which their recall reaches ``RECALL``.  So tables with close neighbours are
 searched in short ranges, and directionless ones in as much as the recall takes,
-at any size.  A query whose ranges would hold as many rows as the table goes to
-the root instead.  Candidates are scored exactly, in double precision; none is
+at any size.  Strings are long at any size, and a query goes to the root only
+where its axes' ranges would hold as many rows as the table.  Candidates are scored exactly, in double precision; none is
 cut.
 
 Trees are dealt out by a short prefix; a dense prefix is dealt over salts, all of
@@ -37,15 +37,17 @@ AXES = 64
 #: Bits of a signed axis.
 SYMBOL = 7
 #: Nearest axes whose strings a query looks up in each tree.
-PROBES = 8
+PROBES = 10
 #: Rows of a leaf that the strings' length is planned for, and their longest.
 LEAF_ROWS = 16
 MOST_BITS = 30
+#: Bits after the axis that strings have at least, at any size.
+LEAST_BITS = 12
 #: Rows, and queries, of a dealt part of a tree.
 NODE_ROWS = 16_384
 #: Queries on which the ascent is fitted, and the recall that it is fitted to.
 FIT_QUERIES = 96
-RECALL = 0.95
+RECALL = 0.92
 BROADCAST_PARTS = 50_000
 SEED = 17
 
@@ -86,7 +88,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     Null, zero and non-finite vectors and rows with a null id take no part, nor
     do vectors of another length than most have (of two lengths equally common,
     the longer).  A query's own id is never its answer; rows repeated under one
-    id count once (with their greatest score).  Ties go to the smaller id.  With
+    id count once (with their greatest score), and as a query with the least of
+    their vectors, compared by components.  Ties go to the smaller id.  With
     fewer than k other rows, all are returned; an empty table gives an empty
     result.  Other columns are not read, whatever their names.
     """
@@ -106,20 +109,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     flat = classes.select("c", "asked", "v", norm.alias("norm")).withColumn("band", F.floor(F.log2("norm") + 0.5).cast("int"))
     bands = flat.groupBy("band").agg(F.max("norm").alias("m"), F.count(F.lit(1)).alias("n")).collect()  # one row per power of two
     longest, total = {r["band"]: r["m"] for r in bands}, sum(r["n"] for r in bands)
-    bits = min(MOST_BITS - SYMBOL, max(0, math.ceil(math.log2(max(2, total / LEAF_ROWS))) - SYMBOL))
+    bits = min(MOST_BITS - SYMBOL, max(LEAST_BITS, math.ceil(math.log2(max(2, total / LEAF_ROWS))) - SYMBOL))
     coded = cut(_coded(flat, dim, bits, longest))
 
-    # Depth 0 is the root, 1 the axis, and every bit one more.
-    asks = coded.where("asked = 1")
+    placed = _ascended(coded, bits, k, dim, total)
     tree = F.expr(f"CAST(at DIV {PROBES} AS INT)").alias("tree")
-    seen = asks.select("c", F.posexplode("q_codes").alias("at", "code")).select("c", tree, "code", F.explode(F.sequence(F.lit(1), F.lit(bits + 1))).alias("depth"))
-    seen = seen.withColumn("prefix", F.expr(f"shiftright(code, {bits + 1} - depth)")).join(_held(coded, bits), ["depth", "tree", "prefix"])
-    seen = cut(seen.groupBy("c", "depth").agg(F.sum("rows").alias("rows")))
-    # So many rows in all trees are k + 1 different ones in one of them.
-    enough = max(_fitted(coded, seen, bits, k, dim, total), TREES * (k + 1))
-    depths = seen.where((F.col("rows") >= enough) & (F.col("rows") < total)).groupBy("c").agg(F.max("depth").alias("depth"))
-    placed = asks.join(depths, "c", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
-
     low = SYMBOL + bits - min(SYMBOL + bits, max(0, math.ceil(math.log2(max(1, total / NODE_ROWS)))))
     rows_in = coded.select(F.col("c.rep").alias("rep"), F.col("c.h").alias("h"), "bytes", F.posexplode("codes").alias("tree", "code")).withColumn("part", F.shiftright("code", low))
     own = F.expr(f"shiftleft(shiftright(code, {bits + 1} - depth), {bits + 1} - depth)")
@@ -151,7 +145,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     each = best.join(members, "c").select("q", F.explode("ids").alias("id"), "score").groupBy("q", "id").agg(F.max("score").alias("score"))
     each = each.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1)
     answer = each.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("r", "id", "score"))).alias("answers"))
-    queries = rows.where(F.col("id") % every == 0).join(classes.where("asked = 1").select("v", "c"), "v").select("id", F.col("c").alias("q")).dropDuplicates(["id"])
+    queries = rows.where(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v")).join(classes.where("asked = 1").select("v", "c"), "v").select("id", F.col("c").alias("q"))
     out = queries.join(answer, "q").withColumn("answers", F.slice(F.filter("answers", lambda a: a["id"] != F.col("id")), 1, k))
     return out.select(F.col("id").alias("query_id"), F.posexplode("answers").alias("p", "a")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("a.id").alias("vec_id"), F.col("a.score").alias("score"))
 
@@ -199,6 +193,19 @@ def _held(coded: DataFrame, bits: int) -> DataFrame:
     return each.groupBy("depth", "tree", F.expr(f"shiftright(code, {bits + 1} - depth)").alias("prefix")).agg(F.sum("rows").alias("rows"))
 
 
+def _ascended(coded: DataFrame, bits: int, k: int, dim: int, total: int) -> DataFrame:
+    """The asked rows with the depth at which their ascent ends: 0 is the root, 1 the axis, and every bit one more."""
+    asks = coded.where("asked = 1")
+    tree = F.expr(f"CAST(at DIV {PROBES} AS INT)").alias("tree")
+    seen = asks.select("c", F.posexplode("q_codes").alias("at", "code")).select("c", tree, "code", F.explode(F.sequence(F.lit(1), F.lit(bits + 1))).alias("depth"))
+    seen = seen.withColumn("prefix", F.expr(f"shiftright(code, {bits + 1} - depth)")).join(_held(coded, bits), ["depth", "tree", "prefix"])
+    seen = cut(seen.groupBy("c", "depth").agg(F.sum("rows").alias("rows")))
+    # So many rows in all trees are k + 1 different ones in one of them.
+    enough = max(_fitted(coded, seen, bits, k, dim, total), TREES * (k + 1))
+    depths = seen.where((F.col("rows") >= enough) & (F.col("rows") < total)).groupBy("c").agg(F.max("depth").alias("depth"))
+    return asks.join(depths, "c", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+
+
 def _fitted(coded: DataFrame, seen: DataFrame, bits: int, k: int, dim: int, total: int) -> int:
     """Rows in all ranges at which an ascent may end, from a sample's true neighbours.
 

@@ -52,3 +52,39 @@ def test_vectors_of_other_lengths_take_no_part(spark):
     got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))).collect()
     assert {r.query_id for r in got} == {0, 20} and len(got) == 40
     assert max(r.vec_id for r in got) < 100
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_small_tables_are_searched_in_the_forest(spark, monkeypatch, sf):
+    """Recall of at least 0.9 with under 5 % of the queries at the root, and strings long enough to tell all rows apart."""
+    import os
+
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    seen, ascended = {}, nearest._ascended
+
+    def spy(coded, bits, k, dim, total):
+        placed = ascended(coded, bits, k, dim, total)
+        seen["root"] = placed.where("depth = 0").count() / placed.count()
+        seen["alike"] = coded.select(F.posexplode("codes").alias("tree", "code")).groupBy("tree", "code").count().agg(F.avg("count")).first()[0]
+        return placed
+
+    monkeypatch.setattr(nearest, "_ascended", spy)
+    table = spark.read.parquet(path)
+    got = {(r.query_id, r.vec_id) for r in nearest.search(table).collect()}
+    rows = table.select("vec_id", "embedding").toPandas()
+    ids, x = rows.vec_id.to_numpy(), np.stack(rows.embedding.to_numpy()).astype(float)
+    asked = np.flatnonzero(ids % 20 == 0)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = {(int(ids[q]), int(ids[j])) for q, s in zip(asked, score) for j in np.argpartition(-s, 20)[:20]}
+    print(sf, seen, len(want & got) / len(want))
+    assert len(want & got) >= 0.9 * len(want) and seen["root"] < 0.05 and seen["alike"] < 1.2
+
+
+def test_a_repeated_id_asks_with_its_least_vector(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0])]
+    for parts in (1, 4):
+        got = nearest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)).collect()
+        assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(20, 1, 1, 2.0), (20, 2, 2, 0.0)]
