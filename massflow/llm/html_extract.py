@@ -324,7 +324,9 @@ def extract(pages: DataFrame) -> DataFrame:
 
     The whole html is read, whatever its length.  A null or empty html, and a
     page of boilerplate only, give an empty text with n_chars 0.  page_id and
-    url pass through, null or repeated; other columns are not returned.
+    url pass through, null or repeated; other columns are not returned, whatever
+    their names.  Repeated rows are extracted each, and alike; of cuts that tie
+    the one with the least content counts.  An empty table gives an empty result.
     """
 
     def run(batches):

@@ -402,7 +402,11 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_ids(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Write the store in the shared folder and return its digest, read back."""
+    """Write the store in the shared folder and return its digest, read back.
+
+    Repeated rows are stored each; an empty table gives an empty result; other
+    columns are not read, whatever their names.
+    """
     path = work_path(docs.sparkSession, "tokens")
     write_store(docs, path, tokenizer)
     return read_store(docs.sparkSession, path)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,6 @@ VERSION = b"WARC/1.1"
 END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-DATE = "2024-01-01T00:00:00Z"
 ID = "urn:massflow:page:"
 #: Payload bytes that one archive file is planned for, and that it holds at most if all its payloads are the longest.
 FILE_BYTES, MOST_BYTES = 32 << 20, 1 << 30
@@ -64,8 +64,8 @@ def _record(page_id, url, html, digest, refers_to, date) -> str:
     return "\r\n".join(head) + "\r\n\r\n" + block
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -> None:
-    """Write a record for every row of pages under path.
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str | None = None) -> None:
+    """Write a record for every row of pages under path, dated ``date`` or the time of this call.
 
     A null html is an empty payload, a null url leaves out the target.  A row
     with a null page_id is a response that nothing refers to.  Rows that repeat
@@ -74,6 +74,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str =
     in it unless they share the payload, too.  Columns other than page_id, url
     and html are not archived.
     """
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     again = revisits(pages, min_bytes)
     size, longest = pages.agg(F.avg(_size()), F.max(_size())).first()
     per_file = min(20_000, int(FILE_BYTES / max(size or 1, 400)), MOST_BYTES // max(longest or 1, 400))
@@ -132,7 +133,12 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = False) ->
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages as archives in the shared folder and return their records' digest."""
+    """Write pages as archives in the shared folder and return their records' digest.
+
+    One row per row of pages: repeated rows are a record each, and of rows that
+    tie as the greatest id of a payload all are responses.  An empty table gives
+    an empty result.  Other columns are not archived, whatever their names.
+    """
     path = work_path(pages.sparkSession, "warc")
     write_archives(pages, path, min_bytes)
     return read_archives(pages.sparkSession, path).drop("url")
