@@ -2,7 +2,7 @@
 
 The plan is a table of pieces, one per overlap of a dirac's and a cell's
 interval in mass space.  Both sides' running masses are merged by one sort per
-(batch, mass bucket); intervals are cut at bucket borders, so a batch of any
+(batch, bucket); intervals are cut at bucket borders, so a batch of any
 size is spread over tasks and no carry crosses a border.
 """
 
@@ -30,19 +30,56 @@ def cell_cum_mass(t: DataFrame, buckets: int = 1) -> DataFrame:
     return running_sum(t, "batch", ["x0", "cell_id"], {"c0": "m"}, buckets)
 
 
-def _split(df: DataFrame, start: str, mass: str, buckets: int) -> DataFrame:
-    """q: the start of each interval, cut at the borders of mass buckets."""
-    if buckets == 1:
-        return df.withColumn("bucket", F.lit(0)).withColumn("q", c(start))
-    first = F.least(F.floor(c(start) * buckets), F.lit(buckets - 1))
-    last = F.greatest(first, F.least(F.ceil((c(start) + c(mass)) * buckets) - 1, F.lit(buckets - 1)))
-    return df.withColumn("bucket", F.explode(F.sequence(first.cast("int"), last.cast("int")))).withColumn("q", F.greatest(c(start), c("bucket") / buckets))
+#: Batches whose borders are broadcast; more are joined by a shuffle.
+MOST_BATCHES = 100_000
 
 
-def _level_bucket(level: Column, buckets: int, before: bool) -> Column:
-    """The mass bucket that a level lies in; one on a border is of the bucket before or after it."""
-    at = F.ceil(level * buckets) - 1 if before else F.floor(level * buckets)
-    return F.least(F.greatest(at, F.lit(0)), F.lit(buckets - 1)).cast("int")
+class _Buckets:
+    """Levels that cut the rows of each batch, of both sides together, into buckets of about one size.
+
+    Equal rows, not equal mass: neither many light points nor a fine density
+    meet in one task.  A smaller batch has fewer buckets.  ``starts``: frames
+    with batch and the level q at which a row's interval starts.
+    """
+
+    def __init__(self, k: int, *starts: DataFrame):
+        self.table = None
+        if k == 1:
+            return
+        q = starts[0]
+        for more in starts[1:]:
+            q = q.unionByName(more)
+        made = q.groupBy("batch").agg(F.percentile_approx("q", [i / k for i in range(1, k)], 10_000).alias("at"), F.count(F.lit(1)).alias("n"))
+        made = Store(q.sparkSession).keep(made)  # a row per batch
+        most, count = made.agg(F.max("n"), F.count(F.lit(1))).first()
+        every = F.greatest(F.floor(F.lit(k) / F.ceil(c("n") * k / F.lit(most or 1))), F.lit(1))
+        made = made.select("batch", F.array_distinct(F.filter("at", lambda v, i: (v > 0) & (v < 1) & ((i + 1) % every == 0))).alias("borders"))
+        self.table = F.broadcast(made) if count <= MOST_BATCHES else made
+
+    def _with(self, df: DataFrame) -> DataFrame:
+        return df.join(self.table, "batch") if self.table is not None else df.withColumn("borders", F.array().cast("array<double>"))
+
+    @staticmethod
+    def _ends(df: DataFrame) -> DataFrame:
+        since, until = F.get("borders", c("bucket") - 1), F.get("borders", c("bucket"))
+        return df.withColumn("since", F.coalesce(since, F.lit(0.0))).withColumn("until", F.coalesce(until, F.lit(1.0))).drop("borders")
+
+    def split(self, df: DataFrame, start: str, mass: str) -> DataFrame:
+        """bucket, since, until and q, the start of each interval, cut at the borders."""
+        first = F.size(F.filter("borders", lambda b: b <= c(start)))
+        last = F.greatest(first, F.size(F.filter("borders", lambda b: b < c(start) + c(mass))))
+        df = self._ends(self._with(df).withColumn("bucket", F.explode(F.sequence(first, last))))
+        return df.withColumn("q", F.greatest(c(start), c("since")))
+
+    def place(self, df: DataFrame, level: str, before: bool = False) -> DataFrame:
+        """bucket, since and until of a level; one on a border is of the bucket before or after it."""
+        at = F.filter("borders", lambda b: b < c(level)) if before else F.filter("borders", lambda b: b <= c(level))
+        return self._ends(self._with(df).withColumn("bucket", F.size(at)))
+
+
+def _once(df: DataFrame, k: int) -> DataFrame:
+    """df, written where it is large enough to be cut into buckets: it is read several times."""
+    return df if k == 1 else Store(df.sparkSession).keep(df)
 
 
 def pieces(d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -51,22 +88,22 @@ def pieces(d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
     Zero weights and zero-mass cells carry nothing and are left out.
     """
     k = buckets or max(buckets_for(d, "batch"), buckets_for(t, "batch"))
-    return pieces_presorted(sorted_points(d, k), cell_cum_mass(t, k), k)
+    return pieces_presorted(_once(sorted_points(d, k), k), _once(cell_cum_mass(t, k), k), k)
 
 
 def pieces_presorted(s: DataFrame, u: DataFrame, buckets: int = 1) -> DataFrame:
     """The plan of points and cells that have their running masses (q0; m and c0): normalizing and both sorts are skipped."""
-    k = buckets
-    s = _split(s, "q0", "w", k)
-    u = _split(u.where("m > 0"), "c0", "m", k)
+    u = u.where("m > 0")
+    cut = _Buckets(buckets, s.select("batch", c("q0").alias("q")), u.select("batch", c("c0").alias("q")))
+    s, u = cut.split(s, "q0", "w"), cut.split(u, "c0", "m")
     dirac = F.struct("dirac_id", "pos", "w")
     cell = F.struct("cell_id", "x0", "x1", "y", "m", "c0")
-    left = s.select("batch", "bucket", "q", F.lit(0).alias("kind"), c("pos").alias("at"), dirac.alias("d"), F.lit(None).alias("t"))
-    right = u.select("batch", "bucket", "q", F.lit(1).alias("kind"), c("x0").alias("at"), F.lit(None).alias("d"), cell.alias("t"))
+    left = s.select("batch", "bucket", "until", "q", F.lit(0).alias("kind"), c("pos").alias("at"), dirac.alias("d"), F.lit(None).alias("t"))
+    right = u.select("batch", "bucket", "until", "q", F.lit(1).alias("kind"), c("x0").alias("at"), F.lit(None).alias("d"), cell.alias("t"))
     both = _merged(left, right, "batch", "bucket")
     order = Window.partitionBy("batch", "bucket").orderBy("q", "kind", "at", "d.dirac_id", "t.cell_id")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    merged = both.select("batch", c("q").alias("q0"), F.coalesce(F.lead("q").over(order), (c("bucket") + 1) / F.lit(float(k))).alias("q1"), F.last("d", ignorenulls=True).over(upto).alias("d"), F.last("t", ignorenulls=True).over(upto).alias("t"))
+    merged = both.select("batch", c("q").alias("q0"), F.coalesce(F.lead("q").over(order), c("until")).alias("q1"), F.last("d", ignorenulls=True).over(upto).alias("d"), F.last("t", ignorenulls=True).over(upto).alias("t"))
     merged = merged.where("q1 > q0 AND d IS NOT NULL AND t IS NOT NULL").select("batch", "d.*", "t.*", "q0", "q1")
     slope = (c("x1") - c("x0")) / c("m")
     return merged.select("batch", "dirac_id", "cell_id", "pos", "w", "q0", "q1", "y", (c("x0") + (c("q0") - c("c0")) * slope).alias("l"), (c("x0") + (c("q1") - c("c0")) * slope).alias("r"), (c("q1") - c("q0")).alias("dm"))
@@ -147,21 +184,22 @@ def grad_density(d: DataFrame, t: DataFrame, buckets: int | None = None) -> Data
     the dirac whose interval holds its level.
     """
     k = buckets or max(buckets_for(d, "batch"), buckets_for(t, "batch"))
-    s = following(sorted_points(d, k), "batch", ["pos", "dirac_id"], {"next_pos": "pos", "next_q0": "q0"}, k)
-    u = cell_cum_mass(t, k)
+    s = _once(following(sorted_points(d, k), "batch", ["pos", "dirac_id"], {"next_pos": "pos", "next_q0": "q0"}, k), k)
+    u = _once(cell_cum_mass(t, k), k)
+    cut = _Buckets(k, s.select("batch", c("q0").alias("q")), u.select("batch", c("c0").alias("q")))
     none = F.lit(None)
     dirac = F.struct("pos", "next_pos", "next_q0", (c("q") == c("q0")).alias("starts"))
-    at = _split(s, "q0", "w", k).select("batch", "bucket", "q", F.lit(0).alias("kind"), c("pos").alias("at"), c("dirac_id").alias("id"), dirac.alias("d"), none.alias("t"), none.alias("z"))
-    full = _split(u.where("m > 0"), "c0", "m", k).select("batch", "bucket", "q", F.lit(1).alias("kind"), c("x0").alias("at"), none.alias("id"), none.alias("d"), F.struct("cell_id", "x0", "x1", "m", "c0").alias("t"), none.alias("z"))
-    flat = u.where("m <= 0").select("batch", _level_bucket(c("c0"), k, False).alias("bucket"), c("c0").alias("q"), F.lit(1).alias("kind"), c("x0").alias("at"), none.alias("id"), none.alias("d"), none.alias("t"), F.struct("cell_id", "x0", "x1").alias("z"))
-    keys = ["batch", "bucket", "q", "kind", "at", "id"]
-    order = Window.partitionBy("batch", "bucket").orderBy(*keys[2:])
+    ends = ["batch", "bucket", "since", "until"]
+    at = cut.split(s, "q0", "w").select(*ends, "q", F.lit(0).alias("kind"), c("pos").alias("at"), c("dirac_id").alias("id"), dirac.alias("d"), none.alias("t"), none.alias("z"))
+    full = cut.split(u.where("m > 0"), "c0", "m").select(*ends, "q", F.lit(1).alias("kind"), c("x0").alias("at"), none.alias("id"), none.alias("d"), F.struct("cell_id", "x0", "x1", "m", "c0").alias("t"), none.alias("z"))
+    flat = cut.place(u.where("m <= 0"), "c0").select(*ends, c("c0").alias("q"), F.lit(1).alias("kind"), c("x0").alias("at"), none.alias("id"), none.alias("d"), none.alias("t"), F.struct("cell_id", "x0", "x1").alias("z"))
+    keys = ["q", "kind", "at", "id"]
+    order = Window.partitionBy("batch", "bucket").orderBy(*keys)
     upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    border = (c("bucket") + 1) / F.lit(float(k))
     rows = _merged(at.unionByName(full), flat, "batch", "bucket")
-    rows = rows.select(*keys, "z", F.coalesce(F.lead("q").over(order), border).alias("q1"), F.lead(F.coalesce(c("d.starts"), F.lit(False))).over(order).alias("followed"), F.last("d", ignorenulls=True).over(upto).alias("d"), F.last("t", ignorenulls=True).over(upto).alias("t"))
+    rows = rows.select(*ends, *keys, "z", F.coalesce(F.lead("q").over(order), c("until")).alias("q1"), F.lead(F.coalesce(c("d.starts"), F.lit(False))).over(order).alias("followed"), F.last("d", ignorenulls=True).over(upto).alias("d"), F.last("t", ignorenulls=True).over(upto).alias("t"))
     # The next dirac starts after this row, or right behind the bucket's border; what ended at the border before is that bucket's.
-    ended = F.coalesce(c("followed") & (c("d.next_q0") > c("bucket") / F.lit(float(k))), c("d.next_q0") <= border)
+    ended = F.coalesce(c("followed") & (c("d.next_q0") > c("since")), c("d.next_q0") <= c("until"))
     fall = F.when(ended, (_end(c("q1")) - c("d.pos")) ** 2 - (_end(c("q1")) - c("d.next_pos")) ** 2)
     rows = rows.where("d IS NOT NULL AND (t IS NOT NULL OR z IS NOT NULL)").withColumn("fall", F.coalesce(fall, F.lit(0.0))).withColumn("fallen", F.coalesce(F.sum("fall").over(before), F.lit(0.0)))
 
@@ -190,11 +228,12 @@ def lookup(levels: DataFrame, t: DataFrame, buckets: int | None = None) -> DataF
     The smallest cell whose cumulated mass reaches the level; inside it, linear.
     """
     k = buckets or max(buckets_for(levels, "batch"), buckets_for(t, "batch"))
-    u = _split(cell_cum_mass(t, k).where("m > 0"), "c0", "m", k)
-    left = u.select("batch", "bucket", "q", F.lit(0).alias("kind"), F.struct("x0", "x1", "m", "c0").alias("t"), F.lit(None).cast("long").alias("level_id"))
+    u = _once(cell_cum_mass(t, k).where("m > 0"), k)
+    cut = _Buckets(k, u.select("batch", c("c0").alias("q")), levels.select("batch", c("level").alias("q")))
+    left = cut.split(u, "c0", "m").select("batch", "bucket", "q", F.lit(0).alias("kind"), F.struct("x0", "x1", "m", "c0").alias("t"), F.lit(None).cast("long").alias("level_id"))
     # A level on a border belongs to the cell before it, except at the very start.
     kind = F.when(c("level") <= 0, F.lit(1)).otherwise(F.lit(-1))
-    right = levels.select("batch", _level_bucket(c("level"), k, True).alias("bucket"), c("level").alias("q"), kind.alias("kind"), F.lit(None).alias("t"), c("level_id").cast("long").alias("level_id"))
+    right = cut.place(levels, "level", before=True).select("batch", "bucket", c("level").alias("q"), kind.alias("kind"), F.lit(None).alias("t"), c("level_id").cast("long").alias("level_id"))
     upto = Window.partitionBy("batch", "bucket").orderBy("q", "kind", "t.x0", "level_id").rowsBetween(Window.unboundedPreceding, 0)
     both = _merged(left, right, "batch", "bucket").withColumn("t", F.last("t", ignorenulls=True).over(upto)).where("level_id IS NOT NULL AND t IS NOT NULL")
     return both.select("batch", "level_id", c("q").alias("level"), (c("t.x0") + F.least((c("q") - c("t.c0")) / c("t.m"), F.lit(1.0)) * (c("t.x1") - c("t.x0"))).alias("x"))
@@ -203,12 +242,13 @@ def lookup(levels: DataFrame, t: DataFrame, buckets: int | None = None) -> DataF
 def cost_by_moments(d: DataFrame, t: DataFrame, buckets: int | None = None) -> DataFrame:
     """The same cost from cumulated moments at the slices' ends (as-of lookup, no pieces)."""
     k = buckets or buckets_for(d, "batch")
-    s = sorted_points(d, k)
+    s = _once(sorted_points(d, k), k)
     u = cell_cum_mass(t, k).where("m > 0")
     u = u.withColumn("k1", c("y") * (c("x1") ** 2 - c("x0") ** 2) / 2).withColumn("k2", c("y") * (c("x1") ** 3 - c("x0") ** 3) / 3)
-    u = running_sum(u, "batch", ["x0", "cell_id"], {"b1": "k1", "b2": "k2"}, k)
-    left = _split(u, "c0", "m", k).select("batch", "bucket", "q", F.lit(0).alias("kind"), F.struct("x0", "y", "c0", "b1", "b2").alias("t"), F.lit(None).alias("d"))
-    right = s.select("batch", _level_bucket(c("q0"), k, False).alias("bucket"), c("q0").alias("q"), F.lit(1).alias("kind"), F.lit(None).alias("t"), F.struct("dirac_id", "pos", "w").alias("d"))
+    u = _once(running_sum(u, "batch", ["x0", "cell_id"], {"b1": "k1", "b2": "k2"}, k), k)
+    cut = _Buckets(k, s.select("batch", c("q0").alias("q")), u.select("batch", c("c0").alias("q")))
+    left = cut.split(u, "c0", "m").select("batch", "bucket", "q", F.lit(0).alias("kind"), F.struct("x0", "y", "c0", "b1", "b2").alias("t"), F.lit(None).alias("d"))
+    right = cut.place(s, "q0").select("batch", "bucket", c("q0").alias("q"), F.lit(1).alias("kind"), F.lit(None).alias("t"), F.struct("dirac_id", "pos", "w").alias("d"))
     upto = Window.partitionBy("batch", "bucket").orderBy("q", "kind", "d.pos", "d.dirac_id", "t.x0").rowsBetween(Window.unboundedPreceding, 0)
     at = _merged(left, right, "batch", "bucket").withColumn("t", F.last("t", ignorenulls=True).over(upto)).where("d IS NOT NULL")
     x = c("t.x0") + (c("q") - c("t.c0")) / c("t.y")

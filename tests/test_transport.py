@@ -114,6 +114,27 @@ def test_one_batch_in_many_buckets(spark):
     both(lambda k: T.cell_cum_mass(t, k), ["cell_id"])
 
 
+def test_light_points_and_fine_densities_are_spread(spark):
+    """Buckets hold equal rows, whatever their mass, and the costs stay."""
+    rng = np.random.default_rng(9)
+    at = np.concatenate([rng.random(40) * 8, 1 + 1e-3 * rng.random(160)])
+    w = np.concatenate([rng.random(40) + 0.1, np.full(160, 1e-7)])
+    d = spark.createDataFrame([(0, i, float(x), float(v)) for i, (x, v) in enumerate(zip(at, w))] + [(1, i, 0.1 * i, 1.0) for i in range(9)], POINTS).persist()
+    y = [0.0, 1, 2, 0, 5, 1] + [0.01] * 200
+    t = M.knots_density(spark.createDataFrame([(b, i, float(v)) for b in (0, 1) for i, v in enumerate(y)], CELLS)).persist()
+    s, u = T.sorted_points(d), T.cell_cum_mass(t).where("m > 0")
+    cut = T._Buckets(8, s.select("batch", F.col("q0").alias("q")), u.select("batch", F.col("c0").alias("q")))
+    size = {}
+    for part in (cut.split(s, "q0", "w"), cut.split(u, "c0", "m")):
+        for r in part.groupBy("batch", "bucket").count().collect():
+            size[r.batch, r.bucket] = size.get((r.batch, r.bucket), 0) + r["count"]
+    assert max(n for (b, _), n in size.items() if b == 0) < 100 and len([k for k in size if k[0] == 0]) >= 6
+    one, many = ({r.batch: r.cost for r in T.cost(T.pieces(d, t, k)).collect()} for k in (1, 8))
+    assert one == pytest.approx(many, rel=1e-10)
+    one, many = ({(r.batch, r.cell_id): r.grad for r in T.grad_density(d, t, k).collect()} for k in (1, 8))
+    assert one == pytest.approx(many, rel=1e-8, abs=1e-7)
+
+
 def test_histogram_of_nothing(spark):
     none = spark.createDataFrame([], "v double")
     assert M.histogram(none, "v").count() == 0
