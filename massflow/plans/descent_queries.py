@@ -76,7 +76,7 @@ def disk_run(spark, d):
 def _scales(spark, d, tents):
     points = vec_points(spark, d)
     run = D.multiscale(R.radon_disks(part_disks(spark, d), G.angles(spark), G), G, points, 2 * points.count(), 2, steps=1, tents=tents)
-    return spark.createDataFrame([(h["scale"], h["stage"], h["n"], h["step"], float(h["cost"])) for h in run.history], "scale int, stage string, n long, step int, cost double")
+    return _r(spark.createDataFrame([(h["scale"], h["stage"], h["n"], h["step"], float(h["cost"])) for h in run.history], "scale int, stage string, n long, step int, cost double"), 5, "cost")
 
 
 def multiscale_run(spark, d):
@@ -112,20 +112,20 @@ tn AS (SELECT angle_id, x0, m, coalesce(sum(m) OVER (PARTITION BY angle_id ORDER
 at_zero AS (SELECT 0 AS trial, dirac_id, x, y FROM pts)"""
 
 
-def _evaluated(k: str, points: str) -> str:
-    """v{k}(trial, cost) and g{k}(trial, dirac_id, gx, gy) of a table (trial, dirac_id, x, y)."""
+def _evaluated(k: str, points: str, nn: str = "nn") -> str:
+    """v{k}(trial, cost) and g{k}(trial, dirac_id, gx, gy) of a table (trial, dirac_id, x, y) of as many points as nn says."""
     a, b = "greatest(q0, c0)", "least(q0 + w, c0 + m)"
-    return f"""d{k} AS (SELECT trial, angle_id, nx, ny, dirac_id, x * nx + y * ny AS pos, (row_number() OVER (PARTITION BY trial, angle_id ORDER BY x * nx + y * ny, dirac_id) - 1) / n AS q0, 1 / n AS w FROM {points}, angles, nn),
+    return f"""d{k} AS (SELECT trial, angle_id, nx, ny, dirac_id, x * nx + y * ny AS pos, (row_number() OVER (PARTITION BY trial, angle_id ORDER BY x * nx + y * ny, dirac_id) - 1) / n AS q0, 1 / n AS w FROM {points}, angles, {nn}),
 o{k} AS (SELECT d.*, {b} - {a} AS dm, x0 + ({a} - c0) / m * {G.dw!r} AS l, x0 + ({b} - c0) / m * {G.dw!r} AS r FROM d{k} d JOIN tn ON d.angle_id = tn.angle_id AND q0 < c0 + m AND c0 < q0 + w WHERE {b} - {a} > 1e-14),
 v{k} AS (SELECT trial, sum(dm * ((l - pos) * (l - pos) + (l - pos) * (r - pos) + (r - pos) * (r - pos)) / 3) AS cost FROM o{k} GROUP BY 1),
 h{k} AS (SELECT trial, angle_id, dirac_id, any_value(nx) AS nx, any_value(ny) AS ny, 2 * any_value(w) * (any_value(pos) - sum(dm * (l + r) / 2) / sum(dm)) AS g FROM o{k} GROUP BY 1, 2, 3),
 g{k} AS (SELECT trial, dirac_id, sum(g * nx) AS gx, sum(g * ny) AS gy FROM h{k} GROUP BY 1, 2)"""
 
 
-def _searched(k: int, kept: str) -> str:
+def _searched(k: int, kept: str, nn: str = "nn") -> str:
     """From dir{k}(.., dx, dy) to w{k+1}: the first of four halvings that lowers the cost enough; kept: older columns."""
     return f"""ts{k}(trial, t) AS (VALUES (0, 1.0::DOUBLE), (1, 0.5), (2, 0.25), (3, 0.125)),
-tr{k} AS (SELECT trial, dirac_id, x + t * dx AS x, y + t * dy AS y FROM dir{k}, ts{k}), {_evaluated(f't{k}', f'tr{k}')},
+tr{k} AS (SELECT trial, dirac_id, x + t * dx AS x, y + t * dy AS y FROM dir{k}, ts{k}), {_evaluated(f't{k}', f'tr{k}', nn)},
 ac{k} AS (SELECT arg_min({{'trial': trial, 't': t, 'cost': vt{k}.cost}}, trial) AS a FROM vt{k} JOIN ts{k} USING (trial), c{k} WHERE vt{k}.cost <= c{k}.cost + 1e-4 * t * (SELECT sum(gx * dx + gy * dy) FROM dir{k})),
 c{k + 1} AS (SELECT a.cost AS cost FROM ac{k}),
 w{k + 1} AS (SELECT dirac_id, x + a.t * dx AS x, y + a.t * dy AS y, gt{k}.gx AS gx, gt{k}.gy AS gy, {kept}a.t * dx AS s{k}x, a.t * dy AS s{k}y, gt{k}.gx - o.gx AS y{k}x, gt{k}.gy - o.gy AS y{k}y FROM dir{k} o JOIN gt{k} USING (dirac_id), ac{k} WHERE gt{k}.trial = a.trial)"""
@@ -200,12 +200,35 @@ def _costs(ctes: str, n: int, run: str = "") -> str:
     return f"{ctes} " + " UNION ALL ".join(f"SELECT {named}{k} AS step, round(cost, 5) AS cost FROM c{k}" for k in range(n))
 
 
-def _searched_once_sql() -> str:
-    """Costs before and after one search along -gradient."""
-    first = f"a0 AS (SELECT 0.01 * {G.extent!r} / avg(sqrt(gx * gx + gy * gy)) AS a FROM w0), ts AS (SELECT r.range AS trial, a * power(2.0, r.range - 4) AS t FROM a0, range(9) r), tr AS (SELECT trial, dirac_id, x - t * gx AS x, y - t * gy AS y FROM w0, ts), {_evaluated('_r', 'tr')}"
-    near = "near AS (SELECT trial, t, cost, t - lag(t) OVER o AS l, lead(t) OVER o - t AS r, (lag(cost) OVER o - cost) / (t - lag(t) OVER o) AS up, (lead(cost) OVER o - cost) / (lead(t) OVER o - t) AS down FROM v_r JOIN ts USING (trial) WINDOW o AS (ORDER BY t))"
-    best = "best AS (SELECT t, coalesce(CASE WHEN up + down > 0 THEN t + least(greatest((up * r - down * l) / (2 * (up + down)), -l), r) END, t) AS vertex FROM near ORDER BY cost, t LIMIT 1)"
-    return f"{_start()}, {first}, {near}, {best}, en AS (SELECT k.range AS trial, dirac_id, x - (CASE k.range WHEN 0 THEN b.t ELSE vertex END) * gx AS x, y - (CASE k.range WHEN 0 THEN b.t ELSE vertex END) * gy AS y FROM w0, best b, range(2) k), {_evaluated('_e', 'en')}, c1 AS (SELECT min(cost) AS cost FROM v_e)"
+def _bracketed_ctes(k: int) -> str:
+    """From dir{k}(.., dx, dy) and a{k}(a) to c{k + 1}, a{k + 1} and w{k + 1}: a round of nine trials, then the vertex and the best one."""
+    return f"""ts{k} AS (SELECT r.range AS trial, a * power(2.0, r.range - 4) AS t FROM a{k}, range(9) r), tr{k} AS (SELECT trial, dirac_id, x + t * dx AS x, y + t * dy AS y FROM dir{k}, ts{k}), {_evaluated(f'r{k}', f'tr{k}')},
+near{k} AS (SELECT trial, t, cost, t - lag(t) OVER o AS l, lead(t) OVER o - t AS r, (lag(cost) OVER o - cost) / (t - lag(t) OVER o) AS up, (lead(cost) OVER o - cost) / (lead(t) OVER o - t) AS down FROM vr{k} JOIN ts{k} USING (trial) WINDOW o AS (ORDER BY t)),
+best{k} AS (SELECT t, coalesce(CASE WHEN up + down > 0 THEN t + least(greatest((up * r - down * l) / (2 * (up + down)), -l), r) END, t) AS vertex FROM near{k} ORDER BY cost, t LIMIT 1),
+te{k} AS (SELECT k.range AS trial, CASE k.range WHEN 0 THEN t ELSE vertex END AS t FROM best{k}, range(2) k), en{k} AS (SELECT trial, dirac_id, x + t * dx AS x, y + t * dy AS y FROM dir{k}, te{k}), {_evaluated(f'e{k}', f'en{k}')},
+pick{k} AS (SELECT trial, t, cost FROM ve{k} JOIN te{k} USING (trial) ORDER BY cost, t LIMIT 1), c{k + 1} AS (SELECT cost FROM pick{k}), a{k + 1} AS (SELECT t AS a FROM pick{k}),
+w{k + 1} AS (SELECT dirac_id, o.x + t * dx AS x, o.y + t * dy AS y, ge{k}.gx AS gx, ge{k}.gy AS gy, o.gx AS px, o.gy AS py, dx AS ox, dy AS oy FROM dir{k} o JOIN ge{k} USING (dirac_id) JOIN pick{k} ON pick{k}.trial = ge{k}.trial)"""
+
+
+def _searches_sql() -> str:
+    """c0, c1 and c2: costs before and after two searches, along -gradient and along the Polak-Ribiere direction."""
+    first = f"a0 AS (SELECT 0.01 * {G.extent!r} / avg(sqrt(gx * gx + gy * gy)) AS a FROM w0), dir0 AS (SELECT *, -gx AS dx, -gy AS dy FROM w0)"
+    turn = "turn AS (SELECT greatest(sum(gx * (gx - px) + gy * (gy - py)) / sum(px * px + py * py), 0) AS beta FROM w1), dir1 AS (SELECT dirac_id, x, y, gx, gy, beta * ox - gx AS dx, beta * oy - gy AS dy FROM w1, turn)"
+    return f"{_start()}, {first}, {_bracketed_ctes(0)}, {turn}, {_bracketed_ctes(1)}"
+
+
+def _scales_sql() -> str:
+    """All points' costs around one quasi-Newton step, then those of two for each."""
+    def back(k: int, nn: str) -> str:
+        return f"dir{k} AS (SELECT w{k}.*, -n / {G.nb_angles} * gx AS dx, -n / {G.nb_angles} * gy AS dy FROM w{k}, {nn})"
+
+    def unit(a: int, b: int) -> str:
+        return f"0.1 * {G.extent!r} / sqrt(n) * (((child * {a} + {b}) % 2147483647 % 1000003) / 500001.5::DOUBLE - 1)"
+
+    kids = f"n2 AS (SELECT 2 * n AS n FROM nn), kid AS (SELECT dirac_id * 2 + r.range AS child, x, y FROM w1, range(2) r), sp AS (SELECT 0 AS trial, child AS dirac_id, x + {unit(48271, 11)} AS x, y + {unit(69621, 7)} AS y FROM kid, nn)"
+    again = f"{_evaluated('k', 'sp', 'n2')}, c5 AS (SELECT cost FROM vk), w5 AS (SELECT dirac_id, x, y, gx, gy FROM sp JOIN gk USING (dirac_id)), {back(5, 'n2')}, {_searched(5, '', 'n2')}"
+    rows = " UNION ALL ".join(f"SELECT {scale} AS scale, 'diracs' AS stage, CAST(n AS BIGINT) AS n, {step} AS step, round(cost, 5) AS cost FROM c{c}, {nn}" for scale, step, c, nn in ((0, 0, 0, "nn"), (0, 1, 1, "nn"), (1, 0, 5, "n2"), (1, 1, 6, "n2")))
+    return f"{_start()}, {back(0, 'nn')}, {_searched(0, '')}, {kids}, {again} {rows}"
 
 
 def _grid_sql() -> str:
@@ -224,6 +247,6 @@ _COMPARED = " UNION ALL ".join(f"SELECT * FROM ({_costs(ctes, n, run)})" for cte
 ORACLE = {
     "lbfgs_points": _lbfgs_sql(), "newton_points": _newton_sql(), "line_search_round": _round_sql(),
     "lbfgs_run": _costs(_before(_lbfgs_sql()), STEPS + 1), "subspace_newton_run": _costs(_before(_newton_sql()), 3),
-    "gd_steps": _costs(_GD, STEPS), "adam_steps": _costs(_ADAM, STEPS), "line_search_gd_run": _costs(_searched_once_sql(), 2),
+    "gd_steps": _costs(_GD, STEPS), "adam_steps": _costs(_ADAM, STEPS), "line_search_gd_run": _costs(_searches_sql(), 2), "line_search_run": _costs(_searches_sql(), 3), "multiscale_run": _scales_sql(),
     "grid_search_run": _grid_sql(), "optimizer_comparison": _COMPARED,
 }
