@@ -182,7 +182,7 @@ class Model(ABC):
         if sum(p.nbytes for p in trials) > MOST_TRIAL_BYTES:
             parts = [self._job([p], int(k < with_grad)) for k, p in enumerate(trials)] if len(trials) > 1 else None
             if parts is None:
-                raise ValueError("the points are too many to be sent to every task")
+                raise ValueError("the points are too many to be sent to every task; operators.sliced has models without a broadcast of points")
             return np.concatenate([c for c, _ in parts]), [g for _, gs in parts for g in gs]
         shared = self.spark.sparkContext.broadcast(trials)  # 2n doubles a trial, bounded above
         n_angles, model_angle = self.g.nb_angles, self.angle

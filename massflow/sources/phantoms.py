@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+c = F.col
+
 DISK = "disk_id int, cx double, cy double, r double, rho double"
 
 
@@ -18,28 +19,34 @@ def disks(spark: SparkSession, rows: list[tuple[float, float, float, float]]) ->
     return spark.createDataFrame([(i, *map(float, row)) for i, row in enumerate(rows)], DISK)
 
 
+def _unit(seed: int, *keys: str) -> Column:
+    """A number in [0, 1) that hangs on the keys and the seed only, so it is the same under any partitioning."""
+    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+
+
 def hex_sites(spark: SparkSession, lobe: tuple[float, float, float], pitch: float, margin: float = 0.0, jitter: float = 0.0, seed: int = 0) -> DataFrame:
-    """(site_id, x, y): a jittered hexagonal grid inside a disk lobe (cx, cy, r)."""
+    """(site_id, x, y): a jittered hexagonal grid inside a disk lobe (cx, cy, r); ids go by rows of the grid.
+
+    Sites are a generated range, so a grid of any size is made by the executors.
+    """
     cx, cy, r = lobe
     n = math.ceil(r / pitch) + 1
     m = math.ceil(r / (pitch * math.sqrt(3) / 2)) + 1
-    rng = np.random.default_rng(seed)
-    rows = []
-    for j in range(-m, m + 1):
-        for i in range(-n, n + 1):
-            dx, dy = rng.uniform(-1, 1, 2) * jitter * pitch
-            x, y = cx + (i + (0.5 if j % 2 else 0.0)) * pitch + dx, cy + j * pitch * math.sqrt(3) / 2 + dy
-            if math.hypot(x - cx, y - cy) <= r - margin:
-                rows.append((len(rows), x, y))
-    return spark.createDataFrame(rows, "site_id int, x double, y double")
+    wide = 2 * n + 1
+    at = spark.range((2 * m + 1) * wide).select("id", (F.floor(c("id") / wide) - m).alias("j"), (c("id") % wide - n).alias("i"))
+    dx, dy = ((2 * _unit(seed + k, "id") - 1) * jitter * pitch for k in (0, 1))
+    odd = F.when(c("j") % 2 == 0, 0.0).otherwise(0.5)
+    at = at.select(c("id").alias("site_id"), (cx + (c("i") + odd) * pitch + dx).alias("x"), (cy + c("j") * (pitch * math.sqrt(3) / 2) + dy).alias("y"))
+    return at.where(F.sqrt((c("x") - cx) ** 2 + (c("y") - cy) ** 2) <= r - margin)
 
 
 def lung_phantom(spark: SparkSession, extent: float, scale: float = 0.9, nb_holes: int = 40, hole: float = 0.08, seed: int = 0) -> DataFrame:
-    """A lobe of density 1 less jittered hexagonal holes of density -1."""
+    """A lobe of density 1 less holes of density -1: ``nb_holes`` of the jittered hexagonal sites, by the order of a hash."""
     r = extent / 2 * scale
-    sites = hex_sites(spark, (0.0, 0.0, r), 2.6 * hole, hole, 0.15, seed).toPandas()
-    take = np.random.default_rng(seed).permutation(len(sites))[:nb_holes]
-    return disks(spark, [(0.0, 0.0, r, 1.0), *((float(sites.x[i]), float(sites.y[i]), hole, -1.0) for i in sorted(take))])
+    sites = hex_sites(spark, (0.0, 0.0, r), 2.6 * hole, hole, 0.15, seed)
+    taken = sites.orderBy(F.xxhash64("site_id", F.lit(seed)), "site_id").limit(nb_holes)
+    holes = taken.select((c("site_id") + 1).cast("int").alias("disk_id"), c("x").alias("cx"), c("y").alias("cy"), F.lit(hole).alias("r"), F.lit(-1.0).alias("rho"))
+    return disks(spark, [(0.0, 0.0, r, 1.0)]).unionByName(holes)
 
 
 def ring(spark: SparkSession, n: int, radius: float, r: float) -> DataFrame:
@@ -51,7 +58,11 @@ def grid(spark: SparkSession, n: int, pitch: float, r: float) -> DataFrame:
 
 
 def random_points(spark: SparkSession, n: int, extent: float, seed: int = 0, normal: bool = False) -> DataFrame:
-    """(dirac_id, x, y): seeded on the driver, so the same under any partitioning."""
-    from massflow.operators.reconstruct import random_points as made
-
-    return spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(made(n, extent, seed, normal))], "dirac_id long, x double, y double")
+    """(dirac_id, x, y): even in the field, or normal with a sixth of it as deviation; made by the executors."""
+    u, v = _unit(seed, "id"), _unit(seed + 1, "id")
+    if normal:
+        size = F.sqrt(-2 * F.log(1 - u)) * (extent / 6)
+        x, y = size * F.cos(2 * math.pi * v), size * F.sin(2 * math.pi * v)
+    else:
+        x, y = (u - 0.5) * extent, (v - 0.5) * extent
+    return spark.range(n).select(c("id").alias("dirac_id"), x.alias("x"), y.alias("y"))
