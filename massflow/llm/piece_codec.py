@@ -40,7 +40,7 @@ from massflow.llm.frames import bound_batches, release, with_position
 #: Bytes of text that one chunk is planned for.
 CHUNK_BYTES = 20 << 20
 #: The same where an executor's memory is not shared with other stages of a session: larger chunks repeat fewer words.
-LARGE_CHUNK_BYTES = 36 << 20
+LARGE_CHUNK_BYTES, LARGE_LATTICE_BYTES = 36 << 20, 2 << 20
 #: Bytes of text in one compressed blob.
 BLOB_BYTES = 1 << 20
 #: Bytes of text of a chunk that are coded at once.
@@ -553,7 +553,7 @@ def _assembled(batches, pieces: Pieces | Cuts, carry: tuple[str, ...]):
     release()
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), place: str | None = None, chunk_bytes: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), place: str | None = None, chunk_bytes: int | None = None, lattice_bytes: int | None = None) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32, decoded_ok: one row per row of docs.
 
     decoded_ok tells that decoding the ids gives the text back: each word's ids
@@ -562,8 +562,9 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     left.  Words of any length are read whole.  Of the other columns of docs
     those in ``carry`` are returned, after these.  ``place`` names a column that
     holds each row's place from 0; without one it is the place in docs' files.
-    The result is in that order.  ``chunk_bytes`` of text are coded at a time: it
-    decides on memory and disk, not on results.  An empty table gives an empty result.  The
+    The result is in that order.  ``chunk_bytes`` of text are coded at a time, and the
+    words of ``lattice_bytes`` make one task's lattices: they decide on memory,
+    disk and time, not on results.  An empty table gives an empty result.  The
     session's Arrow batches are bounded (``bound_batches``).
     """
     spark = docs.sparkSession
@@ -573,7 +574,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
         docs, _ = with_position(docs.select(*dict.fromkeys((id_col, text_col, *carry))), place)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry, F.col(place).cast("long").alias("place"))
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("bytes"), F.max(place).alias("last")).first()
-    chunk_bytes = chunk_bytes or CHUNK_BYTES
+    chunk_bytes, lattice_bytes = chunk_bytes or CHUNK_BYTES, lattice_bytes or LATTICE_BYTES
     per_chunk = max(1, int(chunk_bytes * ((size["last"] or 0) + 1) // max(1, size["bytes"] or 0)))
     chunks = (size["last"] or 0) // per_chunk + 1
     rows = rows.withColumn("chunk", F.floor(F.col("place") / per_chunk).cast("int"))
@@ -581,7 +582,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     # A common word is coded once for every CHUNKS_OF_A_WORD chunks, so no list grows with the corpus; lattices are
     # many times the words they come from, so words are dealt by the bytes of text and not by their own.
-    deals = max(1, -(-min(size["bytes"] or 0, CHUNKS_OF_A_WORD * chunk_bytes) // LATTICE_BYTES))
+    deals = max(1, -(-min(size["bytes"] or 0, CHUNKS_OF_A_WORD * chunk_bytes) // lattice_bytes))
     words = rows.select("chunk", "text").mapInArrow(lambda it: _vocabulary(it, cuts.value), "word string, chunk int")
     deal = F.floor(F.col("chunk") / CHUNKS_OF_A_WORD) * deals + F.pmod(F.xxhash64("word"), F.lit(deals))
     words = words.withColumn("deal", deal).repartition(deals * ((chunks - 1) // CHUNKS_OF_A_WORD + 1), "deal").groupBy("deal", "word").agg(F.collect_set("chunk").alias("chunks"))

@@ -48,7 +48,8 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _piece_codec.encode(_table(spark, sf_dir, "documents"), _piece_codec.load(_tokenizer("piece_bpe_32k.model")), chunk_bytes=_piece_codec.LARGE_CHUNK_BYTES)
+    pieces = _piece_codec.load(_tokenizer("piece_bpe_32k.model"))
+    return _piece_codec.encode(_table(spark, sf_dir, "documents"), pieces, chunk_bytes=_piece_codec.LARGE_CHUNK_BYTES, lattice_bytes=_piece_codec.LARGE_LATTICE_BYTES)
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
