@@ -81,10 +81,10 @@ def ot1d_total_cost(spark, d):
 
 def ot1d_udp_lookup(spark, d):
     levels = B.order_points(spark, d).select("batch").distinct().select("batch", F.explode(F.sequence(F.lit(0), F.lit(100))).alias("level_id")).withColumn("level", F.col("level_id") / 100)
-    # In units of the density's width, which leaves nine digits beyond the rounding.
+    # In units of the density's width, to more digits than a share of a cell in 1024ths has: those would be ties.
     t = B.order_target(spark, d)
     side = t.groupBy("batch").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"))
-    return T.lookup(levels, t).join(side, "batch").select("batch", "level_id", F.round((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), 7).alias("x"))
+    return T.lookup(levels, t).join(side, "batch").select("batch", "level_id", F.round((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), 10).alias("x"))
 
 
 def fused_cost_grad(spark, d):
@@ -133,7 +133,7 @@ mn AS (SELECT batch, sum(g * y) AS mean FROM al GROUP BY 1)
 SELECT batch, cell_id, round((g - dx * mean) / mass, 6) AS grad FROM al JOIN mn USING (batch) JOIN tm USING (batch)""",
     "ot1d_total_cost": f"{B.plan_sql('orders')} SELECT round({COST} / 1e6, 6) AS total_cost_millions FROM pieces",
     "ot1d_udp_lookup": f"""{B.plan_sql('orders')}, lv AS (SELECT DISTINCT batch, CAST(r.range AS BIGINT) AS level_id, r.range / 100.0 AS level FROM d, range(101) r)
-SELECT batch, level_id, round((x0 + least((level - c0) / m, 1.0) * (x1 - x0) - lo) / (hi - lo), 7) AS x FROM hb, (SELECT lv.batch, level_id, level, x0, x1, m, c0, row_number() OVER (PARTITION BY lv.batch, level_id ORDER BY c0 DESC) AS k FROM lv JOIN tn ON lv.batch = tn.batch AND m > 0 AND (c0 < level OR c0 <= 0)) WHERE k = 1""",
+SELECT batch, level_id, round((x0 + least((level - c0) / m, 1.0) * (x1 - x0) - lo) / (hi - lo), 10) AS x FROM hb, (SELECT lv.batch, level_id, level, x0, x1, m, c0, row_number() OVER (PARTITION BY lv.batch, level_id ORDER BY c0 DESC) AS k FROM lv JOIN tn ON lv.batch = tn.batch AND m > 0 AND (c0 < level OR c0 <= 0)) WHERE k = 1""",
     "fused_cost_grad": f"{_E}, g AS (SELECT batch, id, {COST} AS cost, any_value(pos) AS pos, any_value(w) AS w, sum(dm * (l + r) / 2) / sum(dm) AS b FROM pieces GROUP BY 1, 2) SELECT batch, id AS dirac_id, round(cost * 1e3, 5) AS cost_milli, round(2 * w * (pos - b) * 1e3, 6) AS grad_milli FROM g",
     "mass_points": f"{B.plan_sql('lineitem')} SELECT batch, round(mass, 4) AS mass FROM dm",
     "mass_density": f"{_E} SELECT batch, round(mass, 4) AS mass FROM tm",
