@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massflow.functions.stored import Store
+
 #: Rows of one key that one window is planned for.
 WINDOW_ROWS = 250_000
 
@@ -22,8 +24,13 @@ def buckets_for(df: DataFrame, key: str) -> int:
 
 
 def _dealt(df: DataFrame, key: str, by: str, buckets: int) -> DataFrame:
-    """df with _bucket, the quantile of ``by`` (numeric) in its key; rows that tie share a bucket."""
+    """df with _bucket, the quantile of ``by`` (numeric) in its key; rows that tie share a bucket.
+
+    The cuts are written: approximate quantiles depend on the order in which
+    parts are merged, and every reader of the buckets must see the same ones.
+    """
     cuts = df.groupBy(key).agg(F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"))
+    cuts = Store(df.sparkSession).keep(cuts)  # a row per key
     return df.join(cuts, key).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(by)))).drop("_cuts")
 
 

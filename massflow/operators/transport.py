@@ -13,15 +13,20 @@ from pyspark.sql import functions as F
 
 from massflow.functions.prefix import buckets_for, following, running_sum
 from massflow.functions.stored import Store
-from massflow.operators.measures import normalize_density, normalize_points
+from massflow.operators.measures import normalize_density, point_mass
 
 c = F.col
 
 
 def sorted_points(d: DataFrame, buckets: int = 1) -> DataFrame:
-    """Normalized diracs of positive weight with q0, the mass before each."""
-    d = normalize_points(d).where("w > 0")
-    return running_sum(d, "batch", ["pos", "dirac_id"], {"q0": "w"}, buckets)
+    """Normalized diracs of positive weight with q0, the mass before each.
+
+    Weights are summed as given and divided once, so equal or whole ones
+    gather no rounding, however many rows a batch has.
+    """
+    d = d.join(point_mass(d), "batch").where(F.try_divide("w", "mass") > 0)
+    s = running_sum(d, "batch", ["pos", "dirac_id"], {"q0": "w"}, buckets)
+    return s.withColumn("q0", c("q0") / c("mass")).withColumn("w", c("w") / c("mass")).drop("mass")
 
 
 def cell_cum_mass(t: DataFrame, buckets: int = 1) -> DataFrame:

@@ -139,3 +139,15 @@ def test_histogram_of_nothing(spark):
     none = spark.createDataFrame([], "v double")
     assert M.histogram(none, "v").count() == 0
     assert M.histogram(spark.createDataFrame([(None,)], "v double"), "v").count() == 0
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_running_masses_gather_no_rounding(spark, buckets):
+    n = 3000
+    d = spark.range(n).select(F.lit(0).alias("batch"), F.col("id").alias("dirac_id"), (F.col("id") * 0.5).alias("pos"), F.lit(1.0).alias("w"))
+    assert [r.q0 for r in T.sorted_points(d, buckets).orderBy("pos").collect()] == [k / n for k in range(n)]
+
+
+def test_bucket_cuts_are_made_once(spark):
+    d = spark.range(100).select(F.lit(0).alias("batch"), F.col("id").alias("dirac_id"), F.col("id").cast("double").alias("pos"), F.lit(1.0).alias("w"))
+    assert "percentile_approx" not in T.sorted_points(d, 4)._jdf.queryExecution().toString()
