@@ -59,15 +59,18 @@ def image_mass(cells: DataFrame, knots: DataFrame, det: float = 1.0) -> DataFram
     return per.groupBy("image_id").agg(F.sum(F.col("value") * F.col("spacing")).alias("mass"))
 
 
-def histogram(df: DataFrame, value: str, bins: int = BINS) -> DataFrame:
-    """(cell_id, x0, x1, y): counts of ``value`` in equal bins between its extremes; empty bins have y = 0."""
+def histogram(df: DataFrame, value: str, bins: int = BINS, times: str | None = None) -> DataFrame:
+    """(cell_id, x0, x1, y): counts of ``value`` in equal bins between its extremes; empty bins have y = 0.
+
+    ``times``: a column that tells how many rows a row stands for.
+    """
     lo, hi = df.agg(F.min(value), F.max(value)).first()
     if lo is None:  # no values: no cells
         return df.sparkSession.createDataFrame([], "cell_id int, x0 double, x1 double, y double")
     lo, hi = float(lo), float(hi)
     dw = (hi - lo) / bins or 1.0
     b = F.least(F.floor((F.col(value) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int") if hi > lo else F.lit(0)
-    counts = df.where(F.col(value).isNotNull()).groupBy(b.alias("cell_id")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(b.alias("cell_id")).agg((F.count(F.lit(1)) if times is None else F.sum(times)).cast("double").alias("y"))
     frame = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("cell_id"))
     return frame.join(counts, "cell_id", "left").select("cell_id", (lo + F.col("cell_id") * dw).alias("x0"), (lo + (F.col("cell_id") + 1) * dw).alias("x1"), F.coalesce("y", F.lit(0.0)).alias("y"))
 

@@ -29,7 +29,7 @@ def ot1d_cost(spark, d):
 
 
 def ot1d_cost_weighted(spark, d):
-    p = T.pieces(B.lineitem_points(spark, d), B.lineitem_target(spark, d))
+    p = T.pieces(*B.lineitem_problem(spark, d))
     return T.cost(p).select("batch", F.round(F.col("cost") / 1e6, 6).alias("cost_millions"))
 
 
