@@ -61,6 +61,39 @@ def test_cost_and_gradient_equal_the_array_models(spark, sino, x, name, radius,
     assert all(store.has(f"run-{b}of3") for b in range(3))
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name,radius", [("diracs", None), ("tents", 0.4)])
+def test_many_runs_and_finer_grids_equal_the_array_models(spark, sino, x, name, radius, monkeypatch):
+    monkeypatch.setattr(S, "WINDOW_ROWS", 4)
+    monkeypatch.setattr(S, "CELLS", 3)
+    # Points that share places, one far outside, and clusters narrower than a cell.
+    x = np.concatenate([x, np.repeat(x[:2], 6, 0), [[90.0, -200.0]], 0.3 + 1e-7 * x[:9]])
+    cost, grad = X.make_model(name, sino, G, radius).value_and_grad(x)
+    v, g = read(S.make_model(name, sino, G, radius).evaluate(S.with_trial(table(spark, x).repartition(3))), len(x))
+    assert v == pytest.approx(cost, rel=1e-9)
+    ties = [k for k in range(len(x)) if (x == x[k]).all(1).sum() > 1]  # which of them comes first is by id in tables only
+    rest = np.setdiff1d(np.arange(len(x)), ties)
+    assert g[rest] == pytest.approx(grad[rest], abs=1e-7) and g[ties].sum(0) == pytest.approx(grad[ties].sum(0), abs=1e-7)
+
+
+def test_evaluations_shuffle_no_pieces_and_few_knots(spark, sino):
+    points = S.with_trial(spark.range(4000).select(c("id").alias("dirac_id"), (c("id") * 37 % 4001 / 4001.0 - 0.5).alias("x"), (c("id") * 53 % 3989 / 3989.0 - 0.5).alias("y")))
+    for name, radius in (("diracs", None), ("tents", 0.05)):
+        made = S.make_model(name, sino, G, radius).part(points, G.angles(spark), 1, 4000)
+        assert "Window" not in _plan(made) and "Generate" not in _plan(made)
+
+
+def test_narrow_tents_keep_the_gradient_of_the_mean(spark, sino):
+    # Moved together, points of any width change the cost alike; running sums of 1 / radius once lost that.
+    n = 5000
+    points = S.with_trial(spark.range(n).select(c("id").alias("dirac_id"), (c("id") * 37 % 5003 / 5003.0 * 2 - 1).alias("x"), (c("id") * 53 % 4999 / 4999.0 * 2 - 1).alias("y")))
+    together = [S.make_model(name, sino, G, radius).evaluate(points).gradient.agg(F.sum("gx"), F.sum("gy")).first() for name, radius in (("diracs", None), ("tents", 0.003))]
+    assert tuple(together[1]) == pytest.approx(tuple(together[0]), abs=1e-8)
+
+
 def test_disks_outside_the_field(spark, sino, x):
     far = x + 40.0
     cost, grad = X.make_model("disks", sino, G, 0.4).value_and_grad(far)
