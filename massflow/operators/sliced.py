@@ -4,8 +4,8 @@ points: (trial, dirac_id, x, y); trial numbers point sets that are judged in one
 plan, from 0.  A batch is one angle of one trial.  Neither points nor gradients
 pass through the driver: projections and slices are made in arrays inside the
 tasks, between sorts and grouped sums, and what is sent around is numbers per
-angle and bin or cell, whose size is checked.  Angles come in batches; a batch's sums are written, so a run
-that was stopped goes on with the next one.
+angle and bin or cell, whose size is checked.  Angles come in batches; a
+batch's sums are written, so a run that was stopped goes on with the next one.
 """
 
 from __future__ import annotations
@@ -44,6 +44,8 @@ def buckets_of(rows: int) -> int:
 
 #: Cells of a grid on which positions are counted first, and those that each cell with too many is cut into.
 CELLS = 1024
+#: Sums of a batch's grid, about.
+GRID_NUMBERS = 7 * CELLS
 #: Runs of one batch, at most: a run is numbered batch * MOST_BUCKETS + its place in the batch.
 MOST_BUCKETS = 1 << 32
 
@@ -211,6 +213,10 @@ class SlicedModel(ABC):
         """The sinogram once a trial."""
         return self.sino.join(F.broadcast(angles.select("angle_id")), "angle_id").withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
 
+    def numbers(self, n: int) -> int:
+        """Numbers that are sent around for each angle of a trial of n points, about."""
+        return self.g.nb_bins + 1
+
     @abstractmethod
     def part(self, points: DataFrame, angles: DataFrame, trials: int, n: int) -> DataFrame:
         """(trial, dirac_id, cost, gx, gy) summed over some angles; costs that belong to no point have a null dirac_id."""
@@ -224,7 +230,7 @@ class SlicedModel(ABC):
         store, name = store or self.store, name or f"evaluation-{id(points)}-{self._calls()}"
         if n is None:
             n = points.groupBy("trial").count().agg(F.max("count")).first()[0] or 0
-        most = trials * (self.g.nb_bins + 1) * self.g.nb_angles
+        most = trials * self.numbers(n) * self.g.nb_angles
         k = min(self.g.nb_angles, angle_batches or -(-most // MOST_BROADCAST))
         parts = []
         for b in range(k):
@@ -254,6 +260,9 @@ class Diracs(SlicedModel):
     sorts of bounded runs; a position is shuffled once, and its gradient once.
     """
 
+    def numbers(self, n):
+        return max(self.g.nb_bins + 1, GRID_NUMBERS if n > WINDOW_ROWS else 0)
+
     def part(self, points, angles, trials, n):
         if not self.store.has("cumulated"):
             self.store.put("cumulated", T.cell_cum_mass(self.g.density(self.sino), buckets_of(self.g.nb_bins)))
@@ -375,6 +384,9 @@ class Tents(SlicedModel):
         super().__init__(sino, g, store)
         self.radius = radius
 
+    def numbers(self, n):
+        return max(self.g.nb_bins + 1, GRID_NUMBERS)
+
     def part(self, points, angles, trials, n):
         g, r, nb = self.g, self.radius, self.g.nb_angles
         whole, normals, points = n * r, _normals(angles), _placed(points)

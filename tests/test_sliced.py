@@ -86,6 +86,15 @@ def test_evaluations_shuffle_no_pieces_and_few_knots(spark, sino):
         assert "Window" not in _plan(made) and "Generate" not in _plan(made)
 
 
+def test_grids_of_many_trials_come_in_batches_of_angles(spark, sino, x, monkeypatch):
+    monkeypatch.setattr(S, "MOST_BROADCAST", 3 * S.GRID_NUMBERS)
+    model = S.make_model("tents", sino, G, 0.4)
+    cost, grad = X.make_model("tents", sino, G, 0.4).value_and_grad(x)
+    v, g = read(model.evaluate(S.with_trial(table(spark, x)), name="few"), len(x))
+    assert v == pytest.approx(cost, rel=1e-9) and g == pytest.approx(grad, abs=1e-9)
+    assert model.store.has("few-0of2") and model.store.has("few-1of2")
+
+
 def test_narrow_tents_keep_the_gradient_of_the_mean(spark, sino):
     # Moved together, points of any width change the cost alike; running sums of 1 / radius once lost that.
     n = 5000
