@@ -313,10 +313,10 @@ def subspace_newton(model: Diracs, points: DataFrame, steps: int = 30, tikhonov:
 # ---- scales ------------------------------------------------------------------------------------
 
 
-def multiscale(sino: DataFrame, g: R.Geometry, points: DataFrame, final: int, factor: int = 4, steps: int = 20, tents: bool = False, noise: float = 0.1, store: Store | None = None) -> Run:
+def multiscale(sino: DataFrame, g: R.Geometry, points: DataFrame, final: int, factor: int = 4, steps: int = 20, tents: bool = False, tent_steps: int = 10, noise: float = 0.1, store: Store | None = None) -> Run:
     """Converge, split every point, keep min(n * factor, final) of them, until there are ``final``.
 
-    With ``tents`` each scale ends with steps on tents whose width follows the
+    With ``tents`` each scale ends with ``tent_steps`` on tents whose width follows the
     number of points.  A run's stages are named tables of the store: points of
     every scale are ``scale-k``, states and logs those of its optimizer, and a
     run that was stopped goes on with the first step that is not there.
@@ -325,12 +325,12 @@ def multiscale(sino: DataFrame, g: R.Geometry, points: DataFrame, final: int, fa
     x, history, k = _located(points), [], 0
     while True:
         n = x.count()
-        stages = [("diracs", Diracs(sino, g, store))]
+        stages = [("diracs", Diracs(sino, g, store), steps)]
         if tents:
             radius = 0.5 * g.extent / max(n, 1) ** 0.5
-            stages.append(("tents", Tents(sino, g, radius, store)))
-        for stage, model in stages:
-            run = lbfgs(model, x, steps, ftol=0.0, store=store, name=f"{stage}-{k}")
+            stages.append(("tents", Tents(sino, g, radius, store), tent_steps))
+        for stage, model, most in stages:
+            run = lbfgs(model, x, most, ftol=0.0, store=store, name=f"{stage}-{k}")
             x = run.points
             history += [{"scale": k, "stage": stage, "n": n, "step": h["step"], "cost": h["cost"], "t": h["t"]} for h in run.history]
         if n >= final:

@@ -73,19 +73,20 @@ def disk_run(spark, d):
     return _history(spark, D.lbfgs(m, vec_points(spark, d), steps=2, ftol=0.0))
 
 
-def _scales(spark, d, tents):
+def _scales(spark, d, factor, **how):
     points = vec_points(spark, d)
-    run = D.multiscale(R.radon_disks(part_disks(spark, d), G.angles(spark), G), G, points, 2 * points.count(), 2, steps=1, tents=tents)
+    run = D.multiscale(R.radon_disks(part_disks(spark, d), G.angles(spark), G), G, points, factor * points.count(), factor, **how)
     return _r(spark.createDataFrame([(h["scale"], h["stage"], h["n"], h["step"], float(h["cost"])) for h in run.history], "scale int, stage string, n long, step int, cost double"), 5, "cost")
 
 
 def multiscale_run(spark, d):
     """All embeddings' points, then two for each."""
-    return _scales(spark, d, False)
+    return _scales(spark, d, 2, steps=1)
 
 
 def interleaved_run(spark, d):
-    return _scales(spark, d, True)
+    """All embeddings' points, then four for each: at either scale 20 steps on diracs and 10 on tents, the reference's own numbers."""
+    return _scales(spark, d, 4, steps=20, tents=True, tent_steps=10)
 
 
 def grid_search_run(spark, d):
